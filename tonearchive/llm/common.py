@@ -135,3 +135,28 @@ class ChunkMemo:
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty) alone, so that no other column can clash."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``keys``, one table per run of equal keys, across batch borders."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None:
+            held.append(batch)
+            last = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
+            if [batch.column(k)[0].as_py() for k in keys] == last and [held[0].column(k)[0].as_py() for k in keys] == last:
+                continue  # one run so far
+        if not held:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            change |= values[1:] != values[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
+        keep = 1 if batch is not None else 0  # the last run may go on
+        for a, b in zip(bounds[: len(bounds) - 1 - keep], bounds[1:], strict=False):
+            yield table.slice(a, b - a)
+        held = table.slice(bounds[-2]).to_batches() if keep else []
