@@ -125,9 +125,11 @@ class ChunkMemo:
             flat = np.concatenate([flat, new_flat.astype(np.int32)])
             starts = np.concatenate([starts, new_starts])
             counts = np.concatenate([counts, new_counts])
-            if known + len(fresh) <= self.limit:
-                self.index.update((c, known + k) for c, k in fresh.items())
-                self.flat, self.starts, self.counts = flat, starts, counts
+            take = min(len(fresh), self.limit - known)
+            if take > 0:
+                self.index.update((c, known + k) for c, k in itertools.islice(fresh.items(), take))
+                self.starts, self.counts = starts[: known + take], counts[: known + take]
+                self.flat = flat[: self.starts[-1] + self.counts[-1]]
         lengths = counts[at]
         return flat[ragged(starts[at], lengths)], lengths
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, simhash, substring
+from . import embedding, packing, simhash, substring, token_store
+from .common import work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,22 @@ def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), path)
+    return token_store.read_tokens(spark, path, ids=False)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), length=2048)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, most=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -30,6 +48,8 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding": op1_embedding,
+    "op4_token_store": op4_token_store,
+    "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_substring": op10_substring,
 }
