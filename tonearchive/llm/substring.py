@@ -10,7 +10,8 @@ joined where they touch, are the maximal exact repeats.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashMemo, documents, materialize, partitions, prepare, release
+from .common import HashMemo, documents, materialize, partitions, prepare, release, runs
 from .packed import deal, unpack_all
 
 #: Probes of one bucket, and characters of text of one bucket: both stay put as the input grows.
@@ -109,23 +110,35 @@ def _probe(window: int, buckets: int):
     return run
 
 
-def _meet(doc_buckets: int):
-    """In a bucket of hashes: marks the probes that a smaller document indexes, and the blocks that a greater one hits."""
+def _each_bucket(rows: DataFrame, function: Callable[[pa.Table], list[np.ndarray]], doc_buckets: int) -> DataFrame:
+    """Apply ``function`` to each bucket; what it finds (keys first) is gathered over a task's buckets, then dealt to the documents' buckets."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        hashes, place, key, no_id, indexed = unpack_all(rows.column("packed").to_pylist(), _PROBE)
-        order = np.argsort(hashes)
-        hashes, place, key, indexed = hashes[order], place[order], key[order], indexed[order]
-        rank = np.where(no_id[order], _LAST, key)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(hashes)) + 1])
-        group = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(hashes))))
-        least = np.minimum.reduceat(np.where(indexed, key, _LAST), cuts)
-        greatest = np.maximum.reduceat(rank, cuts)
-        marked = (least[group] < rank) | (indexed & (greatest[group] > key))
-        key, place = key[marked], place[marked]
-        return pa.Table.from_batches(_batches(deal(_doc_buckets(key, doc_buckets), [key, place], doc_buckets)), _ROWS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for table in itertools.chain(runs(batches, ["bucket"]), [None]):
+            if table is not None:
+                held.append(function(table))
+                size += len(held[-1][0])
+            if held and (table is None or size >= GATHER):
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                yield from _batches(deal(_doc_buckets(columns[0], doc_buckets), columns, doc_buckets))
+                held, size = [], 0
+
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, packed binary")
 
-    return run
+
+def _meet(rows: pa.Table) -> list[np.ndarray]:
+    """In a bucket of hashes: marks the probes that a smaller document indexes, and the blocks that a greater one hits."""
+    hashes, place, key, no_id, indexed = unpack_all(rows.column("packed").to_pylist(), _PROBE)
+    order = np.argsort(hashes)
+    hashes, place, key, indexed = hashes[order], place[order], key[order], indexed[order]
+    rank = np.where(no_id[order], _LAST, key)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(hashes)) + 1])
+    group = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(hashes))))
+    least = np.minimum.reduceat(np.where(indexed, key, _LAST), cuts)
+    greatest = np.maximum.reduceat(rank, cuts)
+    marked = (least[group] < rank) | (indexed & (greatest[group] > key))
+    return [key[marked], place[marked]]
 
 
 def _texts(doc_buckets: int):
@@ -194,21 +207,16 @@ def _extend(window: int, buckets: int):
     return run
 
 
-def _repeat(doc_buckets: int):
+def _repeat(rows: pa.Table) -> list[np.ndarray]:
     """In a bucket of windows: those that a smaller document holds too."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        hashes, more, place, nth, key, no_id = unpack_all(rows.column("packed").to_pylist(), _WINDOW)
-        order = np.lexsort((hashes, more))
-        hashes, more, place, nth, key, no_id = (c[order] for c in (hashes, more, place, nth, key, no_id))
-        rank = np.where(no_id, _LAST, key)
-        cuts = np.concatenate([[0], np.flatnonzero((np.diff(hashes) != 0) | (np.diff(more) != 0)) + 1])
-        least = np.repeat(np.minimum.reduceat(rank, cuts), np.diff(np.append(cuts, len(rank))))
-        found = least < rank
-        key, place, nth = key[found], place[found], nth[found]
-        return pa.Table.from_batches(_batches(deal(_doc_buckets(key, doc_buckets), [key, place, nth], doc_buckets)), _ROWS)
-
-    return run
+    hashes, more, place, nth, key, no_id = unpack_all(rows.column("packed").to_pylist(), _WINDOW)
+    order = np.lexsort((hashes, more))
+    hashes, more, place, nth, key, no_id = (c[order] for c in (hashes, more, place, nth, key, no_id))
+    rank = np.where(no_id, _LAST, key)
+    cuts = np.concatenate([[0], np.flatnonzero((np.diff(hashes) != 0) | (np.diff(more) != 0)) + 1])
+    least = np.repeat(np.minimum.reduceat(rank, cuts), np.diff(np.append(cuts, len(rank))))
+    found = least < rank
+    return [key[found], place[found], nth[found]]
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, repeats array<struct<start:long,end:long>>, kept string"
@@ -256,17 +264,17 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     prepare(spark)
     docs = documents(docs)
     characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(2 * partitions(spark), characters // (6 * BUCKET_PROBES))
-    doc_buckets = max(2 * partitions(spark), characters // BUCKET_TEXT)
+    buckets = max(partitions(spark), characters // (6 * BUCKET_PROBES))
+    doc_buckets = max(partitions(spark), characters // BUCKET_TEXT)
     rows, texts = "bucket long, packed binary", "bucket long, doc_id long, key long, text binary"
 
     probes = docs.mapInArrow(_probe(window, buckets), rows)
-    marks = materialize(probes.groupBy("bucket").applyInArrow(_meet(doc_buckets), rows), "marks")
+    marks = materialize(_each_bucket(probes, _meet, doc_buckets), "marks")
     del probes
     release(spark)
     by_bucket = docs.mapInArrow(_texts(doc_buckets), texts).groupBy("bucket")
     windows = by_bucket.cogroup(marks.groupBy("bucket")).applyInArrow(_extend(window, buckets), rows)
-    covers = materialize(windows.groupBy("bucket").applyInArrow(_repeat(doc_buckets), rows), "covers")
+    covers = materialize(_each_bucket(windows, _repeat, doc_buckets), "covers")
     del windows, by_bucket
     release(spark)
     by_bucket = docs.mapInArrow(_texts(doc_buckets), texts).groupBy("bucket")
