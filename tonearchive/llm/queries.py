@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, packing, simhash, substring, token_store
+from . import embedding, licenses, mixing, mpeg, packing, quality, secrets, simhash, substring, token_store
 from .common import work_dir
 
 
@@ -20,6 +20,19 @@ def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
+def op5_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.digests(_table(spark, sf_dir, "documents"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -32,6 +45,15 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path, ids=False)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), length=2048)
 
@@ -48,7 +70,12 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding": op1_embedding,
+    "op2_licenses": op2_licenses,
+    "op3_secrets": op3_secrets,
     "op4_token_store": op4_token_store,
+    "op5_mpeg": op5_mpeg,
+    "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_substring": op10_substring,

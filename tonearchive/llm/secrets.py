@@ -1,0 +1,122 @@
+"""Secret scan by built-in functions alone: strong patterns, and weak parts linked into multipart credentials.
+
+A weak part (a short access identifier or assigned id, a short assigned secret, an endpoint)
+means little alone. It is reported only where complementary parts stand within ``SCOPE``
+characters: an id needs a secret, a secret an id, an endpoint both. Strong findings count as
+parts too. Parts are joined by overlapping intervals, dealt by document and stretch of text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+SCOPE = 256
+_JOIN = r"""["']?\x20*[:=]\x20*["']?"""
+# Strong patterns (fixed values of the contract).
+ASSIGN = rf"(?i:password|passwd|secret|token|api_?key){_JOIN}([A-Za-z0-9+/_.=-]+)"
+ACCESS = r"(AKIA[A-Z0-9]+)"
+HEX = r"([0-9a-f]{16,})"
+# Weak parts.
+SHORT_ID = rf"(?:\b(?:AKIA|ASIA)[A-Z0-9]+|\b(?i:access_?key_?id|client_?id|account_?id|user_?name|user|login){_JOIN}[A-Za-z0-9+/_.@-]+)"
+SHORT_SECRET = rf"\b(?i:password|passwd|pwd|secret_?access_?key|client_?secret|secret|token|api_?key|private_?key){_JOIN}[A-Za-z0-9+/_.=-]+"
+ENDPOINT = rf"(?:\bhttps?://[A-Za-z0-9.-]+[^\s\"'<>]*|\b(?i:endpoint|host|server|base_?url){_JOIN}[A-Za-z0-9._:/-]+)"
+#: Kinds by rank: strong ones as the contract lists them, then this scan's own.
+KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
+_SPANS = "array<struct<start:long,rank:int,end:long>>"
+
+
+def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
+    """Places of the leftmost non-overlapping matches whose ``group`` has ``least`` characters or more.
+
+    The text between matches and the matches themselves give the places by their lengths.
+    Texts without a match are told apart first, by one pass.
+    """
+    regex, rank = F.lit(pattern), KINDS.index(kind)
+    gaps = F.split(text, pattern, -1)
+    matches = F.arrays_zip(F.regexp_extract_all(text, regex, 0).alias("all"), F.regexp_extract_all(text, regex, group).alias("part"))
+    sized = F.zip_with(
+        matches,
+        F.slice(gaps, 1, F.size(gaps) - 1),
+        lambda m, gap: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m["all"]).cast("long").alias("size"), (F.length(m["part"]) >= least).alias("ok")),
+    )
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("found"))
+
+    def step(state: Column, m: Column) -> Column:
+        begin = state["at"] + m["gap"]
+        end = begin + m["size"]
+        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(m["ok"], F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+
+    found = F.aggregate(sized, start, step, lambda state: state["found"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
+
+
+def _texts(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    """row, linked: the weak parts of each row that have their complements within the scope."""
+    rank = {k: i for i, k in enumerate(KINDS)}
+    part = found.where(F.size("weak") > 0).select("row", F.explode(F.concat("strong", "weak")).alias("s")).select("row", "s.*")
+    role = F.when(F.col("rank").isin(rank["access"], rank["id"]), "id").when(F.col("rank") == rank["endpoint"], "endpoint").otherwise("secret")
+    part = part.withColumn("role", role)
+    # a part can be met from anywhere within its interval widened by the scope
+    reach = F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))
+    near = part.where("role <> 'endpoint'").select("row", "role", F.col("start").alias("a"), F.col("end").alias("b"), F.explode(reach).alias("stretch"))
+    weak = part.where(F.col("rank") > rank["hex"]).withColumn("stretch", F.floor(F.col("start") / SCOPE))
+
+    def meets(which: DataFrame, wanted: str) -> DataFrame:
+        other = near.where(F.col("role") == wanted).select("row", "stretch", "a", "b")
+        close = (F.col("w.row") == F.col("o.row")) & (F.col("w.stretch") == F.col("o.stretch")) & (F.col("o.a") - F.col("w.end") <= SCOPE) & (F.col("w.start") - F.col("o.b") <= SCOPE)
+        return which.alias("w").join(other.alias("o"), close, "left_semi")
+
+    ids, secrets = meets(weak.where("role = 'id'"), "secret"), meets(weak.where("role = 'secret'"), "id")
+    ends = meets(meets(weak.where("role = 'endpoint'"), "id"), "secret")
+    return ids.unionByName(secrets).unionByName(ends).groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("linked"))
+
+
+def find_secrets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, strong and linked (arrays of start, rank of kind, end), and the columns of ``carry`` in ``carried``.
+
+    Places are code points, ends exclusive. Null and empty texts have no spans. Repeated rows
+    and rows without doc_id stay, each judged by its own text; an empty table gives none.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    strong = F.concat(_spans(text, ASSIGN, "assign", 1, 12), _spans(text, ACCESS, "access", 1, 18), _spans(text, HEX, "hex", 1, 16))
+    # without any id no part can be linked
+    weak = F.concat(_spans(text, SHORT_ID, "id"), _spans(text, SHORT_SECRET, "secret"), _spans(text, ENDPOINT, "endpoint"))
+    weak = F.when(text.rlike(f"{ACCESS}|{SHORT_ID}"), weak).otherwise(F.array().cast(_SPANS))
+    found = docs.select("doc_id", F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried"), strong.alias("strong"), weak.alias("weak"))
+    # a weak match inside a strong one is the same thing
+    inside = lambda w: F.exists("strong", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
+    found = found.withColumn("weak", F.filter("weak", lambda w: ~inside(w)))
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "spans")
+    linked = _linked(found.select("row", "strong", "weak"))
+    return found.join(linked, "row", "left").select("doc_id", "strong", F.coalesce("linked", F.array().cast(_SPANS)).alias("linked"), "carried")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    count = lambda kind: F.size(F.filter("strong", lambda s: s["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return find_secrets(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_texts(F.col("strong")), 256).alias("base_sha256"), _texts(F.concat("strong", "linked")).alias("spans"))
+
+
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """The same columns, every strong or linked span of ``text`` replaced by a mark; null texts stay null."""
+    found = find_secrets(docs, tuple(docs.columns))
+    text = F.col("carried.text")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        between = F.when(s["start"] >= state["at"], F.concat(text.substr((state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], between).alias("out"))
+
+    rest = lambda state: F.concat(state["out"], text.substr((state["at"] + 1).cast("int"), F.length(text)))
+    spans = F.array_sort(F.concat("strong", "linked"))
+    clean = F.when((F.size(spans) == 0) | text.isNull(), text).otherwise(F.aggregate(spans, start, step, rest))
+    return found.select(*[clean.alias("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
