@@ -41,8 +41,8 @@ def _rate(size: Column, most: float) -> Column:
     return F.when(F.col("target") >= F.col("source_size") * most, F.lit(float(most))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(most / (1 + (most - 1) * tilt))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, rate, copies and taken (copies x size).
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, rate, copies, taken (copies x size), and the columns of ``carry`` in ``carried``.
 
     Size is the number of words. Sources rank by code point, the null source last, and take
     ``weights`` in turn; together they share ``share`` of all words, but none more than
@@ -53,7 +53,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_RE)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    rows = materialize(docs.select("doc_id", "source", key.alias("key"), size.alias("size"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)).alias("u")), "sizes")
+    carried = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried")
+    rows = materialize(docs.select("doc_id", "source", carried, key.alias("key"), size.alias("size"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)).alias("u")), "sizes")
     counts = materialize(rows.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "histogram")
 
     sources = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
@@ -101,4 +102,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rated = rated.join(cut, "key", "left")
     moved = F.coalesce(F.col("bin") <= F.col("cut"), F.lit(False))
     copies = (F.col("copies") + F.when(moved, F.signum("spare")).otherwise(F.lit(0))).cast("long")
-    return rated.select("doc_id", "size", "source", F.col("source_size").cast("long").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rated.select("doc_id", "size", "source", F.col("source_size").cast("long").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "carried")

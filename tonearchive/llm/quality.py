@@ -10,13 +10,14 @@ its probabilities calibrated by one temperature on rows set aside.
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ChunkMemo, documents, map_batches, materialize, prepare
@@ -28,6 +29,11 @@ HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.01, 1e-4
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")
 
 
+def held_out() -> Column:
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def _index_vectors() -> np.ndarray:
     rng = np.random.default_rng(SEED)
     out = np.zeros((WORDS, WIDTH), np.int32)
@@ -124,18 +130,23 @@ def word_vectors(context: np.ndarray) -> np.ndarray:
     return np.hstack([direction * weight, _index_vectors() * 0.5]).astype(np.float32)
 
 
+def _pool(texts: list[str], vectors: np.ndarray) -> np.ndarray:
+    ids, bounds = _encode(texts)
+    sizes = np.diff(bounds)
+    out = np.zeros((len(texts), vectors.shape[1]), np.float32)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(vectors[ids], bounds[:-1][some], axis=0) / sizes[some, None]
+    return out
+
+
 def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """doc_id, vector (mean over the words of the whole text; zeros if it has none)."""
 
     def run(rows: dict) -> Iterator[pa.RecordBatch]:
         at = 0
         for texts in _slices(rows["text"]):
-            ids, bounds = _encode(texts)
-            sizes = np.diff(bounds)
-            out = np.zeros((len(texts), vectors.shape[1]), np.float32)
-            some = sizes > 0
-            if some.any():
-                out[some] = np.add.reduceat(vectors[ids], bounds[:-1][some], axis=0) / sizes[some, None]
+            out = _pool(texts, vectors)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"][at : at + len(texts)], pa.int64()), lists], ["doc_id", "vector"])
             at += len(texts)
@@ -180,8 +191,6 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
 
 def _fit_task(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         rows = pa.Table.from_batches(list(batches), pa.schema([("vector", pa.list_(pa.float32())), ("quality", pa.int32())]))
         if not rows.num_rows:
             return
@@ -192,31 +201,35 @@ def _fit_task(width: int):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict | None]:
+    """Word vectors of the whole corpus, and the network fitted on at most ``fit_rows`` labelled rows, chosen by a hash of doc_id."""
+    vectors = word_vectors(context_vectors(docs))
+    known = labels.where("quality is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = materialize(known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows), "sample")
+    # the sample's size is bounded by fit_rows
+    chosen = document_vectors(docs.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi"), vectors)
+    got = chosen.join(F.broadcast(known), "doc_id").sort("doc_id", "quality", "vector").limit(fit_rows).select("vector", "quality").coalesce(1).mapInArrow(_fit_task(vectors.shape[1]), "net binary").collect()
+    return vectors, pickle.loads(bytes(got[0]["net"])) if got else None
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, held_out, score (0 to 1), predicted, and the columns of ``carry`` in ``carried``.
 
     Learns from ``labels(doc_id, quality)`` of documents whose crc32(doc_id as text) mod 4 is
-    not 2, at most ``fit_rows`` of them, chosen by a hash of doc_id. Only the text enters a
-    score. Null and empty texts have the zero vector and its score. Without any label every
-    score is 0.5. Rows without doc_id are scored, never learned from. Repeated rows stay.
+    not 2, at most ``fit_rows`` of them. Only the text enters a score. Null and empty texts
+    have the zero vector and its score. Without any label every score is 0.5. Rows without
+    doc_id are scored, never learned from. Repeated rows stay.
     """
-    import pickle
-
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    vectors = word_vectors(context_vectors(docs))
-    each = materialize(document_vectors(docs, vectors), "vectors")
-    known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    sample = each.where(~held_out).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows).select("vector", "quality")
-    got = sample.coalesce(1).mapInArrow(_fit_task(vectors.shape[1]), "net binary").collect()
-    net = pickle.loads(bytes(got[0]["net"])) if got else None
+    vectors, net = train(docs, labels, fit_rows)
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("vector").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+            x = np.vstack([_pool(texts, vectors) for texts in _slices(batch.column("text").to_pylist())]).astype(np.float64)
             score = _sigmoid(_forward(net, x)) if net else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), batch.column("carried")], ["doc_id", "score", "carried"])
 
-    scored = each.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(run, f"doc_id long, score double, carried {rows.schema['carried'].dataType.simpleString()}")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "carried")
