@@ -1,6 +1,6 @@
 """Registered queries: importing this package registers all of them."""
 
-from . import signal_queries
+from . import rule_queries, signal_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "signal_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "rule_queries", "signal_queries"]
