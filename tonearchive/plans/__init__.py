@@ -1,6 +1,6 @@
 """Registered queries: importing this package registers all of them."""
 
-from . import rule_queries, signal_queries
+from . import block_queries, rule_queries, signal_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "rule_queries", "signal_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "block_queries", "rule_queries", "signal_queries"]
