@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import brute
-from tonearchive.llm import dac, embedding, licenses, mixing, mpeg, packing, quality, secrets, simhash, substring, token_store
+from tonearchive.llm import dac, embedding, licenses, mixing, mpeg, packing, quality, secret_scan, simhash, substring, token_store
 from tonearchive.llm.tokens import Encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size string, packed binary, row int"
@@ -141,7 +141,7 @@ def test_expressions():
 
 
 def test_secrets(docs, empty):
-    got = secrets.digests(docs).collect()
+    got = secret_scan.digests(docs).collect()
     expect = [(d, *brute.secrets(t)) for d, t in texts()]
     assert bag((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == bag(x[:5] for x in expect)
     base = {(d, s[-1]) for d, *s in expect}
@@ -152,10 +152,10 @@ def test_secrets(docs, empty):
     kinds = [(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in by[302].split(","))]
     assert kinds == [("id", "client_id = bob42"), ("secret", "password: hunter2"), ("endpoint", "https://api.example.com/v1")]
     assert by[303] == by[304] == ""
-    assert secrets.digests(empty).count() == 0
-    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert secret_scan.digests(empty).count() == 0
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert clean[302] == "[secret] then [secret] and [secret] for it" and clean[303] == "password: hunter2" and clean[202] is None
-    assert secrets.redact(docs).columns == docs.columns
+    assert secret_scan.redact(docs).columns == docs.columns
 
 
 def test_token_store(spark, docs, empty, tmp_path):

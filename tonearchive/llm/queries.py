@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, licenses, mixing, mpeg, packing, quality, secrets, simhash, substring, token_store
+from . import embedding, licenses, mixing, mpeg, packing, quality, secret_scan, simhash, substring, token_store
 from .common import work_dir
+from .oracle import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(_table(spark, sf_dir, "documents"))
+    return secret_scan.digests(_table(spark, sf_dir, "documents"))
 
 
 def op5_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring": op10_substring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
