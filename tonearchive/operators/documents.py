@@ -162,3 +162,25 @@ def validate_bundles(bundles: DataFrame, most_markers: int = 500, most_segments:
         )
     )
     return bundles.withColumn("errors", errors)
+
+
+def validate_guidance(guidance: DataFrame, kinds: tuple[str, ...] = ("global-gain", "local-gain", "fade", "trim", "listen", "note"), longest: int = 2000) -> DataFrame:
+    """``errors`` of each suggestion (kind, value, text, refs): kind, gain out of range, text too long, no evidence, evidence named twice."""
+    errors = F.array_compact(
+        F.array(
+            F.when(~F.col("kind").isin(*kinds), "kind"), F.when((F.col("kind") == "global-gain") & ~F.coalesce(F.col("value").between(-60, 24), F.lit(False)), "gain"), F.when(F.length("text") > longest, "text"),
+            F.when(F.size("refs") < 1, "evidence"), F.when(F.size(F.array_distinct("refs")) < F.size("refs"), "evidence-repeated"),
+        )
+    )
+    return guidance.withColumn("errors", errors)
+
+
+def validate_receipts(rows: DataFrame, most_markers: int = 500) -> DataFrame:
+    """``errors`` of each receipt (digest, source_hash, marker_ids): forms of the digests, too many ids, repeated ids."""
+    form = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(False))
+    errors = F.array_compact(
+        F.array(
+            F.when(~form("digest"), "digest-form"), F.when(~form("source_hash"), "source-form"), F.when(F.size("marker_ids") > most_markers, "markers"), F.when(F.size(F.array_distinct("marker_ids")) < F.size("marker_ids"), "markers-repeated"),
+        )
+    )
+    return rows.withColumn("errors", errors)

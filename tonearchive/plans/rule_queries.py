@@ -458,6 +458,24 @@ def f23(spark, d):
     return out(documents.validate_bundles(f, most_bytes=5000).withColumn("errors", F.concat_ws(",", "errors")), "recording", "", "errors")
 
 
+@query("f23_validate_guidance", """with g as (select event_id, case event_type when 'view' then 'volume' when 'click' then 'global-gain' else 'note' end as kind, value / 10 as value, event_id % 3 as refs from events)
+ select event_id, concat_ws(',', case when kind = 'volume' then 'kind' end, case when kind = 'global-gain' and value > 24 then 'gain' end, case when refs = 0 then 'evidence' end, case when refs = 2 then 'evidence-repeated' end) as errors from g""")
+def f23b(spark, d):
+    e, n = signals.table(spark, d, "events"), F.col("event_id") % 3
+    kind = F.when(F.col("event_type") == "view", "volume").when(F.col("event_type") == "click", "global-gain").otherwise("note")
+    refs = F.when(n == 0, F.array().cast("array<string>")).when(n == 2, F.array(F.lit("m1"), F.lit("m1"))).otherwise(F.array(F.lit("m1")))
+    rows = e.select("event_id", kind.alias("kind"), (F.col("value") / 10).alias("value"), F.lit("text").alias("text"), refs.alias("refs"))
+    return out(documents.validate_guidance(rows).withColumn("errors", F.concat_ws(",", "errors")), "event_id", "", "errors")
+
+
+@query("f23_validate_receipts", "select recording, concat_ws(',', case when recording % 5 = 0 then 'digest-form' end, case when recording % 3 = 0 then 'source-form' end, case when recording % 7 = 0 then 'markers' end, case when recording % 2 = 0 or recording % 7 = 0 then 'markers-repeated' end) as errors from files", "files")
+def f23c(spark, d):
+    n, good = F.col("recording"), F.sha2("path", 256)
+    ids = F.when(n % 7 == 0, F.array_repeat(F.lit("m"), 501)).when(n % 2 == 0, F.array(F.lit("m1"), F.lit("m1"))).otherwise(F.array(F.lit("m1"), F.lit("m2")))
+    rows = signals.files(spark, d).select("recording", F.when(n % 5 == 0, "short").otherwise(good).alias("digest"), F.when(n % 3 != 0, good).alias("source_hash"), ids.alias("marker_ids"))
+    return out(documents.validate_receipts(rows).withColumn("errors", F.concat_ws(",", "errors")), "recording", "", "errors")
+
+
 @query("k8_rumble", "with m as (select recording, case when recording % 9 > 0 then recording % 70 end as low, recording % 15 as subsonic, recording % 60 as upper, recording % 100 / 50.0 - 1 as correlation from reports), s as (select *, case when low >= 55 then 3 when low >= 35 then 2 when low >= 20 then 1 else 0 end + case when subsonic >= 12 then 2 when subsonic >= 4 then 1 else 0 end + case when upper >= 45 then -1 else 0 end + case when correlation < 0.35 then 1 else 0 end as score from m) select recording, case when low is not null then score end as score, case when low is null then 'unknown' when score >= 4 then 'elevated' when score >= 2 then 'moderate' else 'low' end as class from s", "reports")
 def k8(spark, d):
     n = F.col("recording")
