@@ -17,6 +17,8 @@ from .common import WORD_RE, materialize
 #: Bins of the rounding thresholds of one source.
 BINS = 4096
 STEPS = 60
+#: Sources up to which a table of one row per source is broadcast; with more it is joined by key.
+FEW = 20_000
 
 
 def _level(sources: DataFrame, most: float) -> float:
@@ -62,6 +64,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
     sources = materialize(sources.withColumn("weight", weight).withColumn("source_size", F.col("source_size").cast("double") * share), "sources")
+    small = F.broadcast if sources.count() <= FEW else lambda table: table
     level = _level(sources, most / share)
     sources = sources.withColumn("target", F.least(F.col("weight") * level, F.col("source_size") / share * most)).withColumn("source_size", F.col("source_size") / share)
     mean = F.greatest(F.col("source_size") / F.col("documents"), F.lit(1e-9))
@@ -71,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     for _ in range(STEPS):
         x, r = F.col("size") / F.col("mean"), _rate(F.col("size"), most)
-        sums = counts.join(state.select("key", "source_size", "target", "mean", "multiplier"), "key").groupBy("key").agg(
+        sums = counts.join(small(state.select("key", "source_size", "target", "mean", "multiplier")), "key").groupBy("key").agg(
             F.sum(F.col("n") * x * r).alias("words"), F.sum(F.col("n") * x * x * r * (1 - r / most)).alias("slope")
         )
         gap = F.col("words") - F.col("target") / F.col("mean")
@@ -88,18 +91,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         if (state.agg(F.max("off")).first()[0] or 0.0) < 1e-6:
             break
 
-    rated = rows.join(state.select("key", "source_size", "target", "mean", "multiplier"), "key").withColumn("rate", _rate(F.col("size"), most))
+    rated = rows.join(small(state.select("key", "source_size", "target", "mean", "multiplier")), "key").withColumn("rate", _rate(F.col("size"), most))
     rated = rated.withColumn("aim", F.col("rate") + F.col("u")).withColumn("copies", F.least(F.floor("aim"), F.lit(most)))
     spare = materialize(rated.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("spare")), "spare")
     # what rounding missed is made up by the documents nearest to being rounded the other way
-    rated = rated.join(spare, "key").withColumn("part", F.col("aim") - F.floor("aim"))
+    rated = rated.join(small(spare), "key").withColumn("part", F.col("aim") - F.floor("aim"))
     able = (F.col("size") > 0) & F.when(F.col("spare") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
     near = F.when(F.col("spare") > 0, 1 - F.col("part")).otherwise(F.col("part"))
     rated = rated.withColumn("bin", F.when(able, F.least(F.floor(near * BINS), F.lit(BINS - 1))))
     bins = rated.where("bin is not null").groupBy("key", "bin").agg(F.sum("size").alias("mass"), F.max(F.abs("spare")).alias("spare"))
     upto = F.sum("mass").over(Window.partitionBy("key").orderBy("bin"))
     cut = bins.withColumn("over", upto - F.col("mass") / 2 <= F.col("spare")).where("over").groupBy("key").agg(F.max("bin").alias("cut"))
-    rated = rated.join(cut, "key", "left")
+    rated = rated.join(small(cut), "key", "left")
     moved = F.coalesce(F.col("bin") <= F.col("cut"), F.lit(False))
     copies = (F.col("copies") + F.when(moved, F.signum("spare")).otherwise(F.lit(0))).cast("long")
     return rated.select("doc_id", "size", "source", F.col("source_size").cast("long").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "carried")
