@@ -97,7 +97,9 @@ def find_secrets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     found = found.withColumn("weak", F.filter("weak", lambda w: ~inside(w)))
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "spans")
     linked = _linked(found.select("row", "strong", "weak"))
-    return found.join(linked, "row", "left").select("doc_id", "strong", F.coalesce("linked", F.array().cast(_SPANS)).alias("linked"), "carried")
+    # only rows with weak parts meet their links; the others, nearly all, are not dealt anew
+    some = found.where(F.size("weak") > 0).join(linked, "row", "left").select("doc_id", "strong", F.coalesce("linked", F.array().cast(_SPANS)).alias("linked"), "carried")
+    return some.unionByName(found.where(F.size("weak") == 0).select("doc_id", "strong", F.array().cast(_SPANS).alias("linked"), "carried"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
