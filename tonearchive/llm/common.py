@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import itertools
 import re
@@ -40,10 +41,33 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+#: Lists that note the work tables made while they are open.
+_noting: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noting_tables(paths: list[str]) -> Iterator[None]:
+    """Adds the paths of the work tables made meanwhile to ``paths``."""
+    _noting.append(paths)
+    try:
+        yield
+    finally:
+        _noting.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove work tables that nothing reads any more, and forget them."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a work table into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
+    for paths in _noting:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
