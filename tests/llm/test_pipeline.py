@@ -47,6 +47,25 @@ def test_near_copies(spark, rows, monkeypatch, tile):
     assert near_copies.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_template_does_not_hide_copies(spark, monkeypatch):
+    """Texts of one template, all about 0.7 alike, in several blocks: pairs of copies among them are still found."""
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(100)], []
+    for i in range(200):
+        own = [word() for _ in range(19)]
+        rows.append((i, " ".join(template + own)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(template + own[:7] + [word() for _ in range(12)])))
+    rng.shuffle(rows)
+    sets = [shingles(t) for _, t in rows]
+    root = brute.groups(len(rows), lambda i, j: similar(sets[i], sets[j]))
+    assert len(set(root)) == 200
+    got = near_copies.near_copies(spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], SCHEMA).repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(200))
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(3)
     good, bad = ["alpha", "beta", "gamma", "delta", "omega", "sigma"], ["$$$", "BUY!!", "###", "alpha***"]

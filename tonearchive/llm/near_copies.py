@@ -10,6 +10,7 @@ the whole shingle sets, and verified links are joined to groups.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, partitions, prepare, release, runs
 from .components import connected_components
-from .embedding import _roots
 from .simhash import fingerprint, fingerprint_links
 
 BANDS, SKETCH, SLACK = 12, 48, 0.15
 #: Members of a meeting that are compared at once, and that one tile of a crowded meeting takes from either side.
 BLOCK, MEETING = 512, 8192
+#: Links that a member of a meeting gives in the first turn, and how many times as many are reached in each further one.
+FIRST, MORE = 4, 8
+TILE = ["band", "key", "low", "high"]
+_TILE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 _ODD = (np.random.default_rng(17).integers(0, 1 << 62, BANDS + SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -78,42 +82,50 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(bands.ravel()), batch.column("node").take(again), batch.column("sketch").take(again)], ["band", "key", "node", "sketch"])
 
 
-def _meet(similarity: float):
-    """In each meeting: the strongest links, by sketch, that hold its similar members together."""
+def _meet(similarity: float, turn: int):
+    """In each meeting: every member's links of this turn to similar members of other components.
+
+    A member ranks the others by sketch, ties by node, the same way in every turn; a turn gives
+    the next ranks, ``FIRST`` of them and then ``MORE`` times as many. A row without u tells that
+    a meeting has links for later turns.
+    """
+    done, most, least = (FIRST * MORE ** (turn - 1) if turn else 0), FIRST * MORE**turn, (similarity - SLACK) * SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, ["band", "key", "low", "high"]):
-            n = rows.num_rows
-            if n < 2:
+        for rows in runs(batches, TILE):
+            if rows.num_rows < 2:
                 continue
-            node = rows.column("node").to_numpy()
+            order = np.argsort(rows.column("node").to_numpy())
+            rows = rows.take(pa.array(order)).combine_chunks()
+            n, node = rows.num_rows, rows.column("node").to_numpy()
+            component = rows.column("component").to_numpy() if turn else node
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(n, SKETCH)
-            own, low, high = rows.column("own").to_numpy(), rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-            parent, us, vs = np.arange(n), [], []
+            tile = [rows.column(c)[0].as_py() for c in TILE]
+            own = rows.column("own").to_numpy()
+            left, right = np.flatnonzero(own == tile[2]), np.flatnonzero(own == tile[3])
+            us, vs, later = [], [], False
             for at in range(0, len(left), BLOCK):
-                for other in range(0, len(right), BLOCK):
-                    a, b = left[at : at + BLOCK], right[other : other + BLOCK]
-                    equal = np.zeros((len(a), len(b)), np.int16)
-                    for k in range(SKETCH):
-                        equal += sketch[a, k, None] == sketch[None, b, k]
-                    i, j = np.nonzero(equal >= (similarity - SLACK) * SKETCH)
-                    order = np.argsort(-equal[i, j], kind="stable")
-                    i, j = a[i[order]], b[j[order]]
-                    if low == high:
-                        i, j = i[i > j], j[i > j]
-                    while len(i):  # strongest first: each round every group takes its first link that leaves it
-                        ri, rj = _roots(parent, i), _roots(parent, j)
-                        apart = ri != rj
-                        i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
-                        if not len(i):
-                            break
-                        _, first = np.unique(ri, return_index=True)
-                        us.append(node[i[first]])
-                        vs.append(node[j[first]])
-                        np.minimum.at(parent, np.maximum(ri[first], rj[first]), np.minimum(ri[first], rj[first]))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                a = left[at : at + BLOCK]
+                equal = np.zeros((len(a), len(right)), np.int8)
+                for k in range(SKETCH):
+                    equal += sketch[a, k, None] == sketch[None, right, k]
+                if tile[2] == tile[3]:
+                    equal[np.arange(len(a)), at + np.arange(len(a))] = -1
+                ranked = np.argsort(-equal, axis=1, kind="stable")
+                open_ = (equal >= least) & (component[a, None] != component[None, right])
+                i, j = np.arange(len(a))[:, None], ranked[:, done:most]
+                i, j = np.nonzero(open_[i, j])[0], j[open_[i, j]]
+                us.append(node[a[i]])
+                vs.append(node[right[j]])
+                np.put_along_axis(open_, ranked[:, :most], False, axis=1)
+                later = later or bool(open_.any())
+            u, v = np.concatenate(us), np.concatenate(vs)
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+            m = pairs.shape[1]
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(m, t) for t in _TILE_TYPES]], ["u", "v", *TILE])
+            if later:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 2, *[pa.array([x], t) for x, t in zip(tile, _TILE_TYPES, strict=True)]], ["u", "v", *TILE])
 
     return run
 
@@ -143,6 +155,17 @@ def _verify(similarity: float):
     return run
 
 
+def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links (u, v) whose texts (node, text) have sets of shingles similar enough."""
+    spark = links.sparkSession
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    sets = texts.join(ends.hint("merge"), "node", "left_semi").mapInArrow(_sets(size), "node long, shingles binary")
+    sets = materialize(sets, "sets")
+    release(spark)
+    both = links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return materialize(both.mapInArrow(_verify(similarity), "u long, v long"), "verified")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one with the least doc_id.
 
@@ -170,23 +193,30 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     else:
         placed = placed.withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
     placed = placed.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "sketch")
-    tile = ["band", "key", "low", "high"]
-    dealt = placed.repartition(partitions(spark), *tile).sortWithinPartitions(*tile)
-    links = dealt.mapInArrow(_meet(similarity), "u long, v long").distinct()
+    texts = kept.select(F.col("row").alias("node"), text)
+    sure = groups = None
+    for turn in itertools.count():
+        here = placed
+        if turn:  # only meetings that have links left, between components as verified so far
+            here = placed.join(later, TILE, "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        dealt = here.repartition(partitions(spark), *TILE).sortWithinPartitions(*TILE)
+        met = dealt.mapInArrow(_meet(similarity, turn), "u long, v long, band int, key long, low int, high int")
+        met = materialize(met.distinct(), "candidates")
+        release(spark)
+        found = _verified(met.where("u is not null").select("u", "v"), texts, shingle, similarity)
+        sure = found if sure is None else sure.unionByName(found)
+        groups = connected_components(sure)
+        release(spark)
+        later = met.where("u is null").select(*TILE)
+        if not later.head(1):
+            break
     # whole-text fingerprints within three bits are candidates too
     prints = first.groupBy("fp").agg(F.min("node").alias("node"))
     close = fingerprint_links(prints.select("fp"))
     close = close.join(prints.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = materialize(links.unionByName(close).distinct(), "candidates")
-    release(spark)
-
-    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    sets = kept.select(F.col("row").alias("node"), text).join(ends.hint("merge"), "node", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary")
-    sets = materialize(sets, "sets")
-    release(spark)
-    both = links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    sure = both.mapInArrow(_verify(similarity), "u long, v long")
-    groups = connected_components(sure)
+    more = _verified(materialize(close.distinct(), "candidates"), texts, shingle, similarity)
+    if more.head(1):
+        groups = connected_components(sure.unionByName(more))
     release(spark)
     named = first.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("row"))
