@@ -79,6 +79,16 @@ def test_anchors_meet_all_within_three_bits():
         assert all(homes[r] & reach[r] for r in range(len(base)))
 
 
+def test_direct_links(spark, monkeypatch):
+    """Every pair itself, of different components, and in a chain no pair with its far end."""
+    chain = [0b0, 0b111, 0b111111, 0b111111 << 40]
+    fps = spark.createDataFrame([(f, i) for i, f in enumerate(chain)] + [(0b1, 0)], "fp long, component long")
+    expect = {(0b0, 0b111), (0b1, 0b111), (0b111, 0b111111)}
+    for homes in (4096, 1):
+        monkeypatch.setattr(simhash, "HOMES", homes)
+        assert {(min(r), max(r)) for r in simhash.fingerprint_links(fps, direct=True).collect()} == expect
+
+
 def test_crowded_anchors_are_split(docs, monkeypatch):
     plain = bag(simhash.near_duplicates(docs).collect())
     monkeypatch.setattr(simhash, "HOMES", 1)

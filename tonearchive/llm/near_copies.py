@@ -11,6 +11,7 @@ the whole shingle sets, and verified links are joined to groups.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from .common import materialize, partitions, prepare, release, runs
 from .components import connected_components
 from .simhash import fingerprint, fingerprint_links
 
-BANDS, SKETCH, SLACK = 12, 48, 0.15
+BANDS, SKETCH = 12, 48
+#: How rarely the sketches may drop a pair right at the similarity; the bands together drop about 5e-6.
+MISS = 1e-6
 #: Members of a meeting that are compared at once, and that one tile of a crowded meeting takes from either side.
 BLOCK, MEETING = 512, 8192
 #: Links that a member of a meeting gives in the first turn, and how many times as many are reached in each further one.
@@ -82,6 +85,14 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(bands.ravel()), batch.column("node").take(again), batch.column("sketch").take(again)], ["band", "key", "node", "sketch"])
 
 
+def _least_equal(similarity: float) -> int:
+    """Equal minima that a pair of at least this similarity falls short of with probability ``MISS`` at most."""
+    short, at = 0.0, 0
+    while (short := short + math.comb(SKETCH, at) * similarity**at * (1 - similarity) ** (SKETCH - at)) <= MISS:
+        at += 1
+    return at
+
+
 def _meet(similarity: float, turn: int):
     """In each meeting: every member's links of this turn to similar members of other components.
 
@@ -89,7 +100,7 @@ def _meet(similarity: float, turn: int):
     the next ranks, ``FIRST`` of them and then ``MORE`` times as many. A row without u tells that
     a meeting has links for later turns.
     """
-    done, most, least = (FIRST * MORE ** (turn - 1) if turn else 0), FIRST * MORE**turn, (similarity - SLACK) * SKETCH
+    done, most, least = (FIRST * MORE ** (turn - 1) if turn else 0), FIRST * MORE**turn, _least_equal(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, TILE):
@@ -211,10 +222,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         if not later.head(1):
             break
     # whole-text fingerprints within three bits are candidates too
-    prints = first.groupBy("fp").agg(F.min("node").alias("node"))
-    close = fingerprint_links(prints.select("fp"))
-    close = close.join(prints.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    more = _verified(materialize(close.distinct(), "candidates"), texts, shingle, similarity)
+    prints = first.select("node", "fp").join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
+    each_fp = prints.groupBy("fp").agg(F.min_by(F.struct("node", "component"), "node").alias("f"), (F.min("component") != F.max("component")).alias("mixed"))
+    each_fp = materialize(each_fp.select("fp", F.col("f.node").alias("head"), F.col("f.component").alias("component"), "mixed"), "prints")
+    heads = each_fp.select("fp", "head")
+    close = fingerprint_links(each_fp.select("fp", "component"), direct=True)
+    close = close.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = prints.join(each_fp.where("mixed").select("fp", "head", F.col("component").alias("of")), "fp").where("component <> of").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    more = _verified(materialize(close.unionByName(same).distinct(), "candidates"), texts, shingle, similarity)
     if more.head(1):
         groups = connected_components(sure.unionByName(more))
     release(spark)

@@ -130,6 +130,20 @@ def _compare(fps: np.ndarray, home: np.ndarray, most: int) -> Iterator[tuple[np.
         yield fps[linked], fps[top[linked]]
 
 
+def _direct(fps: np.ndarray, home: np.ndarray, component: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """At one anchor: every link itself between a home and what is there, if their components differ."""
+    bits = fps.view(np.uint64)
+    at_home = np.flatnonzero(home)
+    for low in range(0, len(fps), 4096):
+        rows = slice(low, low + 4096)
+        for part in range(0, len(at_home), 1024):
+            homes = at_home[part : part + 1024]
+            near = np.bitwise_count(bits[rows, None] ^ bits[None, homes]) <= most
+            a, b = np.nonzero(near & (component[rows, None] != component[None, homes]))
+            if len(a):
+                yield fps[a + low], fps[homes[b]]
+
+
 def _roots(parent: np.ndarray, of: np.ndarray) -> np.ndarray:
     found = parent[of]
     while True:
@@ -139,8 +153,11 @@ def _roots(parent: np.ndarray, of: np.ndarray) -> np.ndarray:
         found = up
 
 
-def fingerprint_links(fps: DataFrame, most: int = 3) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints such that those within ``most`` bits (three at most) connect."""
+def fingerprint_links(fps: DataFrame, most: int = 3, direct: bool = False) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints such that those within ``most`` bits (three at most) connect.
+
+    With ``direct`` the edges are the pairs within that distance themselves, of different ``component`` (a second column); they may repeat.
+    """
     if not 0 <= most <= 3:
         raise ValueError("the two covered halves find distances of three bits at most")
     spark = fps.sparkSession
@@ -152,30 +169,32 @@ def fingerprint_links(fps: DataFrame, most: int = 3) -> DataFrame:
             for low in range(0, len(values), 4096):
                 part = values[low : low + 4096]
                 rows, at, home = anchors(part)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part[rows]), pa.array(home)], ["anchor", "fp", "home"])
+                more = [batch.column(c).slice(low, 4096).take(pa.array(rows)) for c in carried]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part[rows]), pa.array(home), *more], ["anchor", "fp", "home", *carried])
 
-    placed = fps.select("fp").distinct().mapInArrow(place, "anchor long, fp long, home boolean")
+    carried = ["component"] if direct else []
+    placed = fps.select("fp", *carried).distinct().mapInArrow(place, ", ".join(["anchor long, fp long, home boolean", *(f"{c} long" for c in carried)]))
     # An anchor's homes are counted before anything meets there; crowded ones are split by salt.
     crowded = placed.where("home").groupBy("anchor").count().where(F.col("count") > HOMES)
     crowded = materialize(crowded.select("anchor", F.ceil(F.col("count") / HOMES).cast("int").alias("parts")), "crowded")
     if crowded.head(1):
         parts = F.coalesce("parts", F.lit(1))
         own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-        placed = placed.join(crowded, "anchor", "left").select("anchor", "fp", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-        placed = placed.select("anchor", "salt", "fp", (F.col("home") & (F.col("own") == F.col("salt"))).alias("home"))
+        placed = placed.join(crowded, "anchor", "left").select("anchor", "fp", "home", *carried, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        placed = placed.select("anchor", "salt", "fp", (F.col("home") & (F.col("own") == F.col("salt"))).alias("home"), *carried)
     else:
-        placed = placed.select("anchor", F.lit(0).alias("salt"), "fp", "home")
+        placed = placed.select("anchor", F.lit(0).alias("salt"), "fp", "home", *carried)
     dealt = placed.repartition(partitions(spark), "anchor", "salt").sortWithinPartitions("anchor", "salt")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
         for batch in _then_none(batches):
             if batch is not None:
-                now = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "salt", "fp", "home")]
+                now = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "salt", "fp", "home", *carried)]
                 kept = [np.concatenate([a, b]) for a, b in zip(kept, now, strict=True)] if kept else now
             if not kept or not len(kept[0]):
                 continue
-            anchor, salt, fp, home = kept
+            anchor, salt, fp, home, *component = kept
             cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
             if batch is not None:  # the last run may go on in the next batch
                 done = cuts[-1] if len(cuts) else 0
@@ -189,7 +208,7 @@ def fingerprint_links(fps: DataFrame, most: int = 3) -> DataFrame:
             out_u, out_v = [], []
             for i in np.flatnonzero((sizes > 1) & (with_home > 0)).tolist():
                 run = slice(firsts[i], firsts[i] + sizes[i])
-                for u, v in _compare(fp[run], home[run], most):
+                for u, v in _direct(fp[run], home[run], component[0][run], most) if direct else _compare(fp[run], home[run], most):
                     out_u.append(u)
                     out_v.append(v)
             if out_u:
