@@ -1,6 +1,7 @@
 """Every operator over a small table with the odd cases: nulls, empties, copies, repeated rows, long texts, clashing columns."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -150,6 +151,23 @@ def test_expressions():
     assert all(licenses.parse(x) is None for x in ("", "a b", "a and", "(a", "a)", "and a"))
 
 
+def test_secret_parts_across_stretches(spark):
+    """Parts that cross a multiple of the scope, long parts, and complements on either side are linked by the plain distance."""
+    texts = []
+    for pad in (0, 200, 235, 236, 245, 255, 256, 300, 511):
+        for gap in (1, 200, 249, 255, 256, 257, 300):
+            for first, second in (("user=bobby123", "pwd=hunter2"), ("pwd=hunter2", "user=bobby123"), ("https://h.example/" + "x" * 330, "user=bobby123 pwd=hunter2")):
+                texts.append("." * (pad - 1) + " " * (pad > 0) + first + " " + "." * (gap - 2) + " " * (gap > 1) + second)
+            texts.append("user=bobby123 " + "." * gap + " https://h.example/" + "x" * 600 + " " + "." * gap + " pwd=hunter2")
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: sorted(tuple(x) for x in r.linked) for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    weak = [(3, r"user=bobby123"), (4, r"pwd=hunter2"), (5, r"https://[^\s]*")]
+    for i, t in rows:
+        parts = sorted((m.start(), rank, m.end()) for rank, p in weak for m in re.finditer(p, t))
+        near = lambda w, rank: any(r == rank and a - w[2] <= 256 and w[0] - b <= 256 for a, r, b in parts)  # noqa: B023, E731
+        assert got[i] == [w for w in parts if all(near(w, k) for k in {3: [4], 4: [3], 5: [3, 4]}[w[1]])], t
+
+
 def test_secrets(docs, empty):
     got = secret_scan.digests(docs).collect()
     expect = [(d, *brute.secrets(t)) for d, t in texts()]

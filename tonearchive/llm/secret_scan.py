@@ -68,12 +68,15 @@ def _linked(found: DataFrame) -> DataFrame:
     # a part can be met from anywhere within its interval widened by the scope
     reach = F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))
     near = part.where("role <> 'endpoint'").select("row", "role", F.col("start").alias("a"), F.col("end").alias("b"), F.explode(reach).alias("stretch"))
-    weak = part.where(F.col("rank") > rank["hex"]).withColumn("stretch", F.floor(F.col("start") / SCOPE))
+    weak = part.where(F.col("rank") > rank["hex"])
+    own = F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)))
 
     def meets(which: DataFrame, wanted: str) -> DataFrame:
+        which = which.select("row", "start", "rank", "end", own.alias("stretch"))
         other = near.where(F.col("role") == wanted).select("row", "stretch", "a", "b")
         close = (F.col("w.row") == F.col("o.row")) & (F.col("w.stretch") == F.col("o.stretch")) & (F.col("o.a") - F.col("w.end") <= SCOPE) & (F.col("w.start") - F.col("o.b") <= SCOPE)
-        return which.alias("w").join(other.alias("o"), close, "left_semi")
+        # a part can meet in several stretches, and its complements in different ones
+        return which.alias("w").join(other.alias("o"), close, "left_semi").select("row", "start", "rank", "end").distinct()
 
     ids, secrets = meets(weak.where("role = 'id'"), "secret"), meets(weak.where("role = 'secret'"), "id")
     ends = meets(meets(weak.where("role = 'endpoint'"), "id"), "secret")
