@@ -151,6 +151,21 @@ def test_expressions():
     assert all(licenses.parse(x) is None for x in ("", "a b", "a and", "(a", "a)", "and a"))
 
 
+def test_long_license_expressions():
+    many = [f"mit-{i}" for i in range(60)]
+    found = licenses.scan("SPDX-License-Identifier: " + " AND ".join(["MIT"] * 40 + ["GPL-3.0"]) + " see the file")
+    assert found["open"] is False and set(found["labels"].split(",")) == {"mit", "gpl-3.0"} and found["expressions"][0].count("mit") == 40
+    found = licenses.scan("SPDX-License-Identifier: (" + " OR ".join(many) + ") see the file")
+    assert set(found["labels"].split(",")) == set(many) and found["score"] > 0.9
+    words = ["a", "and", "or", "with", "(", ")"]
+    rng = random.Random(2)
+    for _ in range(3000):  # the longest beginning, by trying them all
+        pieces = [rng.choice(words) for _ in range(rng.randint(0, 9))]
+        tries = [p for k in range(len(pieces), 0, -1) if (p := licenses.parse(" ".join(pieces[:k]))) is not None]
+        assert licenses.longest(" ".join(pieces)) == (tries[0] if tries else None)
+    assert len(licenses.longest(" and ".join(["a"] * 200_000) + " (")) == 399_999
+
+
 def test_secret_parts_across_stretches(spark):
     """Parts that cross a multiple of the scope, long parts, and complements on either side are linked by the plain distance."""
     texts = []

@@ -37,56 +37,54 @@ OPEN = frozenset({"mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Word signs are digits, letters and all bytes beyond ASCII; everything else separates words.
 _WORDS = bytes(_LOWER[c] if _LOWER[c] >= 128 or 48 <= _LOWER[c] <= 57 or 97 <= _LOWER[c] <= 122 else 32 for c in range(256))
-_TAGGED = re.compile(r"spdx-license-identifier[^\S\n]*:[^\S\n]*([a-z0-9.+()\x20\t:-]{1,400})", re.IGNORECASE | re.ASCII)
+_TAGGED = re.compile(r"spdx-license-identifier[^\S\n]*:[^\S\n]*([a-z0-9.+()\x20\t:-]+)", re.IGNORECASE | re.ASCII)
 _PIECE = re.compile(r"[()]|[a-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse(expression: str) -> list[str] | None:
-    """A licence expression in postfix order, by shunting-yard, or None if it isn't one.
-
-    ``with`` binds closest, then ``and``, then ``or``; all from the left.
-    """
+def _yard(pieces: list[str]) -> tuple[int, list[str] | None]:
+    """How many pieces the longest beginning has that is an expression, and the postfix order of all pieces if they are one."""
     output: list[str] = []
     waiting: list[str] = []
-    operand = True  # one is due
-    for piece in _PIECE.findall(expression.lower()):
+    operand, depth, whole = True, 0, 0  # an operand is due; parentheses are open
+    for at, piece in enumerate(pieces):
+        if operand != (piece not in _BINDS and piece != ")"):
+            return whole, None
         if piece == "(":
-            if not operand:
-                return None
             waiting.append(piece)
+            depth += 1
         elif piece == ")":
-            if operand:
-                return None
-            while waiting and waiting[-1] != "(":
+            if not depth:
+                return whole, None
+            while waiting[-1] != "(":
                 output.append(waiting.pop())
-            if not waiting:
-                return None
             waiting.pop()
+            depth -= 1
         elif piece in _BINDS:
-            if operand:
-                return None
             while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[piece]:
                 output.append(waiting.pop())
             waiting.append(piece)
             operand = True
         else:
-            if not operand:
-                return None
             output.append(piece)
             operand = False
-    if operand or "(" in waiting:
-        return None
-    return output + waiting[::-1]
+        if not operand and not depth:
+            whole = at + 1
+    return whole, output + waiting[::-1] if whole and whole == len(pieces) else None
+
+
+def parse(expression: str) -> list[str] | None:
+    """A licence expression in postfix order, by shunting-yard, or None if it isn't one.
+
+    ``with`` binds closest, then ``and``, then ``or``; all from the left.
+    """
+    return _yard(_PIECE.findall(expression.lower()))[1]
 
 
 def longest(expression: str) -> list[str] | None:
     """As ``parse``, of the longest beginning that is an expression: prose may follow a tag on its line."""
-    pieces = [m.end() for m in _PIECE.finditer(expression.lower())][:32]
-    for end in reversed(pieces):
-        if (found := parse(expression[:end])) is not None:
-            return found
-    return None
+    pieces = _PIECE.findall(expression.lower())
+    return _yard(pieces[: _yard(pieces)[0]])[1]
 
 
 def evaluate(postfix: list[str], allowed: Callable[[str], bool] = OPEN.__contains__) -> bool:
@@ -111,7 +109,10 @@ def names(postfix: list[str]) -> set[str]:
     for piece in postfix:
         if piece in _BINDS:
             b, a = stack.pop(), stack.pop()
-            stack.append(a if piece == "with" else a | b)
+            if piece != "with":
+                a, b = (a, b) if len(a) >= len(b) else (b, a)
+                a |= b
+            stack.append(a)
         else:
             stack.append({piece})
     return stack[0]
