@@ -1,11 +1,12 @@
-"""Near copies by word-shingle similarity, for fingerprints too noisy to tell them: sampled SimHash.
+"""Near copies by word-shingle similarity, for fingerprints too noisy to tell them: min-wise bands.
 
 At a Jaccard similarity of 0.8 whole-text fingerprints differ in some ten of 64 bits, beyond
-what a covering code can reach. So each text gets ``BANDS`` fingerprints, each the SimHash of
-the two shingles that are least under the band's own hash: near copies share such a pair, and
-with it all 64 bits, in most bands. Texts that meet in a band are compared by sketches of
-``SKETCH`` minima; the strongest links that hold each meeting together are then verified on
-the whole shingle sets, and verified links are joined to groups.
+what a covering code can reach. So each text gets ``BANDS`` band keys, each the hash of the two
+shingles that are least under the band's own hash (MinHash, not SimHash): near copies share one
+in most bands. Texts that meet in a band are compared by MinHash signatures of ``SKETCH``
+minima; links are verified on the whole shingle sets, strongest first and turn by turn, and
+only verified links join groups. Whole-text SimHash fingerprints within three bits are
+candidates beside them.
 """
 
 from __future__ import annotations
