@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize
-from .tokens import END_ID, encoder
+from .common import documents, map_batches, materialize, prepare
+from .tokens import encoder, gathered
 
 GRAIN = 8
 
@@ -146,14 +146,13 @@ def _cut(path: str, length: int, ids_too: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = start_task()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in gathered(batches):
             out = [[] for _ in names]
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(texts), strict=True):
-                raw = np.append(own, END_ID).astype("<u4").tobytes()
-                n = len(raw) // 4
+            ids, ends = encoder(path).encode(batch.column("text"))
+            for doc_id, first, last in zip(batch.column("doc_id").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                n = last - first
                 for a in range(0, n, length):
-                    piece = raw[4 * a : 4 * (a + length)]
+                    piece = ids[first + a : min(first + a + length, last)].astype("<u4").tobytes()
                     width = -(-len(piece) // (4 * GRAIN))
                     for column, x in zip(out, (doc_id, a, len(piece) // 4, zlib.crc32(piece), n, width, part, int(seen[width]), piece), strict=False):
                         column.append(x)
@@ -173,8 +172,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, ids: bool = False)
     """
     if length % GRAIN:
         raise ValueError(f"length must be a multiple of {GRAIN}")
-    from .common import prepare
-
     prepare(docs.sparkSession)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, width int, part int, rank long" + ", ids binary" * ids
     pieces = materialize(documents(docs).mapInArrow(_cut(tokenizer, length, ids), kind), "pieces")
