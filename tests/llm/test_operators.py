@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,6 +216,8 @@ def test_token_store(spark, docs, empty, tmp_path):
         at += r.n_tokens
         flat += np.frombuffer(r.ids, "<u4").tolist()
     assert [token_store.read_token(spark, f"{tmp_path}/t", k) for k in (0, 777, at - 1, at)] == [flat[0], flat[777], flat[-1], None]
+    row = token_store.token_row(spark, f"{tmp_path}/t", 777)
+    assert row.count() == 1 and "LessThanOrEqual(first" in row._jdf.queryExecution().toString()
     token_store.write_tokens(empty, path, f"{tmp_path}/e")
     assert token_store.read_tokens(spark, f"{tmp_path}/e").count() == 0
 
@@ -232,8 +235,14 @@ def test_chunks_encode_as_whole_texts(name):
     rng = random.Random(1)
     signs = [*"ab'sΣσéﬁ́12  \n\t\x0b\x85  !*$<|", "<|endoftext|>", "'s", "'ll", "<|startoftext|>", "İ", "中", "🙂"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    plain = [x for x in signs if x.strip()]
+    texts += ["".join(rng.choice(plain) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randint(0, 60))) + rng.choice(plain) for _ in range(3000)]
+    rng.shuffle(texts)
     encoder = Encoder(public_tokenizers.path(name))
-    assert [x.tolist() for x in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for low in range(0, len(texts), 700):
+        ids, ends = encoder.encode(pa.array(texts[low : low + 700]))
+        got = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts[low : low + 700]]
 
 
 def test_packing(docs, empty):

@@ -1,9 +1,10 @@
 """Token ids of a corpus in files that give any token without decoding a block.
 
-A store is a Parquet table with one row per shard: ``part`` (range of doc_id), ``before``
-(ids of the part before this shard), ``doc_ids`` and ``ends`` (where each document ends in
-the shard), and ``codes``, the shard's ids as directly addressable codes (see ``dac``).
-Documents lie in ascending doc_id order over parts, shards and within a shard.
+A store is an uncompressed Parquet table with one row per document: ``part`` (range of
+doc_id), ``first`` and ``last`` (the document's places in the part), ``doc_id``, and
+``codes``, its ids as directly addressable codes (see ``dac``). Documents lie in ascending
+doc_id order over parts and within one, and pages are small, so that the place of a token
+leads to the pages of one document, and there to the few bytes that hold the token.
 """
 
 from __future__ import annotations
@@ -14,43 +15,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dac
 from .common import documents, partitions, prepare
-from .tokens import END_ID, encoder
+from .tokens import encoder, gathered
 
-#: Ids of a shard, but for its last document; characters of a part's texts.
-SHARD_IDS, PART_TEXT = 1 << 20, 16 << 20
-_SHARDS = "part int, before long, doc_ids array<long>, ends array<long>, codes binary"
+#: Characters of a part's texts, bytes of a page.
+PART_TEXT, PAGE = 16 << 20, 64 << 10
+#: Parts that are summed up together, and up to which a table of one row per part is broadcast (24 bytes each).
+GROUP, FEW = 1024, 200_000
+_ROWS = "part int, first long, last long, doc_id long, codes binary"
 
 
 def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
-        doc_ids: list[int | None] = []
-        ends: list[int] = []
-
-        def shard() -> pa.RecordBatch:
-            codes = dac.encode(np.concatenate(ids))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([codes], pa.binary())],
-                ["part", "before", "doc_ids", "ends", "codes"],
-            )
-
-        for batch in batches:
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text").to_pylist()), strict=True):
-                ids.append(np.append(own, END_ID))
-                doc_ids.append(doc_id)
-                ends.append((ends[-1] if ends else 0) + len(own) + 1)
-                if ends[-1] >= SHARD_IDS:
-                    yield shard()
-                    before += ends[-1]
-                    ids, doc_ids, ends = [], [], []
-        if ids:
-            yield shard()
+        for batch in gathered(batches):
+            ids, ends = encoder(path).encode(batch.column("text"))
+            starts = np.append(0, ends[:-1])
+            codes = [dac.encode(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            columns = [pa.array(np.full(len(ends), part, np.int32)), pa.array(before + starts), pa.array(before + ends - 1), batch.column("doc_id"), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "first", "last", "doc_id", "codes"])
+            before += len(ids)
 
     return run
 
@@ -59,52 +47,73 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str) -> None:
     """Encode every whole text (null: empty), end it with id 1, and write the store ``to``.
 
     Rows without doc_id come last; rows that share a doc_id lie together, in an order set
-    by their texts. An empty table gives a store without shards.
+    by their texts. An empty table gives a store without rows.
     """
     prepare(docs.sparkSession)
     docs = documents(docs)
     characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     dealt = docs.repartitionByRange(max(partitions(docs.sparkSession), characters // PART_TEXT), *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(_write(tokenizer), _SHARDS).write.option("compression", "zstd").parquet(to)
+    # small uncompressed pages: a page is what a reader fetches at least
+    pages = {"compression": "none", "parquet.page.size": str(PAGE), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16", "parquet.enable.dictionary": "false"}
+    dealt.mapInArrow(_write(tokenizer), _ROWS).write.options(**pages).parquet(to)
 
 
 def _read(ids_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                sequence = dac.Sequence(row["codes"])
-                starts = np.array([0, *row["ends"][:-1]], np.int64)
-                pieces = [sequence.slice(a, b).astype("<u4").tobytes() for a, b in zip(starts.tolist(), row["ends"], strict=True)]
-                columns = [
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["base"] + row["before"]), pa.array(np.array(row["ends"], np.int64) - starts), pa.array([zlib.crc32(p) for p in pieces], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.binary())] * ids_too, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids_too])
+            if not batch.num_rows:
+                continue
+            pieces = []
+            for codes in batch.column("codes").to_pylist():
+                sequence = dac.Sequence(codes)
+                pieces.append(sequence.slice(0, len(sequence)).astype("<u4").tobytes())
+            columns = [batch.column("doc_id"), batch.column("start"), pa.array([len(p) // 4 for p in pieces], pa.int64()), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.binary())] * ids_too, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids_too])
 
     return run
 
 
-def read_tokens(spark, path: str, ids: bool = True) -> DataFrame:
-    """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids (unsigned 32 bits each, little endian)."""
-    from pyspark.sql import Window
+def _bases(rows: DataFrame) -> DataFrame:
+    """part, base (ids of all parts before it), n: summed within groups of parts, then over the groups' totals."""
+    sizes = rows.groupBy("part").agg((F.max("last") + 1).alias("n")).withColumn("group", F.floor(F.col("part") / GROUP))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each GROUP parts: a 16 GB text each
+    groups = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.min("part").alias("part"))
+    groups = groups.select("group", before().alias("base"))
+    return sizes.withColumn("own", before("group")).join(groups, "group").select("part", (F.col("base") + F.col("own")).alias("base"), "n")
+
+
+def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids (unsigned 32 bits each, little endian).
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    shards = spark.read.schema(_SHARDS).parquet(path)
-    # one row per part: as many as the store was written in, whatever the corpus holds
-    sizes = shards.groupBy("part").agg(F.sum(F.element_at("ends", -1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    Repeated rows and rows without doc_id are documents like any other; an empty store gives none.
+    """
+    prepare(spark)
+    rows = spark.read.schema(_ROWS).parquet(path)
+    bases = _bases(rows.select("part", "last")).select("part", "base")
+    few = rows.select("part").distinct().limit(FEW + 1).count() <= FEW
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
-    return shards.join(F.broadcast(bases), "part").mapInArrow(_read(ids), kind)
-
-
-def read_token(spark, path: str, place: int) -> int | None:
-    """The id at one place of the whole store, found by its part, its shard and its codes' directories."""
-    parts = spark.read.schema(_SHARDS).parquet(path)
-    sizes = sorted((r.part, r.n) for r in parts.groupBy("part").agg(F.sum(F.element_at("ends", -1)).alias("n")).collect())
-    for part, n in sizes:
-        if place < n:
-            row = parts.where((F.col("part") == part) & (F.col("before") <= place) & (F.col("before") + F.element_at("ends", -1) > place)).select("before", "codes").first()
-            return dac.Sequence(bytes(row.codes))[place - row.before]
-        place -= n
-    return None
+    placed = rows.join(F.broadcast(bases) if few else bases.hint("merge"), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "codes")
+    return placed.mapInArrow(_read(ids), kind)
+
+
+def token_row(spark: SparkSession, path: str, place: int) -> DataFrame | None:
+    """The stored row that holds one place of the whole store, and ``at``, the place in it.
+
+    ``first`` and ``last`` are compared within the files' statistics, by file part and page,
+    so that of ``codes`` the pages of one document are fetched.
+    """
+    rows = spark.read.schema(_ROWS).parquet(path)
+    part = _bases(rows.select("part", "last")).where((F.col("base") <= place) & (F.col("base") + F.col("n") > place)).first()
+    if part is None:
+        return None
+    within = place - part["base"]
+    return rows.where((F.col("part") == part["part"]) & (F.col("first") <= within) & (F.col("last") >= within)).select("codes", (F.lit(within) - F.col("first")).alias("at"))
+
+
+def read_token(spark: SparkSession, path: str, place: int) -> int | None:
+    """The id at one place of the whole store, or None beyond its end: its row is found, and in the row the token's own bytes by rank."""
+    row = token_row(spark, path, place)
+    row = row.first() if row is not None else None
+    return dac.Sequence(bytes(row["codes"]))[row["at"]] if row else None
