@@ -30,20 +30,35 @@ NOTICES = {
     "cc0 1 0 universal": "cc0",
     "all rights reserved": "all-rights-reserved",
 }
-TAG = "spdx license identifier"
+TAG, TAG_TEXT = "spdx license identifier", "spdx-license-identifier"
+#: First parts of licence identifiers (fixed values); what follows a hyphen names the version or variant.
+FAMILIES = (
+    "0bsd afl agpl apache apl artistic bsd bsl bzip2 cc cc0 cddl cecill cpl curl ecl epl eupl fsfap ftl gfdl gpl hpnd icu ijg isc jpl json lgpl libpng lppl mit mpl ms naist ncsa "
+    "nist odbl odc ofl oldap openssl osl pddl php postgresql psf python qpl ruby sgi sleepycat ssh tcl unicode unlicense upl vim w3c wtfpl x11 xnet zlib zpl licenseref documentref"
+).split()
 #: Labels under which texts may be used without asking, in ``evaluate``'s default.
 OPEN = frozenset({"mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "cc0", "cc0-1.0", "cc-by-4.0", "unlicense"})
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Word signs are digits, letters and all bytes beyond ASCII; everything else separates words.
 _WORDS = bytes(_LOWER[c] if _LOWER[c] >= 128 or 48 <= _LOWER[c] <= 57 or 97 <= _LOWER[c] <= 122 else 32 for c in range(256))
-_TAGGED = re.compile(r"spdx-license-identifier[^\S\n]*:[^\S\n]*([a-z0-9.+()\x20\t:-]+)", re.IGNORECASE | re.ASCII)
+_VALUE = re.compile(r"[^\S\n]*:[^\S\n]*([a-z0-9.+()\x20\t:-]+)", re.ASCII)
+_NAME = re.compile(rf"(?:{'|'.join(FAMILIES)})(?:[-.:][a-z0-9.:-]+)?\+?")
+_EXCEPTION = re.compile(r"[a-z0-9.-]*(?:exception|note|linking|special|font|mif|shl|runtime)[a-z0-9.-]*|additionref-[a-z0-9.-]+")
 _PIECE = re.compile(r"[()]|[a-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def _yard(pieces: list[str]) -> tuple[int, list[str] | None]:
-    """How many pieces the longest beginning has that is an expression, and the postfix order of all pieces if they are one."""
+def identifier(name: str, exception: bool = False) -> bool:
+    """Whether a lower-cased word has the form of a licence identifier, or of an exception's."""
+    return bool((_EXCEPTION if exception else _NAME).fullmatch(name))
+
+
+def _yard(pieces: list[str], known: Callable[[str, bool], bool] | None = None) -> tuple[int, list[str] | None]:
+    """How many pieces the longest beginning has that is an expression, and the postfix order of all pieces if they are one.
+
+    With ``known`` an operand that it does not accept (told whether an exception is due) ends what is read.
+    """
     output: list[str] = []
     waiting: list[str] = []
     operand, depth, whole = True, 0, 0  # an operand is due; parentheses are open
@@ -65,6 +80,8 @@ def _yard(pieces: list[str]) -> tuple[int, list[str] | None]:
                 output.append(waiting.pop())
             waiting.append(piece)
             operand = True
+        elif known and not known(piece, at > 0 and pieces[at - 1] == "with"):
+            return whole, None
         else:
             output.append(piece)
             operand = False
@@ -81,10 +98,10 @@ def parse(expression: str) -> list[str] | None:
     return _yard(_PIECE.findall(expression.lower()))[1]
 
 
-def longest(expression: str) -> list[str] | None:
-    """As ``parse``, of the longest beginning that is an expression: prose may follow a tag on its line."""
+def longest(expression: str, known: Callable[[str, bool], bool] | None = None) -> list[str] | None:
+    """As ``parse``, of the longest beginning that is an expression (of known names): prose may follow a tag on its line."""
     pieces = _PIECE.findall(expression.lower())
-    return _yard(pieces[: _yard(pieces)[0]])[1]
+    return _yard(pieces[: _yard(pieces, known)[0]])[1]
 
 
 def evaluate(postfix: list[str], allowed: Callable[[str], bool] = OPEN.__contains__) -> bool:
@@ -118,12 +135,12 @@ def names(postfix: list[str]) -> set[str]:
     return stack[0]
 
 
-_automaton = None
+_automaton = _tags = None
 
 
 def _built():
-    """Words of a text stand between single blanks, read as Latin-1; so do the phrases."""
-    global _automaton
+    """Automata of the phrases (words of a text stand between single blanks, read as Latin-1; so do the phrases) and of the tag as it is written."""
+    global _automaton, _tags
     if _automaton is None:
         import ahocorasick
 
@@ -131,25 +148,33 @@ def _built():
         for phrase, label in {**NOTICES, **BASE, TAG: ""}.items():
             _automaton.add_word(f" {phrase} ", (phrase, label))
         _automaton.make_automaton()
-    return _automaton
+        _tags = ahocorasick.Automaton()
+        _tags.add_word(TAG_TEXT, TAG_TEXT)
+        _tags.make_automaton()
+    return _automaton, _tags
 
 
 def scan(text: str) -> dict:
+    phrases, tags = _built()
     words = text.encode().translate(_WORDS).split()
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
     base_at, base, found, tagged = [], set(), set(), False
-    for end, (phrase, label) in _built().iter(joined):
+    blanks = counted = 0  # blanks before the end of the last match: a phrase's first word is as many, less its own words
+    for end, (phrase, label) in phrases.iter(joined):
         if phrase == TAG:
             tagged = True
         elif phrase in BASE:
-            base_at.append(joined.count(" ", 0, end - len(phrase) - 1))
+            blanks, counted = blanks + joined.count(" ", counted, end), end
+            base_at.append(blanks - phrase.count(" ") - 1)
             base.add(label)
         else:
             found.add(label)
     expressions, usable = [], []
     if tagged:
-        for m in _TAGGED.finditer(text):
-            if (postfix := longest(m[1])) is not None:
+        lower = text.encode().translate(_LOWER).decode("latin-1")
+        for end, _ in tags.iter(lower):
+            value = _VALUE.match(lower, end + 1)
+            if value and (postfix := longest(value[1], identifier)) is not None:
                 expressions.append(" ".join(postfix))
                 usable.append(evaluate(postfix))
                 found |= names(postfix)

@@ -23,7 +23,7 @@ def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.concat_ws("; ", "expressions").alias("expressions"), "open")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
