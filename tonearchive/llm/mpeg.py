@@ -9,6 +9,7 @@ checksums, and gives exact durations and the byte offset of every frame.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -64,6 +65,13 @@ class Header:
         """Bytes of side information of a Layer III frame."""
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
+    def covered(self, mode: int) -> int:
+        """Bytes after the checksum that it covers: side information, or Layer I's allocation of 4 bits; 0 for Layer II, whose tables are not read."""
+        if self.layer == 1:
+            bound = 4 * ((mode >> 4 & 3) + 1) if mode >> 6 == 1 else 32
+            return 16 if self.mono else (bound + 32) // 2
+        return self.side if self.layer == 3 else 0
+
 
 def header(word: bytes) -> Header | None:
     """The four bytes of a frame header, or None if they are none (free format included)."""
@@ -198,10 +206,12 @@ def read(data: bytes) -> Stream:
             out.skipped += next_at - at
             at = next_at
             continue
-        body = at + 4
-        if head.protected and head.layer == 3:
-            body = at + 6 + head.side
-            seen = data[at + 2 : body]
+        body = at + 4 + 2 * head.protected
+        covered = head.covered(data[at + 3])
+        if head.layer == 3:
+            body += head.side * head.protected
+        if head.protected and covered:
+            seen = data[at + 2 : at + 6 + covered]
             out.checked += 1
             if seen not in good:
                 if crc16(seen[:2] + seen[4:]) == int.from_bytes(seen[2:4], "big"):
@@ -240,11 +250,18 @@ _FEATURES = pa.schema(
 )
 
 
+def _length(stream: Stream) -> int:
+    """Bytes that the stream's own tag states, if it is a number that the payload can hold."""
+    stated = stream.tags.get("payload_bytes", "")
+    return int(stated) if re.fullmatch("[0-9]{1,18}", stated) and int(stated) <= len(stream.payload) else len(stream.payload)
+
+
 def features(media: DataFrame) -> DataFrame:
     """Per stored stream: doc_id, n_bytes (from its tag), payload read back, media, duration_us, frame_offsets, feature.
 
     Null media give an empty stream's features. Streams of other origin are read as far as
-    their frames go; without a length tag n_bytes is the payload's.
+    their frames go; without a length tag that fits, n_bytes is the payload's. Checksums of
+    Layer II are skipped, not verified.
     """
 
     def run(rows: dict) -> Iterator[pa.RecordBatch]:
@@ -257,7 +274,7 @@ def features(media: DataFrame) -> DataFrame:
                 rates = ",".join(f"{k}:{v}" for k, v in sorted(s.rates.items()))
                 seek = zlib.crc32(np.array(s.offsets, "<i8").tobytes())
                 feature = f"frames={len(s.offsets)};samples={s.samples};hz={s.hertz};rates={rates};table={(s.table or {}).get('frames', '')};bad={s.bad_checksums}/{s.checked};skipped={s.skipped};seek={seek};rms={rms}"
-                out.append({"doc_id": doc_id, "n_bytes": int(s.tags.get("payload_bytes", len(s.payload))), "payload": s.payload, "media": data, "duration_us": s.microseconds, "frame_offsets": s.offsets, "feature": feature})
+                out.append({"doc_id": doc_id, "n_bytes": _length(s), "payload": s.payload, "media": data, "duration_us": s.microseconds, "frame_offsets": s.offsets, "feature": feature})
             yield pa.RecordBatch.from_pylist(out, _FEATURES)
 
     kind = "doc_id long, n_bytes long, payload binary, media binary, duration_us long, frame_offsets array<long>, feature string"
