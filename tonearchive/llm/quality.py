@@ -49,12 +49,12 @@ def _classes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n = len(out)
         for token in _TOKENS.findall(word):
             if token[0].isdigit():
-                token = "0" * min(len(token), 8)
+                token = "0" * len(token)
             elif token[0].isalpha():
                 if len(token) > 1 and token.isupper():
                     out.append(0)
                 token = token.lower()
-            out.append(1 + xxhash.xxh3_64_intdigest(token[:64], SEED) % (WORDS - 1))
+            out.append(1 + xxhash.xxh3_64_intdigest(token, SEED) % (WORDS - 1))
         counts.append(len(out) - n)
     return np.array(out, np.int32), np.array(counts, np.int64)
 
