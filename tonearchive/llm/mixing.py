@@ -19,6 +19,8 @@ BINS = 4096
 STEPS = 60
 #: Sources up to which a table of one row per source is broadcast; with more it is joined by key.
 FEW = 20_000
+#: Multiples of it spread evenly over [0, 1).
+GOLDEN = 0.6180339887498949
 
 
 def _level(sources: DataFrame, most: float) -> float:
@@ -43,6 +45,25 @@ def _rate(size: Column, most: float) -> Column:
     return F.when(F.col("target") >= F.col("source_size") * most, F.lit(float(most))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(most / (1 + (most - 1) * tilt))
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows that repeat (``h``) get thresholds ``u`` spread evenly from their common one, as they are interchangeable; the others keep theirs.
+
+    Repeats are numbered within the partitions that they were written from, whose counts are
+    then summed up: one row with many repeats does not meet in one task.
+    """
+    repeats = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats")
+    if not repeats.head(1):
+        return rows
+    small = F.broadcast if repeats.count() <= FEW else lambda table: table.hint("merge")
+    again = rows.join(small(repeats), "h", "left_semi")
+    counts = again.groupBy("h", "part").agg(F.count("*").alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("h", "part").orderBy("size")) - 1
+    numbered = again.withColumn("nth", nth).join(counts.select("h", "part", base.alias("base")), ["h", "part"])
+    spread = F.pmod(F.col("u") + (F.col("nth") + F.col("base")) * GOLDEN, F.lit(1.0))
+    return rows.join(small(repeats), "h", "left_anti").unionByName(numbered.withColumn("u", spread).select(*rows.columns))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, rate, copies, taken (copies x size), and the columns of ``carry`` in ``carried``.
 
@@ -50,13 +71,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     ``weights`` in turn; together they share ``share`` of all words, but none more than
     ``most`` times its own, what is over being shared anew by weight. No document is copied
     more than ``most`` times. Rounding depends on doc_id and text alone, so reruns agree;
-    rows that repeat are rounded alike. Null texts have size 0 and a copy or none like any
+    of rows that repeat, as many are rounded up as their rate asks. Null texts have size 0 and a copy or none like any
     other. An empty table gives an empty result.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_RE)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     carried = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried")
-    rows = materialize(docs.select("doc_id", "source", carried, key.alias("key"), size.alias("size"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)).alias("u")), "sizes")
+    rows = materialize(docs.select("doc_id", "source", carried, key.alias("key"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.spark_partition_id().alias("part")), "sizes")
+    rows = _apart(rows.withColumn("u", F.pmod("h", F.lit(1 << 32)) / float(1 << 32)))
     counts = materialize(rows.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "histogram")
 
     sources = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
