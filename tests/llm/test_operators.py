@@ -158,6 +158,14 @@ def test_long_license_expressions():
     assert found["open"] is False and set(found["labels"].split(",")) == {"mit", "gpl-3.0"} and found["expressions"][0].count("mit") == 40
     found = licenses.scan("SPDX-License-Identifier: (" + " OR ".join(many) + ") see the file")
     assert set(found["labels"].split(",")) == set(many) and found["score"] > 0.9
+    names = [f"LicenseRef-{k}-" + "x" * 70 for k in range(8)]
+    assert set(licenses.scan("// SPDX-License-Identifier:" + " OR ".join(names))["labels"].split(",")) == {n.lower() for n in names}
+    assert licenses.scan("SPDX-License-Identifier: MIT and this file")["labels"] == "mit"
+    assert licenses.scan("SPDX-License-Identifier: see LICENSE")["labels"] == "" and licenses.scan("x SPDX license identifier y")["expressions"] == []
+    found = licenses.scan("İ SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR bsd-3-clause\nno")
+    assert found["labels"] == "bsd-3-clause,gpl-2.0-only" and found["open"] is True
+    many = "the mit license " * 100_000
+    assert licenses.scan(many)["last_word"] == 299_997 and licenses.scan(many)["n_base"] == 100_000
     words = ["a", "and", "or", "with", "(", ")"]
     rng = random.Random(2)
     for _ in range(3000):  # the longest beginning, by trying them all
@@ -184,6 +192,20 @@ def test_secret_parts_across_stretches(spark):
         assert got[i] == [w for w in parts if all(near(w, k) for k in {3: [4], 4: [3], 5: [3, 4]}[w[1]])], t
 
 
+def test_long_secret_and_many_spans(spark):
+    """Parts longer than the scope, thousands of spans in one text, signs beyond the first plane, and overlapping spans."""
+    long = "pwd=" + "x" * 1000 + " " * 50 + "user=bob"
+    many = " ".join(f"é🙂 token=abcdefabcdef{k:016d} pwd=hunter{k} user=bob{k}" for k in range(3000))
+    rows = spark.createDataFrame([(1, long), (2, many), (3, "token=0123456789abcdef0123 and 🙂 deadbeefdeadbeef")], "doc_id long, text string")
+    found = {r.doc_id: r for r in secret_scan.find_secrets(rows).collect()}
+    assert [(s.rank, s.start, s.end) for s in sorted(found[1].linked)] == [(4, 0, 1004), (3, 1054, 1062)]
+    got = secret_scan.digests(rows.where("doc_id = 2")).first()
+    assert (got.n_assign, got.n_access, got.n_hex, got.base_sha256) == brute.secrets(many)[:4]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(rows).collect()}
+    assert clean[1] == "[secret]" + " " * 50 + "[secret]" and clean[3] == "[secret] and 🙂 [secret]"
+    assert "hunter" not in clean[2] and "abcdef" not in clean[2] and "bob" not in clean[2] and clean[2].count("é🙂 [secret] [secret] [secret]") == 3000
+
+
 def test_secrets(docs, empty):
     got = secret_scan.digests(docs).collect()
     expect = [(d, *brute.secrets(t)) for d, t in texts()]
@@ -295,6 +317,14 @@ def test_media_damage():
     assert broken.bad_checksums == 1 and len(broken.offsets) == len(whole.offsets)
     torn = mpeg.read(stream[: at + 100] + stream[at + 200 :])
     assert torn.skipped > 0 and len(torn.offsets) == len(whole.offsets) - 1
+    for stated in (b"abc", b"-1", b"999999999999999999999", "\u0663".encode()):  # tags of other origin
+        item = b"TXXX" + (len(stated) + 15).to_bytes(4, "big") + b"\0\0" + b"\0payload_bytes\0" + stated
+        tagged = mpeg.read(b"ID3\x03\0\0" + bytes([0, 0, 0, len(item)]) + item + stream[stream.index(b"\xff\xfa") :])
+        assert mpeg._length(tagged) == len(tagged.payload) and tagged.skipped == 0
+    layer1 = bytes([0xFF, 0xFE, 0x44, 0xC0])  # mono, 128 kbit/s, 48 kHz: 128 bytes a frame
+    frame = layer1 + mpeg.crc16(layer1[2:] + bytes(16)).to_bytes(2, "big") + bytes(122)
+    good, bad = mpeg.read(frame * 3), mpeg.read(frame[:8] + b"\1" + frame[9:] + frame * 2)
+    assert (len(good.offsets), good.checked, good.bad_checksums, bad.bad_checksums) == (3, 3, 0, 1)
     assert mpeg.read(b"").offsets == mpeg.read(b"\xff" * 50).offsets == []
 
 
@@ -315,6 +345,17 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Equal rows are rounded apart, so a source that holds little else meets its target; reruns agree."""
+    rows = [(5, "seven words that are all the same", "a")] * 4000 + [(k, "w " * 20, "b") for k in range(300)] + [(None, "one", "a")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix(frame).collect()
+    for s in "ab":
+        taken, target = sum(r.taken for r in got if r.source == s), next(r.target for r in got if r.source == s)
+        assert abs(taken - target) <= max(20, 0.002 * target)
+    assert bag((r.doc_id, r.copies) for r in mixing.mix(frame.repartition(3)).collect()) == bag((r.doc_id, r.copies) for r in got)
+
+
 def test_quality(spark, empty):
     rng = random.Random(2)
     good, bad = ["alpha", "beta", "gamma", "delta"], ["$$$", "BUY!!", "###", "alpha***"]
@@ -330,5 +371,32 @@ def test_quality(spark, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_quality_of_documents(spark):
+    """Held-out accuracy on the driver's documents, the same score for equal texts, and whole tokens."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    both = docs.unionByName(docs.where("doc_id % 10 = 0"))
+    got = quality.classify(both, labels).join(labels, "doc_id").select("doc_id", "held_out", "predicted", "score", "quality").collect()
+    held = [r for r in got if r.held_out and r.quality is not None]
+    assert len(held) > 50 and sum(r.predicted == r.quality for r in held) >= 0.9 * len(held)
+    scores = defaultdict(set)
+    for r in got:
+        scores[r.doc_id].add(r.score)
+    assert all(len(v) == 1 for v in scores.values())
+    a, b = quality._classes(["x" * 70 + "a", "x" * 70 + "b", "1" * 9, "1" * 12])[0].reshape(2, 2)
+    assert a[0] != a[1] and b[0] != b[1]
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 4))
+    y = (rng.random(6000) < 1 / (1 + np.exp(-1.5 * x[:, 0]))).astype(float)
+    net = quality.fit(x[:600], y[:600])
+    p = quality._sigmoid(quality._forward(net, x[600:]))
+    for low in np.arange(0, 1, 0.2):
+        of = (p >= low) & (p < low + 0.2)
+        assert of.sum() < 100 or abs(p[of].mean() - y[600:][of].mean()) < 0.12
+
+
 def test_results_are_typed(docs):
     assert isinstance(mixing.mix(docs).schema["target"].dataType, T.DoubleType)

@@ -8,6 +8,8 @@ parts too. Parts are joined by overlapping intervals, dealt by document and stre
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,29 @@ KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 _SPANS = "array<struct<start:long,rank:int,end:long>>"
 
 
+#: Elements of an array that are summed up together.
+STRIDE = 128
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of longs what ``join`` makes of 0 and all before it; strides are joined first, so long arrays take no quadratic time."""
+    fold = lambda part: F.aggregate(part, F.lit(0).cast("long"), join)
+
+    def over(all_: Column) -> Column:
+        strides = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(all_) - 1) / STRIDE).cast("int"))
+        totals = F.transform(strides, lambda k: fold(F.slice(all_, k * STRIDE + 1, STRIDE)))
+        heads = F.aggregate(totals, F.array(F.lit(0).cast("long")), lambda done, t: F.concat(done, F.array(join(F.element_at(done, -1), t))))
+        each = lambda h: F.transform(all_, lambda _, i: join(F.element_at(h, (i / STRIDE).cast("int") + 1), fold(F.slice(all_, (i - i % STRIDE) + 1, i % STRIDE))))
+        return _let(heads, each)
+
+    return _let(values, over)
+
+
 def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
     """Places of the leftmost non-overlapping matches whose ``group`` has ``least`` characters or more.
 
@@ -35,22 +60,19 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1
     Texts without a match are told apart first, by one pass.
     """
     regex, rank = F.lit(pattern), KINDS.index(kind)
-    gaps = F.split(text, pattern, -1)
     matches = F.arrays_zip(F.regexp_extract_all(text, regex, 0).alias("all"), F.regexp_extract_all(text, regex, group).alias("part"))
     sized = F.zip_with(
         matches,
-        F.slice(gaps, 1, F.size(gaps) - 1),
-        lambda m, gap: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m["all"]).cast("long").alias("size"), (F.length(m["part"]) >= least).alias("ok")),
+        F.transform(F.split(text, pattern, -1), lambda gap: F.length(gap).cast("long")),
+        lambda m, gap: F.struct(gap.alias("gap"), F.length(m["all"]).cast("long").alias("size"), (F.length(m["part"]) >= least).alias("ok")),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("found"))
 
-    def step(state: Column, m: Column) -> Column:
-        begin = state["at"] + m["gap"]
-        end = begin + m["size"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(m["ok"], F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+    def placed(all_: Column) -> Column:  # the last gap has no match after it
+        before = _running(F.transform(all_, lambda m: m["gap"] + F.coalesce(m["size"], F.lit(0))), lambda a, b: a + b)
+        each = F.zip_with(all_, before, lambda m, at: F.struct((at + m["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + m["gap"] + m["size"]).alias("end"), m["ok"].alias("ok")))
+        return F.transform(F.filter(each, lambda s: F.coalesce(s["ok"], F.lit(False))), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
-    found = F.aggregate(sized, start, step, lambda state: state["found"])
+    found = _let(sized, placed).cast(_SPANS)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
@@ -115,13 +137,14 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The same columns, every strong or linked span of ``text`` replaced by a mark; null texts stay null."""
     found = find_secrets(docs, tuple(docs.columns))
     text = F.col("carried.text")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    # four bytes a character: a piece is cut out without counting from the start
+    part = lambda wide, a, b: F.decode(F.substring(wide, (4 * a + 1).cast("int"), (4 * (b - a)).cast("int")), "UTF-32")
 
-    def step(state: Column, s: Column) -> Column:
-        between = F.when(s["start"] >= state["at"], F.concat(text.substr((state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], between).alias("out"))
+    def marked(given: Column) -> Column:
+        before = _running(F.transform(given["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b))  # how far earlier spans reach
+        pieces = F.zip_with(given["spans"], before, lambda s, at: F.when(s["start"] >= at, F.concat(part(given["wide"], at, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), part(given["wide"], F.array_max(F.transform(given["spans"], lambda s: s["end"])), given["n"]))
 
-    rest = lambda state: F.concat(state["out"], text.substr((state["at"] + 1).cast("int"), F.length(text)))
-    spans = F.array_sort(F.concat("strong", "linked"))
-    clean = F.when((F.size(spans) == 0) | text.isNull(), text).otherwise(F.aggregate(spans, start, step, rest))
+    given = F.struct(F.array_sort(F.concat("strong", "linked")).alias("spans"), F.encode(text, "UTF-32").alias("wide"), F.length(text).cast("long").alias("n"))
+    clean = F.when((F.size(F.concat("strong", "linked")) == 0) | text.isNull(), text).otherwise(_let(given, marked))
     return found.select(*[clean.alias("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
