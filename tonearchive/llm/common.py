@@ -7,6 +7,7 @@ import gc
 import itertools
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,18 +42,24 @@ def work_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-#: Lists that note the work tables made while they are open.
-_noting: list[list[str]] = []
+class _Noting(threading.local):
+    """Lists that note the work tables that this thread makes while they are open."""
+
+    def __init__(self) -> None:
+        self.lists: list[list[str]] = []
+
+
+_noting = _Noting()
 
 
 @contextlib.contextmanager
 def noting_tables(paths: list[str]) -> Iterator[None]:
     """Adds the paths of the work tables made meanwhile to ``paths``."""
-    _noting.append(paths)
+    _noting.lists.append(paths)
     try:
         yield
     finally:
-        _noting.remove(paths)
+        _noting.lists = [x for x in _noting.lists if x is not paths]
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -66,7 +73,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a work table into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
-    for paths in _noting:
+    for paths in _noting.lists:
         paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

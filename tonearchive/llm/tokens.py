@@ -152,7 +152,7 @@ class Encoder:
         return out, stops
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches put together until they hold some ``size`` bytes: the more text at once, the fewer distinct words a byte."""
     held, total = [], 0
     for batch in batches:
