@@ -7,6 +7,7 @@ as the next stage's documents. All but the last return the columns of ``document
 from __future__ import annotations
 
 import functools
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -23,8 +24,16 @@ LEAST_SCORE = 0.5
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Work tables of the stage that ran last.
-_left: list[str] = []
+
+
+class _Run(threading.local):
+    """Each thread's own run: work tables of the stage that ran last."""
+
+    def __init__(self) -> None:
+        self.left: list[str] = []
+
+
+_run = _Run()
 
 
 def _after_the_one_before(stage: Stage) -> Stage:
@@ -32,9 +41,9 @@ def _after_the_one_before(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _left)
+        discard(spark, _run.left)
         release(spark)
-        with noting_tables(_left):
+        with noting_tables(_run.left):
             return stage(spark, docs, sf_dir)
 
     return run
@@ -46,8 +55,8 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score reaches ``LEAST_SCORE``."""
-    _left.clear()  # a run of its own: what an earlier run left may still be read
-    with noting_tables(_left):
+    _run.left.clear()  # a run of its own: what an earlier run left may still be read
+    with noting_tables(_run.left):
         return _keep_good(spark, docs, sf_dir)
 
 
