@@ -2,23 +2,67 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StringType, StructType
+
+from ..functions.audio import all_that_hold, finite
+
+
+def _number_text(x: Column) -> Column:
+    """A double as JSON writes it: whole numbers without a point, the fewest digits, exponents beyond 1e-6 and 1e17."""
+    digits = F.when(F.abs(x) < 1, x.cast("decimal(38,30)").cast("string")).otherwise(x.cast("decimal(38,18)").cast("string"))
+    plain = F.regexp_replace(F.regexp_replace(digits, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    power = F.regexp_replace(F.regexp_replace(x.cast("string"), "(\\.0)?E(-?)", "e$2"), "e([0-9])", "e+$1")
+    return F.when(x == 0, "0").when((F.abs(x) >= 1e-6) & (F.abs(x) < 1e17), plain).otherwise(power)
+
+
+def _json_text(x: Column, kind: DataType) -> Column:
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(F.lit(f'"{f.name}":'), _json_text(x[f.name], f.dataType)) for f in fields]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: _json_text(e, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, DoubleType | FloatType):
+        text = _number_text(x.cast("double"))
+    elif isinstance(kind, StringType):
+        quoted = F.to_json(F.array(x))
+        text = F.substring(quoted, 2, F.length(quoted) - 2)
+    else:
+        text = x.cast("string")
+    return F.coalesce(text, F.lit("null"))
 
 
-def canonical_digest(fields: dict[str, Column]) -> Column:
-    """SHA-256 of the JSON object with keys in order; nulls are left out."""
-    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+def canonical_json(rows: DataFrame, column: str) -> Column:
+    """The column as JSON with keys in order at every depth and nulls kept, so that equal values give equal texts."""
+    return _json_text(F.col(column), rows.schema[column].dataType)
+
+
+def canonical_digest(rows: DataFrame, column: str) -> Column:
+    """SHA-256 of the canonical JSON."""
+    return F.sha2(canonical_json(rows, column), 256)
 
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def edge_fingerprint(descriptor: Column, content: Column, edge: int = 64) -> Column:
-    """SHA-256 of the descriptor, the first and the last bytes."""
-    last = F.substring(content, F.greatest(F.lit(1), F.octet_length(content) - edge + 1), F.lit(edge))
-    return F.sha2(F.concat(descriptor.cast("binary"), F.substring(content, F.lit(1), F.lit(edge)), last), 256)
+#: Bytes of an edge: the least, the greatest, and the default (fixed values).
+LEAST_EDGE, MOST_EDGE, EDGE = 64 << 10, 4 << 20, 1 << 20
+
+
+def edge_fingerprint(content: Column, edge: int = EDGE) -> Column:
+    """SHA-256 of a descriptor (size, end of the first edge, start of the last), the first edge, and what of the last edge lies beyond it."""
+    edge = max(LEAST_EDGE, min(MOST_EDGE, edge))
+    size = F.octet_length(content).cast("long")
+    head = F.least(size, F.lit(edge))
+    tail = F.greatest(head, size - edge)
+    descriptor = F.concat(F.lit('{"size":'), size.cast("string"), F.lit(',"headLength":'), head.cast("string"), F.lit(',"tailStart":'), tail.cast("string"), F.lit("}"))
+    return F.sha2(F.concat(descriptor.cast("binary"), F.substring(content, F.lit(1), head.cast("int")), F.substring(content, (tail + 1).cast("int"), F.lit(edge))), 256)
 
 
 def duplicate_recordings(files: DataFrame) -> DataFrame:
@@ -28,9 +72,10 @@ def duplicate_recordings(files: DataFrame) -> DataFrame:
 
 
 def match_sources(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """Outcome per project (recording, size, hash): missing, size-differs, content-differs or match."""
+    """Outcome per project (recording, size, hash): missing, size-differs, reanalysis-required (an old project without a full hash), content-differs or match."""
     joined = projects.join(files.select("recording", F.col("size").alias("file_size"), F.col("hash").alias("file_hash")), "recording", "left")
-    return joined.withColumn("outcome", F.when(F.col("file_size").isNull(), "missing").when(F.col("file_size") != F.col("size"), "size-differs").when(F.col("file_hash") != F.col("hash"), "content-differs").otherwise("match"))
+    outcome = F.when(F.col("file_size").isNull(), "missing").when(F.col("file_size") != F.col("size"), "size-differs").when(F.col("hash").isNull(), "reanalysis-required")
+    return joined.withColumn("outcome", outcome.when(F.col("file_hash") != F.col("hash"), "content-differs").otherwise("match"))
 
 
 def bind_guidance(guidance: DataFrame, receipts: DataFrame, current: DataFrame) -> DataFrame:
@@ -116,18 +161,48 @@ def key_violations(documents: DataFrame, allowed: list[str], denied: list[str])
     return documents.withColumn("unknown", F.array_sort(F.array_except(keys, lists[0]))).withColumn("forbidden", F.array_sort(F.array_intersect(keys, lists[1])))
 
 
-def select_metadata(rows: DataFrame, flags: dict[str, bool], groups: dict[str, list[str]], longest: int = 200) -> DataFrame:
-    """Opted-in groups of metadata as structs, others null; texts cut to ``longest`` characters (a privacy limit)."""
-    for name, columns in groups.items():
-        value = F.struct(*[F.substring(c, 1, longest).alias(c) for c in columns])
-        rows = rows.withColumn(name, value if flags.get(name) else F.lit(None))
-    return rows
+#: Groups of metadata with the greatest length of each text (fixed values).
+METADATA = {
+    "identity": {"title": 500, "series": 500, "episode": 500, "session_id": 500, "project": 500, "date": 80, "local_time": 80, "light_conditions": 500},
+    "location": {"place": 500},
+    "notes": {"tags": 2000, "environment": 2000, "notes": 2000, "related_image": 2000},
+    "creator": {"creator": 500, "equipment": 2000, "license": 500},
+}
+FILE_NAME = 255
+
+
+def select_metadata(rows: DataFrame, wanted: tuple[str, ...] = (), file_name: bool = False, exact: bool = False) -> DataFrame:
+    """The groups opted in to as structs, the others null; texts cut to their field's length (a privacy limit).
+
+    The location also gets coordinates (latitude, longitude) if both are in range, to two decimals unless ``exact``.
+    Columns that are not there count as null.
+    """
+    has = lambda n, kind: F.col(n).cast(kind) if n in rows.columns else F.lit(None).cast(kind)
+    place = [F.when(finite(has(n, "double")) & (F.abs(has(n, "double")) <= most), has(n, "double")) for n, most in (("latitude", 90), ("longitude", 180))]
+    shown = [p if exact else F.round(p, 2) for p in place]
+    point = F.when(place[0].isNotNull() & place[1].isNotNull(), F.struct(shown[0].alias("latitude"), shown[1].alias("longitude"), F.lit("exact" if exact else "redacted").alias("precision")))
+    out = {"source_file_name": F.substring(has("source_file_name", "string"), 1, FILE_NAME) if file_name else F.lit(None).cast("string")}
+    for name, fields in METADATA.items():
+        group = F.struct(*[F.substring(has(n, "string"), 1, longest).alias(n) for n, longest in fields.items()], *[point.alias("coordinates")] * (name == "location"))
+        out[name] = group if name in wanted else F.lit(None)
+    return rows.withColumn("metadata", F.struct(*[v.alias(k) for k, v in out.items()]))
 
 
 def migrate_projects(projects: DataFrame) -> DataFrame:
-    """Schema 1 rows take schema 2's form: gain named anew, edges only, and a full identity still required."""
-    old = F.col("schema") == 1
-    return projects.withColumn("gain_db", F.when(old, F.col("gain")).otherwise(F.col("gain_db"))).withColumn("identity_required", old | F.col("source_hash").isNull()).withColumn("migrated", old).withColumn("schema", F.lit(2))
+    """Schema 1 rows take schema 2's form; rows of another schema get ``error``.
+
+    Columns: schema, strategy and fingerprint (of the source, as stored), gain_db, ceiling, app_version. Only a full hash
+    (64 hexadecimal digits) of the whole source is an identity; a fingerprint of edges is kept as a first check. Old
+    projects without an identity must be analysed again. A missing ceiling is the series'.
+    """
+    c = F.col
+    edges = F.coalesce(c("strategy") == "descriptor+first+last", F.lit(False))
+    identity = F.when(~edges & c("fingerprint").rlike("^[0-9a-f]{64}$"), c("fingerprint"))
+    old = c("schema") == 1
+    return projects.withColumns({
+        "identity": identity, "preflight": F.when(old & edges, c("fingerprint")), "identity_required": identity.isNull(), "migrated_from": F.when(old, F.coalesce("app_version", F.lit("unknown"))), "ceiling": F.coalesce("ceiling", F.lit(-2.0)),
+        "error": F.when(~F.coalesce(c("schema").isin(1, 2), F.lit(False)), "schema"), "schema": F.when(old, 2).otherwise(c("schema")),
+    })
 
 
 def build_reports(source: DataFrame, calculated: DataFrame, verified: DataFrame, metrics: list[str]) -> DataFrame:
@@ -136,51 +211,183 @@ def build_reports(source: DataFrame, calculated: DataFrame, verified: DataFrame,
     return section(source, "source").join(section(calculated, "calculated"), "recording", "left").join(section(verified, "verified"), "recording", "left")
 
 
-def build_bundles(summary: DataFrame, ranked: DataFrame, segments: DataFrame) -> DataFrame:
-    """A bundle per recording: measurements, ranked markers, segments, and the digest of it all.
+SCHEMA = "tonearchive.analysis-exchange/2"
+#: Limits of documents that leave the archive (fixed values).
+MOST_MARKERS, MOST_SEGMENTS, MOST_CUES, MOST_EVIDENCE, MINIMAL_BYTES, TEMPORAL_BYTES, GUIDANCE_BYTES = 500, 720, 200, 32, 1_000_000, 5_000_000, 1_000_000
+#: What the figures rest on: id, class, method.
+EVIDENCE = (("loudness", "objective", "itu-r-bs-1770"), ("true-peak", "objective", "ebu-tech-3341"), ("markers", "mixed", "screening"))
+_HASH, _UUID = "^[0-9a-f]{64}$", "^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+
+
+def build_bundles(recordings: DataFrame, markers: DataFrame, segments: DataFrame) -> DataFrame:
+    """A bundle per recording, ``bundle`` (a struct) and ``digest``, the SHA-256 of its canonical JSON.
 
-    Markers and segments are bounded per recording (500 and 720) before they are gathered.
+    ``recordings``: recording, bundle_id, created_at, profile (minimal or temporal-diagnostic), privacy, stage, structs
+    region, format, metadata, measurements, editorial, provenance, and loudness_status, peak_status. ``markers`` (recording, nth, ...)
+    and ``segments`` (recording, segment, ...) are bounded per recording (500 and 720) before they are gathered; minimal
+    bundles have no segments.
     """
-    marks = ranked.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "severity"))).alias("markers"))
-    parts = segments.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("segment", "m_median"))).alias("segments"))
-    out = summary.join(marks, "recording", "left").join(parts, "recording", "left")
-    return out.withColumn("digest", canonical_digest({"measurements": F.col("measurements"), "markers": F.col("markers"), "segments": F.col("segments")}))
+    gather = lambda rows, by, most, name: rows.where(F.col(by) <= most).groupBy("recording").agg(F.array_sort(F.collect_list(F.struct(by, *[c for c in rows.columns if c not in ("recording", by)]))).alias(name))
+    c = F.col
+    out = recordings.join(gather(markers, "nth", MOST_MARKERS, "markers"), "recording", "left").join(gather(segments, "segment", MOST_SEGMENTS, "segments"), "recording", "left")
+    status = {"loudness": F.coalesce("loudness_status", F.lit("unverified")), "true-peak": F.coalesce("peak_status", F.lit("unverified")), "markers": F.lit("requires-human-review")}
+    evidence_ = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("classification"), F.lit(m).alias("methodId"), status[i].alias("status")) for i, k, m in EVIDENCE])
+    temporal = F.when(c("profile") == "temporal-diagnostic", F.coalesce("segments", F.array()))
+    own = ("region", "format", "metadata", "measurements", "provenance")
+    analysis = F.struct(c("stage").alias("signalStage"), *own, F.coalesce("markers", F.array()).alias("markers"), c("editorial").alias("editorialContext"), temporal.alias("temporalDiagnostic"), evidence_.alias("evidence"))
+    bundle = F.struct(F.lit(SCHEMA).alias("schema"), c("bundle_id").alias("bundleId"), "profile", "privacy", c("created_at").alias("createdAt"), analysis.alias("analysis"))
+    out = out.select("recording", bundle.alias("bundle"))
+    return out.withColumn("digest", canonical_digest(out, "bundle"))
 
 
 def receipts(bundles: DataFrame, files: DataFrame) -> DataFrame:
-    """What stays behind when a bundle leaves: its digest, the source's hash, ids of its markers."""
-    ids = F.transform(F.coalesce("markers", F.array().cast("array<struct<nth:int,id:string,severity:string>>")), lambda m: m["id"])
-    return bundles.join(files.select("recording", F.col("hash").alias("source_hash")), "recording", "left").select("recording", "digest", "source_hash", ids.alias("marker_ids"))
+    """What stays behind when a bundle leaves: ids, digests of the bundle, its source and its edit, engine and method, ids of evidence and markers; ``error`` without a full hash of the source."""
+    a = F.col("bundle.analysis")
+    edit = bundles.select("*", F.col("bundle.analysis.region").alias("region"))
+    joined = edit.withColumn("edit_digest", canonical_digest(edit, "region")).join(files.select("recording", F.col("hash").alias("source_sha256")), "recording", "left")
+    ids = lambda name: F.transform(a[name], lambda x: x["id"])
+    return joined.select(
+        "recording", F.col("bundle.bundleId").alias("bundle_id"), "digest", "source_sha256", a["provenance"]["engineVersion"].alias("engine"), a["provenance"]["loudnessModel"].alias("method"), "edit_digest", ids("evidence").alias("evidence_ids"), ids("markers").alias("marker_ids"),
+        F.col("bundle.createdAt").alias("created_at"), F.when(~F.coalesce(F.col("source_sha256").rlike(_HASH), F.lit(False)), "source-identity").alias("error"),
+    )
 
 
-def validate_bundles(bundles: DataFrame, most_markers: int = 500, most_segments: int = 720, most_bytes: int = 5_000_000) -> DataFrame:
-    """``errors`` of each bundle (json, n_markers, n_segments, digest, expected)."""
-    errors = F.array_compact(
-        F.array(
-            F.when(F.octet_length("json") > most_bytes, "size"), F.when(F.col("n_markers") > most_markers, "markers"), F.when(F.col("n_segments") > most_segments, "segments"), F.when(~F.col("digest").rlike("^[0-9a-f]{64}$"), "digest-form"),
-            F.when(F.col("digest") != F.col("expected"), "digest"),
-        )
-    )
-    return bundles.withColumn("errors", errors)
+#: Keys that a bundle's parts may have, by path (fixed values).
+BUNDLE_KEYS = {
+    "$": "schema bundleId analysisDigest profile privacy createdAt analysis",
+    "$.analysis": "signalStage region format metadata measurements markers editorialContext editorialCueSheet temporalDiagnostic provenance evidence",
+    "$.analysis.region": "range startFrame endFrame selectedFrames fadeInFrames fadeOutFrames globalGainDb",
+    "$.analysis.format": "container encoding channels sampleRate bitsPerSample validBitsPerSample durationSeconds fileSizeBytes fileName",
+    "$.analysis.metadata": "sourceFileName identity location notes creator",
+    "$.analysis.measurements": "integratedLufs loudnessRangeLu momentaryMaxLufs shortTermMaxLufs samplePeakDbfs truePeakDbtp plrLu rmsDbfs crestFactorDb channelBalanceDb stereoCorrelation monoCompatibility overrangeSamples nonFiniteSamples channels",
+    "$.analysis.provenance": "engineVersion releaseVersion releaseCommit loudnessModel truePeakMethod validationLevel",
+}
+#: Keys that name sound itself or its owner, which no document may hold at any depth (fixed values).
+FORBIDDEN = "samples sampledata waveform spectrum spectrogram fft embedding embeddings fingerprint sourceidentity sourcehash fullfilehash pcm audiobytes channelrmsdbfs"
+_MARKERS = "array<struct<id:string,type:string,classification:string,severity:string,startSeconds:double,endSeconds:double,channel:double,summary:string,methodId:string,reviewStatus:string,timePrecisionSeconds:double>>"
+_SEGMENTS = "array<struct<startSeconds:double,endSeconds:double,silencePercent:double,stereoCorrelation:struct<median:double,min:double>>>"
+_EVIDENCE = "array<struct<id:string,classification:string,methodId:string,status:string>>"
 
 
-def validate_guidance(guidance: DataFrame, kinds: tuple[str, ...] = ("global-gain", "local-gain", "fade", "trim", "listen", "note"), longest: int = 2000) -> DataFrame:
-    """``errors`` of each suggestion (kind, value, text, refs): kind, gain out of range, text too long, no evidence, evidence named twice."""
-    errors = F.array_compact(
-        F.array(
-            F.when(~F.col("kind").isin(*kinds), "kind"), F.when((F.col("kind") == "global-gain") & ~F.coalesce(F.col("value").between(-60, 24), F.lit(False)), "gain"), F.when(F.length("text") > longest, "text"),
-            F.when(F.size("refs") < 1, "evidence"), F.when(F.size(F.array_distinct("refs")) < F.size("refs"), "evidence-repeated"),
-        )
-    )
-    return guidance.withColumn("errors", errors)
+class _Document:
+    """A JSON text's parts by path: as text, number, or array of structs; and the type that JSON gives a part."""
 
+    def __init__(self, json: str):
+        self.json, self.whole = F.col(json), F.try_parse_json(F.col(json))
 
-def validate_receipts(rows: DataFrame, most_markers: int = 500) -> DataFrame:
-    """``errors`` of each receipt (digest, source_hash, marker_ids): forms of the digests, too many ids, repeated ids."""
-    form = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(False))
-    errors = F.array_compact(
-        F.array(
-            F.when(~form("digest"), "digest-form"), F.when(~form("source_hash"), "source-form"), F.when(F.size("marker_ids") > most_markers, "markers"), F.when(F.size(F.array_distinct("marker_ids")) < F.size("marker_ids"), "markers-repeated"),
-        )
+    def text(self, path: str) -> Column:
+        return F.try_variant_get(self.whole, path, "string")
+
+    def number(self, path: str) -> Column:
+        return F.try_variant_get(self.whole, path, "double")
+
+    def kind(self, path: str) -> Column:
+        """VOID for null, STRING, OBJECT<..>, ARRAY<..>, or a number's type; null where there is no such part."""
+        return F.schema_of_variant(F.try_variant_get(self.whole, path, "variant"))
+
+    def is_text(self, path: str) -> Column:
+        return F.coalesce(self.kind(path) == "STRING", F.lit(False))
+
+    def is_number(self, path: str) -> Column:
+        return F.coalesce(self.kind(path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+
+    def is_void(self, path: str) -> Column:
+        return F.coalesce(self.kind(path) == "VOID", F.lit(False))
+
+    def whole_number(self, path: str, least: int = 0) -> Column:
+        return self.is_number(path) & (F.floor(self.number(path)) == self.number(path)) & (self.number(path) >= least) & (self.number(path) < 2**53)
+
+    def rows(self, path: str, kind: str) -> Column:
+        return F.try_variant_get(self.whole, path, kind)
+
+    def unknown(self, path: str, allowed: str) -> Column:
+        """Whether the part is no object, or has keys that are not allowed."""
+        keys = F.json_object_keys(F.get_json_object(self.json, path))
+        return keys.isNull() | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed.split()]))) > 0)
+
+    def forbidden(self) -> Column:
+        """Whether a key at any depth is one of ``FORBIDDEN``, in any case."""
+        return F.lower(self.json).rlike(rf'"({FORBIDDEN.replace(" ", "|")})"\s*:')
+
+
+def _errors(rows: DataFrame, document: _Document, rules: list[tuple[Column, str]]) -> DataFrame:
+    """``errors``: the rules that hold, in order; a text that is no JSON object has ``json`` alone."""
+    sound = F.coalesce(document.kind("$").startswith("OBJECT"), F.lit(False))
+    return rows.withColumn("errors", F.when(~sound, F.array(F.lit("json"))).otherwise(all_that_hold(*[(F.coalesce(rule, F.lit(True)), name) for rule, name in rules])))
+
+
+def _shape(document: _Document, schema: str) -> list[tuple[Column, str]]:
+    form = lambda path, pattern: ~F.coalesce(document.text(path).rlike(pattern), F.lit(False))
+    return [(document.text("$.schema") != schema, "schema"), (form("$.bundleId", f"(?i){_UUID}"), "bundle-id"), (form("$.analysisDigest", _HASH), "analysis-digest"), (document.text("$.createdAt").try_cast("timestamp").isNull(), "created-at")]
+
+
+def validate_bundles(bundles: DataFrame, json: str = "json", expected: str | None = None) -> DataFrame:
+    """``errors`` of each bundle's JSON text, by rule: keys, forms, ranges, markers, segments, evidence, sizes; and its digest if ``expected`` names the right one."""
+    d = _Document(json)
+    a = "$.analysis"
+    n = d.number
+    markers, segments, evidence_ = d.rows(f"{a}.markers", _MARKERS), d.rows(f"{a}.temporalDiagnostic", _SEGMENTS), d.rows(f"{a}.evidence", _EVIDENCE)
+    end = n(f"{a}.format.durationSeconds")
+    marker_bad = lambda m: F.coalesce(
+        ~m["classification"].isin("objective", "heuristic", "artistic") | ~m["severity"].isin("critical", "review", "information") | (m["startSeconds"] < 0) | (m["endSeconds"] < m["startSeconds"]) | (m["endSeconds"] > end)
+        | m["id"].isNull() | m["type"].isNull() | m["summary"].isNull() | m["methodId"].isNull() | m["reviewStatus"].isNull() | F.coalesce((m["channel"] < 1) | (m["channel"] > n(f"{a}.format.channels")) | (m["channel"] != F.floor(m["channel"])), F.lit(False)) | F.coalesce(m["timePrecisionSeconds"] < 0, F.lit(False)),
+        F.lit(True),
     )
-    return rows.withColumn("errors", errors)
+    width = F.when(F.size(segments) == 1, 5.0).otherwise(F.try_element_at(segments, F.lit(1))["endSeconds"] - F.try_element_at(segments, F.lit(1))["startSeconds"])
+    off = lambda v: F.coalesce((v < -1) | (v > 1), F.lit(False))
+    segment_bad = lambda s, i: F.coalesce((width < 5) | (width % 5 != 0) | (s["startSeconds"] != i * width) | (s["endSeconds"] <= s["startSeconds"]) | (s["endSeconds"] - s["startSeconds"] > width), F.lit(True)) | F.coalesce(~s["silencePercent"].between(0, 100), F.lit(False)) | off(s["stereoCorrelation"]["median"]) | off(s["stereoCorrelation"]["min"])
+    numbers = BUNDLE_KEYS["$.analysis.measurements"].split()[:11]
+    r = f"{a}.region."
+    frames_bad = ~(d.whole_number(r + "startFrame") & d.whole_number(r + "endFrame") & d.whole_number(r + "selectedFrames")) | (n(r + "endFrame") < n(r + "startFrame")) | (n(r + "selectedFrames") != n(r + "endFrame") - n(r + "startFrame"))
+    fades_bad = ~(d.whole_number(r + "fadeInFrames") & d.whole_number(r + "fadeOutFrames")) | (F.greatest(n(r + "fadeInFrames"), n(r + "fadeOutFrames")) > n(r + "selectedFrames"))
+    f = f"{a}.format."
+    profile, minimal = d.text("$.profile"), d.text("$.profile") == "minimal"
+    rules = [(d.unknown(p, keys), f"keys:{p}") for p, keys in BUNDLE_KEYS.items()]
+    rules += _shape(d, SCHEMA)
+    rules += [
+        (~profile.isin("minimal", "temporal-diagnostic"), "profile"), (~d.text("$.privacy").isin("redacted", "exact"), "privacy"), (~d.text(f"{a}.signalStage").isin("source", "calculated-export-selection", "verified-output"), "stage"),
+        (reduce(or_, [~d.is_text(f"{a}.{p}") for p in ("region.range", "format.container", "format.encoding")]), "text"), (reduce(or_, [~d.is_text(f"{a}.provenance.{k}") for k in BUNDLE_KEYS["$.analysis.provenance"].split()]), "provenance"),
+        (reduce(or_, [~(d.is_text(p) | d.is_void(p)) for p in (f"{a}.format.fileName", f"{a}.metadata.sourceFileName")]), "file-name"), (reduce(or_, [~(d.is_number(f"{a}.measurements.{k}") | d.is_void(f"{a}.measurements.{k}")) for k in numbers]), "measurements"),
+        (reduce(or_, [~d.whole_number(f"{a}.measurements.{k}") for k in ("overrangeSamples", "nonFiniteSamples")]), "counts"), (frames_bad, "frames"), (fades_bad, "fades"), (~d.is_number(r + "globalGainDb") | ~n(r + "globalGainDb").between(-60, 24), "gain"),
+        (~n(f + "channels").isin(1, 2) | ~n(f + "sampleRate").isin(44100, 48000, 88200, 96000, 176400, 192000), "channels-or-rate"), (~n(f + "bitsPerSample").isin(16, 24, 32) | ~d.whole_number(f + "validBitsPerSample", 1) | (n(f + "validBitsPerSample") > n(f + "bitsPerSample")), "bits"),
+        (~d.is_number(f + "durationSeconds") | (end < 0) | ~d.whole_number(f + "fileSizeBytes"), "duration-or-size"), (F.size(d.rows(f"{a}.measurements.channels", "array<struct<channel:double>>")) != n(f + "channels"), "channel-measurements"), (d.forbidden(), "forbidden"),
+        (markers.isNull() | (F.size(markers) > MOST_MARKERS), "marker-list"), (F.coalesce(F.exists(markers, marker_bad), F.lit(False)), "marker"), (minimal & ~d.is_void(f"{a}.temporalDiagnostic"), "minimal-with-series"),
+        ((profile == "temporal-diagnostic") & (segments.isNull() | (F.size(segments) > MOST_SEGMENTS)), "segment-list"), (F.coalesce((profile == "temporal-diagnostic") & (F.size(F.filter(segments, segment_bad)) > 0), F.lit(False)), "segment"),
+        (evidence_.isNull() | (F.size(evidence_) > MOST_EVIDENCE), "evidence-list"), (F.coalesce(F.exists(evidence_, lambda e: F.coalesce(~e["classification"].isin("objective", "heuristic", "artistic", "mixed") | e["id"].isNull() | e["methodId"].isNull() | e["status"].isNull(), F.lit(True))), F.lit(False)), "evidence"),
+        (F.coalesce(F.size(F.array_distinct(F.transform(evidence_, lambda e: e["id"]))) < F.size(evidence_), F.lit(False)), "evidence-repeated"), (F.octet_length(json) > F.when(minimal, MINIMAL_BYTES).otherwise(TEMPORAL_BYTES), "bytes"),
+    ]
+    if expected:
+        rules.append((d.text("$.analysisDigest") != F.col(expected), "digest-differs"))
+    return _errors(bundles, d, rules)
+
+
+GUIDANCE_SCHEMA = "tonearchive.guidance/1"
+_SUGGESTIONS = "array<struct<id:string,classification:string,kind:string,summary:string,rationale:string,evidenceRefs:array<string>,globalGainDb:double,predictedIntegratedLufs:double,predictedTruePeakDbtp:double,confidence:double>>"
+
+
+def validate_guidance(guidance: DataFrame, json: str = "json", allowed: str | None = None) -> DataFrame:
+    """``errors`` of each guidance's JSON text. ``allowed`` names a column of the references that its receipt knows; else the standing evidence counts."""
+    d = _Document(json)
+    known = F.col(allowed) if allowed else F.array(*[F.lit(i) for i, _, _ in EVIDENCE])
+    items = d.rows("$.suggestions", _SUGGESTIONS)
+    some = lambda rule: F.coalesce(F.exists(items, lambda s: F.coalesce(rule(s), F.lit(True))), F.lit(False))
+    lists = [d.rows(p, "array<string>") for p in ("$.assumptions", "$.uncertainties")]
+    gain = lambda s: F.when(s["kind"] == "global-gain", ~F.coalesce(s["globalGainDb"].between(-60, 24), F.lit(False))).otherwise(s["globalGainDb"].isNotNull())
+    perspectives = d.rows("$.producer.vepPerspectives", "array<string>")
+    rules = [(d.unknown("$", "schema bundleId analysisDigest guidanceDigest createdAt producer summary assumptions uncertainties suggestions"), "keys:$"), (d.unknown("$.producer", "system component version method vepPerspectives model promptId runId trust"), "keys:$.producer")]
+    rules += _shape(d, GUIDANCE_SCHEMA)
+    rules += [
+        (~d.text("$.guidanceDigest").rlike(_HASH), "guidance-digest"), (~d.is_text("$.summary"), "summary"), (reduce(or_, [~d.is_text(f"$.producer.{k}") | (d.text(f"$.producer.{k}") == "") for k in ("system", "component", "version", "method")]), "producer"),
+        (perspectives.isNull() | (F.size(perspectives) == 0) | F.exists(perspectives, lambda p: p.isNull() | (p == "")), "perspectives"), (d.text("$.producer.trust") != "unsigned", "trust"), (reduce(or_, [~(d.is_text(f"$.producer.{k}") | d.is_void(f"$.producer.{k}")) for k in ("model", "promptId", "runId")]), "producer-optional"),
+        (items.isNull() | (F.size(items) > 100), "suggestion-list"), (some(lambda s: ~s["classification"].isin("objective", "heuristic", "artistic")), "classification"), (some(lambda s: ~s["kind"].isin("review", "global-gain", "question", "note")), "kind"), (some(lambda s: s["id"].isNull() | s["summary"].isNull() | s["rationale"].isNull()), "suggestion-text"),
+        (some(lambda s: F.size(F.array_except(s["evidenceRefs"], known)) > 0), "evidence"), (some(gain), "gain"), (some(lambda s: F.coalesce(~s["confidence"].between(0, 1), F.lit(False))), "confidence"), (reduce(or_, [x.isNull() | (F.size(x) > 100) for x in lists]), "text-lists"), (F.octet_length(json) > GUIDANCE_BYTES, "bytes"), (d.forbidden(), "forbidden"),
+    ]
+    return _errors(guidance, d, rules)
+
+
+def validate_receipts(rows: DataFrame) -> DataFrame:
+    """``errors`` of each receipt (bundle_id, digest, source_sha256, edit_digest, engine, method, evidence_ids, marker_ids, created_at)."""
+    form = lambda c, pattern: ~F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+    listed = lambda c: F.col(c).isNull() | F.exists(c, lambda x: x.isNull())
+    rules = [(form("bundle_id", f"(?i){_UUID}"), "bundle-id"), *[(form(c, _HASH), c) for c in ("digest", "source_sha256", "edit_digest")], *[(F.col(c).isNull(), c) for c in ("engine", "method")], *[(listed(c), c) for c in ("evidence_ids", "marker_ids")]]
+    return rows.withColumn("errors", all_that_hold(*rules, (F.col("created_at").try_cast("timestamp").isNull(), "created-at")))

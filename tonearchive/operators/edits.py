@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.audio import down, finite, gain, half_up
+from ..functions.audio import all_that_hold, down, finite, gain, half_up
 
 #: Limits of a decision (fixed values).
 GAIN_RANGE, LOCAL_RANGE, MOST_REGIONS = (-60.0, 24.0), (-60.0, 0.0), 256
@@ -81,23 +81,28 @@ def mid_side(frames: DataFrame) -> DataFrame:
 
 
 def gain_breakpoints(regions: DataFrame) -> DataFrame:
-    """Distinct knots of all gain curves of a recording."""
-    return regions.select("recording", F.explode(F.array("start_frame", "attack_end", "release_start", "end_frame")).alias("frame")).distinct()
+    """Distinct knots of all gain curves of a recording, the last frame of each included."""
+    last = F.greatest(F.col("release_start"), F.col("end_frame") - 1)
+    return regions.select("recording", F.explode(F.array("start_frame", "attack_end", "release_start", last, "end_frame")).alias("frame")).distinct()
 
 
 def peak_regions(events: DataFrame, ceiling: float = -2.0, transition: float = 0.2, padding: float = 0.05, margin: float = 0.3) -> DataFrame:
-    """A protective gain region around each peak event (recording, start_s, end_s, peak_db, sample_rate, frames).
+    """A protective gain region around each peak event (recording, start_s, end_s, peak_db, sample_rate, frames; peak_frame if it is not the start).
 
-    The reduction is at least 0.1 dB, floored to tenths.
+    The hold reaches from the padded start to the padded end and holds the peak; ramps lie outside it, within
+    the recording. The reduction is at least 0.1 dB, floored to tenths.
     """
-    rate, frames = F.col("sample_rate"), F.col("frames")
-    ramp = F.round(rate * transition)
-    start = F.greatest(F.lit(0), F.floor((F.col("start_s") - padding) * rate) - ramp).cast("long")
-    end = F.least(frames, F.ceil((F.col("end_s") + padding) * rate) + ramp).cast("long")
-    out = events.withColumn("start_frame", start).withColumn("end_frame", end)
-    out = out.withColumn("attack_end", F.least(F.col("start_frame") + ramp, F.col("end_frame")).cast("long"))
-    out = out.withColumn("release_start", F.greatest(F.col("attack_end"), F.col("end_frame") - ramp).cast("long"))
-    return out.withColumn("gain_db", F.greatest(F.lit(LOCAL_RANGE[0]), down(F.least(F.lit(-0.1), ceiling - F.col("peak_db") - margin), 1)))
+    frames = F.col("frames")
+    scaled = lambda seconds, least: F.greatest(F.lit(least), half_up(F.col("sample_rate") * seconds)).cast("long")
+    ramp, pad = scaled(transition, 1), scaled(padding, 0)
+    first = half_up(F.col("start_s") * F.col("sample_rate")).cast("long")
+    after = F.greatest(first + 1, half_up(F.col("end_s") * F.col("sample_rate")).cast("long"))
+    peak = F.coalesce("peak_frame", first) if "peak_frame" in events.columns else first
+    hold = F.least(peak, F.greatest(F.lit(0), first - pad))
+    done = F.greatest(peak + 1, F.least(frames, after + pad))
+    out = events.withColumns({"start_frame": F.greatest(F.lit(0), hold - ramp), "attack_end": hold, "release_start": F.greatest(hold, done - 1), "end_frame": F.least(frames, done + ramp)})
+    out = out.select(*events.columns, *[F.col(c).cast("long").alias(c) for c in ("start_frame", "attack_end", "release_start", "end_frame")])
+    return out.withColumn("target_dbtp", F.lit(ceiling)).withColumn("gain_db", F.greatest(F.lit(LOCAL_RANGE[0]), down(F.least(F.lit(-0.1), ceiling - F.col("peak_db") - margin), 1)))
 
 
 def place_window(recordings: DataFrame, anchor: str = "centre", seconds: float = 1200.0) -> DataFrame:
@@ -107,37 +112,48 @@ def place_window(recordings: DataFrame, anchor: str = "centre", seconds: float =
     return recordings.withColumn("start_s", F.greatest(F.lit(0.0), at)).withColumn("end_s", F.col("start_s") + length)
 
 
+#: Profiles of an export (fixed values): the payload as it is, or a processed one.
+TRIM, EDITED = "sample-payload-trim", "edited-wav"
+
+
 def normalize_edits(edits: DataFrame) -> DataFrame:
-    """Validated decisions: ``errors``, and the profile they amount to (untouched, trimmed or edited).
+    """Decisions with their defaults filled in, ``errors``, and the profile that they amount to unless one is stated.
 
-    Columns: recording, frames, start_frame, end_frame, gain_db, fade_in, fade_out, profile.
+    Columns: recording, frames (null: unknown), start_frame, end_frame, gain_db, other_gain_db (an older name's value),
+    fade_in, fade_out, local_regions (their number), profile; null means the default.
     """
-    length = F.col("end_frame") - F.col("start_frame")
-    changed = (F.col("gain_db") != 0) | (F.col("fade_in") > 0) | (F.col("fade_out") > 0)
-    inferred = F.when(changed, "edited").when((F.col("start_frame") > 0) | (F.col("end_frame") < F.col("frames")), "trimmed").otherwise("untouched")
-    errors = F.array_compact(
-        F.array(
-            F.when((F.col("start_frame") < 0) | (F.col("end_frame") > F.col("frames")) | (length <= 0), "range"),
-            F.when(~F.col("gain_db").between(*GAIN_RANGE), "gain"),
-            F.when((F.col("fade_in") < 0) | (F.col("fade_out") < 0) | (F.col("fade_in") > length) | (F.col("fade_out") > length), "fade"),
-            F.when(F.col("profile").isNotNull() & (F.col("profile") != inferred), "profile"),
-        )
-    )
-    return edits.withColumn("inferred", inferred).withColumn("errors", errors)
+    c, zero = F.col, F.lit(0)
+    out = edits.withColumn("start_frame", F.coalesce("start_frame", zero))
+    out = out.withColumn("end_frame", F.coalesce("end_frame", "frames", "start_frame")).withColumn("conflict", c("gain_db") != c("other_gain_db"))
+    out = out.withColumns({"gain_db": F.coalesce("gain_db", "other_gain_db", zero), **{n: F.coalesce(n, zero) for n in ("fade_in", "fade_out", "local_regions")}})
+    length = c("end_frame") - c("start_frame")
+    changed = (c("gain_db") != 0) | (c("fade_in") > 0) | (c("fade_out") > 0) | (c("local_regions") > 0)
+    out = out.withColumn("inferred", F.coalesce(F.nullif(F.col("profile"), F.lit("")), F.when(changed, EDITED).otherwise(TRIM)))
+    errors = all_that_hold(
+        ((c("start_frame") < 0) | (c("end_frame") > c("frames")) | (length < 0), "range"), (c("conflict"), "gain-conflict"), (~finite(c("gain_db").cast("double")) | ~c("gain_db").between(*GAIN_RANGE), "gain"),
+        (~c("fade_in").between(zero, length) | ~c("fade_out").between(zero, length), "fade"), (c("local_regions") > MOST_REGIONS, "regions"), (~c("inferred").isin(TRIM, EDITED), "profile"), ((c("inferred") == TRIM) & changed, "profile-contradiction"),
+    )
+    return out.withColumn("errors", errors).drop("conflict")
 
 
 def validate_gain_regions(regions: DataFrame) -> DataFrame:
-    """``errors`` per region: bounds, order of knots, gain, id length, repeated id, too many (recording, id, the four knots, gain_db, frames)."""
+    """Regions with ids trimmed and cut to 160 characters, their place by start, end and id, and ``errors``.
+
+    Columns: recording, id, start_frame, attack_end (null: the start), release_start (null: the last frame), end_frame,
+    gain_db, frames, target_dbtp (may be null). The last frame of attack and release lies before the end.
+    """
     from pyspark.sql import Window
 
-    own = Window.partitionBy("recording", "id")
+    c = F.col
     every = Window.partitionBy("recording")
-    ordered = (F.col("start_frame") < F.col("end_frame")) & F.col("attack_end").between(F.col("start_frame"), F.col("end_frame")) & F.col("release_start").between(F.col("attack_end"), F.col("end_frame"))
-    rules = F.array(
-        F.when((F.col("start_frame") < 0) | (F.col("end_frame") > F.col("frames")), "bounds"), F.when(~ordered, "order"), F.when(~F.col("gain_db").between(*LOCAL_RANGE), "gain"),
-        F.when(F.length("id") > 160, "id-length"), F.when(F.count("*").over(own) > 1, "id-repeated"), F.when(F.count("*").over(every) > MOST_REGIONS, "too-many"),
+    given = F.when(F.coalesce(F.length("id"), F.lit(0)) > 0, c("id")).otherwise(F.concat(F.lit("local-gain-"), F.row_number().over(every.orderBy("start_frame", "end_frame")).cast("string")))
+    out = regions.withColumns({"id": F.substring(F.trim(given), 1, 160), "attack_end": F.coalesce("attack_end", "start_frame"), "release_start": F.coalesce("release_start", c("end_frame") - 1)})
+    last = c("end_frame") - 1
+    errors = all_that_hold(
+        (~c("start_frame").between(0, c("frames")) | (last < c("start_frame")) | (c("end_frame") > c("frames")), "bounds"), (~c("attack_end").between(c("start_frame"), last) | ~c("release_start").between(c("attack_end"), last), "order"),
+        (~F.coalesce(c("gain_db").between(*LOCAL_RANGE), F.lit(False)), "gain"), (~c("target_dbtp").between(*LOCAL_RANGE), "target"), (c("id") == "", "id"), (F.count("*").over(Window.partitionBy("recording", "id")) > 1, "id-repeated"), (F.count("*").over(every) > MOST_REGIONS, "too-many"),
     )
-    return regions.withColumn("errors", F.array_compact(rules))
+    return out.withColumn("nth", F.row_number().over(every.orderBy("start_frame", "end_frame", "id"))).withColumn("errors", errors)
 
 
 def quantised(value: Column, noise: Column, bits: int) -> Column:

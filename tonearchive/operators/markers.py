@@ -26,21 +26,39 @@ KINDS = {
 SEVERITIES = ("critical", "review", "info")
 
 
-def marker_kind(text: Column) -> Column:
-    """Kind guessed from an imported marker's text, by the first words found."""
-    t = F.lower(text)
-    has = lambda *words: reduce(lambda a, b: a | b, [t.contains(w) for w in words])
-    return when_first(
-        (has("true peak", "true-peak"), "true-peak"), (has("sample peak", "sample-peak"), "sample-peak"), (has("momentary"), "momentary-max"), (has("short-term", "short term"), "short-term-max"),
-        (has("flat-top", "flat top", "clipping"), "flat-top"), (has("full scale", "overrange"), "overrange"), (has("digital zero", "silence"), "digital-zero"), (has("discontinuity", "click"), "discontinuity"),
-        (has("correlation", "phase"), "negative-correlation"), (has("rumble", "low frequency"), "low-frequency"), (has("invalid", "nan"), "invalid"), otherwise="review-point",
-    )
+#: Words that tell an imported marker's kind, in the order that they are looked for (fixed values).
+KIND_WORDS = (
+    (("true peak",), "true-peak"),
+    (("sample peak",), "sample-peak"),
+    (("ogilt", "invalid", "nan", "infinity"), "invalid-float"),
+    (("overrange",), "float-overrange"),
+    (("flat",), "possible-flat-top"),
+    (("tyst", "zero"), "silence"),
+    (("diskont", "discontinu"), "possible-discontinuity"),
+    (("momentary",), "momentary-maximum"),
+    (("short-term",), "short-term-maximum"),
+)
+MARKER_TYPES = ("descriptive", "technical", "privacy", "keep", "remove", "chapter", "user", "note")
 
 
-def marker_class(severity: Column) -> Column:
-    """Severity normalised to critical, review or info."""
-    s = F.lower(F.trim(severity))
-    return F.when(s.isin("critical", "error"), "critical").when(s.isin("review", "warning", "notice"), "review").otherwise("info")
+def marker_kind(text: Column, explicit: Column | None = None) -> Column:
+    """The kind that a marker states (lower case, at most 100 characters), else the one that its words tell, else review-point."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    rules = [(reduce(lambda a, b: a | b, [t.contains(w) for w in words]), kind) for words, kind in KIND_WORDS]
+    told = when_first(*rules, otherwise="review-point")
+    return told if explicit is None else F.coalesce(F.nullif(F.substring(F.lower(F.trim(explicit)), 1, 100), F.lit("")), told)
+
+
+def marker_severity(severity: Column) -> Column:
+    """critical, review or information (also written info); everything else is for review."""
+    return F.when(severity == "info", "information").when(severity.isin("critical", "review", "information"), severity).otherwise("review")
+
+
+def marker_class(objective: Column, heuristic: Column, classification: Column) -> Column:
+    """objective unless also heuristic, heuristic, or what is stated if it is a known class; else heuristic."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    stated = F.when(classification.isin("objective", "heuristic", "artistic"), classification).otherwise("heuristic")
+    return F.when(yes(objective) & ~yes(heuristic), "objective").when(yes(heuristic), "heuristic").otherwise(stated)
 
 
 def sanitize_markers(markers: DataFrame, duration: Column, exact: bool = False) -> DataFrame:
@@ -51,11 +69,18 @@ def sanitize_markers(markers: DataFrame, duration: Column, exact: bool = False)
 
 
 def normalize_markers(markers: DataFrame) -> DataFrame:
-    """Imported rows (seconds, type, severity, review as text): unknown words replaced, rows without a time dropped."""
-    out = markers.withColumn("seconds", F.expr("try_cast(seconds as double)")).where(finite("seconds") & (F.col("seconds") >= 0))
-    out = out.withColumn("severity", F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("info"))
-    out = out.withColumn("review", F.when(F.col("review").isin("open", "reviewed", "dismissed"), F.col("review")).otherwise("open"))
-    return out.withColumn("type", F.when(F.col("type").isin("technical", "editorial", "privacy", "remove", "note"), F.col("type")).otherwise("note"))
+    """Imported rows, all texts: unknown words replaced, times made numbers and not negative; rows without a time are dropped.
+
+    Columns: seconds, end_seconds, type, severity, review, objective, suggested, origin, text.
+    """
+    number = lambda c: F.when(finite(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
+    zero, s = F.lit(0.0), F.lower(F.coalesce("severity", F.lit("")))
+    out = markers.where(number("seconds").isNotNull()).withColumns({"seconds": F.greatest(zero, number("seconds")), "end_seconds": F.greatest(zero, F.coalesce(number("end_seconds"), number("seconds")))})
+    severity = F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).when(s.rlike("warning|error|critical"), "critical").when(s.rlike("notice|technical"), "review").otherwise("info")
+    return out.withColumns({
+        "type": F.when(F.col("type").isin(*MARKER_TYPES), F.col("type")).otherwise("user"), "severity": severity, "review": F.when(F.col("review").isin("unreviewed", "accepted", "false-positive"), F.col("review")).otherwise("unreviewed"),
+        "objective": F.coalesce("objective", F.lit(True)), "suggested": F.coalesce("suggested", F.lit(False)), "origin": F.coalesce("origin", F.when(F.coalesce("suggested", F.lit(False)), "analysis").otherwise("user")), "text": F.coalesce("text", F.lit("Marker")),
+    })
 
 
 def filter_markers(markers: DataFrame, severity: str | None = None, layer: str | None = None, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -104,9 +129,10 @@ def order_markers(markers: DataFrame) -> DataFrame:
 
 
 def marker_counts(markers: DataFrame) -> DataFrame:
-    """Counts per recording and severity with recording totals (severity null), and those not yet reviewed."""
-    waiting = F.col("review") != "reviewed"
-    return markers.rollup("recording", "severity").agg(F.count("*").alias("n"), F.count_if(waiting).alias("unreviewed"), F.count_if(waiting & (F.col("severity") == "critical")).alias("unreviewed_critical")).where("recording is not null")
+    """Counts per recording and severity with recording totals (severity null), and those not yet reviewed: all, critical, and of privacy or removal."""
+    waiting = F.col("review") == "unreviewed"
+    counts = [F.count("*").alias("n"), F.count_if(waiting).alias("unreviewed"), F.count_if(waiting & (F.col("severity") == "critical")).alias("unreviewed_critical"), F.count_if(waiting & F.col("type").isin("privacy", "remove")).alias("unreviewed_editorial")]
+    return markers.rollup("recording", "severity").agg(*counts).where("recording is not null")
 
 
 def peaks_in_regions(peaks: DataFrame, regions: DataFrame) -> DataFrame:
@@ -123,10 +149,15 @@ def interval_peak(regions: DataFrame, steps: DataFrame, fallback: DataFrame) ->
     return out.withColumn("level", F.coalesce("inside", "whole"))
 
 
-def cue_sheet(markers: DataFrame, selections: DataFrame, types: tuple[str, ...], most: int = 200) -> DataFrame:
-    """Markers of allowed types inside a recording's selection, at times relative to its start, in order."""
+#: Types of a user's markers that a cue sheet takes (fixed values).
+CUE_TYPES = ("descriptive", "user", "note", "privacy", "keep", "remove", "chapter")
+
+
+def cue_sheet(markers: DataFrame, selections: DataFrame, types: tuple[str, ...] = CUE_TYPES, most: int = 200) -> DataFrame:
+    """A user's markers of allowed types (null: user) inside a recording's selection, at times relative to its start, in order; the first ``most``."""
     inside = (F.col("seconds") >= F.col("start_s")) & (F.col("seconds") <= F.col("end_s"))
-    out = markers.where(F.col("type").isin(*types)).join(selections, "recording").where(inside)
-    out = out.withColumn("cue_start", F.col("seconds") - F.col("start_s")).withColumn("cue_end", F.least(F.coalesce("end_seconds", "seconds"), "end_s") - F.col("start_s"))
+    out = markers.withColumn("type", F.coalesce("type", F.lit("user"))).where((F.col("origin") == "user") & F.col("type").isin(*types)).join(selections, "recording").where(inside)
+    end = F.greatest(F.lit(0.0), F.coalesce("end_seconds", "seconds") - F.col("start_s"))
+    out = out.withColumn("cue_start", F.col("seconds") - F.col("start_s")).withColumn("cue_end", F.least(F.col("end_s") - F.col("start_s"), end))
     order = Window.partitionBy("recording").orderBy("seconds", "id")
     return out.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)

@@ -128,6 +128,37 @@ def conformance(expected: DataFrame, measured: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("actual").isNull(), "missing").when(gap.between(F.col("lower"), F.col("upper")), "passed").otherwise("failed"))
 
 
+#: What a report's figures are called in its layouts, newest first (fixed values).
+FIGURES = {
+    "loudness": ("integratedLufs", "lufsI"),
+    "peak": ("truePeakEstimateDbtp", "truePeakDbtp"),
+    "loudness_range": ("loudnessRangeLu", "lra"),
+    "plr": ("plrEstimateLu", "plrLu"),
+    "balance": ("channelBalanceDb",),
+    "mono_delta": ("monoCompatibility.energyDeltaDb", "monoEnergyDeltaDb"),
+}
+_SUMMARY = f"struct<{','.join(f'{n}:double' for names in FIGURES.values() for n in names if '.' not in n)},monoCompatibility:struct<energyDeltaDb:double>>"
+_FILE = f"summary:{_SUMMARY},format:struct<durationSeconds:double>,duration:double"
+_REPORT = (
+    f"struct<sections:struct<verifiedExportFile:struct<analysis:struct<{_FILE}>,verifiedOutput:struct<{_FILE}>,{_FILE}>>,verifiedOutput:struct<{_FILE}>,exportReport:struct<verifiedOutput:struct<{_FILE}>>,summary:{_SUMMARY},metadata:struct<durationSeconds:double>>"
+)
+
+
+def report_values(reports: DataFrame, report: str = "report") -> DataFrame:
+    """Figures of each JSON report, whatever layout it has: those of ``FIGURES`` and duration.
+
+    The first place that is there counts: the verified file's analysis, its output, the section itself if it holds
+    a measurement, the report's verified output, an export report's. Its own summary and metadata come last.
+    """
+    r, section = F.col("_report"), F.col("_report.sections.verifiedExportFile")
+    itself = F.when(section["summary"].isNotNull() | section["format"].isNotNull(), F.struct(*[section[n].alias(n) for n in ("summary", "format", "duration")]))
+    found = F.coalesce(section["analysis"], section["verifiedOutput"], itself, r["verifiedOutput"], r["exportReport"]["verifiedOutput"])
+    out = reports.withColumn("_report", F.from_json(report, _REPORT)).withColumn("_found", found).withColumn("_summary", F.coalesce("_found.summary", "_report.summary"))
+    figures = {k: F.coalesce(*[F.col(f"_summary.{n}") for n in names]) for k, names in FIGURES.items()}
+    duration = F.coalesce("_found.format.durationSeconds", "_found.duration", "_report.metadata.durationSeconds")
+    return out.withColumns(figures | {"duration": duration}).drop("_report", "_found", "_summary")
+
+
 def series_overview(reports: DataFrame, fields: list[str], key: str = "series") -> DataFrame:
     """Per series and field: median, least, greatest and count; rows without any number are left out."""
     some = F.greatest(*[F.when(finite(f), 1).otherwise(0) for f in fields]) == 1 if len(fields) > 1 else finite(fields[0])

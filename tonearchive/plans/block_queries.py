@@ -61,7 +61,7 @@ def k4(spark, d):
     return out(blocks.block_runs(signals.blocks(spark, d), 0.1, {"overrange": 2}), "recording start end length", "", "kind")
 
 
-_WINDOWS = "n as (select recording, max(frame) + 1 as len from samples group by 1), win as (select distinct recording, floor((len - least(len, 1000)) * i / 11 + 0.5)::bigint as window_start, floor((len - least(len, 1000)) * i / 11 + 0.5)::bigint + least(len, 1000) as window_end from n, range(12) t(i))"
+_WINDOWS = "n as (select recording, max(frame) + 1 as len from samples group by 1), win as (select distinct recording, floor((len - least(len, 240000)) * i / 11 + 0.5)::bigint as window_start, floor((len - least(len, 240000)) * i / 11 + 0.5)::bigint + least(len, 240000) as window_end from n, range(12) t(i))"
 
 
 def _samples(spark, d):
@@ -70,7 +70,7 @@ def _samples(spark, d):
 
 def _windows(spark, d):
     lengths = signals.blocks(spark, d).groupBy("recording").agg((F.count("*") * BLOCK).alias("length")).withColumn("start", F.lit(0))
-    return spectral.spectral_windows(lengths, RATE, 12, 1000 / RATE)
+    return spectral.spectral_windows(lengths, RATE)
 
 
 @query("k5_spectral_windows", f"with {_WINDOWS} select recording, window_start, window_end from win", "blocks")
@@ -145,9 +145,9 @@ def a2(spark, d):
 _PCM = lambda c: f"floor(greatest(-1.0, least(1 - 1 / 32768.0, {c})) * 32768 + 0.5) / 32768"
 
 
-@query("a3_wav_blocks", f'with c as (select recording, frame, 0 as channel, "left" as v from frames union all select recording, frame, 1, "right" from frames) select recording, channel::bigint as channel, frame // 10 as block_no, count(*) as n, {r("sum(" + _PCM("v") + ")", "total")} from c where recording % 10 > 4 or recording % 10 = 0 group by all', "frames")
+@query("a3_wav_blocks", f'with c as (select recording, frame, 0 as channel, "left" as v from frames union all select recording, frame, 1, "right" from frames) select recording, channel::bigint as channel, frame // 10 as block_no, count(*) as n, {r("sum(" + _PCM("v") + ")", "total")} from c join (select recording, max(frame) + 1 as n from frames group by 1) using (recording) where recording % 10 = 0 or recording % 10 > 4 or (recording % 10 = 4 and frame < n - 2) group by all', "frames")
 def a3(spark, d):
-    found = wav.wav_blocks(_files(spark, d), 10 / RATE).withColumn("recording", F.regexp_extract("path", r"(\d+)", 1).cast("long")).where("recording % 10 > 4 or recording % 10 = 0")
+    found = wav.wav_blocks(_files(spark, d), 10 / RATE).withColumn("recording", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
     return out(found.withColumn("n", F.size("samples")).withColumn("total", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)), "recording channel block_no n", "total")
 
 

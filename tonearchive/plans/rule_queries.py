@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import documents, markers, regions, rules, stats
@@ -23,7 +25,7 @@ def _more(spark, d):
     )
 
 
-_RULES = [("truncated", "truncated-data"), ("not_finite > 0", "non-finite"), ("overrange > 0", "overrange"), ("flat_tops > 0", "flat-top"), ("discontinuities > 0", "discontinuity"), ("zero_seconds > 0", "digital-zero"), ("low_seconds > 0", "low-level"), ("overrange_regions > 1000", "overrange-region-limit"), ("duration < 60 and loudness_range is not null", "lra-short"), ("not byte_rate_ok", "byte-rate"), ("integrated is null and frames > 0", "below-gate"), ("frames = 0", "no-valid-frames")]
+_RULES = [("truncated", "truncated-data"), ("not_finite > 0", "non-finite"), ("overrange > 0", "overrange"), ("flat_tops > 0", "flat-top"), ("discontinuities > 0", "discontinuity"), ("zero_seconds > 0", "digital-zero"), ("low_seconds > 0", "low-level"), ("overrange_regions > 1000", "overrange-region-limit"), ("duration < 60 and loudness_range is not null", "lra-short"), ("not byte_rate_ok", "byte-rate"), ("integrated is null", "below-gate"), ("frames = 0", "no-valid-frames")]
 _list = lambda rows: "list_filter([" + ", ".join(f"case when {c} then '{t}' end" for c, t in rows) + "], lambda x: x is not null)"
 _case = lambda rows, end=None: "case " + " ".join(f"when {c} then '{t}'" for c, t in rows) + (f" else '{end}'" if end else "") + " end"
 _OBS = f"o as (select recording, unnest({_list(_RULES)}) as observation, generate_subscripts({_list(_RULES)}, 1) as nth from rep)"
@@ -42,14 +44,19 @@ def f32(spark, d):
     return out(rules.next_steps(rules.observations(_more(spark, d))), "recording", "", "observation severity step")
 
 
-@query("f2_marker_kind", """select recording, id, case when lower(text) like '%flat-top%' then 'flat-top' when lower(text) like '%full scale%' then 'overrange' when lower(text) like '%digital zero%' then 'digital-zero' when lower(text) like '%click%' then 'discontinuity' else 'review-point' end as kind from markers""", "markers")
+@query("f2_marker_kind", """select recording, id, case when severity = 'critical' then 'own kind' when type = 'view' then 'invalid-float' when type = 'click' then 'possible-flat-top' when type = 'error' then 'silence' else 'review-point' end as kind from markers""", "markers")
 def f2(spark, d):
-    return out(signals.markers(spark, d).withColumn("kind", markers.marker_kind(F.col("text"))), "recording", "", "id kind")
+    m = signals.markers(spark, d)
+    text = F.when(F.col("type") == "view", "Short-term step to INFINITY").otherwise(F.col("text"))
+    return out(m.withColumn("kind", markers.marker_kind(text, F.when(F.col("severity") == "critical", " Own Kind ").otherwise(" "))), "recording", "", "id kind")
 
 
-@query("f3_marker_class", "select recording, id, case type when 'error' then 'critical' else 'info' end as class from markers", "markers")
+@query("f3_marker_class", """select recording, id, case type when 'click' then 'information' when 'error' then 'review' else replace(severity, 'info', 'information') end as severity, case type when 'view' then 'objective' when 'error' then 'artistic' else 'heuristic' end as class from markers""", "markers")
 def f3(spark, d):
-    return out(signals.markers(spark, d).withColumn("class", markers.marker_class(F.col("type"))), "recording", "", "id class")
+    t = F.col("type")
+    severity = F.when(t == "click", "info").when(t == "error", "error").otherwise(F.col("severity"))
+    kind = markers.marker_class(t.isin("view", "click"), t == "click", F.when(t == "error", "artistic").otherwise("odd"))
+    return out(signals.markers(spark, d).withColumn("class", kind).withColumn("severity", markers.marker_severity(severity)), "recording", "", "id severity class")
 
 
 @query("f4_sanitize", f"""with k as (select *, severity = 'critical' and type = 'view' as exact from markers), t as (select *, greatest(0.0, least(100.0, case when exact then seconds else floor(seconds + 0.5) end)) as s, greatest(0.0, least(100.0, case when exact then end_seconds else floor(end_seconds + 0.5) end)) as e from k)
@@ -59,12 +66,15 @@ def f4(spark, d):
     return out(markers.sanitize_markers(m, F.lit(100.0)), "recording", "start_s end_s", "id")
 
 
-@query("f5_normalize", """with i as (select recording, id, case when type = 'error' then 'soon' when type = 'view' then '-1' else cast(seconds as varchar) end as seconds, type, case when type = 'click' then 'severe' else severity end as severity, review from markers)
- select recording, id, floor(try_cast(seconds as double) * 1e6 + 0.5) / 1e6 + 0.0 as seconds, 'note' as type, case when severity in ('critical', 'review', 'info') then severity else 'info' end as severity, review from i where try_cast(seconds as double) >= 0""", "markers")
+@query("f5_normalize", f"""select recording, id, {r("case when type = 'view' then 0.0 else seconds end", "seconds")}, {r("case type when 'click' then seconds else end_seconds end", "end_seconds")}, case when type = 'click' then 'privacy' else 'user' end as type,
+ case type when 'click' then 'critical' when 'view' then 'review' else severity end as severity, case when review = 'reviewed' then 'accepted' else 'unreviewed' end as review, case when type = 'signup' then 'analysis' else 'user' end as origin from markers where type <> 'error'""", "markers")
 def f5(spark, d):
-    m = signals.markers(spark, d)
-    raw = m.withColumn("seconds", F.when(F.col("type") == "error", "soon").when(F.col("type") == "view", "-1").otherwise(F.col("seconds").cast("string"))).withColumn("severity", F.when(F.col("type") == "click", "severe").otherwise(F.col("severity")))
-    return out(markers.normalize_markers(raw), "recording", "seconds", "id type severity review")
+    m, t = signals.markers(spark, d), F.col("type")
+    raw = m.select(
+        "recording", "id", F.when(t == "error", "soon").when(t == "view", "-1").otherwise(F.col("seconds").cast("string")).alias("seconds"), F.when(t != "click", F.col("end_seconds").cast("string")).alias("end_seconds"), F.when(t == "click", "privacy").otherwise(t).alias("type"),
+        F.when(t == "click", "Warning!").when(t == "view", "technical").otherwise(F.col("severity")).alias("severity"), F.when(F.col("review") == "reviewed", "accepted").otherwise(F.col("review")).alias("review"), F.lit(None).cast("boolean").alias("objective"), (t == "signup").alias("suggested"), F.lit(None).cast("string").alias("origin"), "text",
+    )
+    return out(markers.normalize_markers(raw), "recording", "seconds end_seconds", "id type severity review origin")
 
 
 @query("b12_filter_markers", "with k as (select *, case when text like '%full scale%' then 'overrange' when text like '%zero%' then 'digital-zero' else 'other' end as kind from markers) select recording, id from k where severity = 'review' and kind = 'overrange' and end_seconds >= 10 and seconds <= 60", "markers")
@@ -83,9 +93,10 @@ def l4(spark, d):
     return out(markers.order_markers(signals.markers(spark, d)), "recording nth", "", "id")
 
 
-@query("c15_marker_counts", "select recording, severity, count(*) as n, count(*) filter (review <> 'reviewed') as unreviewed, count(*) filter (review <> 'reviewed' and severity = 'critical') as unreviewed_critical from markers group by rollup (recording, severity) having recording is not null", "markers")
+@query("c15_marker_counts", "select recording, severity, count(*) as n, count(*) filter (review <> 'reviewed') as unreviewed, count(*) filter (review <> 'reviewed' and severity = 'critical') as unreviewed_critical, count(*) filter (review <> 'reviewed' and type = 'click') as unreviewed_editorial from markers group by rollup (recording, severity) having recording is not null", "markers")
 def c15(spark, d):
-    return out(markers.marker_counts(signals.markers(spark, d)), "recording n unreviewed unreviewed_critical", "", "severity")
+    m = signals.markers(spark, d).withColumn("type", F.when(F.col("type") == "click", "privacy").otherwise(F.col("type"))).withColumn("review", F.when(F.col("review") == "reviewed", "accepted").otherwise("unreviewed"))
+    return out(markers.marker_counts(m), "recording n unreviewed unreviewed_critical unreviewed_editorial", "", "severity")
 
 
 @query("j4_merge_markers", "with a as (select recording, id, 'user' as origin from markers where type in ('view', 'click')), b as (select recording, id, 'machine' as origin from markers where type in ('click', 'error')) select * from a union all select * from b where not exists (select 1 from a where a.id = b.id and a.recording = b.recording)", "markers")
@@ -136,17 +147,25 @@ def j6(spark, d):
     return out(markers.interval_peak(m, step, whole), "recording", "level", "id")
 
 
-@query("j7_cue_sheet", f"""with c as (select *, row_number() over (partition by recording order by seconds, id) as nth from markers where type in ('click', 'view') and seconds >= 10 and seconds <= 90)
+@query("j7_cue_sheet", f"""with c as (select *, row_number() over (partition by recording order by seconds, id) as nth from markers where type in ('click', 'signup') and severity <> 'info' and seconds >= 10 and seconds <= 90)
  select recording, id, {r("seconds - 10", "cue_start")}, {r("least(end_seconds, 90.0) - 10", "cue_end")}, nth from c where nth <= 200""", "markers")
 def j7(spark, d):
-    m = signals.markers(spark, d)
+    m, t = signals.markers(spark, d), F.col("type")
+    m = m.withColumn("origin", F.when(F.col("severity") == "info", "analysis").otherwise("user")).withColumn("type", F.when(t == "click", "chapter").when(t != "signup", "technical"))
     selections = m.select("recording").distinct().select("recording", F.lit(10.0).alias("start_s"), F.lit(90.0).alias("end_s"))
-    return out(markers.cue_sheet(m, selections, ("click", "view")), "recording nth", "cue_start cue_end", "id")
+    return out(markers.cue_sheet(m, selections), "recording nth", "cue_start cue_end", "id")
 
 
 @query("c14_series_overview", f"with u as (unpivot (select series, loudness, peak, duration from reports) on loudness, peak, duration into name field value value) select series, field, {r('quantile_cont(value, 0.5)', 'median')}, {r('min(value)', 'least')}, {r('max(value)', 'greatest')}, count(*) as n from u group by all", "reports")
 def c14(spark, d):
-    return out(stats.series_overview(signals.reports(spark, d), ["loudness", "peak", "duration"]), "n", "median least greatest", "series field")
+    rep, n = signals.reports(spark, d), F.col("recording")
+    summary = F.struct(F.col("loudness").alias("integratedLufs"), F.col("peak").alias("truePeakDbtp"))
+    verified = F.struct(F.struct(F.col("duration").alias("durationSeconds")).alias("format"), summary.alias("summary"))
+    older = F.struct(F.col("duration").alias("duration"), F.struct(F.col("loudness").alias("lufsI"), F.col("peak").alias("truePeakEstimateDbtp")).alias("summary"))
+    sections = lambda x: F.to_json(F.struct(F.struct(x.alias("verifiedExportFile")).alias("sections")))
+    layouts = [sections(F.struct(verified.alias("analysis"))), sections(F.struct(older.alias("verifiedOutput"))), sections(verified), F.to_json(F.struct(older.alias("verifiedOutput"))), F.to_json(F.struct(F.struct(older.alias("verifiedOutput")).alias("exportReport"))), F.to_json(F.struct(summary.alias("summary"), F.struct(F.col("duration").alias("durationSeconds")).alias("metadata")))]
+    report = F.element_at(F.array(*layouts), (n % len(layouts) + 1).cast("int"))
+    return out(stats.series_overview(stats.report_values(rep.select("series", report.alias("report"))), ["loudness", "peak", "duration"]), "n", "median least greatest", "series field")
 
 
 @query("c16_spectral_summary", f"select recording, {r('quantile_cont(energy, 0.5)', 'energy_median')}, {r('max(energy)', 'energy_max')}, {r('quantile_cont(correlation, 0.5)', 'correlation_median')}, {r('max(correlation)', 'correlation_max')} from steps group by recording", "steps")
@@ -163,15 +182,15 @@ def c17(spark, d):
     return out(stats.conformance(expected, measured).groupBy("series", "status").agg(F.count("*").alias("n")), "n", "", "series status")
 
 
-_GATE_COLUMNS = "g as (select *, recording % 5 = 0 as bit_exact, recording % 2 = 0 as changed, case when recording % 7 = 0 then 20 else 24 end as valid_bits, 24 as bits, -2.0 as ceiling, recording % 5 <> 0 as enforce, peak as peak_db, recording % 3 = 0 as pcm, recording % 4 as clamped, gain * 6 as gain_db from rep)"
-_GATE_RULES = [("frames <= 0", "EMPTY_RANGE"), ("gain_db < -60 or gain_db > 24", "GAIN_RANGE"), ("bit_exact and changed", "PROFILE_REQUIRES_BIT_EXACT_PAYLOAD"), ("valid_bits <> bits and not bit_exact", "VALID_BITS_REENCODE_BLOCKED"), ("enforce and peak_db > ceiling", "TRUE_PEAK_CEILING_EXCEEDED"), ("not_finite > 0 and not bit_exact", "INVALID_FLOAT_TRANSFORM_BLOCKED"), ("pcm and clamped > 0", "PCM_CLAMPING_RISK")]
+_GATE_COLUMNS = "g as (select *, recording % 5 = 0 as bit_exact, recording % 2 = 0 as changed, case when recording % 7 = 0 then 20 else 24 end as valid_bits, 24 as bits, case when recording % 29 = 0 then -70.0 when recording % 31 <> 0 then -2.0 end as ceiling, case when recording % 3 = 0 then recording % 5 <> 0 end as enforce, peak as peak_db, recording % 3 = 0 as pcm, case recording % 4 when 0 then 0.5 when 1 then 0.9999998 when 2 then 1.2 else 0.3 end as maximum, case when recording % 8 = 3 then -1.1 else -0.5 end as minimum, gain * 6 as gain_db from rep)"
+_GATE_RULES = [("frames <= 0", "EMPTY_RANGE"), ("gain_db < -60 or gain_db > 24", "GAIN_RANGE"), ("bit_exact and changed", "PROFILE_REQUIRES_BIT_EXACT_PAYLOAD"), ("valid_bits <> bits and not bit_exact", "VALID_BITS_REENCODE_BLOCKED"), ("recording % 29 = 0 or recording % 31 = 0", "CEILING_RANGE"), ("recording % 5 <> 0 and peak > -2.0 + 1e-9", "TRUE_PEAK_CEILING_EXCEEDED"), ("not_finite > 0 and not bit_exact", "INVALID_FLOAT_TRANSFORM_BLOCKED"), ("pcm and (recording % 4 = 2 or recording % 8 = 3 or (recording % 4 = 1 and not bit_exact))", "PCM_CLAMPING_RISK")]
 
 
 def _gate(spark, d):
     n = F.col("recording")
     return _more(spark, d).select(
-        "*", (n % 5 == 0).alias("bit_exact"), (n % 2 == 0).alias("changed"), F.when(n % 7 == 0, 20).otherwise(24).alias("valid_bits"), F.lit(24).alias("bits"), F.lit(-2.0).alias("ceiling"), (n % 5 != 0).alias("enforce"),
-        F.col("peak").alias("peak_db"), (n % 3 == 0).alias("pcm"), (n % 4).alias("clamped"), (F.col("gain") * 6).alias("gain_db"),
+        "*", (n % 5 == 0).alias("bit_exact"), (n % 2 == 0).alias("changed"), F.when(n % 7 == 0, 20).otherwise(24).alias("valid_bits"), F.lit(24).alias("bits"), F.when(n % 29 == 0, -70.0).when(n % 31 != 0, -2.0).alias("ceiling"), F.when(n % 3 == 0, n % 5 != 0).alias("enforce"),
+        F.col("peak").alias("peak_db"), (n % 3 == 0).alias("pcm"), F.when(n % 4 == 0, 0.5).when(n % 4 == 1, 0.9999998).when(n % 4 == 2, 1.2).otherwise(0.3).alias("maximum"), F.when(n % 8 == 3, -1.1).otherwise(-0.5).alias("minimum"), (F.col("gain") * 6).alias("gain_db"),
     )
 
 
@@ -180,21 +199,24 @@ def f8(spark, d):
     return out(rules.export_gate(_gate(spark, d)), "recording", "", "gate")
 
 
-@query("f9_verify_output", f"""with {_MORE}, {_GATE_COLUMNS} select recording, {_case([("recording % 23 = 0", "OUTPUT_STRUCTURE_VERIFICATION_FAILED"), ("enforce and peak_db > ceiling", "VERIFIED_TRUE_PEAK_CEILING_EXCEEDED"), ("not_finite > 0 and not bit_exact", "VERIFIED_INVALID_FLOAT"), ("bit_exact and changed", "SAMPLE_PAYLOAD_IDENTITY_FAILED")], "ok")} as verified from g""", "reports")
+@query("f9_verify_output", f"""with {_MORE}, {_GATE_COLUMNS} select recording, {_case([("recording % 23 = 0", "OUTPUT_STRUCTURE_VERIFICATION_FAILED"), ("recording % 3 = 0 and recording % 5 <> 0 and ceiling is not null and peak_db > ceiling", "VERIFIED_TRUE_PEAK_CEILING_EXCEEDED"), ("not_finite > 0 and not bit_exact", "VERIFIED_INVALID_FLOAT"), ("bit_exact and changed", "SAMPLE_PAYLOAD_IDENTITY_FAILED")], "ok")} as verified from g""", "reports")
 def f9(spark, d):
     n = F.col("recording")
     rows = _gate(spark, d).withColumn("structure_equal", n % 23 != 0).withColumn("source_hash", F.sha2(n.cast("string"), 256)).withColumn("output_hash", F.sha2(F.when(F.col("changed"), F.concat(n.cast("string"), F.lit("x"))).otherwise(n.cast("string")), 256))
     return out(rules.verify_output(rows), "recording", "", "verified")
 
 
-_PUB = [("recording % 2 = 1", "title"), ("recording % 3 = 1", "episode"), ("recording % 5 = 1", "place"), ("abs(duration - 1200) > 0.001 and recording % 4 > 0", "duration"), ("recording % 7 = 1", "verified"), ("unreviewed > 0", "reviewed"), ("recording % 11 = 1", "full_listen"), ("recording % 13 = 1", "boundaries"), ("recording % 17 = 1", "privacy"), ("recording % 19 = 1", "archived")]
+_PUB = [("abs(duration - 1200) > 0.001 and recording % 4 > 0", "duration"), ("recording % 7 = 1", "verified_wav"), ("recording % 5 in (1, 2)", "markers_reviewed"), ("recording % 11 = 1", "full_listen"), ("recording % 13 = 1", "boundaries"), ("recording % 6 = 1", "stereo"), ("recording % 9 = 1", "mono"), ("recording % 17 = 1", "privacy"), ("recording % 2 = 1 or recording % 3 = 1", "metadata"), ("recording % 19 = 1", "archive_saved")]
 
 
-@query("f10_publication", f"with {_MORE}, p as (select recording, list_aggregate({_list(_PUB)}, 'string_agg', ',') as incomplete from rep) select recording, coalesce(incomplete, '') as incomplete, case when incomplete is null then 'ready' else 'incomplete' end as status from p", "reports")
+@query("f10_publication", f"with {_MORE}, p as (select recording, list_aggregate({_list(_PUB)}, 'string_agg', ',') as incomplete from rep) select recording, coalesce(incomplete, '') as incomplete, case when incomplete is null then 'ready' else 'review-required' end as status from p", "reports")
 def f10(spark, d):
     n = F.col("recording")
-    mods = {"title": 2, "episode": 3, "place": 5, "verified": 7, "full_listen": 11, "boundaries": 13, "privacy": 17, "archived": 19}
-    rows = _more(spark, d).select("recording", F.col("duration").alias("duration_s"), "unreviewed", F.when(n % 4 == 0, "shortened on purpose").alias("note"), *[(n % m != 1).alias(c) for c, m in mods.items()])
+    mods = {"verified": 7, "full_listen": 11, "boundaries": 13, "stereo": 6, "mono": 9, "privacy": 17, "archived": 19}
+    rows = _more(spark, d).select(
+        "recording", F.col("duration").alias("duration_s"), F.when(n % 4 == 0, "shortened on purpose").otherwise("  ").alias("note"), F.when(n % 5 == 1, 3).otherwise(0).alias("critical_unreviewed"), F.when(n % 5 == 2, 1).otherwise(0).alias("editorial_unreviewed"),
+        F.when(n % 2 == 0, "Title").otherwise(" ").alias("title"), F.when(n % 3 != 1, n).alias("episode"), F.lit("Here").alias("place"), *[(n % m != 1).alias(c) for c, m in mods.items()],
+    )
     return out(rules.publication_status(rows).withColumn("incomplete", F.concat_ws(",", "incomplete")), "recording", "", "incomplete status")
 
 
@@ -203,58 +225,93 @@ def f11(spark, d):
     return out(signals.reports(spark, d).withColumn("proposal", rules.series_proposal(F.col("gain"), F.col("loudness"), F.col("peak"))), "recording", "proposal")
 
 
-@query("f12_peak_scenarios", f"with s as (select *, unnest([-1.0, -2.0, -3.0]::double[]) as ceiling from reports) select recording, {r('ceiling', 'ceiling')}, {r('greatest(-60.0, least(0.0, floor((ceiling - peak) * 10) / 10))', 'reduction')} from s", "reports")
+@query("f12_peak_scenarios", f"""with s as (select *, unnest([-1.0, -2.0, -3.0]::double[]) as ceiling from reports), t as (select *, case when recording % 8 > 0 then least(0.0, ceiling - peak) end as reduction from s)
+ select recording, {r('ceiling', 'ceiling')}, {r('reduction', 'reduction')}, {r('peak + reduction', 'peak_after')}, {r('loudness + reduction', 'loudness_after')}, {r('case when reduction >= -0.01 then gain else greatest(-60.0, floor((gain + reduction) * 10) / 10) end', 'next_gain')} from t where reduction is not null
+ union all select recording, {r('ceiling', 'ceiling')}, null, null, null, null from t where reduction is null""", "reports")
 def f12(spark, d):
-    return out(rules.peak_scenarios(signals.reports(spark, d)), "recording", "ceiling reduction")
+    rows = signals.reports(spark, d).withColumn("peak", F.when(F.col("recording") % 8 > 0, F.col("peak")))
+    return out(rules.peak_scenarios(rows), "recording", "ceiling reduction peak_after loudness_after next_gain")
+
+
+#: Inputs of the rules below, as SQL of both sides.
+_INPUTS = {
+    "analyzed": "recording % 37 > 0", "flat_top": "recording % 10 = 3", "true_peak": "case when recording % 8 > 0 then peak end", "sample_peak": "case when recording % 16 > 0 then peak - 1 end", "is_float": "recording % 2 = 0",
+    "kind": "case recording % 7 when 0 then 'soundscape-quiet' when 1 then 'soundscape-active' when 2 then 'interview' when 3 then 'music' when 4 then 'other' when 5 then 'objective' else 'unheard-of' end", "purpose": "case recording % 3 when 0 then 'distribution' when 1 then 'preservation' else 'series' end",
+    "risk_regions": "recording % 5", "spectral_running": "recording % 13 = 0", "spectral_regions": "case when recording % 4 > 0 then recording % 3 end", "region_running": "recording % 17 = 0", "processed": "recording % 6 > 0", "processed_not_finite": "case when recording % 23 = 0 then 1 else 0 end",
+    "processed_peak": "case when recording % 8 > 0 then peak - 1 end", "ceiling": "case when recording % 9 = 0 then -1.0 end", "plr": "case when recording % 4 = 0 then 15.0 end", "trusted": "recording % 11 > 0", "edit_gain": "case when recording % 4 > 0 then gain end",
+}
+_IN = f"{_MORE}, inp as (select * exclude (loudness), integrated as loudness, {', '.join(f'{v} as {k}' for k, v in _INPUTS.items())} from rep)"
+#: The limits that hold for a recording's kind, by hand.
+_RATED = """rated as (select *, case when kind = 'objective' or loudness is null then null when loudness < b1 then 'very-low' when loudness < b2 then 'low' when loudness <= b3 then 'reference' when loudness <= b4 then 'high' else 'very-high' end as rating
+ from (select *, case kind when 'soundscape-quiet' then -30 when 'soundscape-active' then -27 when 'interview' then -24 when 'music' then -24 else -28 end as b1, case kind when 'soundscape-quiet' then -24 when 'soundscape-active' then -21 when 'interview' then -20 when 'music' then -19 else -22 end as b2,
+ case kind when 'soundscape-quiet' then -18 when 'soundscape-active' then -16 when 'interview' then -16 when 'music' then -14 else -16 end as b3, case kind when 'soundscape-quiet' then -14 when 'soundscape-active' then -12 when 'interview' then -13 when 'music' then -10 else -12 end as b4 from inp))"""
+
+
+def _inputs(spark, d):
+    more = _more(spark, d).select("*", *[F.expr(v).alias(k) for k, v in _INPUTS.items()])
+    return more.withColumn("loudness", F.col("integrated")).withColumn("invalid", F.col("not_finite")).withColumn("incomplete", F.col("truncated"))
+
+
+_SOUND = {
+    "float": [("is_float and overrange > 0", "info:kept-overrange"), ("is_float", "neutral:none-found"), ("true", "neutral:not-applicable")],
+    "digital": [("not_finite > 0 or truncated", "warning:not-assessable"), ("flat_top", "review:plateau"), ("not is_float and sample_peak >= -0.01", "review:full-scale"), ("true", "safe:none-found")],
+    "analog": [("true", "unknown:not-decidable")],
+    "delivery": [("not_finite > 0 or truncated", "warning:check-integrity"), ("(is_float and overrange > 0) or true_peak > 0 or sample_peak > 0", "warning:lower-first"), ("true_peak > -1", "review:small-margin"), ("true", "safe:margin")],
+}
 
 
-@query("f13_peak_categories", "select recording, case when recording % 2 = 0 and peak - 1 > 0 then 'float' when peak - 1 >= 0 then 'digital' when peak > 0 then 'analog' when peak > -1 then 'delivery' else 'within' end as category from reports", "reports")
+@query("f13_peak_categories", f"with {_IN}, u as (" + " union all ".join(f"select recording, '{k}' as category, case when not analyzed then 'waiting:not-analyzed' else {_case(v)} end as said from inp" for k, v in _SOUND.items()) + ") select recording, category, split_part(said, ':', 1) as state, split_part(said, ':', 2) as finding from u", "reports")
 def f13(spark, d):
-    return out(signals.reports(spark, d).withColumn("category", rules.peak_categories(F.col("peak"), F.col("peak") - 1, F.col("recording") % 2 == 0)), "recording", "", "category")
+    return out(rules.peak_categories(_inputs(spark, d)), "recording", "", "category state finding")
 
 
-_STATE = {"integrity": ("not_finite", "not_finite > 0"), "peaks": ("peak", "peak > -1"), "loudness": ("loudness", "loudness < -20 or loudness > -18"), "dynamics": ("loudness_range", "loudness_range > 20"), "stereo": ("correlation", "correlation < -0.25"), "rumble": ("rumble", "rumble >= 4"), "review": ("unreviewed", "unreviewed > 0")}
+_BOARD = {
+    "integrity": [("not_finite > 0 or truncated", "stop"), ("flat_top", "review"), ("true", "pass")], "peaks": [("flat_top", "review"), ("true_peak > -2", "review"), ("is_float and overrange > 0", "info"), ("true", "pass")],
+    "loudness": [("purpose = 'preservation'", "info"), ("kind = 'objective'", "info"), ("rating is null", "unknown"), ("rating = 'reference'", "pass"), ("true", "info")], "dynamics": [("true", "info")], "stereo": [("risk_regions > 0", "review"), ("true", "pass")],
+    "rumble": [("spectral_running", "info"), ("spectral_regions > 0", "review"), ("true", "info")], "review": [("unreviewed > 0", "review"), ("true", "pass")],
+    "preflight": [("not_finite > 0 or truncated", "stop"), ("region_running", "running"), ("not processed", "review"), ("processed_not_finite > 0", "stop"), ("processed_peak is null", "review"), ("processed_peak > case when recording % 9 = 0 then -1.0 else -2.0 end", "review"), ("true", "pass")],
+}
 
 
-@query("f14_status_board", f"with {_MORE} " + " union all ".join(f"select recording, '{k}' as module, case when {v} is null then 'missing' when {bad} then 'check' else 'ok' end as status from rep" for k, (v, bad) in _STATE.items()), "reports")
+@query("f14_status_board", f"with {_IN}, {_RATED} " + " union all ".join(f"select recording, '{k}' as module, case when not analyzed then 'waiting' else {_case(v)} end as status from rated" for k, v in _BOARD.items()), "reports")
 def f14(spark, d):
-    return out(rules.status_board(_more(spark, d)), "recording", "", "module status")
+    return out(rules.status_board(_inputs(spark, d)), "recording", "", "module status")
 
 
-_ACTIONS = [("not_finite > 0", "repair-invalid"), ("peak > 0", "lower-peaks"), ("peak between -1 and 0", "leave-headroom"), ("loudness < -20", "raise-level"), ("loudness > -18", "lower-level"), ("correlation < -0.25", "check-mono"), ("unreviewed > 0", "review-markers")]
+_ACTIONS = [("not_finite > 0", "check-invalid"), ("overrange > 0", "check-overrange"), ("kind in ('soundscape-quiet', 'soundscape-active')", "screen-rumble"), ("coalesce(plr, peak - loudness) >= 14", "keep-dynamics"), ("trial >= 0.5", "try-gain"), ("purpose = 'distribution' and rating in ('high', 'very-high')", "keep-level")]
 
 
-@query("f15_recommendations", f"with {_MORE} select recording, unnest({_list(_ACTIONS)}) as action, generate_subscripts({_list(_ACTIONS)}, 1) as nth from rep", "reports")
+@query("f15_recommendations", f"""with {_IN}, {_RATED}, tr as (select *, case when purpose = 'distribution' and rating in ('very-low', 'low') and -2 - peak >= 0.5 then least(greatest(0, b2 - loudness), -2 - peak, 6.0) end as trial from rated), l as (select *, {_list(_ACTIONS)} as given from tr),
+ e as (select *, case when len(given) = 0 then ['listen'] else given end as actions from l), x as (select recording, trial, unnest(actions) as action, generate_subscripts(actions, 1) as nth from e) select recording, nth, action, {r("case when action = 'try-gain' then trial end", "amount")} from x""", "reports")
 def f15(spark, d):
-    return out(rules.recommendations(_more(spark, d)), "recording nth", "", "action")
+    return out(rules.recommendations(_inputs(spark, d)), "recording nth", "amount", "action")
 
 
-@query("f16_safe_level", f"select recording, {r('least(0.0, -1.0 - (coalesce(case when recording % 5 > 0 then peak end, 0.0) + gain))', 'safety')} from reports", "reports")
+@query("f16_safe_level", f"""with {_IN}, p as (select *, coalesce(true_peak, sample_peak) as known, coalesce(edit_gain, 0.0) as edit from inp), w as (select *, case when not analyzed then 'not-analyzed' when not trusted then 'untrusted-analysis' when known is null then 'missing-peak' when -3.0 - (known + edit) < 0 then 'attenuated' else 'safe' end as reason from p)
+ select recording, reason, reason in ('attenuated', 'safe') as ready, {r("case when reason in ('attenuated', 'safe') then known + edit end", "projected")}, {r("case when reason in ('attenuated', 'safe') then least(0.0, -3.0 - (known + edit)) end", "safety")}, {r("case when reason in ('attenuated', 'safe') then edit + least(0.0, -3.0 - (known + edit)) else 0.0 end", "total")} from w""", "reports")
 def f16(spark, d):
-    peak = F.when(F.col("recording") % 5 > 0, F.col("peak"))
-    return out(signals.reports(spark, d).withColumn("safety", rules.safe_level(peak, F.col("gain"))), "recording", "safety")
+    return out(rules.safe_level(_inputs(spark, d)), "recording", "projected safety total", "reason ready")
 
 
-@query("f17_coordinates", "select recording, cast(56 + recording % 10 as varchar) || '.' || lpad(cast(floor((recording % 100000) / 100 + 0.5)::bigint % 1000 as varchar), 3, '0') as rounded, cast(56 + recording % 10 as varchar) || '.' || lpad(cast(recording % 100000 as varchar), 5, '0') as exact from reports where recording % 100000 < 99950", "reports")
+@query("f17_coordinates", "with u as (select recording, 56 + recording % 10 as a, recording % 100000 as b, floor((recording % 100000) / 100 + 0.5)::bigint as m from reports) select recording, cast(a + m // 1000 as varchar) || '.' || lpad(cast(m % 1000 as varchar), 3, '0') as rounded, cast(a as varchar) || '.' || lpad(cast(b as varchar), 5, '0') as exact from u", "reports")
 def f17(spark, d):
     n = F.col("recording")
     text = F.concat((56 + n % 10).cast("string"), F.lit(","), F.lpad((n % 100_000).cast("string"), 5, "0"))
-    rep = signals.reports(spark, d).where("recording % 100000 < 99950").withColumn("text", text)
+    rep = signals.reports(spark, d).withColumn("text", text)
     return out(rep.withColumn("rounded", rules.coordinates(F.col("text"), "rounded")).withColumn("exact", rules.coordinates(F.col("text"), "exact")), "recording", "", "rounded exact")
 
 
-@query("f18_metadata", "select doc_id as recording, left(text, 40) as text, cast(null as varchar) as place from documents")
+@query("f18_metadata", "select doc_id as recording, left(text, 500) as title, left(text, 80) as date, left(text, 2000) as tags, cast(null as varchar) as place, left(source, 255) as file from documents")
 def f18(spark, d):
-    rows = signals.table(spark, d, "documents").withColumnRenamed("doc_id", "recording")
-    cut = documents.select_metadata(rows, {"words": True}, {"words": ["text"], "places": ["source"]}, 40)
-    return out(cut.select("recording", F.col("words.text").alias("text"), F.col("places").cast("string").alias("place")), "recording", "", "text place")
+    rows = signals.table(spark, d, "documents").select(F.col("doc_id").alias("recording"), F.col("text").alias("title"), F.col("text").alias("date"), F.col("text").alias("tags"), F.col("source").alias("place"), F.col("source").alias("source_file_name"))
+    m = documents.select_metadata(rows, ("identity", "notes"), file_name=True).select("recording", "metadata.*")
+    return out(m.select("recording", "identity.title", "identity.date", "notes.tags", F.col("location").cast("string").alias("place"), F.col("source_file_name").alias("file")), "recording", "", "title date tags place file")
 
 
-@query("f19_edge_fingerprint", "select recording, sha256(path || '|' || size || case when size <= 64 then content else left(content, 64) end || right(content, 64)) as fingerprint from files where strlen(content) = length(content)", "files")
+# no text of the tables is longer than the edge of 1 MiB: the last edge is empty (a test has longer ones)
+@query("f19_edge_fingerprint", """select recording, sha256('{"size":' || size || ',"headLength":' || size || ',"tailStart":' || size || '}' || content) as fingerprint from files""", "files")
 def f19(spark, d):
-    f = signals.files(spark, d).where(F.octet_length("content") == F.length(F.col("content").cast("string")))
-    descriptor = F.concat_ws("|", "path", F.col("size").cast("string"))
-    return out(f.withColumn("fingerprint", documents.edge_fingerprint(descriptor, F.col("content"))), "recording", "", "fingerprint")
+    return out(signals.files(spark, d).withColumn("fingerprint", documents.edge_fingerprint(F.col("content"))), "recording", "", "fingerprint")
 
 
 @query("f20_content_hash", "select recording, path, size, sha256(content) as hash from files", "files")
@@ -262,10 +319,12 @@ def f20(spark, d):
     return out(signals.files(spark, d).withColumn("hash", documents.content_hash(F.col("content"))), "recording size", "", "path hash")
 
 
-@query("f21_canonical_digest", """select recording, sha256('{"path":"' || path || '","recording":' || recording || ',"size":' || size || '}') as digest from files""", "files")
+@query("f21_canonical_digest", """select recording, sha256('{"note":null,"path":"' || path || '","recording":' || recording || ',"share":' || case when size % 2 = 0 then size // 2 || '' else size // 2 || '.5' end || ',"where":{"a":[' || size || '],"b":"say \\"' || size || '\\""}}') as digest from files""", "files")
 def f21(spark, d):
     f = signals.files(spark, d)
-    return out(f.withColumn("digest", documents.canonical_digest({"size": F.col("size"), "path": F.col("path"), "recording": F.col("recording")})), "recording", "", "digest")
+    inner = F.struct(F.concat(F.lit('say "'), F.col("size").cast("string"), F.lit('"')).alias("b"), F.array("size").alias("a"))
+    f = f.withColumn("value", F.struct(inner.alias("where"), (F.col("size") / 2).alias("share"), "recording", "path", F.lit(None).cast("string").alias("note")))
+    return out(f.withColumn("digest", documents.canonical_digest(f, "value")), "recording", "", "digest")
 
 
 @query("j10_duplicates", "select sha256(content) as hash, size, count(*) as copies, min(recording) as first from files group by content, size having count(*) > 1", "files")
@@ -273,12 +332,12 @@ def j10(spark, d):
     return out(documents.duplicate_recordings(signals.files(spark, d)), "size copies first", "", "hash")
 
 
-@query("j1_match_sources", """with p as (select recording + 5 as recording, case when recording % 4 = 0 then size + 1 else size end as size, sha256(content) as hash from files), f as (select recording, size, sha256(content) as hash from files)
- select p.recording, case when f.size is null then 'missing' when f.size <> p.size then 'size-differs' when f.hash <> p.hash then 'content-differs' else 'match' end as outcome from (select recording - case when recording % 2 = 0 then 5 else 0 end as recording, size, hash from p) p left join f using (recording)""", "files")
+@query("j1_match_sources", """with p as (select recording + 5 as recording, case when recording % 4 = 0 then size + 1 else size end as size, case when recording % 6 <> 1 then sha256(content) end as hash from files), f as (select recording, size, sha256(content) as hash from files)
+ select p.recording, case when f.size is null then 'missing' when f.size <> p.size then 'size-differs' when p.hash is null then 'reanalysis-required' when f.hash <> p.hash then 'content-differs' else 'match' end as outcome from (select recording - case when recording % 2 = 0 then 5 else 0 end as recording, size, hash from p) p left join f using (recording)""", "files")
 def j1(spark, d):
     f = signals.files(spark, d).withColumn("hash", documents.content_hash(F.col("content")))
     own = F.col("recording") + 5
-    projects = f.select((own - F.when(own % 2 == 0, 5).otherwise(0)).alias("recording"), F.when(F.col("recording") % 4 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "hash")
+    projects = f.select((own - F.when(own % 2 == 0, 5).otherwise(0)).alias("recording"), F.when(F.col("recording") % 4 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(F.col("recording") % 6 != 1, F.col("hash")).alias("hash"))
     return out(documents.match_sources(f, projects), "recording", "", "outcome")
 
 
@@ -335,14 +394,14 @@ def j9(spark, d):
     return out(documents.compare_stages(side("source"), side("verified"), ["top", "low"]), "recording", "top_delta low_delta")
 
 
-_KIND = "case series when 'AUTOMOBILE' then 'music' when 'BUILDING' then 'interview' when 'FURNITURE' then 'soundscape-quiet' when 'HOUSEHOLD' then 'objective' else 'other' end"
-_LIMITS = ", ".join(f"('{k}', {a}.0, {b}.0, {c}.0, {e}.0)" for k, (a, b, c, e) in rules.LEVELS.items())
+_KIND = "case series when 'AUTOMOBILE' then 'music' when 'BUILDING' then 'interview' when 'FURNITURE' then 'soundscape-quiet' when 'HOUSEHOLD' then 'objective' else 'unheard-of' end"
+_LIMITS = "('soundscape-quiet', -30.0, -24.0, -18.0, -14.0), ('soundscape-active', -27.0, -21.0, -16.0, -12.0), ('interview', -24.0, -20.0, -16.0, -13.0), ('music', -24.0, -19.0, -14.0, -10.0), ('other', -28.0, -22.0, -16.0, -12.0)"
 
 
-@query("j11_level_class", f"with limits(kind, a, b, c, e) as (values {_LIMITS}), k as (select *, {_KIND} as kind from reports) select recording, case when loudness < a then 'very-low' when loudness < b then 'low' when loudness <= c then 'typical' when loudness <= e then 'high' when e is not null then 'very-high' end as level_class from k left join limits using (kind)", "reports")
+@query("j11_level_class", f"with limits(kind, a, b, c, e) as (values {_LIMITS}), k as (select *, {_KIND} as kind from reports) select recording, case when loudness < a then 'very-low' when loudness < b then 'low' when loudness <= c then 'reference' when loudness <= e then 'high' when e is not null then 'very-high' end as level_class from k left join limits on limits.kind = replace(k.kind, 'unheard-of', 'other')", "reports")
 def j11(spark, d):
     s = F.col("series")
-    kind = F.when(s == "AUTOMOBILE", "music").when(s == "BUILDING", "interview").when(s == "FURNITURE", "soundscape-quiet").when(s == "HOUSEHOLD", "objective").otherwise("other")
+    kind = F.when(s == "AUTOMOBILE", "music").when(s == "BUILDING", "interview").when(s == "FURNITURE", "soundscape-quiet").when(s == "HOUSEHOLD", "objective").otherwise("unheard-of")
     return out(rules.level_class_join(signals.reports(spark, d).withColumn("kind", kind), rules.level_limits(spark)), "recording", "", "level_class")
 
 
@@ -353,11 +412,15 @@ def s3(spark, d):
     return out(found.withColumn("unknown", F.concat_ws(",", "unknown")).withColumn("forbidden", F.concat_ws(",", "forbidden")), "event_id", "", "unknown forbidden")
 
 
-@query("f25_migrate", "select recording, 2 as schema, floor(case when recording % 3 = 0 then gain else gain + 1 end * 1e6 + 0.5) / 1e6 + 0.0 as gain_db, recording % 3 = 0 or recording % 4 = 0 as identity_required from reports", "reports")
+@query("f25_migrate", """select recording, case when recording % 7 = 0 then 3 else 2 end as schema, case when recording % 7 = 0 then 'schema' end as error, case when recording % 4 in (1, 3) then sha256(path) end as identity, case when recording % 4 = 0 and recording % 3 = 0 and recording % 7 > 0 then md5(path) end as preflight, recording % 4 in (0, 2) as identity_required,
+ case when recording % 3 = 0 and recording % 7 > 0 then '0.9' end as migrated_from, case when recording % 5 = 0 then -2.0 else -1.0 end::double as ceiling from files""", "files")
 def f25(spark, d):
     n = F.col("recording")
-    p = signals.reports(spark, d).select("recording", F.when(n % 3 == 0, 1).otherwise(2).alias("schema"), "gain", (F.col("gain") + 1).alias("gain_db"), F.when(n % 4 != 0, "hash").alias("source_hash"))
-    return out(documents.migrate_projects(p), "recording schema", "gain_db", "identity_required")
+    p = signals.files(spark, d).select(
+        "recording", F.when(n % 7 == 0, 3).when(n % 3 == 0, 1).otherwise(2).alias("schema"), F.when(n % 4 == 0, "descriptor+first+last").otherwise("full").alias("strategy"), F.when(n % 4 == 0, F.md5("path")).when(n % 4 == 2, "short").otherwise(F.sha2("path", 256)).alias("fingerprint"),
+        F.when(n % 5 != 0, -1.0).alias("ceiling"), F.lit("0.9").alias("app_version"),
+    )
+    return out(documents.migrate_projects(p), "recording schema", "ceiling", "error identity preflight identity_required migrated_from")
 
 
 @query("f26_reports", f"with {_STAGES}, s as (select recording, max(value) filter (stage = 'source') as a, max(value) filter (stage = 'calculated') as b, max(value) filter (stage = 'verified') as c from ms group by 1) select recording, {r('a', 'source')}, {r('b', 'calculated')}, {r('c', 'verified')} from s where a is not null")
@@ -368,11 +431,16 @@ def f26(spark, d):
     return out(got.select("recording", F.col("source.value").alias("source"), F.col("calculated.value").alias("calculated"), F.col("verified.value").alias("verified")), "recording", "source calculated verified")
 
 
-@query("f27_manifest", r"""select p_partkey as recording, 'episode-' || lpad(cast(p_partkey % 1000 as varchar), 3, '0') || '-' || regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '.wav' as file_name from part""")
+@query("f27_manifest", r"""select p_partkey as recording, 'EP_E' || case when p_partkey % 9 = 0 then '000' when p_partkey > 999 then p_partkey || '' else lpad(p_partkey || '', 3, '0') end || '_' || left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 80) || '_MASTER.wav' as file_name, case when p_partkey % 9 > 0 then p_partkey end as number, left(p_name, 500) as title,
+ case when p_partkey % 3 = 0 then 'exact' else 'hidden' end as disclosure, case when p_partkey % 3 = 0 then 59 end as latitude, case when p_partkey % 2 = 0 then 'ready' else 'review-required' end as status, cast(p_size as bigint) as channels from part""")
 def f27(spark, d):
-    p = signals.table(spark, d, "part")
-    name = F.concat(F.lit("episode-"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit("-"), rules.slug(F.col("p_name")), F.lit(".wav"))
-    return out(p.select(F.col("p_partkey").alias("recording"), name.alias("file_name")), "recording", "", "file_name")
+    n, none = F.col("p_partkey"), F.lit(None).cast("string")
+    p = signals.table(spark, d, "part").select(
+        n.alias("recording"), F.col("p_name").alias("title"), F.when(n % 9 == 0, "none").otherwise(n.cast("string")).alias("episode"), F.when(n % 3 == 0, "exact").alias("disclosure"), F.lit(59.0).alias("latitude"), F.lit(18.0).alias("longitude"), F.lit("").alias("sha256"), F.col("p_size").alias("channels"),
+        F.when(n % 2 == 0, "ready").otherwise("review-required").alias("status"), F.array().cast("array<string>").alias("incomplete"), none.alias("report_id"), *[F.lit(None).cast("double").alias(c) for c in ("duration_s", "loudness", "true_peak", "loudness_range", "plr", "sample_rate")], *[none.alias(c) for c in rules.HANDOFF if c != "title"],
+    )
+    m = rules.episode_manifest(p).withColumn("file_name", rules.master_file_name(F.col("title"), F.col("episode"), F.lit("episode")))
+    return out(m.select("recording", "file_name", "manifest.episode.number", "manifest.episode.title", "manifest.location.disclosure", "manifest.location.latitude", "manifest.publication.status", "manifest.master.channels"), "recording number latitude channels", "", "file_name title disclosure status")
 
 
 @query("f29_projected", f"select recording, {r('loudness + gain', 'projected_loudness')}, {r('peak + gain', 'projected_peak')}, case when peak + gain > 0 then 'peak-over-full-scale' end as warning from reports", "reports")
@@ -380,11 +448,12 @@ def f29(spark, d):
     return out(rules.projected_metrics(signals.reports(spark, d)), "recording", "projected_loudness projected_peak", "warning")
 
 
-@query("f31_editorial_context", f"select recording, 1200.0::double as seconds, -19.0::double as target, {r('duration - 1200.0', 'over')} from reports", "reports")
+@query("f31_editorial_context", f"select recording, 'editorial' as classification, 'series' as purpose, case when recording % 2 = 0 then 600.0 else 1200.0 end::double as seconds, -19.0::double as target, -20.0::double as lowest, -18.0::double as highest, -2.0::double as ceiling, {r('duration - case when recording % 2 = 0 then 600.0 else 1200.0 end', 'over')} from reports", "reports")
 def f31(spark, d):
-    # one constant row for all: columns, not a join
-    rep = signals.reports(spark, d).withColumn("seconds", F.lit(rules.SERIES["seconds"])).withColumn("target", F.lit(rules.SERIES["target"]))
-    return out(rep.withColumn("over", F.col("duration") - F.col("seconds")), "recording", "seconds target over")
+    rep = signals.reports(spark, d).withColumn("context", rules.editorial_context("series", F.when(F.col("recording") % 2 == 0, 600.0)))
+    x, y = F.col("context"), F.col("context.loudnessOrientation")
+    rows = rep.select("recording", x["classification"].alias("classification"), x["purpose"].alias("purpose"), x["targetDurationSeconds"].alias("seconds"), y["targetLufs"].alias("target"), y["rangeMinLufs"].alias("lowest"), y["rangeMaxLufs"].alias("highest"), x["truePeakOrientationDbtp"].alias("ceiling"), "duration")
+    return out(rows.withColumn("over", F.col("duration") - F.col("seconds")), "recording", "seconds target lowest highest ceiling over", "classification purpose")
 
 
 @query("w14_latest", "select user_id as recording, event_type as operation, max(event_id) as job from events group by all")
@@ -429,57 +498,104 @@ _RANKED = "rk as (select *, row_number() over (partition by recording order by c
 
 
 def _bundles(spark, d):
-    ranked = markers.rank_markers(signals.markers(spark, d))
-    f = signals.frames(spark, d)
-    summary = f.groupBy("recording").agg(F.count("*").alias("frames")).select("recording", F.struct("frames").alias("measurements"))
-    parts = f.groupBy("recording", F.floor(F.col("frame") / 10).alias("segment")).agg(F.count("*").cast("double").alias("m_median"))
-    return documents.build_bundles(summary, ranked, parts)
+    ranked = markers.rank_markers(signals.markers(spark, d)).select("recording", "nth", "id", "severity")
+    f, n, none = signals.frames(spark, d), F.col("recording"), F.lit(None).cast("string")
+    parts = f.groupBy("recording", F.floor(F.col("frame") / 10).alias("segment")).agg((F.count("*") / 4).alias("median"))
+    recordings = f.groupBy("recording").agg(F.count("*").alias("frames")).select(
+        "recording", F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(n.cast("string"), 12, "0")).alias("bundle_id"), F.lit("2026-01-01T00:00:00Z").alias("created_at"), F.when(n % 2 == 0, "minimal").otherwise("temporal-diagnostic").alias("profile"), F.lit("redacted").alias("privacy"), F.lit("source").alias("stage"),
+        F.struct(F.lit(0).alias("startFrame"), F.col("frames").alias("endFrame")).alias("region"), F.struct(F.lit(2).alias("channels"), (F.col("frames") / 8).alias("durationSeconds")).alias("format"), none.alias("metadata"), F.struct(F.lit(-23.5).alias("integratedLufs"), F.lit(None).cast("double").alias("truePeakDbtp")).alias("measurements"),
+        rules.editorial_context().alias("editorial"), F.struct(F.lit("1").alias("engineVersion"), F.lit("bs1770").alias("loudnessModel")).alias("provenance"), F.lit("validated").alias("loudness_status"), none.alias("peak_status"),
+    )
+    return documents.build_bundles(recordings, ranked, parts)
+
+
+_QUARTER = lambda x, k: f"({x} // {k}) || case {x} * 1000 // {k} % 1000 when 0 then '' else '.' || rtrim(lpad(({x} * 1000 // {k} % 1000) || '', 3, '0'), '0') end"
+_BUNDLE_SQL = f"""{_RANKED}, s as (select recording, count(*) as n from markers group by 1), m as (select recording, string_agg('{{"id":"' || id || '","nth":' || nth || ',"severity":"' || severity || '"}}', ',' order by nth) as t, string_agg(id, ',' order by nth) as ids from rk where nth <= 500 group by 1),
+ g as (select recording, string_agg('{{"median":' || {_QUARTER("c", 4)} || ',"segment":' || seg || '}}', ',' order by seg) as t from (select recording, floor(f / 10)::bigint as seg, count(*) as c from (select recording, row_number() over (partition by recording order by seconds, id) - 1 as f from markers) group by all) where seg <= 720 group by 1),
+ bd as (select s.recording, m.ids, n, '{{"analysis":{{"editorialContext":{{"classification":"editorial","durationToleranceSeconds":0.000022675736961451248,"loudnessOrientation":{{"rangeMaxLufs":-18,"rangeMinLufs":-20,"targetLufs":-19}},"purpose":"distribution","targetDurationSeconds":1200,"truePeakOrientationDbtp":-2}},"evidence":[{{"classification":"objective","id":"loudness","methodId":"itu-r-bs-1770","status":"validated"}},{{"classification":"objective","id":"true-peak","methodId":"ebu-tech-3341","status":"unverified"}},{{"classification":"mixed","id":"markers","methodId":"screening","status":"requires-human-review"}}],"format":{{"channels":2,"durationSeconds":' || {_QUARTER("n", 8)} || '}},"markers":[' || m.t
+ || '],"measurements":{{"integratedLufs":-23.5,"truePeakDbtp":null}},"metadata":null,"provenance":{{"engineVersion":"1","loudnessModel":"bs1770"}},"region":{{"endFrame":' || n || ',"startFrame":0}},"signalStage":"source","temporalDiagnostic":' || case when s.recording % 2 = 0 then 'null' else '[' || g.t || ']' end || '}},"bundleId":"00000000-0000-4000-8000-' || lpad(s.recording || '', 12, '0')
+ || '","createdAt":"2026-01-01T00:00:00Z","privacy":"redacted","profile":"' || case when s.recording % 2 = 0 then 'minimal' else 'temporal-diagnostic' end || '","schema":"tonearchive.analysis-exchange/2"}}' as json from s join m using (recording) join g using (recording))"""
 
 
-@query("f22_bundles", f"""with {_RANKED}, s as (select recording, count(*) as n from markers group by 1), m as (select recording, string_agg('{{"nth":' || nth || ',"id":"' || id || '","severity":"' || severity || '"}}', ',' order by nth) as t from rk where nth <= 500 group by 1),
- g as (select recording, string_agg('{{"segment":' || seg || ',"m_median":' || c || '.0}}', ',' order by seg) as t from (select recording, floor(f / 10)::bigint as seg, count(*) as c from (select recording, row_number() over (partition by recording order by seconds, id) - 1 as f from markers) group by all) group by 1)
- select s.recording, sha256('{{"markers":[' || m.t || '],"measurements":{{"frames":' || n || '}},"segments":[' || g.t || ']}}') as digest from s join m using (recording) join g using (recording)""", "markers")
+@query("f22_bundles", f"with {_BUNDLE_SQL} select recording, sha256(json) as digest from bd", "markers")
 def f22(spark, d):
     return out(_bundles(spark, d), "recording", "", "digest")
 
 
-@query("f28_receipts", f"with {_RANKED} select recording, string_agg(id, ',' order by nth) as marker_ids from rk where nth <= 500 group by 1", "markers")
+@query("f28_receipts", f"""with {_BUNDLE_SQL} select recording, sha256(json) as digest, case when recording % 3 > 0 then sha256(recording || '') end as source_sha256, '1' as engine, 'bs1770' as method, sha256('{{"endFrame":' || n || ',"startFrame":0}}') as edit_digest, 'loudness,true-peak,markers' as evidence_ids, ids as marker_ids, case when recording % 3 = 0 then 'source-identity' end as error from bd""", "markers")
 def f28(spark, d):
-    f = signals.files(spark, d).withColumn("hash", documents.content_hash(F.col("content")))
-    got = documents.receipts(_bundles(spark, d), f.select("recording", "hash"))
-    return out(got.withColumn("marker_ids", F.concat_ws(",", "marker_ids")), "recording", "", "marker_ids")
-
-
-@query("f23_validate_bundles", "select recording, concat_ws(',', case when size > 5000 then 'size' end, case when recording % 700 > 500 then 'markers' end, case when recording % 5 = 0 then 'digest-form' end, case when recording % 5 = 0 or recording % 3 = 0 then 'digest' end) as errors from files", "files")
+    bundles, n = _bundles(spark, d), F.col("recording")
+    got = documents.receipts(bundles, bundles.where(n % 3 > 0).select("recording", F.sha2(n.cast("string"), 256).alias("hash")))
+    joined = got.withColumn("evidence_ids", F.concat_ws(",", "evidence_ids")).withColumn("marker_ids", F.concat_ws(",", "marker_ids"))
+    return out(joined, "recording", "", "digest source_sha256 engine method edit_digest evidence_ids marker_ids error")
+
+
+#: A sound bundle and guidance, and one change for each kind of fault: text, what it becomes, the rules that then fail.
+_BUNDLE = json.dumps({
+    "schema": documents.SCHEMA, "bundleId": "0a1b2c3d-0000-4000-8000-000000000001", "analysisDigest": "a" * 64, "profile": "minimal", "privacy": "redacted", "createdAt": "2026-01-01T00:00:00Z", "analysis": {
+        "signalStage": "source", "region": {"range": "[a,b)", "startFrame": 0, "endFrame": 480000, "selectedFrames": 480000, "fadeInFrames": 0, "fadeOutFrames": 100, "globalGainDb": -1.5},
+        "format": {"container": "WAVE", "encoding": "PCM", "channels": 2, "sampleRate": 48000, "bitsPerSample": 24, "validBitsPerSample": 24, "durationSeconds": 10.0, "fileSizeBytes": 2880044, "fileName": None},
+        "metadata": {"sourceFileName": None, "identity": None, "location": None, "notes": None, "creator": None},
+        "measurements": {**dict.fromkeys(documents.BUNDLE_KEYS["$.analysis.measurements"].split()[:11], -20.5), "monoCompatibility": None, "overrangeSamples": 0, "nonFiniteSamples": 0, "channels": [{"channel": 1}, {"channel": 2}]},
+        "markers": [{"id": "m1", "type": "silence", "classification": "objective", "severity": "review", "startSeconds": 1.0, "endSeconds": 2.0, "channel": None, "summary": "s", "methodId": "x", "reviewStatus": "unreviewed", "timePrecisionSeconds": 1}],
+        "editorialContext": None, "editorialCueSheet": None, "temporalDiagnostic": None, "provenance": dict.fromkeys(documents.BUNDLE_KEYS["$.analysis.provenance"].split(), "1"), "evidence": [{"id": "loudness", "classification": "objective", "methodId": "m", "status": "s"}, {"id": "markers", "classification": "mixed", "methodId": "m", "status": "s"}],
+    },
+})
+_SERIES = '[{"startSeconds": 0, "endSeconds": 5, "silencePercent": 0}, {"startSeconds": 5, "endSeconds": 10, "silencePercent": 120}]'
+_FAULTS = [
+    ("{", "{", ""), ('"minimal"', '"huge"', "profile"), ('"startFrame"', '"pcmFrames": 1, "startFrame"', "keys:$.analysis.region"), ("-1.5", "30", "gain"), ('"endSeconds": 2.0', '"endSeconds": 10.5', "marker"), ('"validBitsPerSample": 24', '"validBitsPerSample": 40', "bits"), ('"id": "markers"', '"id": "loudness"', "evidence-repeated"),
+    ('{"schema"', '["schema"', "json"), ("48000,", "8000,", "channels-or-rate"), ('"type": "silence"', '"PCM" : 1, "type": "silence"', "forbidden"), ('"temporalDiagnostic": null', '"temporalDiagnostic": []', "minimal-with-series"), ('"selectedFrames": 480000', '"selectedFrames": 479999', "frames"), ('"overrangeSamples": 0', '"overrangeSamples": 0.5', "counts"),
+    ('"analysisDigest": "a', '"analysisDigest": "A', "analysis-digest"), ('"durationSeconds": 10.0', '"durationSeconds": null', "duration-or-size,marker"), ('"fileName": null', '"fileName": 7', "file-name"), ('{"channel": 2}', '{"channel": 2}, {}', "channel-measurements"), ("2026-01-01T", "yesterday", "created-at"),
+    (f'"temporalDiagnostic": null|"minimal"', f'"temporalDiagnostic": {_SERIES}|"temporal-diagnostic"', "segment"), ('"integratedLufs": -20.5', '"integratedLufs": "-20.5"', "measurements"), ('"fadeOutFrames": 100', '"fadeOutFrames": 480001', "fades"), ('"classification": "objective", "severity"', '"classification": "wild", "severity"', "marker"),
+]
+_GUIDANCE = json.dumps({
+    "schema": documents.GUIDANCE_SCHEMA, "bundleId": "0a1b2c3d-0000-4000-8000-000000000001", "analysisDigest": "a" * 64, "guidanceDigest": "b" * 64, "createdAt": "2026-01-01T00:00:00Z",
+    "producer": {"system": "s", "component": "c", "version": "1", "method": "m", "vepPerspectives": ["p"], "model": None, "promptId": None, "runId": None, "trust": "unsigned"}, "summary": "text", "assumptions": [], "uncertainties": ["u"],
+    "suggestions": [{"id": "1", "classification": "heuristic", "kind": "global-gain", "summary": "s", "rationale": "r", "evidenceRefs": ["loudness"], "globalGainDb": 2.5, "predictedIntegratedLufs": None, "predictedTruePeakDbtp": None, "confidence": 0.5}],
+})
+_ADVICE = [("{", "{", ""), ('"unsigned"', '"signed"', "trust"), ("2.5", "24.5", "gain"), ('"global-gain"', '"note"', "gain"), ('["loudness"]', '["loudness", "m9"]', "evidence"), ('"confidence": 0.5', '"confidence": 1.5', "confidence"), ('["p"]', "[]", "perspectives"), ('"heuristic"', '"mixed"', "classification"), ('"global-gain"', '"louder"', "kind,gain"), ('"model": null', '"model": 3', "producer-optional"), ('"assumptions": []', '"assumptions": "none"', "text-lists"), ('"rationale": "r", ', "", "suggestion-text"), ('"summary": "text"', '"summary": "text", "extra": 1', "keys:$")]
+
+
+def _faulty(rows, base: str, faults: list, n):
+    """One of the faults per row, in turn."""
+    text = F
+    for k, (old, new, _) in enumerate(faults):
+        changed = base
+        for a, b in zip(old.split("|"), new.split("|"), strict=True):
+            changed = changed.replace(a, b, 1)
+        text = text.when(n % len(faults) == k, changed)
+    return rows.withColumn("json", text.otherwise(None))
+
+
+_FAULT_SQL = lambda faults, n: f"case {n} % {len(faults)} " + " ".join(f"when {k} then '{rule}'" for k, (_, _, rule) in enumerate(faults)) + " end as errors"
+
+
+@query("f23_validate_bundles", f"select recording, {_FAULT_SQL(_FAULTS, 'recording')} from files", "files")
 def f23(spark, d):
-    n = F.col("recording")
-    good = F.sha2("path", 256)
-    f = signals.files(spark, d).select("recording", F.col("content").cast("string").alias("json"), (n % 700).alias("n_markers"), F.lit(1).alias("n_segments"), F.when(n % 5 == 0, "short").when(n % 3 == 0, F.sha2(F.reverse("path"), 256)).otherwise(good).alias("digest"), good.alias("expected"))
-    return out(documents.validate_bundles(f, most_bytes=5000).withColumn("errors", F.concat_ws(",", "errors")), "recording", "", "errors")
+    rows = _faulty(signals.files(spark, d).select("recording"), _BUNDLE, _FAULTS, F.col("recording"))
+    return out(documents.validate_bundles(rows).withColumn("errors", F.concat_ws(",", "errors")), "recording", "", "errors")
 
 
-@query("f23_validate_guidance", """with g as (select event_id, case event_type when 'view' then 'volume' when 'click' then 'global-gain' else 'note' end as kind, value / 10 as value, event_id % 3 as refs from events)
- select event_id, concat_ws(',', case when kind = 'volume' then 'kind' end, case when kind = 'global-gain' and value > 24 then 'gain' end, case when refs = 0 then 'evidence' end, case when refs = 2 then 'evidence-repeated' end) as errors from g""")
+@query("f23_validate_guidance", f"select event_id, {_FAULT_SQL(_ADVICE, 'event_id')} from events")
 def f23b(spark, d):
-    e, n = signals.table(spark, d, "events"), F.col("event_id") % 3
-    kind = F.when(F.col("event_type") == "view", "volume").when(F.col("event_type") == "click", "global-gain").otherwise("note")
-    refs = F.when(n == 0, F.array().cast("array<string>")).when(n == 2, F.array(F.lit("m1"), F.lit("m1"))).otherwise(F.array(F.lit("m1")))
-    rows = e.select("event_id", kind.alias("kind"), (F.col("value") / 10).alias("value"), F.lit("text").alias("text"), refs.alias("refs"))
+    rows = _faulty(signals.table(spark, d, "events").select("event_id"), _GUIDANCE, _ADVICE, F.col("event_id"))
     return out(documents.validate_guidance(rows).withColumn("errors", F.concat_ws(",", "errors")), "event_id", "", "errors")
 
 
-@query("f23_validate_receipts", "select recording, concat_ws(',', case when recording % 5 = 0 then 'digest-form' end, case when recording % 3 = 0 then 'source-form' end, case when recording % 7 = 0 then 'markers' end, case when recording % 2 = 0 or recording % 7 = 0 then 'markers-repeated' end) as errors from files", "files")
+@query("f23_validate_receipts", "select recording, case recording % 8 when 1 then 'bundle-id' when 2 then 'digest' when 3 then 'source_sha256' when 4 then 'edit_digest' when 5 then 'engine' when 6 then 'marker_ids' when 7 then 'created-at' else '' end as errors from files", "files")
 def f23c(spark, d):
-    n, good = F.col("recording"), F.sha2("path", 256)
-    ids = F.when(n % 7 == 0, F.array_repeat(F.lit("m"), 501)).when(n % 2 == 0, F.array(F.lit("m1"), F.lit("m1"))).otherwise(F.array(F.lit("m1"), F.lit("m2")))
-    rows = signals.files(spark, d).select("recording", F.when(n % 5 == 0, "short").otherwise(good).alias("digest"), F.when(n % 3 != 0, good).alias("source_hash"), ids.alias("marker_ids"))
+    n, good = F.col("recording") % 8, F.sha2("path", 256)
+    rows = signals.files(spark, d).select(
+        "recording", F.when(n == 1, "7").otherwise("0a1b2c3d-0000-4000-8000-000000000001").alias("bundle_id"), F.when(n == 2, F.upper(good)).otherwise(good).alias("digest"), F.when(n != 3, good).alias("source_sha256"), F.when(n == 4, "").otherwise(good).alias("edit_digest"),
+        F.when(n != 5, "1").alias("engine"), F.lit("m").alias("method"), F.array(F.lit("loudness")).alias("evidence_ids"), F.array(F.lit("m1"), F.when(n != 6, "m2")).alias("marker_ids"), F.when(n == 7, "soon").otherwise("2026-01-01T00:00:00Z").alias("created_at"),
+    )
     return out(documents.validate_receipts(rows).withColumn("errors", F.concat_ws(",", "errors")), "recording", "", "errors")
 
 
-@query("k8_rumble", "with m as (select recording, case when recording % 9 > 0 then recording % 70 end as low, recording % 15 as subsonic, recording % 60 as upper, recording % 100 / 50.0 - 1 as correlation from reports), s as (select *, case when low >= 55 then 3 when low >= 35 then 2 when low >= 20 then 1 else 0 end + case when subsonic >= 12 then 2 when subsonic >= 4 then 1 else 0 end + case when upper >= 45 then -1 else 0 end + case when correlation < 0.35 then 1 else 0 end as score from m) select recording, case when low is not null then score end as score, case when low is null then 'unknown' when score >= 4 then 'elevated' when score >= 2 then 'moderate' else 'low' end as class from s", "reports")
+@query("k8_rumble", "with m as (select recording, case when recording % 9 > 0 then recording % 70 end as low, recording % 15 as subsonic, recording % 60 as upper, case when recording % 4 > 0 then recording % 100 / 50.0 - 1 end as correlation from reports), s as (select *, case when low >= 55 then 3 when low >= 35 then 2 when low >= 20 then 1 else 0 end + case when subsonic >= 12 then 2 when subsonic >= 4 then 1 else 0 end + case when upper >= 45 then -1 else 0 end + case when correlation < 0.35 then 1 else 0 end as score from m) select recording, case when low is not null then score end as score, case when low is null then 'unknown' when score >= 4 then 'elevated' when score >= 2 then 'moderate' else 'low' end as class from s", "reports")
 def k8(spark, d):
     n = F.col("recording")
-    m = signals.reports(spark, d).withColumn("score", rules.rumble_score(F.when(n % 9 > 0, n % 70), n % 15, n % 60, n % 100 / 50.0 - 1))
+    m = signals.reports(spark, d).withColumn("score", rules.rumble_score(F.when(n % 9 > 0, n % 70), n % 15, n % 60, F.when(n % 4 > 0, n % 100 / 50.0 - 1)))
     return out(m.withColumn("class", rules.rumble_class(F.col("score"))), "recording score", "", "class")
 
 

@@ -96,18 +96,17 @@ def _regions(spark, d):
     return m.select("recording", "id", "severity", at.alias("start_frame"), (at + 20).alias("attack_end"), (end + 20).alias("release_start"), (end + 40).alias("end_frame"))
 
 
-@query("b9_gain_breakpoints", f"with {_REGION_SQL} select distinct recording, unnest([start_frame, attack_end, release_start, end_frame]) as frame from regions", "markers")
+@query("b9_gain_breakpoints", f"with {_REGION_SQL} select distinct recording, unnest([start_frame, attack_end, release_start, end_frame - 1, end_frame]) as frame from regions", "markers")
 def b9(spark, d):
     return out(edits.gain_breakpoints(_regions(spark, d)), "recording frame")
 
 
-@query("b10_peak_regions", f"""with e as (select recording, id, seconds, end_seconds, (end_seconds - seconds) - 4 as peak_db from markers where type = 'view'),
- s as (select *, greatest(0, floor((seconds - 0.05) * 100) - 20)::bigint as start_frame, least(100000, ceil((end_seconds + 0.05) * 100) + 20)::bigint as end_frame from e),
- a as (select *, least(start_frame + 20, end_frame)::bigint as attack_end from s)
- select recording, id, start_frame, attack_end, greatest(attack_end, end_frame - 20)::bigint as release_start, end_frame, {r("greatest(-60.0, floor(least(-0.1, -2.0 - peak_db - 0.3) * 10) / 10)", "gain_db")} from a""", "markers")
+@query("b10_peak_regions", f"""with e as (select recording, id, floor(seconds * 100 + 0.5)::bigint as a, greatest(floor(seconds * 100 + 0.5) + 1, floor(end_seconds * 100 + 0.5))::bigint as b, (end_seconds - seconds) - 4 as peak_db from markers where type = 'view'),
+ h as (select *, greatest(0, a - 5) as hold, greatest(a + 1, least(100000, b + 5)) as done from e)
+ select recording, id, greatest(0, hold - 20) as start_frame, hold as attack_end, greatest(hold, done - 1) as release_start, least(100000, done + 20) as end_frame, {r("greatest(-60.0, floor(least(-0.1, -2.0 - peak_db - 0.3) * 10) / 10)", "gain_db")}, -2.0::double as target_dbtp from h""", "markers")
 def b10(spark, d):
     events = signals.markers(spark, d).where("type = 'view'").select("recording", "id", F.col("seconds").alias("start_s"), F.col("end_seconds").alias("end_s"), ((F.col("end_seconds") - F.col("seconds")) - 4).alias("peak_db"), F.lit(100).alias("sample_rate"), F.lit(100_000).alias("frames"))
-    return out(edits.peak_regions(events), "recording start_frame attack_end release_start end_frame", "gain_db", "id")
+    return out(edits.peak_regions(events), "recording start_frame attack_end release_start end_frame", "gain_db target_dbtp", "id")
 
 
 @query("b11_place_window", f"select recording, {r('greatest(0.0, (duration - least(duration, 1200.0)) / 2)', 'start_s')}, {r('greatest(0.0, (duration - least(duration, 1200.0)) / 2) + least(duration, 1200.0)', 'end_s')} from reports", "reports")
@@ -335,23 +334,26 @@ def a5(spark, d):
     return out(f.select("recording", "frame", *[edits.quantised(F.col("left"), F.lit(0.0), b).alias(f"pcm{b}") for b in (16, 24, 32)]), "recording frame pcm16 pcm24 pcm32")
 
 
-@query("f6_normalize_edits", """with e as (select *, 48000 as frames, recording % 7 - 1 as start_frame, 48000 - recording % 5 + 1 as end_frame, gain * 3 as gain_db, recording % 3 as fade_in, case when stage = 'P' then 0 else 1 end as fade_out, case when priority like '1%' then 'trimmed' end as profile from reports),
- i as (select *, case when gain_db <> 0 or fade_in > 0 or fade_out > 0 then 'edited' when start_frame > 0 or end_frame < frames then 'trimmed' else 'untouched' end as inferred from e)
- select recording, inferred, concat_ws(',', case when start_frame < 0 or end_frame > frames then 'range' end, case when gain_db < -60 or gain_db > 24 then 'gain' end, case when profile <> inferred then 'profile' end) as errors from i""", "reports")
+@query("f6_normalize_edits", """with e as (select *, case when recording % 7 > 0 then recording % 7 - 1 end as s, case when recording % 5 > 0 then 48000 - recording % 5 + 2 end as t, case when recording % 3 > 0 then gain * 3 end as g, case when recording % 6 = 1 then gain end as h, recording % 4 as fade_in, case when stage = 'P' then 50000 else 0 end as fade_out,
+ case when recording % 10 = 0 then 2 else 0 end as regions, case when priority like '1%' then 'sample-payload-trim' when priority like '2%' then 'louder' when priority like '3%' then 'edited-wav' end as stated from reports),
+ v as (select *, coalesce(s, 0) as a, coalesce(t, 48000) as b, coalesce(g, h, 0) as db, coalesce(g, h, 0) <> 0 or fade_in > 0 or fade_out > 0 or regions > 0 as changed from e)
+ select recording, coalesce(stated, case when changed then 'edited-wav' else 'sample-payload-trim' end) as inferred, concat_ws(',', case when b > 48000 then 'range' end, case when g <> h then 'gain-conflict' end, case when db < -60 or db > 24 then 'gain' end, case when fade_out > b - a then 'fade' end, case when stated = 'louder' then 'profile' end,
+ case when stated = 'sample-payload-trim' and changed then 'profile-contradiction' end) as errors from v""", "reports")
 def f6(spark, d):
+    n, p = F.col("recording"), F.col("priority")
     e = signals.reports(spark, d).select(
-        "recording", F.lit(48000).alias("frames"), (F.col("recording") % 7 - 1).alias("start_frame"), (48000 - F.col("recording") % 5 + 1).alias("end_frame"), (F.col("gain") * 3).alias("gain_db"), (F.col("recording") % 3).alias("fade_in"),
-        F.when(F.col("stage") == "P", 0).otherwise(1).alias("fade_out"), F.when(F.col("priority").startswith("1"), "trimmed").alias("profile"),
+        "recording", F.lit(48000).alias("frames"), F.when(n % 7 > 0, n % 7 - 1).alias("start_frame"), F.when(n % 5 > 0, 48000 - n % 5 + 2).alias("end_frame"), F.when(n % 3 > 0, F.col("gain") * 3).alias("gain_db"), F.when(n % 6 == 1, F.col("gain")).alias("other_gain_db"), (n % 4).alias("fade_in"),
+        F.when(F.col("stage") == "P", 50000).alias("fade_out"), F.when(n % 10 == 0, 2).alias("local_regions"), F.when(p.startswith("1"), "sample-payload-trim").when(p.startswith("2"), "louder").when(p.startswith("3"), "edited-wav").alias("profile"),
     )
     return out(edits.normalize_edits(e).withColumn("errors", F.concat_ws(",", "errors")), "recording", "", "inferred errors")
 
 
-@query("f7_validate_regions", f"""with {_REGION_SQL}, c as (select *, case severity when 'critical' then -61.0 else -3.0 end as gain_db, row_number() over (partition by recording order by start_frame, id) as nth from regions), w as (select *, case when nth % 10 = 0 then 'same' else id end as rid from c)
- select recording, id, concat_ws(',', case when end_frame > 12000 then 'bounds' end, case when gain_db < -60 then 'gain' end, case when count(*) over (partition by recording, rid) > 1 then 'id-repeated' end, case when count(*) over (partition by recording) > 256 then 'too-many' end) as errors from w""", "markers")
+@query("f7_validate_regions", f"""with {_REGION_SQL}, c as (select *, case severity when 'critical' then -61.0 else -3.0 end as gain_db, row_number() over (partition by recording order by start_frame, id) as k from regions), w as (select *, case when k % 10 = 0 then 'same' when k % 10 = 1 then '' else id end as rid from c)
+ select recording, id, concat_ws(',', case when end_frame > 12000 then 'bounds' end, case when k % 7 = 0 then 'order' end, case when gain_db < -60 then 'gain' end, case when k % 9 = 0 then 'target' end, case when rid = '' then 'id' end, case when count(*) over (partition by recording, rid) > 1 then 'id-repeated' end, case when count(*) over (partition by recording) > 256 then 'too-many' end) as errors from w""", "markers")
 def f7(spark, d):
     from pyspark.sql import Window
 
-    nth = F.row_number().over(Window.partitionBy("recording").orderBy("start_frame", "id"))
-    regs = _regions(spark, d).withColumn("gain_db", F.when(F.col("severity") == "critical", -61.0).otherwise(-3.0)).withColumn("own", F.col("id")).withColumn("frames", F.lit(12_000)).withColumn("nth", nth)
-    checked = edits.validate_gain_regions(regs.withColumn("id", F.when(F.col("nth") % 10 == 0, "same").otherwise(F.col("id"))))
-    return out(checked.select("recording", F.col("own").alias("id"), F.concat_ws(",", "errors").alias("errors")), "recording", "", "id errors")
+    k = F.row_number().over(Window.partitionBy("recording").orderBy("start_frame", "id"))
+    regs = _regions(spark, d).withColumn("gain_db", F.when(F.col("severity") == "critical", -61.0).otherwise(-3.0)).withColumn("own", F.col("id")).withColumn("frames", F.lit(12_000)).withColumn("k", k)
+    regs = regs.withColumn("id", F.when(F.col("k") % 10 == 0, " same ").when(F.col("k") % 10 == 1, "  ").otherwise(F.col("id"))).withColumn("release_start", F.when(F.col("k") % 7 == 0, F.col("end_frame")).otherwise(F.col("release_start"))).withColumn("target_dbtp", F.when(F.col("k") % 9 == 0, 1.0))
+    return out(edits.validate_gain_regions(regs).select("recording", F.col("own").alias("id"), F.concat_ws(",", "errors").alias("errors")), "recording", "", "id errors")
\ No newline at end of file
