@@ -21,12 +21,19 @@ HALO_SECONDS = 0.25
 def with_halo(blocks: DataFrame, halo: int, block_frames: int) -> DataFrame:
     """``halo``: up to so many samples before each block; ``last``: whether a block ends its channel.
 
-    With blocks of a second only the block before is looked at.
+    Each block sends its last samples on to the blocks that they reach (the next one, with blocks of a second), and
+    tells the one before that it is there. Blocks are dealt one by one: a long channel is spread over all tasks.
     """
-    order = Window.partitionBy("recording", "channel").orderBy("block_no")
-    before = F.flatten(F.collect_list("samples").over(order.rowsBetween(-max(1, -(-halo // block_frames)), -1)))
+    keys, reach = ["recording", "channel", "block_no"], max(1, -(-halo // block_frames))
+    end = F.slice("samples", F.greatest(F.lit(1), F.size("samples") - halo + 1), F.lit(halo))
+    sent = blocks.select("recording", "channel", F.explode(F.sequence(F.col("block_no") + 1, F.col("block_no") + reach)).alias("to"), F.struct(F.col("block_no").alias("nth"), end.alias("end")).alias("part"))
+    told = blocks.select("recording", "channel", (F.col("block_no") - 1).alias("to"), F.lit(None).cast(sent.schema["part"].dataType).alias("part"))
+    # as many parts a block as it has blocks within reach
+    parts = sent.unionByName(told).groupBy("recording", "channel", F.col("to").alias("block_no")).agg(F.array_sort(F.collect_list("part")).alias("parts"), F.count_if(F.col("part").isNull()).alias("next"))
+    before = F.flatten(F.transform(F.coalesce("parts", F.array()), lambda p: p["end"]))
     cut = F.slice(before, F.greatest(F.lit(1), F.size(before) - halo + 1), F.lit(halo))
-    return blocks.withColumn("halo", F.when(F.size(before) > 0, cut).otherwise(F.array().cast("array<double>"))).withColumn("last", F.lead("block_no").over(order).isNull())
+    out = blocks.join(parts, keys, "left").withColumn("halo", cut).withColumn("last", F.coalesce(F.col("next"), F.lit(0)) == 0)
+    return out.select(*blocks.columns, "halo", "last")
 
 
 def _clean(values) -> np.ndarray:

@@ -17,7 +17,7 @@ def trim(frames: DataFrame, edits: DataFrame) -> DataFrame:
     An edit beyond the recording is clamped by its frames; one that leaves none gives no rows.
     """
     inside = (F.col("frame") >= F.greatest(F.col("start_frame"), F.lit(0))) & (F.col("frame") < F.col("end_frame"))
-    return frames.join(F.broadcast(edits), "recording").where(inside).withColumn("frame", F.col("frame") - F.greatest(F.col("start_frame"), F.lit(0)))
+    return frames.join(edits, "recording").where(inside).withColumn("frame", F.col("frame") - F.greatest(F.col("start_frame"), F.lit(0)))
 
 
 def apply_gain(value: Column, decibels: Column) -> Column:

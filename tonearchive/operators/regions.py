@@ -17,6 +17,13 @@ def regions(rows: DataFrame, holds: Column, least: int, at: str = "frame", keys:
     return out.withColumn("length", F.col("end") - F.col("start")).where(F.col("length") >= least).drop("island")
 
 
+def kept_regions(found: DataFrame, most: int = 1000) -> DataFrame:
+    """The first ``most`` regions of each recording by start, numbered, each beside the ``total`` that there are."""
+    every = Window.partitionBy("recording")
+    out = found.withColumn("nth", F.row_number().over(every.orderBy("start"))).withColumn("total", F.count("*").over(every))
+    return out.where(F.col("nth") <= most)
+
+
 def zero_regions(frames: DataFrame, least: int) -> DataFrame:
     """All channels finite and exactly zero."""
     return regions(frames, finite("left") & finite("right") & (F.col("left") == 0) & (F.col("right") == 0), least)

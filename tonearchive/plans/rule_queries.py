@@ -164,7 +164,10 @@ def c14(spark, d):
     older = F.struct(F.col("duration").alias("duration"), F.struct(F.col("loudness").alias("lufsI"), F.col("peak").alias("truePeakEstimateDbtp")).alias("summary"))
     sections = lambda x: F.to_json(F.struct(F.struct(x.alias("verifiedExportFile")).alias("sections")))
     layouts = [sections(F.struct(verified.alias("analysis"))), sections(F.struct(older.alias("verifiedOutput"))), sections(verified), F.to_json(F.struct(older.alias("verifiedOutput"))), F.to_json(F.struct(F.struct(older.alias("verifiedOutput")).alias("exportReport"))), F.to_json(F.struct(summary.alias("summary"), F.struct(F.col("duration").alias("durationSeconds")).alias("metadata")))]
-    report = F.element_at(F.array(*layouts), (n % len(layouts) + 1).cast("int"))
+    report = F
+    for k, text in enumerate(layouts):
+        report = report.when(n % len(layouts) == k, text)
+    report = report.otherwise(None)
     return out(stats.series_overview(stats.report_values(rep.select("series", report.alias("report"))), ["loudness", "peak", "duration"]), "n", "median least greatest", "series field")
 
 

@@ -56,7 +56,7 @@ def b3(spark, d):
 @query("b4_local_gain", f"select recording, frame, {r(LOCAL, 'factor')} from frames", "frames")
 def b4(spark, d):
     f = signals.frames(spark, d)
-    joined = f.join(F.broadcast(_edits(f).select("recording", "regions")), "recording")
+    joined = f.join(_edits(f).select("recording", "regions"), "recording")
     return out(joined.withColumn("factor", edits.local_gain_factor(F.col("frame"), F.col("regions"))), "recording frame", "factor")
 
 
@@ -274,9 +274,9 @@ def w5(spark, d):
     return out(regions.flat_tops(stats.by_channel(signals.dirty(spark, d)), 0.199), "recording channel start end length")
 
 
-@query("w6_regions", f'with {_ISLAND(chr(34) + "right" + chr(34) + " > 0")} select recording, start, "end", length from runs where length >= 2', "dirty")
+@query("w6_regions", f'with {_ISLAND(chr(34) + "right" + chr(34) + " > 0")}, t as (select *, row_number() over (partition by recording order by start) as nth, count(*) over (partition by recording) as total from runs where length >= 2) select recording, start, "end", length, nth, total from t where nth <= 1000', "dirty")
 def w6(spark, d):
-    return out(regions.regions(signals.dirty(spark, d), F.col("right") > 0, 2), "recording start end length")
+    return out(regions.kept_regions(regions.regions(signals.dirty(spark, d), F.col("right") > 0, 2)), "recording start end length nth total")
 
 
 @query("w7_zero_regions", f'with {_ISLAND(chr(34) + "left" + chr(34) + " = 0 and " + chr(34) + "right" + chr(34) + " = 0")} select recording, start, "end", length from runs where length >= 2', "dirty")
