@@ -137,6 +137,24 @@ def test_crowded_buckets_are_tiled(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(39, 0)}
 
 
+def test_links_near_the_threshold_are_found(spark):
+    rng = np.random.default_rng(3)
+    one, other = rng.standard_normal((2, 2000, 64))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    other -= (other * one).sum(axis=1)[:, None] * one
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    cosine = rng.uniform(0.9502, 0.96, (2000, 1))
+    near = cosine * one + np.sqrt(1 - cosine * cosine) * other
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([one, near, rng.standard_normal((6000, 64))]).astype(np.float32))]
+    rows += [(i, rows[0][1]) for i in range(10_000, 11_000)] + [(5, rows[1][1])]  # a vector of many copies; a repeated vec_id
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    linked = {(r.vec_id, r.component_id, r.n_links) for r in got}
+    assert len(got) == len(rows)
+    assert sum((2000 + i, i, 1) in linked for i in range(2, 2000)) >= 0.999 * 1998
+    assert {(0, 0, 1001), (2000, 0, 1001), (10_999, 0, 1001), (5, 1, 2), (2001, 1, 2)} <= linked
+    assert not any(n for v, _, n in linked if 4000 <= v < 10_000)
+
+
 def test_licenses(docs, empty):
     got = licenses.find_licenses(docs).collect()
     assert bag((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == bag((d, *brute.licenses(t)) for d, t in texts())

@@ -17,6 +17,10 @@ from .components import connected_components
 TILE = 4096
 #: Rows of a tile that are compared at once.
 ROWS = 128
+#: Rows of sketches that a task compares together, whole buckets of at most ``TILE`` rows.
+GATHER = 1 << 16
+#: A bucket's key: the code, from this bit on its table, from that on the length of the vectors.
+TABLE_AT, WIDTH_AT = 30, 42
 
 
 def layout(vectors: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -24,35 +28,86 @@ def layout(vectors: int, threshold: float, miss: float) -> tuple[int, int]:
 
     Bits grow with the logarithm of the input, so buckets of unrelated vectors stay about as
     full; tables are as many as make a pair at exactly the threshold go unfound with
-    probability ``miss`` at most. More similar pairs go unfound more rarely.
+    probability ``miss`` at most. More similar pairs go unfound more rarely. Where that would
+    take more tables than a key can number, codes are shorter.
     """
-    bits = min(30, max(8, math.ceil(math.log2(max(vectors, 2))) - 4))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - agree))
+    bits = min(TABLE_AT, max(8, math.ceil(math.log2(max(vectors, 2))) - 4))
+    alike = 1 - math.acos(threshold) / math.pi
+    while bits > 1 and math.log(miss) / math.log(1 - alike**bits) > 1 << (WIDTH_AT - TABLE_AT):
+        bits -= 1
+    return bits, math.ceil(math.log(miss) / math.log(1 - alike**bits))
+
+
+def most_apart(threshold: float, miss: float) -> int:
+    """Bits of 64 in which the sketches of a pair at the threshold differ, save with probability ``miss`` at most."""
+    apart = math.acos(threshold) / math.pi
+    beyond = 1.0
+    for k in range(64):
+        beyond -= math.comb(64, k) * apart**k * (1 - apart) ** (64 - k)
+        if beyond <= miss:
+            return k
+    return 64
+
+
+def _planes(seed: int, width: int, count: int, *use: int) -> np.ndarray:
+    return np.random.default_rng([seed, width, *use]).standard_normal((width, count))
+
+
+def _codes(x: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """Codes of the rows of ``x``, a column a table."""
+    codes = np.zeros((len(x), planes.shape[1] // bits), np.int64)
+    for low in range(0, len(x), 256):
+        part = x[low : low + 256]
+        codes[low : low + 256] = ((part @ planes > 0).reshape(len(part), -1, bits) << np.arange(bits, dtype=np.int64)).sum(axis=2)
+    return codes
 
 
 def _sign(bits: int, tables: int, seed: int):
+    """Of each vector: a row a table with its bucket's key, and a sketch of 64 signs of their own; no vector."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(bits, dtype=np.int64)
+        planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        table = np.arange(tables, dtype=np.int64) << TABLE_AT
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                lists = part.column("embedding")
+                lists, node = part.column("embedding"), part.column("node").to_numpy()
                 width = np.diff(lists.offsets.to_numpy())
                 for d in np.unique(width).tolist():  # vectors of different lengths never meet
                     of = np.flatnonzero(width == d)
                     x = lists.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(of), d)
                     if d not in planes:
-                        planes[d] = np.random.default_rng([seed, d]).standard_normal((d, bits * tables))
-                    codes = ((x @ planes[d] > 0).reshape(len(of), tables, bits) * weights).sum(axis=2).astype(np.uint32)
-                    rows = np.repeat(of, tables)
-                    table = np.tile(np.arange(tables, dtype=np.int32), len(of))
-                    chosen = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(table), pa.array((np.int64(d) << 32) | codes.ravel().astype(np.int64)), chosen.column("node"), chosen.column("copies"), chosen.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(np.repeat(np.arange(len(of)), tables)))],
-                        ["table", "code", "node", "copies", "embedding", "codes"],
-                    )
+                        planes[d] = _planes(seed, d, bits * tables), _planes(seed, d, 64, 1)
+                    key = (np.int64(d) << WIDTH_AT) | table | _codes(x, planes[d][0], bits)
+                    sketch = np.packbits(x @ planes[d][1] > 0, axis=1).view(np.int64).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node[of], tables)), pa.array(np.repeat(sketch, tables))], ["key", "node", "sketch"])
+
+    return run
+
+
+def _near(bound: int):
+    """Of rows that come sorted by key: those whose bucket holds another with a sketch ``bound`` bits apart or fewer."""
+
+    def some(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        near, step = np.zeros(len(key), bool), 1
+        at = np.flatnonzero(key[1:] == key[:-1])
+        while len(at):  # every row with the one ``step`` places on, in all buckets at once
+            close = at[np.bitwise_count(sketch[at] ^ sketch[at + step]) <= bound]
+            near[close] = near[close + step] = True
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+        return pa.RecordBatch.from_arrays([pa.array(key[near]), pa.array(node[near])], ["key", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy().view(h.dtype)]) for i, h in enumerate(held)]
+            if len(held[0]) >= GATHER:
+                cut = np.searchsorted(held[0], held[0][-1])  # the last bucket may go on
+                yield some(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        yield some(*held)
 
     return run
 
@@ -64,19 +119,23 @@ def _roots(parent: np.ndarray, of: np.ndarray) -> np.ndarray:
     return found
 
 
-def _compare(threshold: float, tables: int):
-    """In each tile: links seen in no earlier table, counted for both ends, and a spanning forest of them."""
+def _compare(threshold: float, bits: int, tables: int, seed: int):
+    """In each tile: links whose ends meet in no earlier table, counted for both ends, and a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, ["table", "code", "low", "high"]):
+        planes: dict[int, np.ndarray] = {}
+        for rows in runs(batches, ["key", "low", "high"]):
             n = rows.num_rows
             if n < 2:
                 continue
-            table, a, b = (rows.column(c)[0].as_py() for c in ("table", "low", "high"))
+            key, a, b = (rows.column(c)[0].as_py() for c in ("key", "low", "high"))
+            width, table = key >> WIDTH_AT, key >> TABLE_AT & (1 << WIDTH_AT - TABLE_AT) - 1
+            if width not in planes:
+                planes[width] = _planes(seed, width, bits * tables)
             node, copies, own = (rows.column(c).to_numpy() for c in ("node", "copies", "own"))
             x = rows.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(n, -1)
+            codes = _codes(x, planes[width][:, : bits * table], bits)
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint32).reshape(n, tables)
             left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
             links, parent = np.zeros(n, np.int64), np.arange(n)
             for at in range(0, len(left), ROWS):
@@ -84,7 +143,7 @@ def _compare(threshold: float, tables: int):
                 i, j = left[at + i], right[j]
                 fresh = i < j if a == b else np.ones(len(i), bool)
                 i, j = i[fresh], j[fresh]
-                fresh = ~(codes[i, :table] == codes[j, :table]).any(axis=1)
+                fresh = ~(codes[i] == codes[j]).any(axis=1)
                 i, j = i[fresh], j[fresh]
                 links += np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
                 while len(i):
@@ -107,6 +166,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
     zero, empty or hold null or non-finite components, and rows without vec_id, link with
     nothing; the latter have a null component_id and are not kept. Vectors of different
     lengths do not link. Rows that repeat a vec_id are vectors of their own.
+
+    A bucket compares sketches first; only vectors with a near sketch in it are sent there. A
+    pair at the threshold meets in no table with probability ``miss`` at most, and is passed
+    over by its sketches with a tenth of that.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -118,18 +181,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     bits, tables = layout(distinct.count(), threshold, miss)
 
-    signed = distinct.mapInArrow(_sign(bits, tables, seed), f"table int, code long, node long, copies long, embedding {dict(given.dtypes)['embedding']}, codes binary")
-    crowded = signed.groupBy("table", "code").count().where(F.col("count") > TILE)
-    crowded = materialize(crowded.select("table", "code", F.ceil(F.col("count") / TILE).cast("int").alias("parts")), "crowded")
-    if crowded.head(1):  # a crowded bucket is cut in parts; each pair of parts is a tile of its own
-        signed = signed.join(crowded, ["table", "code"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        signed = signed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    else:
-        signed = signed.withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
-    tile = ["table", "code", "low", "high"]
-    signed = signed.select("table", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "copies", "embedding", "codes")
-    dealt = signed.repartition(partitions(spark), *tile).sortWithinPartitions(*tile)
-    found = materialize(dealt.mapInArrow(_compare(threshold, tables), "node long, links long, head long"), "links")
+    signed = distinct.select("node", "embedding").mapInArrow(_sign(bits, tables, seed), "key long, node long, sketch long")
+    crowded = signed.groupBy("key").count().where(F.col("count") > TILE)
+    crowded = materialize(crowded.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("parts")), "crowded")
+    anywhere = bool(crowded.head(1))
+    sparse = signed.join(crowded, "key", "left_anti") if anywhere else signed
+    sparse = sparse.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    met = sparse.mapInArrow(_near(most_apart(threshold, miss / 10)), "key long, node long").withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+    if anywhere:  # a crowded bucket is cut in parts; each pair of parts is a tile of its own
+        cut = signed.join(crowded, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        met = met.unionByName(cut.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")))
+    tile = ["key", "low", "high"]
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node")
+    dealt = met.join(distinct.select("node", "copies", "embedding"), "node").repartition(partitions(spark), *tile).sortWithinPartitions(*tile)
+    found = materialize(dealt.mapInArrow(_compare(threshold, bits, tables, seed), "node long, links long, head long"), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("node").alias("u"), F.col("head").alias("v")))
