@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import gc
 import itertools
 import re
@@ -85,6 +87,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_cache: dict = {}
+
+
+def worker_cache(name: str, make: Callable[[], object] = object) -> object:
+    """The one large cache that this Python worker keeps; asking for another, or for one of nothing, lets it go."""
+    if name not in _cache:
+        _cache.clear()
+        _cache[name] = make()
+    return _cache[name]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other systems have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving freed memory back when its rows are done: a worker that waits, as JVM steps run, holds little."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -98,7 +128,7 @@ def map_batches(df: DataFrame, function: Callable[[dict[str, list]], Iterable[pa
             if batch.num_rows:
                 yield from function({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def lower_words(text: str) -> list[bytes]:

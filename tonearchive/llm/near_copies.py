@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, prepare, release, runs
+from .common import lean, materialize, partitions, prepare, release, runs, worker_cache
 from .components import connected_components
 from .simhash import fingerprint, fingerprint_links
 
@@ -66,6 +66,7 @@ def _minima(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("none")  # what an earlier step of the job kept
         for batch in batches:
             out = [[] for _ in range(4)]
             for text in batch.column("text").to_pylist():
@@ -76,7 +77,7 @@ def _describe(size: int):
             fps = pa.array(np.array(out[0], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), fps, *[pa.array(c, pa.binary()) for c in out[1:]]], ["row", "doc_id", "fp", "same", "bands", "sketch"])
 
-    return run
+    return lean(run)
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,7 @@ def _meet(similarity: float):
             if more:
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 2, *[pa.array([x], t) for x, t in zip(tile, _TILE_TYPES, strict=True)]], ["u", "v", *TILE])
 
-    return run
+    return lean(run)
 
 
 def _settle(similarity: float):
@@ -195,7 +196,7 @@ def _settle(similarity: float):
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return run
+    return lean(run)
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -214,7 +215,7 @@ def _sets(size: int):
             sets = [shrink.compress(np.unique(_shingles(t.encode().lower().split(), size).astype(np.uint32)).tobytes()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return run
+    return lean(run)
 
 
 def _verify(similarity: float):
@@ -228,7 +229,7 @@ def _verify(similarity: float):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
 
-    return run
+    return lean(run)
 
 
 def _shingle_sets(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -279,7 +280,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = materialize(each.groupBy("same").agg(F.min_by(F.struct("row", "doc_id", "fp", "bands", "sketch"), order).alias("f")).select("same", F.col("f.row").alias("node"), "f.doc_id", "f.fp", "f.bands", "f.sketch"), "distinct")
 
-    placed = first.select("node", "bands", "sketch").mapInArrow(_place, "band int, key long, node long, sketch binary")
+    placed = first.select("node", "bands", "sketch").mapInArrow(lean(_place), "band int, key long, node long, sketch binary")
     texts = kept.select(F.col("row").alias("node"), text)
     tiles = _tiled(placed, _crowded(placed, MEETING))
     met = tiles.repartition(partitions(spark), *TILE).sortWithinPartitions(*TILE).mapInArrow(_meet(similarity), "u long, v long, band int, key long, low int, high int")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, prepare
+from .common import documents, lean, map_batches, materialize, prepare
 from .tokens import encoder, gathered
 
 GRAIN = 8
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, ids: bool = False)
         raise ValueError(f"length must be a multiple of {GRAIN}")
     prepare(docs.sparkSession)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, width int, part int, rank long" + ", ids binary" * ids
-    pieces = materialize(documents(docs).mapInArrow(_cut(tokenizer, length, ids), kind), "pieces")
+    pieces = materialize(documents(docs).mapInArrow(lean(_cut(tokenizer, length, ids)), kind), "pieces")
     counts = pieces.groupBy("width", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("width").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("width", "part", F.coalesce(before, F.lit(0)).alias("base"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkMemo, documents, map_batches, materialize, prepare
+from .common import ChunkMemo, documents, lean, map_batches, materialize, prepare, worker_cache
 
 WORDS, WIDTH, REACH, SEED = 1 << 14, 24, 2, 11
 #: Labelled rows that the network is fitted on, at most; all statistics cover all rows.
@@ -59,15 +59,11 @@ def _classes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, np.int32), np.array(counts, np.int64)
 
 
-_memo: ChunkMemo | None = None
-
-
 def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word classes of all texts, one after the other, and where each text begins (and the last ends)."""
-    global _memo
-    _memo = _memo or ChunkMemo(_classes)
+    memo = worker_cache("word classes", lambda: ChunkMemo(_classes))
     split = [t.split() for t in texts]
-    ids, counts = _memo.encode(list(itertools.chain.from_iterable(split)))
+    ids, counts = memo.encode(list(itertools.chain.from_iterable(split)))
     return ids, np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, split)])]
 
 
@@ -111,7 +107,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
             part = some[low : low + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(sums[part, k]) for k in range(WIDTH + 1)]], ["word", *names])
 
-    each = documents(docs).mapInArrow(run, "word long, " + ", ".join(f"{n} long" for n in names))
+    each = documents(docs).mapInArrow(lean(run), "word long, " + ", ".join(f"{n} long" for n in names))
     # one row per class: WORDS rows at most, whatever the corpus holds
     table = each.groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     out = np.zeros((WORDS, WIDTH + 1))
@@ -231,5 +227,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
             score = _sigmoid(_forward(net, x)) if net else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), batch.column("carried")], ["doc_id", "score", "carried"])
 
-    scored = rows.mapInArrow(run, f"doc_id long, score double, carried {rows.schema['carried'].dataType.simpleString()}")
+    scored = rows.mapInArrow(lean(run), f"doc_id long, score double, carried {rows.schema['carried'].dataType.simpleString()}")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "carried")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, lower_words, map_batches, materialize, partitions, prepare
+from .common import documents, lean, lower_words, map_batches, materialize, partitions, prepare
 from .components import connected_components
 
 SEED = 42
@@ -173,7 +173,7 @@ def fingerprint_links(fps: DataFrame, most: int = 3, direct: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part[rows]), pa.array(home), *more], ["anchor", "fp", "home", *carried])
 
     carried = ["component"] if direct else []
-    placed = fps.select("fp", *carried).distinct().mapInArrow(place, ", ".join(["anchor long, fp long, home boolean", *(f"{c} long" for c in carried)]))
+    placed = fps.select("fp", *carried).distinct().mapInArrow(lean(place), ", ".join(["anchor long, fp long, home boolean", *(f"{c} long" for c in carried)]))
     # An anchor's homes are counted before anything meets there; crowded ones are split by salt.
     crowded = placed.where("home").groupBy("anchor").count().where(F.col("count") > HOMES)
     crowded = materialize(crowded.select("anchor", F.ceil(F.col("count") / HOMES).cast("int").alias("parts")), "crowded")
@@ -214,7 +214,7 @@ def fingerprint_links(fps: DataFrame, most: int = 3, direct: bool = False) -> Da
             if out_u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], ["u", "v"])
 
-    return dealt.mapInArrow(meet, "u long, v long")
+    return dealt.mapInArrow(lean(meet), "u long, v long")
 
 
 def _then_none(batches: Iterator) -> Iterator:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import WHITE, ragged
+from .common import WHITE, ragged, worker_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: The id that ends every document.
@@ -165,11 +165,6 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator
         yield pa.concat_batches(held)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder of that file."""
+    return worker_cache(path, lambda: Encoder(path))
