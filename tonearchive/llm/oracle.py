@@ -67,4 +67,21 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
 from d left join b using (doc_id) left join s using (doc_id)
 """
 
-ORACLE_SQL = {"op1_embedding": EMBEDDING, "op3_secrets": SECRETS, "op10_substring": SUBSTRING}
+DIVERGENCE = r"""
+with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+g as (select distinct lang, source from d),
+o as (select doc, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as n from o group by 1, 2 having count(distinct doc) >= 10),
+l as (select lang, count(*) as v, sum(n) as words from k group by 1),
+c as (select lang, source, term, count(*) as n from o join k using (lang, term) group by 1, 2, 3),
+s as (select lang, source, sum(n) as words from c group by 1, 2),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (coalesce(s.words, 0) + 2 * l.v))::bigint as p, (1 + 1000000000::hugeint * (k.n + 2) // (l.words + 2 * l.v))::bigint as q
+    from g join k using (lang) join l using (lang) left join s using (lang, source) left join c using (lang, source, term)),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pair as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(f.value, 0)::bigint as value from g join g h on g.lang = h.lang and g.source <> h.source left join f on f.lang = g.lang and f.source = g.source and f.item = h.source),
+term as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from (select * from pair union all select * from term))
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10
+"""
+
+ORACLE_SQL = {"op11_divergence": DIVERGENCE, "op1_embedding": EMBEDDING, "op3_secrets": SECRETS, "op10_substring": SUBSTRING}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, licenses, mixing, mpeg, packing, quality, secret_scan, simhash, substring, token_store
+from . import divergence, embedding, extraction, licenses, mixing, mpeg, packing, quality, secret_scan, simhash, substring, token_store, whitening
 from .common import work_dir
 from .oracle import ORACLE_SQL
 
@@ -69,6 +69,18 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding": op1_embedding,
     "op2_licenses": op2_licenses,
@@ -80,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_substring": op10_substring,
+    "op11_divergence": op11_divergence,
+    "op12_whitening": op12_whitening,
+    "op13_html": op13_html,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
