@@ -193,6 +193,41 @@ def test_long_license_expressions():
     assert len(licenses.longest(" and ".join(["a"] * 200_000) + " (")) == 399_999
 
 
+#: Licence identifiers as they are published, of families that the operator does not know by name too.
+PUBLISHED = (
+    "AAL Abstyles Adobe-2006 ADSL AFL-3.0 AGPL-3.0-or-later Aladdin AMDPLPA AML ANTLR-PD APAFML APL-1.0 APSL-2.0 Arphic-1999 Artistic-2.0 Bahyph Barr Beerware Bitstream-Vera BitTorrent-1.1 blessing BlueOak-1.0.0 Boehm-GC Borceux BSD-4-Clause-UC BSL-1.0 BUSL-1.1 "
+    "CAL-1.0 Caldera CATOSL-1.1 CC-BY-NC-SA-3.0-IGO CDDL-1.1 CDLA-Permissive-2.0 CERN-OHL-S-2.0 ClArtistic CNRI-Python COIL-1.0 Condor-1.1 CPAL-1.0 Crossword CrystalStacker CUA-OPL-1.0 Cube D-FSL-1.0 diffmark DOC Dotseqn DRL-1.0 DSDP dvipdfm eCos-2.0 EFL-2.0 eGenix Elastic-2.0 "
+    "Entessa ErlPL-1.1 etalab-2.0 EUDatagrid EUPL-1.2 Eurosym Fair Frameworx-1.0 FreeBSD-DOC FreeImage FSFUL FSFULLR GD Giftware GL2PS Glide Glulxe gnuplot gSOAP-1.3b HaskellReport Hippocratic-2.1 IBM-pibs ImageMagick iMatix Imlib2 Info-ZIP Intel Interbase-1.0 IPA IPL-1.0 JasPer-2.0 "
+    "Knuth-CTAN LAL-1.3 Latex2e Leptonica LGPLLR libtiff Linux-OpenIB LiLiQ-P-1.1 LOOP LPL-1.02 MakeIndex MirOS MITNFA Motosoto mpich2 MTLL MulanPSL-2.0 Multics Mup NASA-1.3 Naumen NBPL-1.0 Net-SNMP NetCDF Newsletr NGPL NLOD-2.0 NLPL Nokia NOSL Noweb NPL-1.1 NPOSL-3.0 NRL NTP OCCT-PL "
+    "OCLC-2.0 OFL-1.1-RFN OGC-1.0 OGL-UK-3.0 OGTSL OML OPL-1.0 OPUBL-1.0 OSET-PL-2.1 Parity-7.0.0 PDDL-1.0 Plexus PolyForm-Small-Business-1.0.0 psfrag psutils Qhull Rdisc RHeCos-1.1 RPL-1.5 RPSL-1.0 RSA-MD RSCPL SAX-PD Saxpath SCEA Sendmail SHL-0.5 SimPL-2.0 SISSL SMLNJ SMPPL SNIA "
+    "Spencer-94 SPL-1.0 SSPL-1.0 SugarCRM-1.1.3 SWL TAPR-OHL-1.0 TCP-wrappers TMate TORQUE-1.1 TOSL TU-Berlin-2.0 UCL-1.0 VOSTROM VSL-1.0 Watcom-1.0 Wsuipa Xerox XFree86-1.1 xinetd xpp XSkat YPL-1.1 Zed Zend-2.0 Zimbra-1.4 zlib-acknowledgement"
+).split()
+
+
+def test_any_published_identifier():
+    assert len(PUBLISHED) > 170
+    labels = lambda text: set(licenses.scan(text)["labels"].split(",")) - {"cc-by-nc"}  # that one is a base phrase
+    for name in PUBLISHED:
+        low = name.lower()
+        assert labels(f"// SPDX-License-Identifier: {name}\ncode") == {low}, name
+        assert labels(f"/* SPDX-License-Identifier: (MIT OR {name}) AND ISC */") == {low, "mit", "isc"}, name
+        assert labels(f"SPDX-License-Identifier: MIT/{name}.\n") == {low, "mit"}, name
+        assert labels(f"SPDX-License-Identifier: Apache-2.0 WITH {name}-exception OR {name}") == {low, "apache-2.0"}, name
+    for prose in ("see LICENSE", "refer to the file", "NONE", "NOASSERTION", "", "and", "this file", "(see below"):
+        assert licenses.scan(f"SPDX-License-Identifier: {prose}\n")["labels"] == "", prose
+    assert licenses.scan("SPDX-License-Identifier: MIT GPL-2.0 and more words")["labels"] == "gpl-2.0,mit"
+    assert licenses.scan("SPDX-License-Identifier: MIT. See the file")["labels"] == "mit"
+
+
+def test_many_tags_on_one_line():
+    """Fifty thousand tags on a line, and as many names after one, are read once each."""
+    bare = licenses.scan("spdx-license-identifier: " * 50_000)
+    assert bare["expressions"] == [] and bare["labels"] == ""
+    many = licenses.scan("SPDX-License-Identifier: MIT OR Zed " * 50_000)
+    assert many["labels"] == "mit,zed" and len(many["expressions"]) == 50_000
+    assert len(licenses.scan("SPDX-License-Identifier: " + "MIT-1.0 " * 50_000)["expressions"]) == 50_000
+
+
 def test_secret_parts_across_stretches(spark):
     """Parts that cross a multiple of the scope, long parts, and complements on either side are linked by the plain distance."""
     texts = []
@@ -374,6 +409,25 @@ def test_mixing_of_repeated_rows(spark):
     assert bag((r.doc_id, r.copies) for r in mixing.mix(frame.repartition(3)).collect()) == bag((r.doc_id, r.copies) for r in got)
 
 
+def test_mixing_of_one_text_in_two_sources(spark):
+    """Rows alike but for their source are different rows: however they are dealt, each source meets its target."""
+    rows = [(5, "seven words that are all the same", s) for s in "ab" for _ in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for dealt in (frame.repartition(7), frame.repartition(3), frame.repartitionByRange(2, "source")):
+        got = mixing.mix(dealt).collect()
+        seen.append(bag((r.source, r.copies) for r in got))
+        for s in "ab":
+            assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 7
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_many_sources_are_ranked_apart(spark):
+    rows = [(k, "w " * (1 + k % 5), None if k == 0 else f"s{k:04d}") for k in range(300)]
+    got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()}
+    assert got == pytest.approx(brute.targets({s: 1 + k % 5 for k, _, s in rows}))
+
+
 def test_quality(spark, empty):
     rng = random.Random(2)
     good, bad = ["alpha", "beta", "gamma", "delta"], ["$$$", "BUY!!", "###", "alpha***"]

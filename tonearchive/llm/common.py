@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that the contracts call white space: blank, and tab to carriage return.
@@ -81,6 +81,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], to: str, name: str) -> DataFrame:
+    """``to``: the place of each row in the order, from 0. Rows are dealt by ranges and numbered where they lie; only the ranges' counts meet."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_id"))
+    parts = materialize(parts.withColumn("_part", F.shiftright("_id", 33)), name)
+    counts = parts.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    offsets = counts.select("_part", before.alias("_before"))
+    return parts.join(F.broadcast(offsets), "_part").withColumn(to, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_id", "_before")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps that nothing refers to."""
     gc.collect()

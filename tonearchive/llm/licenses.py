@@ -31,38 +31,59 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 TAG, TAG_TEXT = "spdx license identifier", "spdx-license-identifier"
-#: First parts of licence identifiers (fixed values); what follows a hyphen names the version or variant.
+#: First parts of common licence identifiers (fixed values): such a name is one even where prose follows it.
 FAMILIES = (
     "0bsd afl agpl apache apl artistic bsd bsl bzip2 cc cc0 cddl cecill cpl curl ecl epl eupl fsfap ftl gfdl gpl hpnd icu ijg isc jpl json lgpl libpng lppl mit mpl ms naist ncsa "
     "nist odbl odc ofl oldap openssl osl pddl php postgresql psf python qpl ruby sgi sleepycat ssh tcl unicode unlicense upl vim w3c wtfpl x11 xnet zlib zpl licenseref documentref"
 ).split()
+#: Values that say that nothing is said (fixed values).
+NOTHING = frozenset({"none", "noassertion"})
 #: Labels under which texts may be used without asking, in ``evaluate``'s default.
 OPEN = frozenset({"mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "cc0", "cc0-1.0", "cc-by-4.0", "unlicense"})
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Word signs are digits, letters and all bytes beyond ASCII; everything else separates words.
 _WORDS = bytes(_LOWER[c] if _LOWER[c] >= 128 or 48 <= _LOWER[c] <= 57 or 97 <= _LOWER[c] <= 122 else 32 for c in range(256))
-_VALUE = re.compile(r"[^\S\n]*:[^\S\n]*([a-z0-9.+()\x20\t:-]+)", re.ASCII)
-_NAME = re.compile(rf"(?:{'|'.join(FAMILIES)})(?:[-.:][a-z0-9.:-]+)?\+?")
+_VALUE = re.compile(r"[^\S\n]*+:[^\S\n]*+([a-z0-9.+()\x20\t:/-]+)", re.ASCII)
+_NAME = re.compile(rf"(?:(?:{'|'.join(FAMILIES)})(?:[-.:][a-z0-9.:-]+)?|[a-z0-9.:-]*[a-z][a-z0-9.:]*-v?[0-9][a-z0-9.:-]*)\+?")
 _EXCEPTION = re.compile(r"[a-z0-9.-]*(?:exception|note|linking|special|font|mif|shl|runtime)[a-z0-9.-]*|additionref-[a-z0-9.-]+")
-_PIECE = re.compile(r"[()]|[a-z0-9.+:-]+")
+_PIECE = re.compile(r"[()]|(?<=[a-z0-9.+)])/(?=[a-z0-9(])|[a-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
 def identifier(name: str, exception: bool = False) -> bool:
-    """Whether a lower-cased word has the form of a licence identifier, or of an exception's."""
+    """Whether a lower-cased word has the form of a licence identifier (a common name, or one with a version), or of an exception's."""
     return bool((_EXCEPTION if exception else _NAME).fullmatch(name))
 
 
-def _yard(pieces: list[str], known: Callable[[str, bool], bool] | None = None) -> tuple[int, list[str] | None]:
-    """How many pieces the longest beginning has that is an expression, and the postfix order of all pieces if they are one.
+def _pieces(expression: str) -> tuple[list[str], list[bool]]:
+    """Brackets, operators and words of an expression, lower-cased, and whether a sentence ends after each. A slash between words is an ``or``."""
+    found = ["or" if p == "/" else p for p in _PIECE.findall(expression.lower())]
+    words = [p.rstrip(".:") or p for p in found]
+    return words, [w != p for w, p in zip(words, found, strict=True)]
 
-    With ``known`` an operand that it does not accept (told whether an exception is due) ends what is read.
+
+def _operand(pieces: list[str], ends: list[bool]) -> Callable[[int], bool]:
+    """Tells operands from prose by place and form: whatever its name, a word counts before an operator, a bracket or the end; elsewhere it must look like an identifier."""
+
+    def known(at: int) -> bool:
+        name, exception = pieces[at], at > 0 and pieces[at - 1] == "with"
+        after = pieces[at + 1] if at + 1 < len(pieces) and not ends[at] else ")"
+        return name not in NOTHING and (after == ")" or after in _BINDS or identifier(name, exception))
+
+    return known
+
+
+def _yard(pieces: list[str], known: Callable[[int], bool] | None = None, start: int = 0) -> tuple[int, list[str] | None]:
+    """Where the longest expression from ``start`` on ends (at ``start``: there is none), and the postfix order of all pieces if they are one.
+
+    With ``known`` an operand that it does not accept (told its place) ends what is read.
     """
     output: list[str] = []
     waiting: list[str] = []
-    operand, depth, whole = True, 0, 0  # an operand is due; parentheses are open
-    for at, piece in enumerate(pieces):
+    operand, depth, whole = True, 0, start  # an operand is due; parentheses are open
+    for at in range(start, len(pieces)):
+        piece = pieces[at]
         if operand != (piece not in _BINDS and piece != ")"):
             return whole, None
         if piece == "(":
@@ -80,14 +101,14 @@ def _yard(pieces: list[str], known: Callable[[str, bool], bool] | None = None) -
                 output.append(waiting.pop())
             waiting.append(piece)
             operand = True
-        elif known and not known(piece, at > 0 and pieces[at - 1] == "with"):
+        elif known and not known(at):
             return whole, None
         else:
             output.append(piece)
             operand = False
         if not operand and not depth:
             whole = at + 1
-    return whole, output + waiting[::-1] if whole and whole == len(pieces) else None
+    return whole, output + waiting[::-1] if start < whole == len(pieces) else None
 
 
 def parse(expression: str) -> list[str] | None:
@@ -95,13 +116,26 @@ def parse(expression: str) -> list[str] | None:
 
     ``with`` binds closest, then ``and``, then ``or``; all from the left.
     """
-    return _yard(_PIECE.findall(expression.lower()))[1]
+    return _yard(_pieces(expression)[0])[1]
+
+
+def longest(expression: str) -> list[str] | None:
+    """As ``parse``, of the longest beginning that is an expression, whatever its operands."""
+    pieces = _pieces(expression)[0]
+    return _yard(pieces[: _yard(pieces)[0]])[1]
 
 
-def longest(expression: str, known: Callable[[str, bool], bool] | None = None) -> list[str] | None:
-    """As ``parse``, of the longest beginning that is an expression (of known names): prose may follow a tag on its line."""
-    pieces = _PIECE.findall(expression.lower())
-    return _yard(pieces[: _yard(pieces, known)[0]])[1]
+def expressions_of(value: str) -> list[list[str]]:
+    """The expressions at the beginning of a tag's value, in postfix order: one as a rule, or several in a row if each begins with what looks like an identifier."""
+    pieces, ends = _pieces(value)
+    known, found, at = _operand(pieces, ends), [], 0
+    while at < len(pieces) and (not at or identifier(pieces[at])):
+        upto = _yard(pieces, known, at)[0]
+        if upto == at:
+            break
+        found.append(_yard(pieces[at:upto])[1])
+        at = upto if not ends[upto - 1] else len(pieces)
+    return found
 
 
 def evaluate(postfix: list[str], allowed: Callable[[str], bool] = OPEN.__contains__) -> bool:
@@ -172,9 +206,10 @@ def scan(text: str) -> dict:
     expressions, usable = [], []
     if tagged:
         lower = text.encode().translate(_LOWER).decode("latin-1")
-        for end, _ in tags.iter(lower):
-            value = _VALUE.match(lower, end + 1)
-            if value and (postfix := longest(value[1], identifier)) is not None:
+        places = [end + 1 for end, _ in tags.iter(lower)]
+        for at, following in zip(places, [*places[1:], len(lower) + len(TAG_TEXT)], strict=False):
+            value = _VALUE.match(lower, at, following - len(TAG_TEXT))  # a value ends before the next tag
+            for postfix in expressions_of(value[1]) if value else ():
                 expressions.append(" ".join(postfix))
                 usable.append(evaluate(postfix))
                 found |= names(postfix)

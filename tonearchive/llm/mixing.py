@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, materialize
+from .common import WORD_RE, materialize, numbered
 
 #: Bins of the rounding thresholds of one source.
 BINS = 4096
@@ -70,22 +70,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     Size is the number of words. Sources rank by code point, the null source last, and take
     ``weights`` in turn; together they share ``share`` of all words, but none more than
     ``most`` times its own, what is over being shared anew by weight. No document is copied
-    more than ``most`` times. Rounding depends on doc_id and text alone, so reruns agree;
-    of rows that repeat, as many are rounded up as their rate asks. Null texts have size 0 and a copy or none like any
+    more than ``most`` times. Rounding depends on doc_id, text, source and what is carried, so reruns agree;
+    of rows that repeat in all of these, as many are rounded up as their rate asks. Null texts have size 0 and a copy or none like any
     other. An empty table gives an empty result.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_RE)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     carried = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried")
-    rows = materialize(docs.select("doc_id", "source", carried, key.alias("key"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.spark_partition_id().alias("part")), "sizes")
+    rows = materialize(docs.select("doc_id", "source", carried, key.alias("key"), size.alias("size"), F.xxhash64("doc_id", "text", key, *[F.col(c) for c in carry]).alias("h"), F.spark_partition_id().alias("part")), "sizes")
     rows = _apart(rows.withColumn("u", F.pmod("h", F.lit(1 << 32)) / float(1 << 32)))
     counts = materialize(rows.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "histogram")
 
     sources = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
-    # ranks of distinct sources: a table of the sources, not of documents
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    sources = materialize(sources.withColumn("weight", weight).withColumn("source_size", F.col("source_size").cast("double") * share), "sources")
+    sources = numbered(sources, [F.col("source").asc_nulls_last()], "rank", "ranks")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    sources = materialize(sources.withColumn("weight", weight).drop("rank").withColumn("source_size", F.col("source_size").cast("double") * share), "sources")
     small = F.broadcast if sources.count() <= FEW else lambda table: table
     level = _level(sources, most / share)
     sources = sources.withColumn("target", F.least(F.col("weight") * level, F.col("source_size") / share * most)).withColumn("source_size", F.col("source_size") / share)
