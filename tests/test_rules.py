@@ -112,4 +112,58 @@ def test_forbidden_keys_at_any_depth(spark, secret):
 
     text = _BUNDLE.replace('"identity": null', json.dumps({"identity": {"title": {secret: 1}}})[1:-1])
     assert "forbidden" in documents.validate_bundles(rows(spark, "json string", (text,))).first().errors
-    assert documents.validate_bundles(rows(spark, "json string", (_BUNDLE,))).first().errors == []
+    assert documents.validate_bundles(rows(spark, "json string", (_BUNDLE,)), digest=False).first().errors == []
+
+
+def test_a_built_bundle_is_sound_and_its_digest_is_that_of_its_canonical_json(spark):
+    """Every part present: the document parses to the expected names, its digest is recomputed here, and each change to it is found."""
+    from tonearchive.operators import stats
+
+    one = lambda schema, *values: rows(spark, schema, *values)
+    recordings = one(
+        "recording long, bundle_id string, created_at string, profile string, privacy string, stage string, start_frame long, end_frame long, gain_db double, encoding string, channels int, sample_rate int, bits int, size long, loudness double, peak_db double, correlation double",
+        (1, "0a1b2c3d-0000-4000-8000-000000000001", "2026-01-01T00:00:00Z", "temporal-diagnostic", "redacted", "source", 48_000, 48_000 * 11, -1.5, "PCM", 2, 48_000, 24, 3_000_044, -19.25, float("-inf"), 1e-9),
+        (2, "0a1b2c3d-0000-4000-8000-000000000002", "2026-01-01T00:00:00Z", "minimal", "exact", "source", 0, 480_000, None, None, 1, 44_100, 16, None, None, None, None),
+    )
+    recordings = recordings.withColumn("editorial", F.when(F.col("recording") == 1, rules.editorial_context("series", F.lit(float("nan")))))
+    recordings = documents.select_metadata(recordings.withColumns({"title": F.lit('Ö "x" \\  '), "latitude": F.lit(59.123456), "longitude": F.lit(18.0)}), ("identity", "location"), file_name=True)
+    found = one("recording long, nth int, id string, kind string, class string, severity string, start_s double, end_s double, review string, precision_s double", (1, 1, "b", "silence", "objective", "critical", 1.25, 2.5, None, None), (1, 2, "a", "review-point", "heuristic", "review", 0.0, 10.0, "accepted", 1.0))
+    segments = one("recording long, segment long, start_s double, end_s double, m_p10 double, silence_pct double, correlation_median double, correlation_min double", (1, 0, 0.0, 5.0, -30.5, 0.0, 0.5, -1.0), (1, 1, 5.0, 10.0, None, None, None, None))
+    channels = stats.channel_stats(one("recording long, channel int, frame long, value double", *[(r, c, k, 0.1 * k - 1) for r in (1, 2) for c in range(3 - r) for k in range(30)]))
+    cues = one("recording long, nth int, type string, cue_start double, cue_end double, text string, review string", (1, 1, "chapter", 0.5, 3.0, "c" * 600, None))
+    built = {r.recording: r for r in documents.validate_bundles(documents.build_bundles(recordings, found, segments, channels, cues)).collect()}
+    assert built[1].errors == [] and built[2].errors == []
+    for r in built.values():
+        document = json.loads(r.json)
+        assert document.pop("analysisDigest") == r.digest == hashlib.sha256(r.json.replace(f'"analysisDigest":"{r.digest}",', "").encode()).hexdigest()
+        assert set(document["analysis"]) == set(documents.BUNDLE_KEYS["$.analysis"].split()) and list(document) == sorted(document)
+    a = json.loads(built[1].json)["analysis"]
+    assert [m["id"] for m in a["markers"]] == ["b", "a"] and a["markers"][0]["reviewStatus"] == "unreviewed" and a["format"]["durationSeconds"] == 10 and a["region"]["selectedFrames"] == 480_000
+    assert a["measurements"]["samplePeakDbfs"] is None and a["measurements"]["stereoCorrelation"] == 1e-9 and [c["channel"] for c in a["measurements"]["channels"]] == [1, 2] and a["measurements"]["channels"][0]["overrangeSamples"] == 9
+    assert a["metadata"]["identity"]["title"].startswith("Ö") and a["metadata"]["location"]["coordinates"] == {"latitude": 59.12, "longitude": 18, "precision": "redacted"} and a["metadata"]["notes"] is None
+    assert len(a["temporalDiagnostic"]) == 2 and a["temporalDiagnostic"][1]["stereoCorrelation"] is None and len(a["editorialCueSheet"][0]["text"]) == 500 and a["editorialContext"]["targetDurationSeconds"] == 1200 and len(a["editorialContext"]["questions"]) == 3
+    assert json.loads(built[2].json)["analysis"]["temporalDiagnostic"] is None
+    broken = [built[1].json.replace('"globalGainDb":-1.5', '"globalGainDb":-2.5'), json.dumps(json.loads(built[1].json.replace("1e-9", "0.5").replace(built[1].digest, "0" * 64)), indent=1), built[2].json.replace(":", ": ").replace("T00: 00: 00Z", "T00:00:00Z")]
+    got = documents.validate_bundles(rows(spark, "n int, json string", *enumerate(broken))).orderBy("n").collect()
+    assert [r.errors for r in got] == [["digest-differs"], ["digest-differs"], []]
+
+
+def test_audit_chain_of_many_entries(spark):
+    """A hundred thousand entries of one log: folded as they stream by, and equal to a plain chain; each kind of fault is found."""
+    n = 100_000
+    events = spark.range(n).select(F.lit("a").alias("log"), (F.col("id") + 1).alias("sequence"), F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.lit("accept").alias("action"), F.lit("0a1b2c3d-0000-4000-8000-000000000001").alias("bundleId"), F.sha2(F.col("id").cast("string"), 256).alias("analysisDigest"))
+    events = events.withColumn("after", F.when(F.col("sequence") % 2 == 0, F.struct((-F.col("sequence") / 4).alias("globalGainDb"), *[F.lit(None).cast("double").alias(k) for k in ("trimStartFrame", "trimEndFrame", "fadeInFrames", "fadeOutFrames")])))
+    built = documents.build_audit(events.repartition(9))
+    last = None
+    for k, r in enumerate(built.orderBy("sequence").select("previousDigest", "entryDigest").collect(), 1):
+        gain = -k / 4
+        entry = {"sequence": k, "timestamp": "2026-01-01T00:00:00Z", "action": "accept", "bundleId": "0a1b2c3d-0000-4000-8000-000000000001", "analysisDigest": hashlib.sha256(str(k - 1).encode()).hexdigest(), "suggestionId": None, "before": None, "after": {"globalGainDb": int(gain) if gain == int(gain) else gain} if k % 2 == 0 else None, "previousDigest": last}
+        assert r.previousDigest == last
+        last = hashlib.sha256(json.dumps(entry, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        assert r.entryDigest == last
+    assert documents.validate_audit(built).where("size(errors) > 0").count() == 0
+    some = built.where("sequence <= 8")
+    n = F.col("sequence")
+    bad = some.withColumns({"action": F.when(n == 2, "open").otherwise(F.col("action")), "previousDigest": F.when(n == 3, "x").otherwise(F.col("previousDigest")), "after": F.when(n == 4, F.lit(None)).otherwise(F.col("after"))}).where("sequence <> 6")
+    got = {r.sequence: r.errors for r in documents.validate_audit(bad).collect()}
+    assert got == {1: [], 2: ["action", "digest"], 3: ["link", "digest"], 4: ["digest"], 5: [], 7: ["sequence", "link"], 8: ["sequence"]}

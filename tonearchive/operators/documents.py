@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Iterator
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StringType, StructType
@@ -24,7 +29,7 @@ def _json_text(x: Column, kind: DataType) -> Column:
     if isinstance(kind, StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
         parts = [F.concat(F.lit(f'"{f.name}":'), _json_text(x[f.name], f.dataType)) for f in fields]
-        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+        text = F.when(x.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
     elif isinstance(kind, ArrayType):
         text = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: _json_text(e, kind.elementType)), ","), F.lit("]"))
     elif isinstance(kind, DoubleType | FloatType):
@@ -125,33 +130,75 @@ def measurement_status(measurements: DataFrame, edits: DataFrame) -> DataFrame:
     return measurements.join(last, "recording", "left").withColumn("status", F.when(F.col("last_edit") > F.col("measured"), "stale").otherwise("current"))
 
 
-def build_audit(events: DataFrame) -> DataFrame:
-    """Each log's chain of digests: every entry's covers the one before. Rows: log, sequence, digest, previous.
+_HASH, _UUID = "^[0-9a-f]{64}$", "^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+#: What an audit entry records of an event, and what it may have been (fixed values).
+EVENT = {"timestamp": "string", "action": "string", "bundleId": "string", "analysisDigest": "string", "suggestionId": "string", "before": "", "after": ""}
+SNAPSHOT = "struct<globalGainDb:double,trimStartFrame:double,trimEndFrame:double,fadeInFrames:double,fadeOutFrames:double>"
+ACTIONS = ("export", "import", "accept", "reject")
+LONGEST_ID = 160
+
+
+def _entries(events: DataFrame) -> DataFrame:
+    """Events with all columns of an entry; before and after ``head`` and ``tail`` of its canonical JSON comes the previous digest."""
+    wanted = {n: F.col(n) if n in events.columns else F.lit(None) for n in EVENT}
+    typed = {n: F.substring(v.cast("string"), 1, LONGEST_ID) if n == "suggestionId" else v.cast(EVENT[n] or SNAPSHOT) for n, v in wanted.items()}
+    # a snapshot has the keys that it was given
+    rows = events.withColumns(typed).withColumn("sequence", F.col("sequence").cast("long")).withColumn("_entry", F.struct(*EVENT, "sequence"))
+    kind, entry = rows.schema["_entry"].dataType, F.col("_entry")
+    snapshot = lambda n: F.when(entry[n].isNull(), "null").otherwise(_present(entry[n], kind[n].dataType))
+    text = {n: snapshot(n) if n in ("before", "after") else _json_text(entry[n], kind[n].dataType) for n in kind.names}
+    members = lambda names: F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), text[n]) for n in sorted(names)])
+    first = [n for n in kind.names if n < "previousDigest"]
+    head = F.concat(F.lit("{"), members(first), F.lit(',"previousDigest":'))
+    tail = F.concat(F.lit(","), members([n for n in kind.names if n not in first]), F.lit("}"))
+    return rows.withColumn("head", head).withColumn("tail", tail).drop("_entry")
+
+
+def _present(x: Column, kind: StructType) -> Column:
+    """A struct as a JSON object of the fields that are not null, keys in order."""
+    fields = sorted(kind.fields, key=lambda f: f.name)
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.when(x[f.name].isNotNull(), F.concat(F.lit(f'"{f.name}":'), _json_text(x[f.name], f.dataType))) for f in fields]), F.lit("}"))
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of entries that come sorted by log and sequence, each over its text with the one before."""
+    log, last = None, None
+    for batch in batches:
+        previous, digests = [], []
+        for own, head, tail in zip(*(batch.column(c).to_pylist() for c in ("log", "head", "tail")), strict=True):
+            last, log = last if own == log else None, own
+            previous.append(last)
+            last = hashlib.sha256(f"{head}{json.dumps(last)}{tail}".encode()).hexdigest()
+            digests.append(last)
+        rest = batch.drop_columns(["head", "tail"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(previous, pa.string()), pa.array(digests, pa.string())], [*rest.schema.names, "previousDigest", "entryDigest"])
 
-    A log is one group by nature (each digest needs the last); logs are independent.
-    """
-    entries = F.array_sort(F.collect_list(F.struct("sequence", "payload")))
-    empty = F.array().cast("array<struct<sequence:long,previous:string,digest:string>>")
 
-    def step(done: Column, e: Column) -> Column:
-        previous = F.when(F.size(done) > 0, F.element_at(done, -1)["digest"]).otherwise("")
-        entry = F.struct(e["sequence"].cast("long").alias("sequence"), previous.alias("previous"), F.sha2(F.concat_ws("|", e["sequence"].cast("string"), e["payload"], previous), 256).alias("digest"))
-        return F.concat(done, F.array(entry))
+def build_audit(events: DataFrame) -> DataFrame:
+    """Each log's chain of digests: every entry's covers the one before. Rows: log, the entry's columns, previousDigest, entryDigest.
 
-    return events.groupBy("log").agg(F.aggregate(entries, empty, step).alias("chain")).select("log", F.inline("chain"))
+    ``events`` has log, sequence, and of ``EVENT`` what there is (the rest is null); before and after are snapshots of an edit.
+    A digest is the SHA-256 of the entry's canonical JSON. Rows are sorted by log and sequence and folded as they stream by, so a
+    log of any length takes constant memory and linear time; logs are independent.
+    """
+    rows = _entries(events).select("log", "sequence", *EVENT, "head", "tail")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("head", "tail"))
+    return rows.repartition("log").sortWithinPartitions("log", "sequence").mapInArrow(_chained, f"{kinds}, previousDigest string, entryDigest string")
 
 
 def validate_audit(audit: DataFrame) -> DataFrame:
-    """Problems of each entry (log, sequence, payload, previous, digest): sequence, link and digest."""
+    """``errors`` of each entry (as of ``build_audit``): sequence, action, form of ids, snapshots, link to the one before, and digest."""
     order = Window.partitionBy("log").orderBy("sequence")
-    before = F.coalesce(F.lag("digest").over(order), F.lit(""))
-    errors = F.array_compact(
-        F.array(
-            F.when(F.col("sequence") != F.row_number().over(order), "sequence"), F.when(F.col("previous") != before, "link"),
-            F.when(F.col("digest") != F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "payload", "previous"), 256), "digest"),
-        )
+    rows = _entries(audit)
+    text = F.concat("head", F.coalesce(F.concat(F.lit('"'), "previousDigest", F.lit('"')), F.lit("null")), "tail")
+    form = lambda c, pattern: ~F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+    whole = lambda x: F.coalesce((x >= 0) & (x < 2**53) & (x == F.floor(x)), x.isNull())
+    sound = lambda c: F.coalesce(finite(F.col(c)["globalGainDb"]) | F.col(c)["globalGainDb"].isNull(), F.lit(True)) & reduce(and_, [whole(F.col(c)[n]) for n in ("trimStartFrame", "trimEndFrame", "fadeInFrames", "fadeOutFrames")])
+    errors = all_that_hold(
+        (F.col("sequence") != F.row_number().over(order), "sequence"), (~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "action"), (form("bundleId", f"(?i){_UUID}") | form("analysisDigest", _HASH), "ids"),
+        (~F.coalesce(sound("before") & sound("after"), F.lit(True)), "snapshot"), (~F.col("previousDigest").eqNullSafe(F.lag("entryDigest").over(order)), "link"), (~F.col("entryDigest").eqNullSafe(F.sha2(text, 256)), "digest"),
     )
-    return audit.withColumn("errors", errors)
+    return rows.withColumn("errors", errors).drop("head", "tail")
 
 
 def key_violations(documents: DataFrame, allowed: list[str], denied: list[str]) -> DataFrame:
@@ -161,30 +208,35 @@ def key_violations(documents: DataFrame, allowed: list[str], denied: list[str])
     return documents.withColumn("unknown", F.array_sort(F.array_except(keys, lists[0]))).withColumn("forbidden", F.array_sort(F.array_intersect(keys, lists[1])))
 
 
-#: Groups of metadata with the greatest length of each text (fixed values).
+#: Groups of metadata with the greatest length of each text, as documents name them (fixed values).
 METADATA = {
-    "identity": {"title": 500, "series": 500, "episode": 500, "session_id": 500, "project": 500, "date": 80, "local_time": 80, "light_conditions": 500},
+    "identity": {"title": 500, "series": 500, "episode": 500, "sessionId": 500, "project": 500, "date": 80, "localTime": 80, "lightConditions": 500},
     "location": {"place": 500},
-    "notes": {"tags": 2000, "environment": 2000, "notes": 2000, "related_image": 2000},
+    "notes": {"tags": 2000, "environment": 2000, "notes": 2000, "relatedImage": 2000},
     "creator": {"creator": 500, "equipment": 2000, "license": 500},
 }
 FILE_NAME = 255
 
 
+def _column_of(name: str) -> str:
+    """The column that holds a document's field: words apart by underscores."""
+    return re.sub("[A-Z]", lambda m: "_" + m[0].lower(), name)
+
+
 def select_metadata(rows: DataFrame, wanted: tuple[str, ...] = (), file_name: bool = False, exact: bool = False) -> DataFrame:
-    """The groups opted in to as structs, the others null; texts cut to their field's length (a privacy limit).
+    """The groups opted in to as structs with the names of documents, the others null; texts cut to their field's length (a privacy limit).
 
     The location also gets coordinates (latitude, longitude) if both are in range, to two decimals unless ``exact``.
-    Columns that are not there count as null.
+    Columns are named as the fields, words apart by underscores (session_id); those that are not there count as null.
     """
     has = lambda n, kind: F.col(n).cast(kind) if n in rows.columns else F.lit(None).cast(kind)
     place = [F.when(finite(has(n, "double")) & (F.abs(has(n, "double")) <= most), has(n, "double")) for n, most in (("latitude", 90), ("longitude", 180))]
     shown = [p if exact else F.round(p, 2) for p in place]
     point = F.when(place[0].isNotNull() & place[1].isNotNull(), F.struct(shown[0].alias("latitude"), shown[1].alias("longitude"), F.lit("exact" if exact else "redacted").alias("precision")))
-    out = {"source_file_name": F.substring(has("source_file_name", "string"), 1, FILE_NAME) if file_name else F.lit(None).cast("string")}
+    out = {"sourceFileName": F.substring(has("source_file_name", "string"), 1, FILE_NAME) if file_name else F.lit(None).cast("string")}
     for name, fields in METADATA.items():
-        group = F.struct(*[F.substring(has(n, "string"), 1, longest).alias(n) for n, longest in fields.items()], *[point.alias("coordinates")] * (name == "location"))
-        out[name] = group if name in wanted else F.lit(None)
+        group = F.struct(*[F.substring(has(_column_of(n), "string"), 1, longest).alias(n) for n, longest in fields.items()], *[point.alias("coordinates")] * (name == "location"))
+        out[name] = F.when(F.lit(name in wanted), group)
     return rows.withColumn("metadata", F.struct(*[v.alias(k) for k, v in out.items()]))
 
 
@@ -216,28 +268,116 @@ SCHEMA = "tonearchive.analysis-exchange/2"
 MOST_MARKERS, MOST_SEGMENTS, MOST_CUES, MOST_EVIDENCE, MINIMAL_BYTES, TEMPORAL_BYTES, GUIDANCE_BYTES = 500, 720, 200, 32, 1_000_000, 5_000_000, 1_000_000
 #: What the figures rest on: id, class, method.
 EVIDENCE = (("loudness", "objective", "itu-r-bs-1770"), ("true-peak", "objective", "ebu-tech-3341"), ("markers", "mixed", "screening"))
-_HASH, _UUID = "^[0-9a-f]{64}$", "^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
-def build_bundles(recordings: DataFrame, markers: DataFrame, segments: DataFrame) -> DataFrame:
-    """A bundle per recording, ``bundle`` (a struct) and ``digest``, the SHA-256 of its canonical JSON.
+#: Figures of a bundle and the columns that hold them; then those of its channels (names are fixed values).
+MEASURES = {
+    "integratedLufs": "loudness", "loudnessRangeLu": "loudness_range", "momentaryMaxLufs": "momentary_max", "shortTermMaxLufs": "short_term_max", "samplePeakDbfs": "peak_db", "truePeakDbtp": "true_peak_db", "plrLu": "plr", "rmsDbfs": "rms_db", "crestFactorDb": "crest_db", "channelBalanceDb": "balance_db", "stereoCorrelation": "correlation",
+}
+COUNTS = {"overrangeSamples": "overrange", "nonFiniteSamples": "not_finite"}
+CHANNEL_MEASURES = {"samplePeakDbfs": "peak_db", "truePeakDbtp": "true_peak_db", "truePeakTimeSeconds": "true_peak_s", "dcOffset": "dc_offset", "rmsDbfs": "rms_db", "crestFactorDb": "crest_db"}
+CHANNEL_COUNTS = {"clippedSamples": "clipped", "overrangeSamples": "overrange", "nonFiniteSamples": "not_finite"}
+PROVENANCE = ("engineVersion", "releaseVersion", "releaseCommit", "loudnessModel", "truePeakMethod", "validationLevel")
+SUMMARIES = {"objective": "Measured finding", "heuristic": "Point to review"}
+METHOD = "screening"
+
+
+def _part(rows: DataFrame, fields: dict[str, str], kind: str, default: Column | None = None) -> list[Column]:
+    """Fields of a struct from columns of ``rows``; a column that is not there, and a number that is not finite, is the default (null)."""
+    out = []
+    for name, column in fields.items():
+        value = F.col(column).cast(kind) if column in rows.columns else F.lit(None).cast(kind)
+        value = F.when(finite(value), value) if kind == "double" else value
+        out.append((value if default is None else F.coalesce(value, default)).alias(name))
+    return out
+
+
+def _channel_rows(channels: DataFrame) -> DataFrame:
+    """One list a recording of its channels' figures (recording, channel from 0, and ``CHANNEL_MEASURES`` and counts as far as they are there)."""
+    zero = F.lit(0).cast("long")
+    fields = [(F.col("channel") + 1).cast("long").alias("channel"), *_part(channels, CHANNEL_MEASURES, "double"), *_part(channels, CHANNEL_COUNTS, "long", zero)]
+    return channels.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("channels_"))
+
+
+def _marker_rows(markers: DataFrame) -> DataFrame:
+    """The ranked markers (recording, nth, id, kind, class, severity, start_s, end_s, channel, summary, review, precision_s) of each recording in one list, ``MOST_MARKERS`` at most."""
+    c = lambda n, kind="string": F.col(n).cast(kind) if n in markers.columns else F.lit(None).cast(kind)
+    summary = F.coalesce(c("summary"), F.when(F.col("class") == "objective", SUMMARIES["objective"]).otherwise(SUMMARIES["heuristic"]))
+    fields = [
+        c("id").alias("id"), c("kind").alias("type"), c("class").alias("classification"), c("severity").alias("severity"), c("start_s", "double").alias("startSeconds"), c("end_s", "double").alias("endSeconds"), c("channel", "long").alias("channel"), summary.alias("summary"),
+        F.lit(METHOD).alias("methodId"), F.substring(F.coalesce(c("review"), F.lit("unreviewed")), 1, 80).alias("reviewStatus"), c("precision_s", "double").alias("timePrecisionSeconds"),
+    ]
+    listed = F.array_sort(F.collect_list(F.struct(F.col("nth"), F.struct(*fields).alias("marker"))))
+    return markers.where(F.col("nth") <= MOST_MARKERS).groupBy("recording").agg(F.transform(listed, lambda x: x["marker"]).alias("markers_"))
+
 
-    ``recordings``: recording, bundle_id, created_at, profile (minimal or temporal-diagnostic), privacy, stage, structs
-    region, format, metadata, measurements, editorial, provenance, and loudness_status, peak_status. ``markers`` (recording, nth, ...)
-    and ``segments`` (recording, segment, ...) are bounded per recording (500 and 720) before they are gathered; minimal
-    bundles have no segments.
+def _segment_rows(segments: DataFrame) -> DataFrame:
+    """The segments of ``loudness.temporal_segments`` of each recording in one list, ``MOST_SEGMENTS`` at most."""
+    c = lambda n: F.col(n).cast("double") if n in segments.columns else F.lit(None).cast("double")
+    r = F.when(c("correlation_median").isNotNull(), F.struct(c("correlation_median").alias("median"), c("correlation_min").alias("min")))
+    fields = [
+        c("start_s").alias("startSeconds"), c("end_s").alias("endSeconds"), F.struct(c("m_p10").alias("p10"), c("m_median").alias("median"), c("m_max").alias("max")).alias("momentaryLufs"), F.struct(c("s_median").alias("median"), c("s_max").alias("max")).alias("shortTermLufs"),
+        c("peak_db").alias("programSamplePeakDbfs"), F.lit(None).cast("double").alias("programTruePeakDbtp"), c("silence_pct").alias("silencePercent"), r.alias("stereoCorrelation"),
+    ]
+    listed = F.array_sort(F.collect_list(F.struct("segment", F.struct(*fields).alias("row"))))
+    return segments.where(F.col("segment") < MOST_SEGMENTS).groupBy("recording").agg(F.transform(listed, lambda x: x["row"]).alias("segments_"))
+
+
+_CUES = "array<struct<id:string,type:string,startSeconds:double,endSeconds:double,text:string,reviewStatus:string,classification:string>>"
+
+
+def _cue_rows(cues: DataFrame) -> DataFrame:
+    """The cue sheet of ``markers.cue_sheet`` of each recording in one list, ``MOST_CUES`` at most."""
+    fields = [
+        F.concat(F.lit("cue-"), F.col("nth").cast("string")).alias("id"), F.col("type").alias("type"), F.greatest(F.lit(0.0), "cue_start").alias("startSeconds"), F.col("cue_end").alias("endSeconds"), F.substring(F.coalesce("text", F.lit("")), 1, 500).alias("text"),
+        F.substring(F.coalesce("review", F.lit("unreviewed")), 1, 80).alias("reviewStatus"), F.lit("editorial").alias("classification"),
+    ]
+    listed = F.array_sort(F.collect_list(F.struct("nth", F.struct(*fields).alias("cue"))))
+    return cues.where(F.col("nth") <= MOST_CUES).groupBy("recording").agg(F.transform(listed, lambda x: x["cue"]).cast(_CUES).alias("cues_"))
+
+
+def build_bundles(recordings: DataFrame, markers: DataFrame, segments: DataFrame, channels: DataFrame, cues: DataFrame | None = None) -> DataFrame:
+    """A bundle per recording: ``bundle`` (a struct in the names of documents), its canonical ``json``, and ``digest``, the SHA-256 of that JSON without the digest itself.
+
+    ``recordings``: recording, bundle_id, created_at, profile (minimal or temporal-diagnostic), privacy, stage; start_frame, end_frame, fade_in,
+    fade_out, gain_db; encoding, channels, sample_rate, bits, valid_bits, duration_s, size, file_name; the columns of ``MEASURES`` and
+    ``COUNTS``; ``mono`` (a struct energyDeltaDb, samplePeakDbfs, negativeCorrelationPercent, riskRegions), ``editorial``, ``metadata`` (of
+    ``select_metadata``), ``provenance`` (a struct, texts), loudness_status, peak_status. Missing columns count as null; frames, fades, gain
+    and counts as 0. ``markers`` are ranked and sanitized rows, ``segments`` those of ``temporal_segments``, ``channels`` those of
+    ``channel_stats``, ``cues`` of ``cue_sheet``: all are bounded per recording (500, 720, 2 and 200) before they are gathered.
     """
-    gather = lambda rows, by, most, name: rows.where(F.col(by) <= most).groupBy("recording").agg(F.array_sort(F.collect_list(F.struct(by, *[c for c in rows.columns if c not in ("recording", by)]))).alias(name))
-    c = F.col
-    out = recordings.join(gather(markers, "nth", MOST_MARKERS, "markers"), "recording", "left").join(gather(segments, "segment", MOST_SEGMENTS, "segments"), "recording", "left")
-    status = {"loudness": F.coalesce("loudness_status", F.lit("unverified")), "true-peak": F.coalesce("peak_status", F.lit("unverified")), "markers": F.lit("requires-human-review")}
+    out = recordings
+    for rows in (_channel_rows(channels), _marker_rows(markers), _segment_rows(segments), *([_cue_rows(cues)] if cues is not None else [])):
+        out = out.join(rows, "recording", "left")
+    c = lambda n, kind="string": F.col(n).cast(kind) if n in out.columns else F.lit(None).cast(kind)
+    zero, none = F.lit(0).cast("long"), F.lit("unknown")
+    whole = lambda n, name: F.greatest(zero, F.coalesce(c(n, "long"), zero)).alias(name)
+    as_is = lambda n, kind: F.col(n) if n in out.columns else F.lit(None).cast(kind)
+    start, end = (F.greatest(zero, F.coalesce(c(n, "long"), zero)) for n in ("start_frame", "end_frame"))
+    region = F.struct(F.lit("[startFrame,endFrame)").alias("range"), start.alias("startFrame"), end.alias("endFrame"), (end - start).alias("selectedFrames"), whole("fade_in", "fadeInFrames"), whole("fade_out", "fadeOutFrames"), F.coalesce(c("gain_db", "double"), F.lit(0.0)).alias("globalGainDb"))
+    frames = (end - start) / F.nullif(c("sample_rate", "double"), F.lit(0.0))
+    duration = F.when(end > start, F.coalesce(frames, c("duration_s", "double"))).otherwise(F.coalesce(c("duration_s", "double"), F.lit(0.0)))
+    format_ = F.struct(
+        F.lit("WAVE").alias("container"), F.substring(F.coalesce(c("encoding"), none), 1, 64).alias("encoding"), whole("channels", "channels"), whole("sample_rate", "sampleRate"), whole("bits", "bitsPerSample"), F.coalesce(c("valid_bits", "long"), c("bits", "long"), zero).alias("validBitsPerSample"),
+        duration.alias("durationSeconds"), whole("size", "fileSizeBytes"), F.substring(c("file_name"), 1, FILE_NAME).alias("fileName"),
+    )
+    mono = "struct<energyDeltaDb:double,samplePeakDbfs:double,negativeCorrelationPercent:double,riskRegions:array<struct<startSeconds:double,endSeconds:double>>>"
+    measures = F.struct(*_part(out, MEASURES, "double"), as_is("mono", mono).alias("monoCompatibility"), *_part(out, COUNTS, "long", zero), F.slice(F.coalesce("channels_", F.array()), 1, F.greatest(F.lit(0), c("channels", "int"))).alias("channels"))
+    provenance = F.struct(*[F.coalesce(F.col(f"provenance.{n}").cast("string") if n in (out.schema["provenance"].dataType.names if "provenance" in out.columns else ()) else F.lit(None), none).alias(n) for n in PROVENANCE])
+    status = {"loudness": F.coalesce(c("loudness_status"), F.lit("unverified")), "true-peak": F.coalesce(c("peak_status"), F.lit("unverified")), "markers": F.lit("requires-human-review")}
     evidence_ = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("classification"), F.lit(m).alias("methodId"), status[i].alias("status")) for i, k, m in EVIDENCE])
-    temporal = F.when(c("profile") == "temporal-diagnostic", F.coalesce("segments", F.array()))
-    own = ("region", "format", "metadata", "measurements", "provenance")
-    analysis = F.struct(c("stage").alias("signalStage"), *own, F.coalesce("markers", F.array()).alias("markers"), c("editorial").alias("editorialContext"), temporal.alias("temporalDiagnostic"), evidence_.alias("evidence"))
-    bundle = F.struct(F.lit(SCHEMA).alias("schema"), c("bundle_id").alias("bundleId"), "profile", "privacy", c("created_at").alias("createdAt"), analysis.alias("analysis"))
-    out = out.select("recording", bundle.alias("bundle"))
-    return out.withColumn("digest", canonical_digest(out, "bundle"))
+    temporal = F.when(F.col("profile") == "temporal-diagnostic", F.coalesce("segments_", F.array()))
+    nothing = "struct<" + ",".join(f"{n}:string" for n in ("sourceFileName", "identity", "location", "notes", "creator")) + ">"
+    metadata = as_is("metadata", "string") if "metadata" in out.columns else F.struct(*[F.lit(None).cast("string").alias(n.split(":")[0]) for n in nothing[7:-1].split(",")])
+    analysis = F.struct(
+        F.col("stage").alias("signalStage"), region.alias("region"), format_.alias("format"), metadata.alias("metadata"), measures.alias("measurements"), F.coalesce("markers_", F.array()).alias("markers"), as_is("editorial", "string").alias("editorialContext"),
+        as_is("cues_", _CUES).alias("editorialCueSheet"), temporal.alias("temporalDiagnostic"), provenance.alias("provenance"), evidence_.alias("evidence"),
+    )
+    outer = [F.lit(SCHEMA).alias("schema"), F.col("bundle_id").alias("bundleId"), F.col("profile"), F.col("privacy"), F.col("created_at").alias("createdAt"), analysis.alias("analysis")]
+    out = out.select("recording", F.struct(*outer).alias("bundle"))
+    out = out.withColumn("digest", canonical_digest(out, "bundle"))
+    out = out.withColumn("bundle", F.struct(*[F.col("bundle")[n].alias(n) for n in ("schema", "bundleId")], F.col("digest").alias("analysisDigest"), *[F.col("bundle")[n].alias(n) for n in ("profile", "privacy", "createdAt", "analysis")]))
+    return out.withColumn("json", canonical_json(out, "bundle"))
 
 
 def receipts(bundles: DataFrame, files: DataFrame) -> DataFrame:
@@ -252,7 +392,7 @@ def receipts(bundles: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-#: Keys that a bundle's parts may have, by path (fixed values).
+#: Objects of a bundle by path with their keys: those that must be there, those that may be null, and those in lists (fixed values).
 BUNDLE_KEYS = {
     "$": "schema bundleId analysisDigest profile privacy createdAt analysis",
     "$.analysis": "signalStage region format metadata measurements markers editorialContext editorialCueSheet temporalDiagnostic provenance evidence",
@@ -262,18 +402,48 @@ BUNDLE_KEYS = {
     "$.analysis.measurements": "integratedLufs loudnessRangeLu momentaryMaxLufs shortTermMaxLufs samplePeakDbfs truePeakDbtp plrLu rmsDbfs crestFactorDb channelBalanceDb stereoCorrelation monoCompatibility overrangeSamples nonFiniteSamples channels",
     "$.analysis.provenance": "engineVersion releaseVersion releaseCommit loudnessModel truePeakMethod validationLevel",
 }
+NULLABLE_KEYS = {
+    "$.analysis.metadata.identity": "title series episode sessionId project date localTime lightConditions",
+    "$.analysis.metadata.location": "place coordinates",
+    "$.analysis.metadata.notes": "tags environment notes relatedImage",
+    "$.analysis.metadata.creator": "creator equipment license",
+    "$.analysis.editorialContext": "classification seriesProfileId seriesProfileVersion purpose targetDurationSeconds durationToleranceSeconds loudnessOrientation truePeakOrientationDbtp continuityPolicy questions",
+    "$.analysis.measurements.monoCompatibility": "energyDeltaDb samplePeakDbfs negativeCorrelationPercent riskRegions",
+}
+LIST_KEYS = {
+    "$.analysis.markers": "id type classification severity startSeconds endSeconds channel summary methodId reviewStatus timePrecisionSeconds",
+    "$.analysis.evidence": "id classification methodId status",
+    "$.analysis.measurements.channels": "channel samplePeakDbfs truePeakDbtp truePeakTimeSeconds dcOffset rmsDbfs crestFactorDb clippedSamples overrangeSamples nonFiniteSamples",
+    "$.analysis.editorialCueSheet": "id type startSeconds endSeconds text reviewStatus classification",
+    "$.analysis.measurements.monoCompatibility.riskRegions": "startSeconds endSeconds",
+    "$.analysis.temporalDiagnostic": "startSeconds endSeconds momentaryLufs shortTermLufs programSamplePeakDbfs programTruePeakDbtp silencePercent stereoCorrelation",
+}
+SEGMENT_KEYS = {"momentaryLufs": "p10 median max", "shortTermLufs": "median max", "stereoCorrelation": "median min"}
+ORIENTATION_KEYS, COORDINATE_KEYS = "targetLufs rangeMinLufs rangeMaxLufs rationale", "latitude longitude precision"
+MOST_RISKS = 100
 #: Keys that name sound itself or its owner, which no document may hold at any depth (fixed values).
 FORBIDDEN = "samples sampledata waveform spectrum spectrogram fft embedding embeddings fingerprint sourceidentity sourcehash fullfilehash pcm audiobytes channelrmsdbfs"
 _MARKERS = "array<struct<id:string,type:string,classification:string,severity:string,startSeconds:double,endSeconds:double,channel:double,summary:string,methodId:string,reviewStatus:string,timePrecisionSeconds:double>>"
 _SEGMENTS = "array<struct<startSeconds:double,endSeconds:double,silencePercent:double,stereoCorrelation:struct<median:double,min:double>>>"
 _EVIDENCE = "array<struct<id:string,classification:string,methodId:string,status:string>>"
+_SPANS = "array<struct<startSeconds:double,endSeconds:double>>"
+_TEXT, _NUMBER, _NULL = "^STRING$", "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "^VOID$"
 
 
 class _Document:
-    """A JSON text's parts by path: as text, number, or array of structs; and the type that JSON gives a part."""
+    """A JSON text parsed once (column ``_parsed``): its parts by path as text, number or list, and the type that JSON gives a part."""
 
     def __init__(self, json: str):
-        self.json, self.whole = F.col(json), F.try_parse_json(F.col(json))
+        self.json, self.whole = F.col(json), F.col("_parsed")
+
+    @staticmethod
+    def parsed(rows: DataFrame, json: str) -> DataFrame:
+        """The rows with the parsed text and the text written out again from it; a generator keeps Spark from parsing once per rule."""
+        both = F.transform(F.array(F.try_parse_json(json)), lambda v: F.struct(v.alias("_parsed"), F.to_json(v).alias("_written")))
+        return rows.select("*", F.inline(both))
+
+    def part(self, path: str) -> Column:
+        return F.try_variant_get(self.whole, path, "variant")
 
     def text(self, path: str) -> Column:
         return F.try_variant_get(self.whole, path, "string")
@@ -281,18 +451,18 @@ class _Document:
     def number(self, path: str) -> Column:
         return F.try_variant_get(self.whole, path, "double")
 
-    def kind(self, path: str) -> Column:
-        """VOID for null, STRING, OBJECT<..>, ARRAY<..>, or a number's type; null where there is no such part."""
-        return F.schema_of_variant(F.try_variant_get(self.whole, path, "variant"))
+    def is_(self, pattern: str, path: str) -> Column:
+        """Whether the part's type matches: VOID for null, STRING, OBJECT<..>, ARRAY<..>, or a number's; no type where there is no such part."""
+        return F.coalesce(F.schema_of_variant(self.part(path)).rlike(pattern), F.lit(False))
 
     def is_text(self, path: str) -> Column:
-        return F.coalesce(self.kind(path) == "STRING", F.lit(False))
+        return self.is_(_TEXT, path)
 
     def is_number(self, path: str) -> Column:
-        return F.coalesce(self.kind(path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+        return self.is_(_NUMBER, path)
 
     def is_void(self, path: str) -> Column:
-        return F.coalesce(self.kind(path) == "VOID", F.lit(False))
+        return self.is_(_NULL, path)
 
     def whole_number(self, path: str, least: int = 0) -> Column:
         return self.is_number(path) & (F.floor(self.number(path)) == self.number(path)) & (self.number(path) >= least) & (self.number(path) < 2**53)
@@ -300,20 +470,40 @@ class _Document:
     def rows(self, path: str, kind: str) -> Column:
         return F.try_variant_get(self.whole, path, kind)
 
+    def items(self, path: str) -> Column:
+        return self.rows(path, "array<variant>")
+
     def unknown(self, path: str, allowed: str) -> Column:
         """Whether the part is no object, or has keys that are not allowed."""
-        keys = F.json_object_keys(F.get_json_object(self.json, path))
-        return keys.isNull() | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed.split()]))) > 0)
+        return _strange(self.part(path), allowed)
+
+    def unknown_items(self, path: str, allowed: str) -> Column:
+        """Whether an item of the list is no object, or has keys that are not allowed."""
+        return F.coalesce(F.exists(self.items(path), lambda v: _strange(v, allowed)), F.lit(False))
+
+    def odd_item(self, path: str, fields: str, pattern: str) -> Column:
+        """Whether an item of the list has one of the fields not of the type."""
+        return F.coalesce(F.exists(self.items(path), lambda v: reduce(or_, [~_typed(v, f"$.{n}", pattern) for n in fields.split()])), F.lit(False))
 
     def forbidden(self) -> Column:
-        """Whether a key at any depth is one of ``FORBIDDEN``, in any case."""
-        return F.lower(self.json).rlike(rf'"({FORBIDDEN.replace(" ", "|")})"\s*:')
+        """Whether a key at any depth is one of ``FORBIDDEN``, in any case. The text written from the parse has keys without escapes, and quotes within texts escaped, so only a key matches."""
+        return F.lower("_written").rlike(rf'"({FORBIDDEN.replace(" ", "|")})":')
+
+
+def _strange(v: Column, allowed: str) -> Column:
+    keys = F.json_object_keys(F.to_json(v))
+    return F.coalesce(~F.schema_of_variant(v).startswith("OBJECT"), F.lit(True)) | keys.isNull() | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed.split()]))) > 0)
 
 
-def _errors(rows: DataFrame, document: _Document, rules: list[tuple[Column, str]]) -> DataFrame:
+def _typed(v: Column, path: str, pattern: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike(pattern), F.lit(False))
+
+
+def _errors(rows: DataFrame, json: str, document: _Document, rules: list[tuple[Column, str]]) -> DataFrame:
     """``errors``: the rules that hold, in order; a text that is no JSON object has ``json`` alone."""
-    sound = F.coalesce(document.kind("$").startswith("OBJECT"), F.lit(False))
-    return rows.withColumn("errors", F.when(~sound, F.array(F.lit("json"))).otherwise(all_that_hold(*[(F.coalesce(rule, F.lit(True)), name) for rule, name in rules])))
+    sound = document.is_("^OBJECT", "$")
+    found = F.when(~sound, F.array(F.lit("json"))).otherwise(all_that_hold(*[(F.coalesce(rule, F.lit(True)), name) for rule, name in rules]))
+    return _Document.parsed(rows, json).withColumn("errors", found).drop("_parsed", "_written")
 
 
 def _shape(document: _Document, schema: str) -> list[tuple[Column, str]]:
@@ -321,44 +511,92 @@ def _shape(document: _Document, schema: str) -> list[tuple[Column, str]]:
     return [(document.text("$.schema") != schema, "schema"), (form("$.bundleId", f"(?i){_UUID}"), "bundle-id"), (form("$.analysisDigest", _HASH), "analysis-digest"), (document.text("$.createdAt").try_cast("timestamp").isNull(), "created-at")]
 
 
-def validate_bundles(bundles: DataFrame, json: str = "json", expected: str | None = None) -> DataFrame:
-    """``errors`` of each bundle's JSON text, by rule: keys, forms, ranges, markers, segments, evidence, sizes; and its digest if ``expected`` names the right one."""
+_OR_NULL = lambda pattern: f"{pattern}|{_NULL}"
+
+
+def _keys_and_types(d: _Document) -> list[tuple[Column, str]]:
+    """Rules about the names and types of a bundle's parts."""
+    a, any_of = "$.analysis", lambda rules: reduce(or_, rules)
+    rules = [(d.unknown(p, keys), f"keys:{p}") for p, keys in BUNDLE_KEYS.items()]
+    rules += [(~d.is_void(p) & d.unknown(p, keys), f"keys:{p}") for p, keys in NULLABLE_KEYS.items()]
+    rules += [(d.unknown_items(p, keys), f"keys:{p}[]") for p, keys in LIST_KEYS.items()]
+    inner = lambda v, n: F.try_variant_get(v, f"$.{n}", "variant")
+    segment = lambda v: any_of([(_strange(inner(v, n), keys) & (F.lit(n != "stereoCorrelation") | ~_typed(v, f"$.{n}", _NULL))) for n, keys in SEGMENT_KEYS.items()])
+    rules.append((F.coalesce(F.exists(d.items(f"{a}.temporalDiagnostic"), segment), F.lit(False)), f"keys:{a}.temporalDiagnostic[][]"))
+    groups = [f"{a}.metadata.{g}.{n}" for g, fields in METADATA.items() for n in fields]
+    missing = lambda p: d.part(p).isNull() | d.is_(_OR_NULL(_TEXT), p)
+    point, where = f"{a}.metadata.location.coordinates", d.number
+    no_point = d.part(point).isNull() | d.is_void(point)
+    outside = d.unknown(point, COORDINATE_KEYS) | ~d.is_number(f"{point}.latitude") | ~d.is_number(f"{point}.longitude") | (F.abs(where(f"{point}.latitude")) > 90) | (F.abs(where(f"{point}.longitude")) > 180) | ~F.coalesce(d.text(f"{point}.precision").isin("redacted", "exact"), F.lit(False))
+    context = f"{a}.editorialContext"
+    texts = [f"{context}.{n}" for n in ("classification", "seriesProfileId", "seriesProfileVersion", "purpose", "continuityPolicy", "loudnessOrientation.rationale")]
+    numbers = [f"{context}.{n}" for n in ("targetDurationSeconds", "durationToleranceSeconds", "truePeakOrientationDbtp", *[f"loudnessOrientation.{k}" for k in ORIENTATION_KEYS.split()[:3]])]
+    questions = d.items(f"{context}.questions")
+    odd_context = d.unknown(f"{context}.loudnessOrientation", ORIENTATION_KEYS) | any_of([~d.is_text(p) for p in texts]) | any_of([~d.is_(_OR_NULL(_NUMBER), p) for p in numbers]) | (d.text(f"{context}.classification") != "editorial") | questions.isNull() | F.exists(questions, lambda q: ~_typed(q, "$", _TEXT))
+    mono = f"{a}.measurements.monoCompatibility"
+    rules += [
+        (~d.text("$.profile").isin("minimal", "temporal-diagnostic"), "profile"), (~d.text("$.privacy").isin("redacted", "exact"), "privacy"), (~d.text(f"{a}.signalStage").isin("source", "calculated-export-selection", "verified-output"), "stage"),
+        (any_of([~d.is_text(f"{a}.{p}") for p in ("region.range", "format.container", "format.encoding")]), "text"), (any_of([~d.is_text(f"{a}.provenance.{k}") for k in PROVENANCE]), "provenance"),
+        (any_of([~d.is_(_OR_NULL(_TEXT), p) for p in (f"{a}.format.fileName", f"{a}.metadata.sourceFileName")]), "file-name"), (any_of([~missing(p) for p in groups]), "metadata"), (~no_point & F.coalesce(outside, F.lit(True)), "coordinates"),
+        (any_of([~d.is_(_OR_NULL(_NUMBER), f"{a}.measurements.{k}") for k in MEASURES]), "measurements"), (~d.is_void(context) & F.coalesce(odd_context, F.lit(True)), "editorial"),
+        (~d.is_void(mono) & any_of([~d.is_(_OR_NULL(_NUMBER), f"{mono}.{k}") for k in ("energyDeltaDb", "samplePeakDbfs", "negativeCorrelationPercent")]), "mono"),
+        (d.odd_item(f"{a}.measurements.channels", " ".join(CHANNEL_MEASURES), _OR_NULL(_NUMBER)), "channel-figures"), (d.odd_item(f"{a}.temporalDiagnostic", "programSamplePeakDbfs programTruePeakDbtp silencePercent", _OR_NULL(_NUMBER)), "segment-figures"),
+    ]
+    return rules
+
+
+def _written_digest(document: _Document) -> Column:
+    """Whether the digest is that of the document's canonical JSON without the digest itself, as the text is or as it is written out again."""
+    own = document.text("$.analysisDigest")
+    without = lambda text: F.sha2(F.replace(text, F.concat(F.lit('"analysisDigest":"'), own, F.lit('",')), F.lit("")), 256)
+    return F.coalesce((without(document.json) == own) | (without(F.col("_written")) == own), F.lit(False))
+
+
+def validate_bundles(bundles: DataFrame, json: str = "json", digest: bool = True) -> DataFrame:
+    """``errors`` of each bundle's JSON text, by rule: names and types at every depth, forms, ranges, markers, segments, cues, evidence, sizes, and the digest (unless ``digest`` is false).
+
+    The text is parsed once to a variant, and rules read its parts. Numbers with exponents count for the digest only as ``canonical_json`` writes them.
+    """
     d = _Document(json)
     a = "$.analysis"
     n = d.number
     markers, segments, evidence_ = d.rows(f"{a}.markers", _MARKERS), d.rows(f"{a}.temporalDiagnostic", _SEGMENTS), d.rows(f"{a}.evidence", _EVIDENCE)
     end = n(f"{a}.format.durationSeconds")
-    marker_bad = lambda m: F.coalesce(
-        ~m["classification"].isin("objective", "heuristic", "artistic") | ~m["severity"].isin("critical", "review", "information") | (m["startSeconds"] < 0) | (m["endSeconds"] < m["startSeconds"]) | (m["endSeconds"] > end)
+    span_bad = lambda m: F.coalesce((m["startSeconds"] < 0) | (m["endSeconds"] < m["startSeconds"]) | (m["endSeconds"] > end), F.lit(True))
+    marker_bad = lambda m: span_bad(m) | F.coalesce(
+        ~m["classification"].isin("objective", "heuristic", "artistic") | ~m["severity"].isin("critical", "review", "information")
         | m["id"].isNull() | m["type"].isNull() | m["summary"].isNull() | m["methodId"].isNull() | m["reviewStatus"].isNull() | F.coalesce((m["channel"] < 1) | (m["channel"] > n(f"{a}.format.channels")) | (m["channel"] != F.floor(m["channel"])), F.lit(False)) | F.coalesce(m["timePrecisionSeconds"] < 0, F.lit(False)),
         F.lit(True),
     )
+    some = lambda rows, bad: F.coalesce(F.exists(rows, bad), F.lit(False))
     width = F.when(F.size(segments) == 1, 5.0).otherwise(F.try_element_at(segments, F.lit(1))["endSeconds"] - F.try_element_at(segments, F.lit(1))["startSeconds"])
     off = lambda v: F.coalesce((v < -1) | (v > 1), F.lit(False))
     segment_bad = lambda s, i: F.coalesce((width < 5) | (width % 5 != 0) | (s["startSeconds"] != i * width) | (s["endSeconds"] <= s["startSeconds"]) | (s["endSeconds"] - s["startSeconds"] > width), F.lit(True)) | F.coalesce(~s["silencePercent"].between(0, 100), F.lit(False)) | off(s["stereoCorrelation"]["median"]) | off(s["stereoCorrelation"]["min"])
-    numbers = BUNDLE_KEYS["$.analysis.measurements"].split()[:11]
     r = f"{a}.region."
     frames_bad = ~(d.whole_number(r + "startFrame") & d.whole_number(r + "endFrame") & d.whole_number(r + "selectedFrames")) | (n(r + "endFrame") < n(r + "startFrame")) | (n(r + "selectedFrames") != n(r + "endFrame") - n(r + "startFrame"))
     fades_bad = ~(d.whole_number(r + "fadeInFrames") & d.whole_number(r + "fadeOutFrames")) | (F.greatest(n(r + "fadeInFrames"), n(r + "fadeOutFrames")) > n(r + "selectedFrames"))
     f = f"{a}.format."
-    profile, minimal = d.text("$.profile"), d.text("$.profile") == "minimal"
-    rules = [(d.unknown(p, keys), f"keys:{p}") for p, keys in BUNDLE_KEYS.items()]
-    rules += _shape(d, SCHEMA)
+    minimal, temporal = (F.coalesce(d.text("$.profile") == p, F.lit(False)) for p in ("minimal", "temporal-diagnostic"))
+    channels = d.rows(f"{a}.measurements.channels", "array<struct<channel:double,clippedSamples:double,overrangeSamples:double,nonFiniteSamples:double>>")
+    counted = lambda v: F.coalesce((v >= 0) & (v == F.floor(v)) & (v < 2**53), F.lit(False))
+    channel_bad = lambda x, i: F.coalesce(x["channel"] != i + 1, F.lit(True)) | ~(counted(x["clippedSamples"]) & counted(x["overrangeSamples"]) & counted(x["nonFiniteSamples"]))
+    cues, risks = d.rows(f"{a}.editorialCueSheet", _CUES), d.rows(f"{a}.measurements.monoCompatibility.riskRegions", _SPANS)
+    cue_bad = lambda q: span_bad(q) | F.coalesce((q["classification"] != "editorial") | q["id"].isNull() | q["type"].isNull() | q["text"].isNull() | q["reviewStatus"].isNull(), F.lit(True))
+    there = lambda p: ~d.is_void(p)
+    rules = _keys_and_types(d) + _shape(d, SCHEMA)
     rules += [
-        (~profile.isin("minimal", "temporal-diagnostic"), "profile"), (~d.text("$.privacy").isin("redacted", "exact"), "privacy"), (~d.text(f"{a}.signalStage").isin("source", "calculated-export-selection", "verified-output"), "stage"),
-        (reduce(or_, [~d.is_text(f"{a}.{p}") for p in ("region.range", "format.container", "format.encoding")]), "text"), (reduce(or_, [~d.is_text(f"{a}.provenance.{k}") for k in BUNDLE_KEYS["$.analysis.provenance"].split()]), "provenance"),
-        (reduce(or_, [~(d.is_text(p) | d.is_void(p)) for p in (f"{a}.format.fileName", f"{a}.metadata.sourceFileName")]), "file-name"), (reduce(or_, [~(d.is_number(f"{a}.measurements.{k}") | d.is_void(f"{a}.measurements.{k}")) for k in numbers]), "measurements"),
-        (reduce(or_, [~d.whole_number(f"{a}.measurements.{k}") for k in ("overrangeSamples", "nonFiniteSamples")]), "counts"), (frames_bad, "frames"), (fades_bad, "fades"), (~d.is_number(r + "globalGainDb") | ~n(r + "globalGainDb").between(-60, 24), "gain"),
+        (reduce(or_, [~d.whole_number(f"{a}.measurements.{k}") for k in COUNTS]), "counts"), (frames_bad, "frames"), (fades_bad, "fades"), (~d.is_number(r + "globalGainDb") | ~n(r + "globalGainDb").between(-60, 24), "gain"),
         (~n(f + "channels").isin(1, 2) | ~n(f + "sampleRate").isin(44100, 48000, 88200, 96000, 176400, 192000), "channels-or-rate"), (~n(f + "bitsPerSample").isin(16, 24, 32) | ~d.whole_number(f + "validBitsPerSample", 1) | (n(f + "validBitsPerSample") > n(f + "bitsPerSample")), "bits"),
-        (~d.is_number(f + "durationSeconds") | (end < 0) | ~d.whole_number(f + "fileSizeBytes"), "duration-or-size"), (F.size(d.rows(f"{a}.measurements.channels", "array<struct<channel:double>>")) != n(f + "channels"), "channel-measurements"), (d.forbidden(), "forbidden"),
-        (markers.isNull() | (F.size(markers) > MOST_MARKERS), "marker-list"), (F.coalesce(F.exists(markers, marker_bad), F.lit(False)), "marker"), (minimal & ~d.is_void(f"{a}.temporalDiagnostic"), "minimal-with-series"),
-        ((profile == "temporal-diagnostic") & (segments.isNull() | (F.size(segments) > MOST_SEGMENTS)), "segment-list"), (F.coalesce((profile == "temporal-diagnostic") & (F.size(F.filter(segments, segment_bad)) > 0), F.lit(False)), "segment"),
-        (evidence_.isNull() | (F.size(evidence_) > MOST_EVIDENCE), "evidence-list"), (F.coalesce(F.exists(evidence_, lambda e: F.coalesce(~e["classification"].isin("objective", "heuristic", "artistic", "mixed") | e["id"].isNull() | e["methodId"].isNull() | e["status"].isNull(), F.lit(True))), F.lit(False)), "evidence"),
+        (~d.is_number(f + "durationSeconds") | (end < 0) | ~d.whole_number(f + "fileSizeBytes"), "duration-or-size"), (channels.isNull() | (F.size(channels) != n(f + "channels")), "channel-measurements"), (F.size(F.filter(channels, channel_bad)) > 0, "channel"), (d.forbidden(), "forbidden"),
+        (markers.isNull() | (F.size(markers) > MOST_MARKERS), "marker-list"), (some(markers, marker_bad), "marker"), (there(f"{a}.editorialCueSheet") & (cues.isNull() | (F.size(cues) > MOST_CUES)), "cue-list"), (some(cues, cue_bad), "cue"),
+        (there(f"{a}.measurements.monoCompatibility") & (risks.isNull() | (F.size(risks) > MOST_RISKS)), "risk-list"), (some(risks, span_bad), "risk"), (minimal & ~d.is_void(f"{a}.temporalDiagnostic"), "minimal-with-series"),
+        (temporal & (segments.isNull() | (F.size(segments) > MOST_SEGMENTS)), "segment-list"), (F.coalesce(temporal & (F.size(F.filter(segments, segment_bad)) > 0), F.lit(False)), "segment"),
+        (evidence_.isNull() | (F.size(evidence_) > MOST_EVIDENCE), "evidence-list"), (some(evidence_, lambda e: F.coalesce(~e["classification"].isin("objective", "heuristic", "artistic", "mixed") | e["id"].isNull() | e["methodId"].isNull() | e["status"].isNull(), F.lit(True))), "evidence"),
         (F.coalesce(F.size(F.array_distinct(F.transform(evidence_, lambda e: e["id"]))) < F.size(evidence_), F.lit(False)), "evidence-repeated"), (F.octet_length(json) > F.when(minimal, MINIMAL_BYTES).otherwise(TEMPORAL_BYTES), "bytes"),
     ]
-    if expected:
-        rules.append((d.text("$.analysisDigest") != F.col(expected), "digest-differs"))
-    return _errors(bundles, d, rules)
+    if digest:
+        rules.append((~_written_digest(d), "digest-differs"))
+    return _errors(bundles, json, d, rules)
 
 
 GUIDANCE_SCHEMA = "tonearchive.guidance/1"
@@ -382,7 +620,7 @@ def validate_guidance(guidance: DataFrame, json: str = "json", allowed: str | No
         (items.isNull() | (F.size(items) > 100), "suggestion-list"), (some(lambda s: ~s["classification"].isin("objective", "heuristic", "artistic")), "classification"), (some(lambda s: ~s["kind"].isin("review", "global-gain", "question", "note")), "kind"), (some(lambda s: s["id"].isNull() | s["summary"].isNull() | s["rationale"].isNull()), "suggestion-text"),
         (some(lambda s: F.size(F.array_except(s["evidenceRefs"], known)) > 0), "evidence"), (some(gain), "gain"), (some(lambda s: F.coalesce(~s["confidence"].between(0, 1), F.lit(False))), "confidence"), (reduce(or_, [x.isNull() | (F.size(x) > 100) for x in lists]), "text-lists"), (F.octet_length(json) > GUIDANCE_BYTES, "bytes"), (d.forbidden(), "forbidden"),
     ]
-    return _errors(guidance, d, rules)
+    return _errors(guidance, json, d, rules)
 
 
 def validate_receipts(rows: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.audio import all_that_hold, down, finite, gain, half_up
 
-#: Limits of a decision (fixed values).
-GAIN_RANGE, LOCAL_RANGE, MOST_REGIONS = (-60.0, 24.0), (-60.0, 0.0), 256
+#: Limits of a decision, and the seed of dither (fixed values).
+GAIN_RANGE, LOCAL_RANGE, MOST_REGIONS, SEED = (-60.0, 24.0), (-60.0, 0.0), 256, 0x4C6A7564
 
 
 def trim(frames: DataFrame, edits: DataFrame) -> DataFrame:
@@ -178,7 +183,39 @@ def _draw(k: Column, seed: int) -> Column:
     return v.bitwiseXOR(F.shiftrightunsigned(v, 14)) / float(1 << 32)
 
 
-def tpdf_noise(index: Column, seed: int = 0x4C6A7564) -> Column:
+def tpdf_noise(index: Column, seed: int = SEED) -> Column:
     """Triangular dither of interleaved sample ``index``: the difference of two draws keyed by it, so any order of tasks agrees."""
     index = index.cast("long")
     return _draw(F.pmod(2 * index + 1, F.lit(1 << 32)), seed) - _draw(F.pmod(2 * index + 2, F.lit(1 << 32)), seed)
+
+
+def encode_payload(paired: DataFrame, bits: int = 16, encoding: str = "pcm", dithered: bool = False, seed: int = SEED) -> DataFrame:
+    """Bytes of each paired block (recording, block_no, start_frame, samples by channel): its frames interleaved, as a file holds them.
+
+    Integers are clamped and rounded half up, with triangular noise keyed by the sample's index in the file if ``dithered``; floats
+    get none. What is not finite is 0. Blocks side by side are the file's payload.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for start, channels in zip(pdf["start_frame"], pdf["samples"], strict=True):
+                x = np.array([np.asarray(c, float) for c in channels]).T.ravel()
+                noise = kernels.dither(start * len(channels) + np.arange(len(x)), seed) if dithered and encoding == "pcm" else 0.0
+                found.append(kernels.payload(x, bits, encoding, noise))
+            yield pdf[["recording", "block_no", "start_frame"]].assign(payload=found)
+
+    return paired.select("recording", "block_no", "start_frame", "samples").mapInPandas(run, "recording long, block_no long, start_frame long, payload binary")
+
+
+def payload_digest(payloads: DataFrame) -> DataFrame:
+    """Per recording: bytes, and SHA-256 over the hashes of its blocks in order; blocks are hashed where they lie."""
+    each = payloads.select("recording", "block_no", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("hash"))
+    parts = F.array_sort(F.collect_list(F.struct("block_no", "hash")))
+    return each.groupBy("recording").agg(F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(parts, lambda p: p["hash"]), ""), 256).alias("payload_hash"))
+
+
+def identical_payloads(source: DataFrame, output: DataFrame) -> DataFrame:
+    """recording, source_hash and output_hash of payloads that were cut into the same blocks, for ``rules.verify_output``."""
+    hashed = lambda rows, name: payload_digest(rows).select("recording", F.col("payload_hash").alias(name))
+    return hashed(source, "source_hash").join(hashed(output, "output_hash"), "recording", "left")

@@ -62,10 +62,15 @@ def marker_class(objective: Column, heuristic: Column, classification: Column) -
 
 
 def sanitize_markers(markers: DataFrame, duration: Column, exact: bool = False) -> DataFrame:
-    """Times clamped to the recording; rounded to whole seconds unless exact times are wanted or a critical objective marker needs them."""
-    keep = F.lit(exact) | ((F.col("severity") == "critical") & F.col("objective"))
+    """Times clamped to the recording; rounded to whole seconds unless exact times are wanted or a critical marker that is objective alone needs them.
+
+    A column ``heuristic`` counts where there is one; ``precision_s`` tells what times are rounded to (null: not rounded).
+    """
+    heuristic = F.coalesce(F.col("heuristic"), F.lit(False)) if "heuristic" in markers.columns else F.lit(False)
+    keep = F.lit(exact) | F.coalesce((F.col("severity") == "critical") & F.col("objective") & ~heuristic, F.lit(False))
     clean = lambda c: F.greatest(F.lit(0.0), F.least(duration, F.when(keep, F.col(c)).otherwise(half_up(c))))
-    return markers.withColumn("start_s", clean("seconds")).withColumn("end_s", F.greatest(F.col("start_s"), clean("end_seconds")))
+    out = markers.withColumn("start_s", clean("seconds")).withColumn("end_s", F.greatest(F.col("start_s"), clean("end_seconds")))
+    return out.withColumn("precision_s", F.when(~keep, 1.0))
 
 
 def normalize_markers(markers: DataFrame) -> DataFrame:
@@ -83,13 +88,33 @@ def normalize_markers(markers: DataFrame) -> DataFrame:
     })
 
 
+#: Types that belong to the editorial layer (fixed values).
+EDITORIAL_TYPES = ("privacy", "remove", "keep", "chapter", "editorial")
+
+
+def in_layer(markers: DataFrame, layer: str) -> Column:
+    """Whether a marker belongs to a layer of the timeline: rumble, float, mono or editorial (``all`` and other names: every marker).
+
+    Columns that are missing count as empty: kind, type, classification, origin, id. Upper case counts as lower.
+    """
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))) if c in markers.columns else F.lit("")
+    holds = lambda *words: reduce(lambda a, b: a | b, [text("kind").contains(w) for w in words])
+    origin, id_ = (F.coalesce(F.col(c), F.lit("")) if c in markers.columns else F.lit("") for c in ("origin", "id"))
+    layers = {
+        "rumble": (origin == "spectral-screening") | holds("low-frequency", "rumble", "50-hz"),
+        "float": id_.startswith("overrange-") | holds("overrange"),
+        "mono": holds("mono", "correlation", "stereo") | (text("type") == "stereo"),
+        "editorial": (text("classification") == "editorial") | text("type").isin(*EDITORIAL_TYPES),
+    }
+    return layers.get(layer, F.lit(True))
+
+
 def filter_markers(markers: DataFrame, severity: str | None = None, layer: str | None = None, start: float | None = None, end: float | None = None) -> DataFrame:
-    """By severity, by layer of kinds, and by overlap with a selection (both ends count)."""
-    layers = {"rumble": ["low-frequency"], "float": ["overrange", "invalid"], "mono": ["negative-correlation"], "editorial": ["editorial", "review-point", "note"]}
+    """By severity, by layer of the timeline, and by overlap with a selection (both ends count)."""
     if severity:
         markers = markers.where(F.col("severity") == severity)
     if layer:
-        markers = markers.where(F.col("kind").isin(*layers[layer]))
+        markers = markers.where(in_layer(markers, layer))
     if start is not None:
         markers = markers.where((F.coalesce("end_seconds", "seconds") >= start) & (F.col("seconds") <= end))
     return markers

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,16 +31,32 @@ def screened(frames: DataFrame, windows: DataFrame, rate: int) -> DataFrame:
     return frames.join(windows, "recording").where(inside).withColumn("i", F.floor((F.col("frame") - F.col("window_start")) / stride))
 
 
-def low_frequency_metrics(part: DataFrame, rate: float) -> DataFrame:
-    """Per window (recording, window_start, i, left, right): energy shares and the low band's correlation. A window is at most five seconds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        found = kernels.low_frequency(pdf["left"].to_numpy(float), pdf["right"].to_numpy(float), rate)
-        return pd.DataFrame([{"recording": pdf["recording"].iloc[0], "window_start": pdf["window_start"].iloc[0], **found}])
+def low_frequency_metrics(part: DataFrame, rate: float, together: int = 64) -> DataFrame:
+    """Per window (recording, window_start, i, left, right): energy shares and the low band's correlation; without a right channel (null) no correlation.
 
+    Windows are gathered as arrays (five seconds each at most) and filtered some ``together`` at a time, a chunk of all of them in one product.
+    """
     kind = "recording long, window_start long, subsonic_pct double, low_pct double, above_120_pct double, low_correlation double"
-    return part.select("recording", "window_start", "i", "left", "right").groupBy("recording", "window_start").applyInPandas(run, kind)
+
+    def measured(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["recording", "window_start"]].copy()
+        for stereo, rows in pdf.groupby(pdf["right"].map(lambda x: x is not None and len(x) > 0)):
+            for length, same in rows.groupby(rows["left"].map(len)):  # one length, as a rule
+                left = np.array(same["left"].tolist(), float).reshape(len(same), length)
+                right = np.array(same["right"].tolist(), float).reshape(len(same), length) if stereo else None
+                for name, values in kernels.low_frequency(left, right, rate).items():
+                    out.loc[same.index, name] = values
+        return out.astype(object).where(out.notna(), None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), together):
+                yield measured(pdf.iloc[at : at + together].reset_index(drop=True))
+
+    ordered = F.array_sort(F.collect_list(F.struct("i", "left", "right")))
+    side = lambda c: F.transform("rows", lambda x: x[c])
+    gathered = part.groupBy("recording", "window_start").agg(ordered.alias("rows"), F.count("right").alias("n"))
+    return gathered.select("recording", "window_start", side("left").alias("left"), F.when(F.col("n") > 0, side("right")).alias("right")).mapInPandas(run, kind)
 
 
 def mains_hum(part: DataFrame, rate: float, base: float = 50.0, harmonics: int = 4) -> DataFrame:

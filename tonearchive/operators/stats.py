@@ -64,21 +64,23 @@ def stereo_metrics(frames: DataFrame) -> DataFrame:
 
 
 def step_table(frames: DataFrame, step_frames: int) -> DataFrame:
-    """Per 100 ms step: raw energy (mean over channels and all frames), peak, RMS per channel, correlation, balance.
+    """Per 100 ms step: raw energy (mean over channels and all frames), peak, RMS per channel, correlation, balance, mid/side.
 
-    ``energy`` (here of the unweighted channels, summed) is null for a last step that is not full.
+    ``energy`` (here of the unweighted channels, summed) is null for a last step that is not full; ``blocks.stereo_steps`` gives the same
+    table with weighted energy from blocks.
     """
     zero = lambda c: F.when(finite(c), F.col(c)).otherwise(0.0)
     both = finite("left") & finite("right")
     out = frames.groupBy("recording", F.floor(F.col("frame") / step_frames).alias("step")).agg(
         F.count("*").alias("frames"), F.sum(zero("left") * zero("left")).alias("l2"), F.sum(zero("right") * zero("right")).alias("r2"),
         F.max(F.greatest(F.abs(zero("left")), F.abs(zero("right")))).alias("peak"), *[v.alias(k) for k, v in _sums(both).items()],
+        F.sum(F.when(both, F.pow((F.col("left") + F.col("right")) / 2, F.lit(2)))).alias("mm"), F.sum(F.when(both, F.pow((F.col("left") - F.col("right")) / 2, F.lit(2)))).alias("ss"),
     )
     n = F.col("frames")
     return out.select(
         "recording", "step", "frames", F.when(n == step_frames, (F.col("l2") + F.col("r2")) / n).alias("energy"), ((F.col("l2") + F.col("r2")) / (2 * n)).alias("raw_energy"), "peak",
         F.sqrt(F.col("l2") / n).alias("rms_left"), F.sqrt(F.col("r2") / n).alias("rms_right"), correlation(*[F.col(c) for c in ("n", "sl", "sr", "sll", "srr", "slr")]).alias("correlation"),
-        F.when(F.col("srr") > 0, power_db(F.col("sll") / F.col("srr"))).alias("balance_db"),
+        F.when(F.col("srr") > 0, power_db(F.col("sll") / F.col("srr"))).alias("balance_db"), F.when(F.col("ss") > 0, power_db(F.col("mm") / F.col("ss"))).alias("mid_side_db"),
     )
 
 
@@ -150,13 +152,17 @@ def report_values(reports: DataFrame, report: str = "report") -> DataFrame:
     The first place that is there counts: the verified file's analysis, its output, the section itself if it holds
     a measurement, the report's verified output, an export report's. Its own summary and metadata come last.
     """
-    r, section = F.col("_report"), F.col("_report.sections.verifiedExportFile")
-    itself = F.when(section["summary"].isNotNull() | section["format"].isNotNull(), F.struct(*[section[n].alias(n) for n in ("summary", "format", "duration")]))
-    found = F.coalesce(section["analysis"], section["verifiedOutput"], itself, r["verifiedOutput"], r["exportReport"]["verifiedOutput"])
-    out = reports.withColumn("_report", F.from_json(report, _REPORT)).withColumn("_found", found).withColumn("_summary", F.coalesce("_found.summary", "_report.summary"))
-    figures = {k: F.coalesce(*[F.col(f"_summary.{n}") for n in names]) for k, names in FIGURES.items()}
-    duration = F.coalesce("_found.format.durationSeconds", "_found.duration", "_report.metadata.durationSeconds")
-    return out.withColumns(figures | {"duration": duration}).drop("_report", "_found", "_summary")
+
+    def values(r: Column) -> Column:
+        section = r["sections"]["verifiedExportFile"]
+        itself = F.when(section["summary"].isNotNull() | section["format"].isNotNull(), F.struct(*[section[n].alias(n) for n in ("summary", "format", "duration")]))
+        found = F.coalesce(section["analysis"], section["verifiedOutput"], itself, r["verifiedOutput"], r["exportReport"]["verifiedOutput"])
+        return F.struct(F.coalesce(found["summary"], r["summary"]).alias("summary"), F.coalesce(found["format"]["durationSeconds"], found["duration"], r["metadata"]["durationSeconds"]).alias("duration"))
+
+    # a generator stands for itself in a plan: the text is parsed once a row
+    out = reports.select("*", F.inline(F.transform(F.array(F.from_json(report, _REPORT)), values)))
+    inner = lambda path: F.col("summary." + path)
+    return out.withColumns({k: F.coalesce(*[inner(n) for n in names]) for k, names in FIGURES.items()}).drop("summary")
 
 
 def series_overview(reports: DataFrame, fields: list[str], key: str = "series") -> DataFrame:

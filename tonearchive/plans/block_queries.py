@@ -34,7 +34,7 @@ def _blocks(spark, d):
 
 @query("k1_k_weight", _recursive(f"select recording, frame // 64 as block_no, {r('sum(by1 * by1) * 1000', 'energy')} from w where frame >= 0 group by all"))
 def k1(spark, d):
-    done = blocks.k_weight(_blocks(spark, d), RATE)
+    done = blocks.split_blocks(blocks.k_weight(_blocks(spark, d), RATE), BLOCK)
     return out(done.withColumn("energy", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x) * 1000), "recording block_no", "energy")
 
 
@@ -56,6 +56,45 @@ def k3(spark, d):
     return out(got.withColumn("k_energy", F.col("k_energy") * 1000).withColumn("raw_energy", F.col("raw_energy") * 1000), "recording step frames", "k_energy raw_energy peak")
 
 
+_OK = lambda c: f"(not isnan({c}) and not isinf({c}))"
+_WEIGHTED_2 = f"""clean as (select recording * 2 + channel as recording, frame, case when {_OK('value')} then value else 0.0 end as value from channels), {_WEIGHTED.replace('samples', 'clean')}"""
+_PDB = lambda a, b: f"(case when {b} > 0 and {a} > 0 then 10 * log10({a} / {b}) end)"
+_BOTTOM = "sqrt(greatest(0.0, (sll - sl * sl / n) * (srr - sr * sr / n)))"
+
+
+@query("c6_block_steps", f"""with recursive {signals.SQL['stereo']}, {_WEIGHTED_2}, k as (select recording // 2 as recording, frame // {STEP} as step, sum(by1 * by1) as k from w where frame >= 0 group by all),
+ f as (select *, {_OK('"left"')} and {_OK('"right"')} as ok, case when {_OK('"left"')} then "left" else 0.0 end as l, case when {_OK('"right"')} then "right" else 0.0 end as x from stereo),
+ s as (select recording, frame // {STEP} as step, count(*) as frames, sum(l * l) as l2, sum(x * x) as r2, max(greatest(abs(l), abs(x))) as peak, count(*) filter (ok) as n, sum(l) filter (ok) as sl, sum(x) filter (ok) as sr, sum(l * l) filter (ok) as sll, sum(x * x) filter (ok) as srr, sum(l * x) filter (ok) as slr, sum((l + x) * (l + x) / 4) filter (ok) as mm, sum((l - x) * (l - x) / 4) filter (ok) as ss from f group by all)
+ select recording, step, frames, {r(f'case when frames = {STEP} then k / frames * 1000 end', 'energy')}, {r('(l2 + r2) / (2 * frames) * 1000', 'raw_energy')}, {r('peak', 'peak')}, {r('sqrt(l2 / frames)', 'rms_left')}, {r('sqrt(r2 / frames)', 'rms_right')}, {r(f'case when {_BOTTOM} > 0 then greatest(-1.0, least(1.0, (slr - sl * sr / n) / {_BOTTOM})) end', 'correlation')}, {r(_PDB('sll', 'srr'), 'balance_db')}, {r(_PDB('mm', 'ss'), 'mid_side_db')} from s join k using (recording, step)""")
+def c6_blocks(spark, d):
+    got = blocks.stereo_steps(blocks.with_halo(signals.stereo(spark, d), HALO, BLOCK), RATE, STEP)
+    return out(got.withColumn("energy", F.col("energy") * 1000).withColumn("raw_energy", F.col("raw_energy") * 1000), "recording step frames", "energy raw_energy peak rms_left rms_right correlation balance_db mid_side_db")
+
+
+def _marks(spark, d):
+    stereo = signals.stereo(spark, d).select("*", F.posexplode("samples").alias("channel", "side"))
+    return blocks.block_marks(stereo.select("recording", "channel", "start_frame", F.col("side").alias("samples")), 0.3, 0.1, 1e-7, 0.25, 3)
+
+
+_NEAR = f"n as (select *, lag(value) over (partition by recording, channel order by frame) as before from channels where {_OK('value')})"
+
+
+@query("k4_block_flat_tops", f"""with {_NEAR}, b as (select *, sum(case when abs(value) >= 0.1 and abs(before) >= 0.1 and abs(value - before) <= 1e-7 then 0 else 1 end) over (partition by recording, channel order by frame) as run from n)
+ select recording, channel::bigint as channel, min(frame) as start, max(frame) + 1 as "end", count(*) as length from b where abs(value) >= 0.1 group by recording, channel, run having count(*) >= 3""", "stereo")
+def k4_flat(spark, d):
+    return out(blocks.flat_tops_of_marks(_marks(spark, d), 0.1), "recording channel start end length")
+
+
+@query("k4_block_jumps", f"with {_NEAR} select recording, channel::bigint as channel, frame, {r('abs(value - before)', 'delta')} from n where abs(value - before) >= 0.25", "stereo")
+def k4_jumps(spark, d):
+    return out(blocks.discontinuities_of_marks(_marks(spark, d), 0.25), "recording channel frame", "delta")
+
+
+@query("k4_block_invalid", f"""with i as (select *, frame - row_number() over (partition by recording, channel order by frame) as island from channels where not {_OK('value')}) select recording, channel::bigint as channel, 'invalid' as kind, min(frame) as start, max(frame) + 1 as "end", count(*) as length from i group by recording, channel, island""", "stereo")
+def k4_invalid(spark, d):
+    return out(blocks.runs_of_marks(_marks(spark, d)).where("kind = 'invalid'"), "recording channel start end length", "", "kind")
+
+
 @query("k4_block_runs", """with i as (select recording, frame, frame - row_number() over (partition by recording order by frame) as island from samples where abs(value) > 0.1) select recording, 'overrange' as kind, min(frame) as start, max(frame) + 1 as "end", count(*) as length from i group by recording, island having count(*) >= 2""", "blocks")
 def k4(spark, d):
     return out(blocks.block_runs(signals.blocks(spark, d), 0.1, {"overrange": 2}), "recording start end length", "", "kind")
@@ -206,14 +245,28 @@ def t2(spark, d):
     return out(got.withColumn("start_us", F.unix_micros("start")).withColumn("energy", F.col("energy") * 1.001), "recording start_us", "energy")
 
 
-@query("t3_live_runs", """with e as (select user_id as recording, ts, event_type in ('error', 'view') as holds, row_number() over (partition by user_id order by ts) as n from events), i as (select *, n - row_number() over (partition by recording order by ts) as island from e where holds),
- g as (select recording, min(ts) as a, max(n) as last, count(*) as length from i group by recording, island) select g.recording, epoch_us(a)::bigint as start_us, epoch_us(e.ts)::bigint as end_us, length from g join e on e.recording = g.recording and e.n = last + 1""")
+_IDLE = 6 * 3600
+
+
+@query("t3_live_runs", f"""with m as (select epoch_us(max(ts)) // 1000 * 1000 - 3600000000 as mark from events), e as (select user_id as recording, epoch_us(ts) as us, event_type in ('error', 'view') as holds from events), d as (select recording, us, holds from e, m where us <= mark),
+ n as (select *, lag(us) over w as before, lag(holds) over w as held, lead(us) over w as after, lead(holds) over w as holds_on from d window w as (partition by recording order by us)),
+ i as (select *, sum(case when held and us - before <= {_IDLE}000000 then 0 else 1 end) over (partition by recording order by us) as island from n where holds),
+ g as (select recording, island, min(us) as start_us, max(us) as last, count(*) as length, case when bool_or(after is null) then null else max(after) end as after from i group by recording, island)
+ select recording, start_us::bigint as start_us, (case when after - last <= {_IDLE}000000 then after else last + {_IDLE}000000 end)::bigint as end_us, length from g, m where after is not null or last + {_IDLE}000000 <= mark""")
 def t3(spark, d):
-    got = live.drain(live.live_runs(_stream(spark, d).withColumn("holds", F.col("event_type").isin("error", "view"))), spark, "live-runs")
-    return out(got, "recording start_us end_us length")
+    rows = _stream(spark, d).withColumn("holds", F.col("event_type").isin("error", "view"))
+    return out(live.drain(live.live_runs(rows, "1 hour", _IDLE), spark, "live-runs", live.STORE), "recording start_us end_us length")
+
+
+@query("t4_newest", f"select user_id as recording, event_type, max(event_id) as job, {r('arg_max(value / 100 - 0.5, event_id)', 'value')} from events group by user_id, event_type")
+def t4_newest(spark, d):
+    path, by = documents.work_path(spark, "live-newest"), ["job"]
+    keys = ["recording", "event_type"]
+    live.keep_newest(_stream(spark, d).select(*keys, F.col("event_id").alias("job"), "value"), path, keys, by)
+    return out(live.newest_rows(spark, path, keys, by), "recording job", "value", "event_type")
 
 
 @query("t4_without_repeats", "select distinct user_id as recording, event_type from events")
 def t4(spark, d):
-    got = live.drain(live.without_repeats(_stream(spark, d), ["recording", "event_type"], "10000 days").select("recording", "event_type"), spark, "live-first")
+    got = live.drain(live.without_repeats(_stream(spark, d), ["recording", "event_type"], "400 days").select("recording", "event_type"), spark, "live-first")
     return out(got, "recording", "", "event_type")

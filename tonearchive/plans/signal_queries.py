@@ -161,14 +161,17 @@ def c5(spark, d):
     return out(stats.stereo_metrics(signals.dirty(spark, d)), "recording mono_peak_frame", "correlation balance_db mid_side_db mono_delta_db mono_peak")
 
 
+_MS = f"sum(({_L} + {_R}) * ({_L} + {_R}) / 4) filter (ok) as mm, sum(({_L} - {_R}) * ({_L} - {_R}) / 4) filter (ok) as ss"
+
+
 def _step_sql(n: int) -> str:
-    return f"""with f as (select *, {FINITE(_L)} as ok, case when {FINITE(_L)} then {_L} else 0.0 end as l, {_R} as rr from dirty), s as (select recording, floor(frame / {n})::bigint as step, count(*) as frames, sum(l * l) as l2, sum(rr * rr) as r2, max(greatest(abs(l), abs(rr))) as peak, {_SUMS} from f group by all)
- select recording, step, frames, {r(f"case when frames = {n} then (l2 + r2) / frames end", "energy")}, {r("(l2 + r2) / (2 * frames)", "raw_energy")}, {r("peak", "peak")}, {r("sqrt(l2 / frames)", "rms_left")}, {r("sqrt(r2 / frames)", "rms_right")}, {r(_CORR, "correlation")} from s"""
+    return f"""with f as (select *, {FINITE(_L)} as ok, case when {FINITE(_L)} then {_L} else 0.0 end as l, {_R} as rr from dirty), s as (select recording, floor(frame / {n})::bigint as step, count(*) as frames, sum(l * l) as l2, sum(rr * rr) as r2, max(greatest(abs(l), abs(rr))) as peak, {_SUMS}, {_MS} from f group by all)
+ select recording, step, frames, {r(f"case when frames = {n} then (l2 + r2) / frames end", "energy")}, {r("(l2 + r2) / (2 * frames)", "raw_energy")}, {r("peak", "peak")}, {r("sqrt(l2 / frames)", "rms_left")}, {r("sqrt(r2 / frames)", "rms_right")}, {r(_CORR, "correlation")}, {r(_PDB("sll", "srr"), "balance_db")}, {r(_PDB("mm", "ss"), "mid_side_db")} from s"""
 
 
 @query("c6_step_table", _step_sql(10), "dirty")
 def c6(spark, d):
-    return out(stats.step_table(signals.dirty(spark, d), 10), "recording step frames", "energy raw_energy peak rms_left rms_right correlation")
+    return out(stats.step_table(signals.dirty(spark, d), 10), "recording step frames", "energy raw_energy peak rms_left rms_right correlation balance_db mid_side_db")
 
 
 @query("c7_max_steps", f"with s as (select recording, floor(frame / 2)::bigint as step, count(*) as n, sum(case when {FINITE(_L)} then {_L} * {_L} else 0.0 end + {_R} * {_R}) as e from dirty group by all) select recording, step, {r(LUFS('(case when n = 2 then e / n end)'), 'level')} from s", "dirty")
@@ -252,12 +255,14 @@ def c12(spark, d):
 _H = lambda x, k: f"floor(({x}) * 1e{k} + 0.5) / 1e{k} + 0.0"
 
 
-@query("c13_segments", f"""with {_MOM}, n as (select recording, greatest(5.0, ceil((max(step) + 1) * 0.1 / 720 / 5) * 5) as width from m group by recording),
- s as (select m.*, width, floor(step * 0.1 / width + 1e-9)::bigint as a, (ceil((step + 1) * 0.1 / width - 1e-9) - 1)::bigint as b from m join n using (recording)),
+@query("c13_segments", f"""with {_MOM}, n as (select recording, (max(step) + 1) * 0.1 as duration, greatest(5.0, ceil((max(step) + 1) * 0.1 / 720 / 5) * 5) as width from m group by recording),
+ s as (select m.*, duration, width, floor(step * 0.1 / width + 1e-9)::bigint as a, (ceil((step + 1) * 0.1 / width - 1e-9) - 1)::bigint as b, case when energy > 0 then 10 * log10(energy) end as rms from m join n using (recording)),
  e as (select *, unnest(range(a, greatest(a, b) + 1)) as segment, {LUFS("momentary")} as ml, {LUFS("short_term")} as sl from s)
- select recording, segment::bigint as segment, {_H("quantile_cont(ml, 0.1)", 2)} as m_p10, {_H("quantile_cont(ml, 0.5)", 2)} as m_median, {_H("max(ml)", 2)} as m_max, {_H("quantile_cont(sl, 0.5)", 2)} as s_median, {_H("max(sl)", 2)} as s_max, {_H("min(correlation)", 3)} as correlation_min, {_H("100.0 * count(*) filter (ml is null) / count(*)", 1)} as silence_pct from e group by all""", "steps")
+ select recording, segment::bigint as segment, {r("min(segment * width)", "start_s")}, {r("min(least(duration, (segment + 1) * width))", "end_s")}, {_H("quantile_cont(ml, 0.1)", 1)} as m_p10, {_H("quantile_cont(ml, 0.5)", 1)} as m_median, {_H("max(ml)", 1)} as m_max, {_H("quantile_cont(sl, 0.5)", 1)} as s_median, {_H("max(sl)", 1)} as s_max,
+ {_H("max(20 * log10(sqrt(energy) * 3))", 1)} as peak_db, {_H("quantile_cont(correlation, 0.5)", 2)} as correlation_median, {_H("min(correlation)", 2)} as correlation_min, floor(100.0 * count(*) filter (rms <= -80) / count(rms) + 0.5) as silence_pct from e group by recording, segment""", "steps")
 def c13(spark, d):
-    return out(loudness.temporal_segments(_rolled_steps(spark, d)), "recording segment", "m_p10 m_median m_max s_median s_max correlation_min silence_pct")
+    steps = _rolled_steps(spark, d).withColumn("raw_energy", F.col("energy")).withColumn("peak", F.sqrt("energy") * 3)
+    return out(loudness.temporal_segments(steps), "recording segment", "start_s end_s m_p10 m_median m_max s_median s_max peak_db correlation_median correlation_min silence_pct")
 
 
 _ISLAND = lambda cond, keys="recording", src="dirty", at="frame": f"i as (select {keys}, {at} as pos, {at} - row_number() over (partition by {keys} order by {at}) as island from {src} where {cond}), runs as (select {keys}, min(pos) as start, max(pos) + 1 as \"end\", count(*) as length from i group by {keys}, island)"
@@ -334,6 +339,16 @@ def a5(spark, d):
     return out(f.select("recording", "frame", *[edits.quantised(F.col("left"), F.lit(0.0), b).alias(f"pcm{b}") for b in (16, 24, 32)]), "recording frame pcm16 pcm24 pcm32")
 
 
+_NOISE = f"{_dither_sql('(2 * i + 1)')} - {_dither_sql('(2 * i + 2)')}"
+
+
+@query("a5_payload", f"""with v as (select recording, frame, channel, frame * 2 + channel as i, value from channels), q as (select *, (case when {FINITE('value')} then floor(greatest(-1.0, least(1 - 1 / 32768.0, value + ({_NOISE}) / 32768)) * 32768 + 0.5) else 0.0 end)::bigint & 65535 as u from v),
+ b as (select recording, frame // 64 as block_no, count(*) * 2 as bytes, sha256(unhex(string_agg(printf('%02x%02x', u % 256, u // 256), '' order by i))) as hash from q group by all)
+ select recording, sum(bytes)::bigint as bytes, sha256(string_agg(hash, '' order by block_no)) as payload_hash from b group by recording""", "stereo")
+def a5_payload(spark, d):
+    return out(edits.payload_digest(edits.encode_payload(signals.stereo(spark, d), 16, "pcm", dithered=True)), "recording bytes", "", "payload_hash")
+
+
 @query("f6_normalize_edits", """with e as (select *, case when recording % 7 > 0 then recording % 7 - 1 end as s, case when recording % 5 > 0 then 48000 - recording % 5 + 2 end as t, case when recording % 3 > 0 then gain * 3 end as g, case when recording % 6 = 1 then gain end as h, recording % 4 as fade_in, case when stage = 'P' then 50000 else 0 end as fade_out,
  case when recording % 10 = 0 then 2 else 0 end as regions, case when priority like '1%' then 'sample-payload-trim' when priority like '2%' then 'louder' when priority like '3%' then 'edited-wav' end as stated from reports),
  v as (select *, coalesce(s, 0) as a, coalesce(t, 48000) as b, coalesce(g, h, 0) as db, coalesce(g, h, 0) <> 0 or fade_in > 0 or fade_out > 0 or regions > 0 as changed from e)

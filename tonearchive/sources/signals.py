@@ -48,6 +48,15 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("start_frame", F.col("block_no") * 64)
 
 
+def stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recording, block_no, start_frame, samples: paired blocks, the right channel from the left one; some samples are invalid, some clipped."""
+    b = blocks(spark, sf_dir)
+    frame = lambda i: F.col("start_frame") + i
+    left = F.transform("samples", lambda x, i: F.when(frame(i) % 41 == 7, float("nan")).otherwise(F.greatest(F.lit(-0.1), F.least(F.lit(0.1), x))))
+    right = F.transform(F.reverse("samples"), lambda x, i: F.when(frame(i) % 97 == 5, float("inf")).otherwise(x / 2))
+    return b.select("recording", "block_no", "start_frame", F.array(left, right).alias("samples"))
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recording, series, loudness, peak, duration, gain, priority: one measured recording per order."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -90,6 +99,9 @@ SQL = {
  pow(l_extendedprice / 1e5, 2.0) * 0.01 * case when l_returnflag = 'R' then 1e-8 else 1.0 end as energy, 2 * l_discount / 0.1 - 1 as correlation from lineitem)""",
     "blocks": """blocks as (select cast(label as bigint) as recording, row_number() over (partition by label order by vec_id) - 1 as block_no, embedding::double[] as samples from embeddings),
  samples as (select recording, block_no * 64 + i - 1 as frame, samples[i] as value from (select *, unnest(range(1, 65)) as i from blocks))""",
+    "stereo": """blocks as (select cast(label as bigint) as recording, row_number() over (partition by label order by vec_id) - 1 as block_no, embedding::double[] as samples from embeddings),
+ stereo as (select recording, block_no * 64 + i - 1 as frame, case when (block_no * 64 + i - 1) % 41 = 7 then 'nan'::double else greatest(-0.1, least(0.1, samples[i])) end as "left", case when (block_no * 64 + i - 1) % 97 = 5 then 'inf'::double else samples[65 - i] / 2 end as "right" from (select *, unnest(range(1, 65)) as i from blocks)),
+ channels as (select recording, frame, 0 as channel, "left" as value from stereo union all select recording, frame, 1, "right" from stereo)""",
     "reports": """reports as (select o_orderkey as recording, c_mktsegment as series, floor((o_totalprice / 4e4 - 30) * 1e4 + 0.5) / 1e4 as loudness, o_totalprice % 700 / 100 - 6 as peak, cast(o_orderkey % 1500 + 30 as double) as duration,
  cast(o_custkey % 25 - 12 as double) as gain, o_orderpriority as priority, o_orderstatus as stage, o_orderdate as measured, c_nationkey as place from orders join customer on o_custkey = c_custkey)""",
     "files": """files as (select doc_id as recording, source || '/' || doc_id as path, coalesce(text, '') as content, strlen(coalesce(text, '')) as size from documents)""",
