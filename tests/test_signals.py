@@ -240,6 +240,22 @@ def test_payloads_decode_to_what_went_in(spark, bits, encoding):
     assert rules.verify_output(row.withColumn("output_hash", F.col("source_hash"))).first().verified == "ok"
 
 
+def test_exact_percentiles(spark, monkeypatch):
+    """Against numpy, with ties, one value, far magnitudes and tiny bins, so that histograms are refined several times."""
+    rng = np.random.default_rng(7)
+    groups = {"spread": rng.standard_normal(3000), "ties": rng.integers(0, 3, 2000).astype(float), "one": np.array([4.5]), "same": np.full(500, -2.0), "far": np.concatenate([10.0 ** rng.uniform(-300, 300, 1500), -(10.0 ** rng.uniform(-300, 300, 999)), [1.7e308, -1.7e308, 0.0, 5e-324]]), "two": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("spread", None), ("spread", float("nan")), ("none", None), (None, 3.0)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for bins, few in ((stats.BINS, stats.SORTED), (8, 20)):
+        monkeypatch.setattr(stats, "BINS", bins)
+        monkeypatch.setattr(stats, "SORTED", few)
+        got = {r.g: r for r in stats.exact_percentiles(frame, ["g"], "v", {"low": 0.1, "median": 0.5, "top": 0.95}).collect()}
+        assert set(got) == {*groups, None} and got[None].median == 3
+        for g, x in groups.items():
+            expect = np.quantile(x, [0.1, 0.5, 0.95])
+            assert [got[g].low, got[g].median, got[g].top] == pytest.approx(expect.tolist(), rel=1e-12)
+
+
 def test_rules(spark):
     assert spark.range(1).select(rules.slug(F.lit("  Ång & Ö-vik! ")).alias("s")).first().s == "ang-o-vik"
     row = spark.range(1).select(rules.series_proposal(F.lit(0.0), F.lit(-25.0), F.lit(-4.0)).alias("p"), rules.rumble_class(rules.rumble_score(F.lit(60), F.lit(5), F.lit(10), F.lit(0.9))).alias("c")).first()

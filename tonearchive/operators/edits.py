@@ -50,7 +50,7 @@ def local_gain_factor(frame: Column, regions: Column) -> Column:
 
 
 def apply_edits(frames: DataFrame, edits: DataFrame) -> DataFrame:
-    """The whole chain for analysis: finite samples scaled by gain, fades and local gain; others unchanged.
+    """The whole chain for analysis: finite samples scaled by gain, fades and local gain; others, and further columns of ``frames``, unchanged.
 
     ``edits``: recording, start_frame, end_frame, gain_db, fade_in, fade_out, regions.
     """
@@ -60,18 +60,14 @@ def apply_edits(frames: DataFrame, edits: DataFrame) -> DataFrame:
     factor = gain("gain_db") * fade_factor(F.col("frame"), n, F.col("fade_in"), F.col("fade_out")) * local_gain_factor(source, F.col("regions"))
     for c in ("left", "right"):
         out = out.withColumn(c, F.when(finite(c), F.col(c) * factor).otherwise(F.col(c)))
-    return out.select("recording", "frame", "left", "right")
+    return out.select(*frames.columns)
 
 
 def render_edits(frames: DataFrame, edits: DataFrame) -> DataFrame:
-    """The chain for export: samples that are not finite become 0 and are counted per row."""
+    """The chain for export: samples that are not finite become 0 and are counted per row in ``replaced``, which goes along through the cut."""
     bad = lambda c: F.when(finite(c), 0).otherwise(1)
-    clean = frames.withColumn("replaced", bad("left") + bad("right"))
-    counted = clean.select("recording", "frame", "replaced")
-    for c in ("left", "right"):
-        clean = clean.withColumn(c, F.when(finite(c), F.col(c)).otherwise(0.0))
-    kept = trim(counted, edits).select("recording", "frame", "replaced")
-    return apply_edits(clean.drop("replaced"), edits).join(kept, ["recording", "frame"])
+    clean = {c: F.when(finite(c), F.col(c)).otherwise(0.0) for c in ("left", "right")}
+    return apply_edits(frames.withColumn("replaced", bad("left") + bad("right")).withColumns(clean).select("recording", "frame", "left", "right", "replaced"), edits)
 
 
 def signal_for_filters(c: str) -> tuple[Column, Column]:

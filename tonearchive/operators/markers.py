@@ -167,11 +167,11 @@ def peaks_in_regions(peaks: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def interval_peak(regions: DataFrame, steps: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Greatest step level that a region (recording, id, first, last step) overlaps; else the recording's."""
+    """Greatest step level that a region (recording, id, first, last step) overlaps; else the recording's; else 0 dB."""
     spread = regions.withColumn("step", F.explode(F.sequence("first", F.greatest("first", "last"))))
     found = spread.join(steps.select("recording", "step", "level"), ["recording", "step"]).groupBy("recording", "id").agg(F.max("level").alias("inside"))
     out = regions.join(found, ["recording", "id"], "left").join(fallback.select("recording", F.col("level").alias("whole")), "recording", "left")
-    return out.withColumn("level", F.coalesce("inside", "whole"))
+    return out.withColumn("level", F.coalesce("inside", "whole", F.lit(0.0)))
 
 
 #: Types of a user's markers that a cue sheet takes (fixed values).

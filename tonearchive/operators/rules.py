@@ -287,17 +287,19 @@ def master_file_name(title: Column, episode: Column, fallback: Column, prefix: s
     return F.concat(F.lit(f"{prefix}_E"), F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")), F.lit("_"), name, F.lit("_MASTER.wav"))
 
 
+MANIFEST = "tonearchive.episode-handoff/1"
 #: Texts of a handoff with their greatest lengths (fixed values).
 HANDOFF = {"title": 500, "series": 500, "session": 500, "place": 500, "date": 80, "local_time": 80, "tags": 2000, "description": 2000, "artwork": 2000}
 
 
 def episode_manifest(rows: DataFrame) -> DataFrame:
-    """``manifest``: episode, location (hidden unless disclosed), verified master, publication and report of each recording.
+    """``manifest``: schema, time, episode, location (hidden unless disclosed), verified master, publication and report of each recording.
 
     Columns: those of ``HANDOFF``, episode (text), disclosure, latitude, longitude, sha256, duration_s, loudness,
-    true_peak, loudness_range, plr, channels, sample_rate, status, incomplete, report_id. Missing texts are empty.
+    true_peak, loudness_range, plr, channels, sample_rate, status, incomplete, report_id; created_at (now, if it is missing). Missing texts are empty.
     """
     c = F.col
+    created = c("created_at") if "created_at" in rows.columns else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     shown = F.coalesce("disclosure", F.lit("hidden")) != "hidden"
     number = lambda name: F.when(finite(c(name).cast("double")), c(name)).alias(name)
     texts = [F.substring(F.coalesce(c(k).cast("string"), F.lit("")), 1, n).alias(k) for k, n in HANDOFF.items()]
@@ -305,7 +307,7 @@ def episode_manifest(rows: DataFrame) -> DataFrame:
     location = F.struct(F.substring(F.coalesce("disclosure", F.lit("hidden")), 1, 40).alias("disclosure"), F.when(shown, c("latitude")).alias("latitude"), F.when(shown, c("longitude")).alias("longitude"))
     master = F.struct(F.nullif(F.substring(c("sha256"), 1, 128), F.lit("")).alias("sha256"), *[number(n) for n in ("duration_s", "loudness", "true_peak", "loudness_range", "plr", "channels", "sample_rate")])
     publication = F.struct("status", "incomplete")
-    return rows.withColumn("manifest", F.struct(episode.alias("episode"), location.alias("location"), master.alias("master"), publication.alias("publication"), F.nullif(F.substring("report_id", 1, 500), F.lit("")).alias("report_id")))
+    return rows.withColumn("manifest", F.struct(F.lit(MANIFEST).alias("schema"), created.alias("createdAt"), episode.alias("episode"), location.alias("location"), master.alias("master"), publication.alias("publication"), F.nullif(F.substring("report_id", 1, 500), F.lit("")).alias("report_id")))
 
 
 def editorial_context(purpose: str = "distribution", seconds: Column | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.audio import db, finite, power_db
+from ..sources.documents import work_path
 
 
 def by_channel(frames: DataFrame) -> DataFrame:
@@ -84,10 +85,10 @@ def step_table(frames: DataFrame, step_frames: int) -> DataFrame:
     )
 
 
-def _bins(frames: DataFrame, bin_of: Column) -> DataFrame:
+def _bins(frames: DataFrame, bin_of: Column, *more: Column) -> DataFrame:
     x = F.when(finite("value"), F.col("value"))
     return frames.groupBy("recording", "channel", bin_of.alias("bin")).agg(
-        F.coalesce(F.min(x), F.lit(0.0)).alias("lowest"), F.coalesce(F.max(x), F.lit(0.0)).alias("highest"), F.coalesce(F.sqrt(F.avg(x * x)), F.lit(0.0)).alias("rms"), F.count("*").alias("n")
+        F.coalesce(F.min(x), F.lit(0.0)).alias("lowest"), F.coalesce(F.max(x), F.lit(0.0)).alias("highest"), F.coalesce(F.sqrt(F.avg(x * x)), F.lit(0.0)).alias("rms"), F.count("*").alias("n"), *more
     )
 
 
@@ -99,14 +100,13 @@ def waveform_envelope(samples: DataFrame, bins: int = 4096, least: int = 64) ->
     return _bins(sized, F.floor(F.col("frame") / F.col("per")))
 
 
-def waveform_detail(samples: DataFrame, start: int, end: int, pixels: int, sample_rate: int = 48_000, longest: float = 0.01) -> DataFrame:
-    """As the envelope, of one range, at most ``longest`` seconds a bin; ``values`` holds a bin's samples in order."""
+def waveform_detail(samples: DataFrame, start: int, end: int, pixels: int, sample_rate: int = 48_000, longest: float = 0.01, values: bool = False) -> DataFrame:
+    """As the envelope, of one range, at most ``longest`` seconds a bin; if asked for, ``values`` holds a bin's samples in order."""
     per = max(1, int(min((end - start) / pixels, longest * sample_rate)))
     part = samples.where((F.col("frame") >= start) & (F.col("frame") < end))
     bin_of = F.floor((F.col("frame") - start) / per)
-    ordered = F.array_sort(F.collect_list(F.struct("frame", "value")))  # a bin holds ``per`` samples
-    values = part.groupBy("recording", "channel", bin_of.alias("bin")).agg(F.transform(ordered, lambda x: x["value"]).alias("values"))
-    return _bins(part, bin_of).join(values, ["recording", "channel", "bin"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"])  # a bin holds ``per`` samples
+    return _bins(part, bin_of, *([ordered.alias("values")] if values else []))
 
 
 def negative_correlation_pct(steps: DataFrame, limit: float = -0.25) -> DataFrame:
@@ -165,11 +165,68 @@ def report_values(reports: DataFrame, report: str = "report") -> DataFrame:
     return out.withColumns({k: F.coalesce(*[inner(n) for n in names]) for k, names in FIGURES.items()}).drop("summary")
 
 
+#: Bins of a histogram, and rows up to which what is left of one is sorted.
+BINS, SORTED = 4096, 10_000
+
+
+def _bin(x: Column, low: Column, high: Column) -> Column:
+    """The bin of a value between low and high; by logarithm where these lie magnitudes apart, so that a few passes settle any range."""
+    size = F.abs(low), F.abs(high)
+    wide = (low <= 0) & (high >= 0) | (F.greatest(*size) > 1e4 * F.least(*size))
+    scale = lambda v: F.when(wide, F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.ln(F.abs(v)) + 746))).otherwise(v / 2)  # noqa: E731  # no double is below exp(-746)
+    return F.least(F.lit(BINS - 1), F.floor((scale(x) - scale(low)) / (scale(high) - scale(low)) * BINS))
+
+
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The keys, and for each name in ``shares`` the exact percentile of ``value`` at that share, interpolated between ranks as ``percentile`` does.
+
+    A group's values never meet in one task: a histogram between its extremes (counts, least and greatest of each bin) tells in which bins
+    the wanted ranks lie, and is refined there until a bin holds one value or few rows, which are then sorted. Each pass reads the
+    rows once and shuffles bins only. Values that are null or not finite do not count; null keys make groups; ``rows`` is read several times.
+    """
+    group, span = "_key", ["_key", "low", "high", "before"]  # a struct: null keys are equal
+    rows = rows.where(finite(value)).select(F.struct(*keys).alias(group), F.col(value).cast("double").alias("_x"))
+    whole = rows.groupBy(group).agg(F.count("*").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    place = lambda p: p * (F.col("n") - 1)
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array((F.floor(place(p)) + 1).cast("long"), (F.ceil(place(p)) + 1).cast("long")) for p in shares.values()])))
+    state = _kept_table(whole.select(*span[:3], "n", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"), F.explode(wanted).alias("rank")))
+    open_ = (F.col("low") < F.col("high")) & (F.col("inside") > SORTED)
+    within = (F.col("_x") >= F.col("low")) & (F.col("_x") <= F.col("high"))
+    while state.where(open_).head(1):
+        ranges = state.where(open_).select(*span).distinct()
+        bins = rows.join(ranges, group).where(within).groupBy(*span, _bin(F.col("_x"), F.col("low"), F.col("high")).alias("bin")).agg(F.count("*").alias("m"), F.min("_x").alias("least"), F.max("_x").alias("most"))
+        order = Window.partitionBy(*span).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("until", F.col("before") + F.coalesce(F.sum("m").over(order), F.lit(0)))
+        found = state.where(open_).drop("inside").join(bins, span).where((F.col("rank") > F.col("until")) & (F.col("rank") <= F.col("until") + F.col("m")))
+        found = found.select(group, F.col("least").alias("low"), F.col("most").alias("high"), "n", F.col("until").alias("before"), F.col("m").alias("inside"), "rank")
+        state = _kept_table(found.unionByName(state.where(~open_)))
+    some = state.where("low < high")
+    left = rows.join(some.select(*span).distinct(), group).where(within).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy(*span).orderBy("_x")))
+    ranked = left.join(some.select(*span, "rank"), [*span, "rank"]).select(group, "rank", F.col("_x").alias("at")).unionByName(state.where("low >= high").select(group, "rank", F.col("low").alias("at")))
+    by_rank = ranked.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "at"))).alias("by")).join(whole.select(group, "n"), group)
+
+    def share(p: float) -> Column:
+        low, high = (F.element_at("by", (f(place(p)) + 1).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place(p) - F.floor(place(p)))
+
+    return by_rank.select(f"{group}.*", *[share(p).alias(name) for name, p in shares.items()])
+
+
+def _kept_table(df: DataFrame) -> DataFrame:
+    """The rows written to a work table and read back, so that a loop's plan does not grow."""
+    path = work_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def series_overview(reports: DataFrame, fields: list[str], key: str = "series") -> DataFrame:
-    """Per series and field: median, least, greatest and count; rows without any number are left out."""
-    some = F.greatest(*[F.when(finite(f), 1).otherwise(0) for f in fields]) == 1 if len(fields) > 1 else finite(fields[0])
-    long = reports.where(some).unpivot([key], fields, "field", "value").where(finite("value"))
-    return long.groupBy(key, "field").agg(F.percentile("value", 0.5).alias("median"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.count("*").alias("n"))
+    """Per series and field: median, least, greatest and count; rows without any number are left out.
+
+    A few series may hold all reports: medians come from histograms (``exact_percentiles``), so no task holds a field.
+    """
+    long = _kept_table(reports.select(key, *fields).unpivot([key], fields, "field", "value").where(finite("value")))
+    ends = long.groupBy(key, "field").agg(F.min("value").alias("least"), F.max("value").alias("greatest"), F.count("*").alias("n"))
+    return ends.join(exact_percentiles(long, [key, "field"], "value", {"median": 0.5}), [key, "field"])
 
 
 def latest_results(results: DataFrame, keys: list[str], job: str, tie: str) -> DataFrame:

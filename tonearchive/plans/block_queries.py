@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import blocks, spectral
+from ..operators import analysis, blocks, spectral
 from ..sources import documents, signals, wav
 from ..streaming import live
 from .registry import out, query, r
@@ -190,6 +190,45 @@ def a3(spark, d):
     return out(found.withColumn("n", F.size("samples")).withColumn("total", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)), "recording channel block_no n", "total")
 
 
+_HEARD = f"""n as (select recording, max(frame) + 1 as n from frames group by 1), c as (select recording, frame, channel, {_PCM("v")} as value from (select recording, frame, 0 as channel, "left" as v from frames union all select recording, frame, 1, "right" from frames) join n using (recording) where recording % 10 = 0 or recording % 10 > 4 or (recording % 10 = 4 and frame < n - 2))"""
+
+
+def _analysis(spark, d):
+    """The analysis of the WAV files of the events, damaged ones among them."""
+    files = _files(spark, d)
+    number = F.regexp_extract("path", r"(\d+)", 1)
+    blocks_ = wav.wav_blocks(files, 0.0005, 0.25, paired=True).withColumn("recording", number)
+    layouts = wav.wav_inventory(files).where("status = 'ok'").select(number.alias("recording"), "truncated")
+    return analysis.analyze(blocks_, layouts)
+
+
+@query("analysis_summary", f"""with {_HEARD}, taps(phase, lag, c) as (values {_TAPS}), p as (select recording, channel, frame + lag as at, phase, sum(taps.c * value) as v from c, taps group by all), t as (select recording, channel, max(v) as v from (select recording, channel, abs(v) as v from p union all select recording, channel, abs(value) from c) group by all),
+ tp as (select recording, max(v) as true_peak, arg_max(channel, (v, -channel)) as true_peak_channel from t group by 1), w as (select recording, frame, max(value) filter (channel = 0) as l, max(value) filter (channel = 1) as r from c group by all),
+ s as (select recording, count(*) as n, max(greatest(abs(l), abs(r))) as peak, sqrt((sum(l * l) + sum(r * r)) / (2 * count(*))) as rms, sum(l) as sl, sum(r) as sr, sum(l * l) as sll, sum(r * r) as srr, sum(l * r) as slr, sum((l + r) * (l + r) / 4) as mm, sum((l - r) * (l - r) / 4) as ss, max(abs(l + r) / 2) as mono, arg_max(frame, (abs(l + r), -frame)) as mono_frame from w group by 1),
+ j as (select recording, count(*) as jumps from (select *, abs(value - lag(value) over (partition by recording, channel order by frame)) as delta from c) where delta >= 0.8 group by 1)
+ select recording, n as frames, coalesce(jumps, 0) as discontinuities, true_peak_channel::bigint as true_peak_channel, mono_frame as mono_peak_frame, {r('peak', 'peak')}, {r('true_peak', 'true_peak')}, {r('rms', 'rms')}, {r('20 * log10(peak / rms)', 'crest_db')}, {r(f'greatest(-1.0, least(1.0, (slr - sl * sr / n) / {_BOTTOM}))', 'correlation')}, {r(_PDB('sll', 'srr'), 'balance_db')}, {r(_PDB('mm', 'ss'), 'mid_side_db')},
+ {r('10 * log10(mm / ((sll + srr) / 2))', 'mono_delta_db')}, {r('mono', 'mono_peak')} from s join tp using (recording) left join j using (recording)""", "frames")
+def analysis_summary(spark, d):
+    got = _analysis(spark, d).summary.withColumn("recording", F.col("recording").cast("long"))
+    return out(got, "recording frames discontinuities true_peak_channel mono_peak_frame", "peak true_peak rms crest_db correlation balance_db mid_side_db mono_delta_db mono_peak")
+
+
+@query("analysis_observations", f"""with {_HEARD}, d as (select *, abs(value - lag(value) over (partition by recording, channel order by frame)) as delta from c), s as (select recording, max(delta) as jump from d group by 1),
+ o as (select recording, unnest(list_filter([case when recording % 10 = 4 then 'truncated-data' end, case when jump >= 0.8 then 'discontinuity' end, 'below-gate'], lambda x: x is not null)) as observation, generate_subscripts(list_filter([case when recording % 10 = 4 then 'truncated-data' end, case when jump >= 0.8 then 'discontinuity' end, 'below-gate'], lambda x: x is not null), 1) as nth from s)
+ select recording, nth, observation from o""", "frames")
+def analysis_observations(spark, d):
+    got = _analysis(spark, d).observations
+    return out(got.withColumn("recording", F.col("recording").cast("long")), "recording nth", "", "observation")
+
+
+@query("analysis_markers", f"""with {_HEARD}, d as (select *, abs(value - lag(value) over (partition by recording, channel order by frame)) as delta from c), j as (select recording, 'discontinuity' as kind, frame / 48000.0 as start_s, row_number() over (partition by recording order by delta desc, frame / 48000.0) as nth from d where delta >= 0.8),
+ k as (select recording, 'sample-peak' as kind, frame / 48000.0 as start_s, row_number() over (partition by recording, channel order by abs(value) desc, frame) as nth from c where value <> 0)
+ select recording, kind, {r('start_s', 'start_s')} from (select * from j where nth <= 100 union all select * from k where nth = 1)""", "frames")
+def analysis_markers(spark, d):
+    got = _analysis(spark, d).markers.where("kind <> 'true-peak'")
+    return out(got.withColumn("recording", F.col("recording").cast("long")), "recording", "start_s", "kind")
+
+
 @query("a4_tables", f"select recording, count(*) as n, {r('sum(correlation)', 'total')} from steps group by recording", "steps")
 def a4(spark, d):
     path = documents.work_path(spark, "steps")

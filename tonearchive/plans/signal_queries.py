@@ -243,7 +243,7 @@ def c10(spark, d):
 
 @query("c11_detail", f"""with {_CH} select recording, channel::bigint as channel, floor((frame - 5) / 3)::bigint as bin, count(*) as n, {r(f"coalesce(min(value) filter ({_OK}), 0.0)", "lowest")}, {r(f"coalesce(max(value) filter ({_OK}), 0.0)", "highest")}, {r("arg_min(value, frame)", "first_value")} from channels where frame >= 5 and frame < 35 group by all""", "dirty")
 def c11(spark, d):
-    got = stats.waveform_detail(stats.by_channel(signals.dirty(spark, d)), 5, 35, 10)
+    got = stats.waveform_detail(stats.by_channel(signals.dirty(spark, d)), 5, 35, 10, values=True)
     return out(got.withColumn("first_value", F.element_at("values", 1)), "recording channel bin n", "lowest highest first_value")
 
 

@@ -159,8 +159,18 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows) if rows else np.empty(0)))
 
 
-def _decoded(path: str, f: dict, at: Bytes, first: int, last: int, size: int, halo: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Blocks ``first`` to ``last`` of ``size`` frames, some ``BATCH`` samples at a time; with ``halo``, up to so many samples before each, and whether it ends the file."""
+PAIRED = "path string, block_no long, start_frame long, sample_rate int, samples array<array<double>>, halo array<array<double>>, last boolean"
+
+
+def _nested(rows: list[list[np.ndarray]]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), _lists([c for r in rows for c in r]))
+
+
+def _decoded(path: str, f: dict, at: Bytes, first: int, last: int, size: int, halo: int | None = None, paired: bool = False) -> Iterator[pa.RecordBatch]:
+    """Blocks ``first`` to ``last`` of ``size`` frames, some ``BATCH`` samples at a time; with ``halo``, up to so many samples before each, and whether it ends the file.
+
+    A block is a row for each channel, or one with both channels' samples (and halos) side by side if ``paired``.
+    """
     many = max(1, BATCH // (size * f["channels"]))
     for number in range(first, last, many):
         begin, end = number * size, min(min(last, number + many) * size, f["frames"])
@@ -168,7 +178,12 @@ def _decoded(path: str, f: dict, at: Bytes, first: int, last: int, size: int, ha
         x = decode(at(f["data_offset"] + (begin - before) * f["block_align"], (end - begin + before) * f["block_align"]), f["encoding"], f["bits"], f["valid_bits"], f["channels"])
         starts = np.arange(begin, end, size)
         n, k = len(starts), len(x)
-        spans = [(c, s) for c in x for s in (starts - begin + before).tolist()]
+        places = (starts - begin + before).tolist()
+        if paired:
+            columns = [pa.array([path] * n), pa.array(starts // size), pa.array(starts), pa.array(np.full(n, f["sample_rate"], np.int32)), _nested([[c[s : s + size] for c in x] for s in places]), _nested([[c[max(0, s - (halo or 0)) : s] for c in x] for s in places]), pa.array(starts + size >= f["frames"])]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "block_no", "start_frame", "sample_rate", "samples", "halo", "last"])
+            continue
+        spans = [(c, s) for c in x for s in places]
         columns = [
             pa.array([path] * (n * k)), pa.array(np.repeat(np.arange(k, dtype=np.int32), n)), pa.array(np.tile(starts // size, k)), pa.array(np.tile(starts, k)), pa.array(np.full(n * k, f["sample_rate"], np.int32)),
             _lists([c[s : s + size] for c, s in spans]),
@@ -178,11 +193,13 @@ def _decoded(path: str, f: dict, at: Bytes, first: int, last: int, size: int, ha
         yield pa.RecordBatch.from_arrays(columns, ["path", "channel", "block_no", "start_frame", "sample_rate", "samples", "halo", "last"][: len(columns)])
 
 
-def wav_blocks(files: DataFrame, block_seconds: float = 1.0) -> DataFrame:
+def wav_blocks(files: DataFrame, block_seconds: float = 1.0, halo_seconds: float | None = None, paired: bool = False) -> DataFrame:
     """Blocks of samples of all sound files (path, content): path, channel, block_no, start_frame, sample_rate, samples. Others give none.
 
-    A file is decoded once, by stretches of some ``BATCH`` samples, whose blocks form one batch.
+    With ``halo_seconds`` each has ``halo``, the samples before it, and ``last``; ``paired`` blocks have both and no channel, but arrays of the
+    channels' samples. A file is decoded once, by stretches of some ``BATCH`` samples, whose blocks form one batch.
     """
+    extra = ", halo array<double>, last boolean" if halo_seconds is not None else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,9 +207,14 @@ def wav_blocks(files: DataFrame, block_seconds: float = 1.0) -> DataFrame:
                 at, f = _of(content or b""), _try(_of(content or b""), len(content or b""))
                 if f["status"] == "ok":
                     size = max(1, int(f["sample_rate"] * block_seconds))
-                    yield from _decoded(path, f, at, 0, -(-f["frames"] // size), size)
+                    halo = None if halo_seconds is None and not paired else int(f["sample_rate"] * (halo_seconds or 0))
+                    yield from _decoded(path, f, at, 0, -(-f["frames"] // size), size, halo, paired)
+
+    return files.select("path", "content").mapInArrow(run, PAIRED if paired else BLOCKS + extra)
+
 
-    return files.select("path", "content").mapInArrow(run, BLOCKS)
+def _is_paired(options: dict) -> bool:
+    return str(options.get("paired", "false")).lower() == "true"
 
 
 class _Share(InputPartition):
@@ -208,6 +230,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.share = options["path"].removeprefix("file://"), int(options.get("partition_bytes", 64 << 20))
         self.block_seconds, self.halo_seconds = float(options.get("block_seconds", 1.0)), float(options.get("halo_seconds", 0.25))
+        self.paired = _is_paired(options)
 
     def _files(self) -> Iterator[tuple[str, int]]:
         for top in sorted(glob.glob(self.path)) or [self.path]:
@@ -248,7 +271,7 @@ class _Reader(DataSourceReader):
                 if f["status"] == "ok":
                     frames = max(1, int(f["sample_rate"] * self.block_seconds))
                     nth = lambda byte: min(max(0, -(-(byte - f["data_offset"]) // (frames * f["block_align"]))), -(-f["frames"] // frames))  # noqa: B023, E731
-                    yield from _decoded(path, f, at, nth(low), nth(high), frames, int(f["sample_rate"] * self.halo_seconds))
+                    yield from _decoded(path, f, at, nth(low), nth(high), frames, int(f["sample_rate"] * self.halo_seconds), self.paired)
 
 
 class _Inventory(_Reader):
@@ -266,7 +289,7 @@ class WavSource(DataSource):
     """``spark.read.format("wav_blocks").load(path)``: blocks, with the samples before each, of all WAV files of an archive.
 
     ``path`` is a file, a folder or a pattern that driver and executors mount; options: block_seconds, halo_seconds,
-    partition_bytes. Files are read by ranges, so any number of tasks share a long one. Files that ``wav_inventory`` rejects give no blocks.
+    partition_bytes, paired (channels side by side in one row). Files are read by ranges, so any number of tasks share a long one. Files that ``wav_inventory`` rejects give no blocks.
     """
 
     reader_class = _Reader
@@ -276,7 +299,7 @@ class WavSource(DataSource):
         return "wav_blocks"
 
     def schema(self):
-        return f"{BLOCKS}, halo array<double>, last boolean"
+        return PAIRED if _is_paired(self.options) else f"{BLOCKS}, halo array<double>, last boolean"
 
     def reader(self, schema):
         return self.reader_class(self.options)
