@@ -62,25 +62,46 @@ def _codes(x: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
     return codes
 
 
+def _kept(bits: int) -> str:
+    return "<u2" if bits <= 16 else "<u4"
+
+
 def _sign(bits: int, tables: int, seed: int):
-    """Of each vector: a row a table with its bucket's key, and a sketch of 64 signs of their own; no vector."""
+    """Each vector (node, least, copies, embedding) with its codes in all tables as bytes, and a sketch of 64 signs of their own: signs are computed here and nowhere else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        table = np.arange(tables, dtype=np.int64) << TABLE_AT
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                lists, node = part.column("embedding"), part.column("node").to_numpy()
-                width = np.diff(lists.offsets.to_numpy())
+                width = np.diff(part.column("embedding").offsets.to_numpy())
                 for d in np.unique(width).tolist():  # vectors of different lengths never meet
-                    of = np.flatnonzero(width == d)
-                    x = lists.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(of), d)
+                    of = part.take(pa.array(np.flatnonzero(width == d)))
+                    x = of.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
                     if d not in planes:
                         planes[d] = _planes(seed, d, bits * tables), _planes(seed, d, 64, 1)
-                    key = (np.int64(d) << WIDTH_AT) | table | _codes(x, planes[d][0], bits)
+                    codes = _codes(x, planes[d][0], bits).astype(_kept(bits))
                     sketch = np.packbits(x @ planes[d][1] > 0, axis=1).view(np.int64).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node[of], tables)), pa.array(np.repeat(sketch, tables))], ["key", "node", "sketch"])
+                    yield pa.RecordBatch.from_arrays([*(of.column(c) for c in ("node", "least", "copies", "embedding")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(sketch)], ["node", "least", "copies", "embedding", "codes", "sketch"])
+
+    return run
+
+
+def _unpacked(codes: pa.Array, bits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), _kept(bits)).reshape(len(codes), -1)
+
+
+def _keys(bits: int):
+    """Of each vector (node, width, codes, sketch): a row a table with its bucket's key; no vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                codes = _unpacked(part.column("codes"), bits).astype(np.int64)
+                tables = codes.shape[1]
+                key = (part.column("width").to_numpy().astype(np.int64)[:, None] << WIDTH_AT) | (np.arange(tables, dtype=np.int64) << TABLE_AT) | codes
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(part.column(c).to_numpy(), tables)) for c in ("node", "sketch"))], ["key", "node", "sketch"])
 
     return run
 
@@ -119,22 +140,19 @@ def _roots(parent: np.ndarray, of: np.ndarray) -> np.ndarray:
     return found
 
 
-def _compare(threshold: float, bits: int, tables: int, seed: int):
+def _compare(threshold: float, bits: int):
     """In each tile: links whose ends meet in no earlier table, counted for both ends, and a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for rows in runs(batches, ["key", "low", "high"]):
             n = rows.num_rows
             if n < 2:
                 continue
             key, a, b = (rows.column(c)[0].as_py() for c in ("key", "low", "high"))
-            width, table = key >> WIDTH_AT, key >> TABLE_AT & (1 << WIDTH_AT - TABLE_AT) - 1
-            if width not in planes:
-                planes[width] = _planes(seed, width, bits * tables)
+            table = key >> TABLE_AT & (1 << WIDTH_AT - TABLE_AT) - 1
             node, copies, own = (rows.column(c).to_numpy() for c in ("node", "copies", "own"))
             x = rows.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(n, -1)
-            codes = _codes(x, planes[width][:, : bits * table], bits)
+            codes = _unpacked(rows.column("codes").combine_chunks(), bits)[:, :table]
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
             left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
             links, parent = np.zeros(n, np.int64), np.arange(n)
@@ -169,7 +187,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
 
     A bucket compares sketches first; only vectors with a near sketch in it are sent there. A
     pair at the threshold meets in no table with probability ``miss`` at most, and is passed
-    over by its sketches with a tenth of that.
+    over by its sketches with a tenth of that. Signs are computed once a vector and kept beside
+    it, so that the first table of a pair is the same wherever it is compared.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -180,8 +199,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
     distinct = given.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     bits, tables = layout(distinct.count(), threshold, miss)
+    kind = distinct.schema["embedding"].dataType.simpleString()
+    distinct = materialize(distinct.select("node", "least", "copies", "embedding").mapInArrow(_sign(bits, tables, seed), f"node long, least long, copies long, embedding {kind}, codes binary, sketch long"), "codes")
 
-    signed = distinct.select("node", "embedding").mapInArrow(_sign(bits, tables, seed), "key long, node long, sketch long")
+    signed = distinct.select("node", F.size("embedding").alias("width"), "codes", "sketch").mapInArrow(_keys(bits), "key long, node long, sketch long")
     crowded = signed.groupBy("key").count().where(F.col("count") > TILE)
     crowded = materialize(crowded.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("parts")), "crowded")
     anywhere = bool(crowded.head(1))
@@ -193,8 +214,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, miss: float = 1
         met = met.unionByName(cut.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")))
     tile = ["key", "low", "high"]
     met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node")
-    dealt = met.join(distinct.select("node", "copies", "embedding"), "node").repartition(partitions(spark), *tile).sortWithinPartitions(*tile)
-    found = materialize(dealt.mapInArrow(_compare(threshold, bits, tables, seed), "node long, links long, head long"), "links")
+    dealt = met.join(distinct.select("node", "copies", "embedding", "codes"), "node").repartition(partitions(spark), *tile).sortWithinPartitions(*tile)
+    found = materialize(dealt.mapInArrow(_compare(threshold, bits), "node long, links long, head long"), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("node").alias("u"), F.col("head").alias("v")))
