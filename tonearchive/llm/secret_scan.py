@@ -31,7 +31,7 @@ _SPANS = "array<struct<start:long,rank:int,end:long>>"
 
 
 #: Elements of an array that are summed up together.
-STRIDE = 128
+STRIDE = 32
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,17 +81,31 @@ def _texts(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _stretches(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(start / SCOPE), F.floor(end / SCOPE)))
+
+
+def _parts(found: DataFrame) -> DataFrame:
+    """row, start, rank, end of the strong and weak matches of each row, without weak ones that overlap a strong one: these are the same thing."""
+    part = found.where(F.size("weak") > 0).select("row", F.explode(F.concat("strong", "weak")).alias("s")).select("row", "s.*")
+    strong, weak = part.where(F.col("rank") <= KINDS.index("hex")), part.where(F.col("rank") > KINDS.index("hex"))
+    spread = lambda rows: rows.select("*", _stretches(F.col("start"), F.col("end")).alias("stretch"))
+    over = (F.col("w.row") == F.col("s.row")) & (F.col("w.stretch") == F.col("s.stretch")) & (F.col("w.start") < F.col("s.end")) & (F.col("s.start") < F.col("w.end"))
+    covered = spread(weak).alias("w").join(spread(strong).alias("s"), over, "left_semi").select("row", "start", "rank", "end").distinct()
+    return strong.unionByName(weak.join(covered, ["row", "start", "rank", "end"], "left_anti"))
+
+
 def _linked(found: DataFrame) -> DataFrame:
     """row, linked: the weak parts of each row that have their complements within the scope."""
     rank = {k: i for i, k in enumerate(KINDS)}
-    part = found.where(F.size("weak") > 0).select("row", F.explode(F.concat("strong", "weak")).alias("s")).select("row", "s.*")
+    part = _parts(found)
     role = F.when(F.col("rank").isin(rank["access"], rank["id"]), "id").when(F.col("rank") == rank["endpoint"], "endpoint").otherwise("secret")
     part = part.withColumn("role", role)
     # a part can be met from anywhere within its interval widened by the scope
     reach = F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))
     near = part.where("role <> 'endpoint'").select("row", "role", F.col("start").alias("a"), F.col("end").alias("b"), F.explode(reach).alias("stretch"))
     weak = part.where(F.col("rank") > rank["hex"])
-    own = F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)))
+    own = _stretches(F.col("start"), F.col("end"))
 
     def meets(which: DataFrame, wanted: str) -> DataFrame:
         which = which.select("row", "start", "rank", "end", own.alias("stretch"))
@@ -117,9 +131,6 @@ def find_secrets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     weak = F.concat(_spans(text, SHORT_ID, "id"), _spans(text, SHORT_SECRET, "secret"), _spans(text, ENDPOINT, "endpoint"))
     weak = F.when(text.rlike(f"{ACCESS}|{SHORT_ID}"), weak).otherwise(F.array().cast(_SPANS))
     found = docs.select("doc_id", F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried"), strong.alias("strong"), weak.alias("weak"))
-    # a weak match inside a strong one is the same thing
-    inside = lambda w: F.exists("strong", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
-    found = found.withColumn("weak", F.filter("weak", lambda w: ~inside(w)))
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "spans")
     linked = _linked(found.select("row", "strong", "weak"))
     # only rows with weak parts meet their links; the others, nearly all, are not dealt anew
