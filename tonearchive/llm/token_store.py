@@ -26,6 +26,8 @@ from .tokens import encoder, gathered
 PART_TEXT, PAGE = 16 << 20, 64 << 10
 #: Parts that are summed up together, and up to which a table of one row per part is broadcast (24 bytes each).
 GROUP, FEW = 1024, 200_000
+#: Folder beside the rows with a row per part; readers of the rows pass over its name.
+TOTALS = "_totals"
 _ROWS = "part int, first long, last long, doc_id long, codes binary"
 
 
@@ -57,6 +59,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str) -> None:
     # small uncompressed pages: a page is what a reader fetches at least
     pages = {"compression": "none", "parquet.page.size": str(PAGE), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16", "parquet.enable.dictionary": "false"}
     dealt.mapInArrow(_write(tokenizer), _ROWS).write.options(**pages).parquet(to)
+    _bases(_rows(docs.sparkSession, to).select("part", "last")).coalesce(1).write.parquet(f"{to}/{TOTALS}")
 
 
 def _read(ids_too: bool):
@@ -84,15 +87,23 @@ def _bases(rows: DataFrame) -> DataFrame:
     return sizes.withColumn("own", before("group")).join(groups, "group").select("part", (F.col("base") + F.col("own")).alias("base"), "n")
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_ROWS).parquet(path)
+
+
+def _totals(spark: SparkSession, path: str) -> DataFrame:
+    """part, base, n as they were summed up when the store was written."""
+    return spark.read.schema("part int, base long, n long").parquet(f"{path}/{TOTALS}")
+
+
 def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids (unsigned 32 bits each, little endian).
 
     Repeated rows and rows without doc_id are documents like any other; an empty store gives none.
     """
     prepare(spark)
-    rows = spark.read.schema(_ROWS).parquet(path)
-    bases = _bases(rows.select("part", "last")).select("part", "base")
-    few = rows.select("part").distinct().limit(FEW + 1).count() <= FEW
+    rows, totals = _rows(spark, path), _totals(spark, path)
+    bases, few = totals.select("part", "base"), totals.limit(FEW + 1).count() <= FEW
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
     placed = rows.join(F.broadcast(bases) if few else bases.hint("merge"), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "codes")
     return placed.mapInArrow(_read(ids), kind)
@@ -101,11 +112,11 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 def token_row(spark: SparkSession, path: str, place: int) -> DataFrame | None:
     """The stored row that holds one place of the whole store, and ``at``, the place in it.
 
-    ``first`` and ``last`` are compared within the files' statistics, by file part and page,
-    so that of ``codes`` the pages of one document are fetched.
+    The totals written beside the store tell the part; ``first`` and ``last`` are then compared within the files' statistics,
+    by file part and page, so that of ``codes`` the pages of one document are fetched.
     """
-    rows = spark.read.schema(_ROWS).parquet(path)
-    part = _bases(rows.select("part", "last")).where((F.col("base") <= place) & (F.col("base") + F.col("n") > place)).first()
+    rows = _rows(spark, path)
+    part = _totals(spark, path).where((F.col("base") <= place) & (F.col("base") + F.col("n") > place)).first()
     if part is None:
         return None
     within = place - part["base"]
