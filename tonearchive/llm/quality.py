@@ -25,6 +25,8 @@ from .common import ChunkMemo, documents, lean, map_batches, materialize, prepar
 WORDS, WIDTH, REACH, SEED = 1 << 14, 24, 2, 11
 #: Labelled rows that the network is fitted on, at most; all statistics cover all rows.
 FIT_ROWS = 20_000
+#: Characters of text that are held as words at once.
+SLICE = 1 << 20
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.01, 1e-4
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")
 
@@ -67,17 +69,53 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, split)])]
 
 
-def _slices(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts in groups of about so many characters."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= most:
-            yield group
-            group, size = [], 0
+_SPACE = re.compile(r"\s")
+
+
+def _stretches(text: str, most: int) -> Iterator[str]:
+    """A text in stretches of about so many characters, cut at white space: no word is cut."""
+    at = 0
+    while len(text) - at > most and (space := _SPACE.search(text, at + most)):
+        yield text[at : space.start()]
+        at = space.end()
+    yield text[at:]
+
+
+def _slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[list[int], list[str]]]:
+    """Stretches of all texts in order, in groups of about so many characters, and which text each is of."""
+    rows, group, size = [], [], 0
+    for row, text in enumerate(texts):
+        for stretch in _stretches(text, most):
+            rows.append(row)
+            group.append(stretch)
+            size += len(stretch)
+            if size >= most:
+                yield rows, group
+                rows, group, size = [], [], 0
     if group:
-        yield group
+        yield rows, group
+
+
+def _contexts(texts: list[str], index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Word classes, what is near each (sums of index vectors), and whether it is counted here, a slice at a time.
+
+    A text goes on over slices: its last words come again before the next stretch, not counted, and only pairs with a new word count.
+    """
+    tail, before = np.empty(0, np.int64), -1
+    for rows, group in _slices(texts):
+        ids, bounds = _encode(group)
+        document = np.repeat(rows, np.diff(bounds))
+        old = tail if rows[0] == before else tail[:0]
+        ids, document = np.concatenate([old, ids]).astype(np.int64), np.concatenate([np.full(len(old), before), document])
+        fresh = np.arange(len(ids)) >= len(old)
+        near, vectors = np.zeros((len(ids), WIDTH), np.int32), index[ids]
+        for o in range(1, REACH + 1):
+            together = ((document[o:] == document[:-o]) & fresh[o:])[:, None]
+            near[o:] += vectors[:-o] * together
+            near[:-o] += vectors[o:] * together
+        yield ids, near, fresh
+        before = rows[-1]
+        tail = ids[document == before][-REACH:]
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
@@ -88,20 +126,10 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, sums = _index_vectors(), np.zeros((WORDS, WIDTH + 1), np.int64)
         for batch in batches:
-            for texts in _slices(batch.column("text").to_pylist()):
-                ids, bounds = _encode(texts)
-                if not len(ids):
-                    continue
-                document = np.repeat(np.arange(len(texts)), np.diff(bounds))
-                near = np.zeros((len(ids), WIDTH), np.int32)
-                vectors = index[ids]
-                for o in range(1, REACH + 1):
-                    together = (document[o:] == document[:-o])[:, None]
-                    near[o:] += vectors[:-o] * together
-                    near[:-o] += vectors[o:] * together
+            for ids, near, fresh in _contexts(batch.column("text").to_pylist(), index):
                 for k in range(WIDTH):
                     sums[:, k] += np.bincount(ids, near[:, k], WORDS).astype(np.int64)
-                sums[:, WIDTH] += np.bincount(ids, minlength=WORDS)
+                sums[:, WIDTH] += np.bincount(ids[fresh], minlength=WORDS)
         some = np.flatnonzero(sums[:, WIDTH])
         for low in range(0, len(some), 4096):
             part = some[low : low + 4096]
@@ -127,25 +155,26 @@ def word_vectors(context: np.ndarray) -> np.ndarray:
 
 
 def _pool(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    ids, bounds = _encode(texts)
-    sizes = np.diff(bounds)
-    out = np.zeros((len(texts), vectors.shape[1]), np.float32)
-    some = sizes > 0
-    if some.any():
-        out[some] = np.add.reduceat(vectors[ids], bounds[:-1][some], axis=0) / sizes[some, None]
-    return out
+    """The mean of each text's word vectors, from sums over its stretches; zeros without words."""
+    sums, sizes = np.zeros((len(texts), vectors.shape[1])), np.zeros(len(texts), np.int64)
+    for rows, group in _slices(texts):
+        ids, bounds = _encode(group)
+        counts = np.diff(bounds)
+        some = counts > 0
+        if some.any():
+            of = np.array(rows)[some]
+            np.add.at(sums, of, np.add.reduceat(vectors[ids], bounds[:-1][some], axis=0))
+            np.add.at(sizes, of, counts[some])
+    return (sums / np.maximum(sizes, 1)[:, None]).astype(np.float32)
 
 
 def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """doc_id, vector (mean over the words of the whole text; zeros if it has none)."""
 
     def run(rows: dict) -> Iterator[pa.RecordBatch]:
-        at = 0
-        for texts in _slices(rows["text"]):
-            out = _pool(texts, vectors)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"][at : at + len(texts)], pa.int64()), lists], ["doc_id", "vector"])
-            at += len(texts)
+        out = _pool(rows["text"], vectors)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), lists], ["doc_id", "vector"])
 
     return map_batches(documents(docs), run, "doc_id long, vector array<float>")
 
@@ -223,7 +252,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.vstack([_pool(texts, vectors) for texts in _slices(batch.column("text").to_pylist())]).astype(np.float64)
+            x = _pool(batch.column("text").to_pylist(), vectors).astype(np.float64)
             score = _sigmoid(_forward(net, x)) if net else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), batch.column("carried")], ["doc_id", "score", "carried"])
 
