@@ -259,6 +259,19 @@ def test_long_secret_and_many_spans(spark):
     assert "hunter" not in clean[2] and "abcdef" not in clean[2] and "bob" not in clean[2] and clean[2].count("é🙂 [secret] [secret] [secret]") == 3000
 
 
+def test_thousands_of_triples_in_one_text(spark):
+    """8,000 ids, secrets and tokens in a text of half a megabyte take seconds, and each weak part is linked."""
+    import time
+
+    text = " ".join(f"user=bob{k} token=0123456789abcdef{k:06d} pwd=hunter{k}" for k in range(8000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secret_scan.digests(rows.limit(0)).count()  # the session warms up
+    began = time.perf_counter()
+    found = secret_scan.find_secrets(rows).first()
+    took = time.perf_counter() - began
+    assert len(found.linked) == 16_000 and sum(s.rank == 0 for s in found.strong) == 8000 and took < 30
+
+
 def test_secrets(docs, empty):
     got = secret_scan.digests(docs).collect()
     expect = [(d, *brute.secrets(t)) for d, t in texts()]
@@ -293,6 +306,10 @@ def test_token_store(spark, docs, empty, tmp_path):
     assert [token_store.read_token(spark, f"{tmp_path}/t", k) for k in (0, 777, at - 1, at)] == [flat[0], flat[777], flat[-1], None]
     row = token_store.token_row(spark, f"{tmp_path}/t", 777)
     assert row.count() == 1 and "LessThanOrEqual(first" in row._jdf.queryExecution().toString()
+    place = at // 2
+    plan = token_store._totals(spark, f"{tmp_path}/t")
+    assert plan.count() <= spark.read.parquet(f"{tmp_path}/t").select("part").distinct().count() and plan.agg(F.sum("n")).first()[0] == at
+    assert token_store.read_token(spark, f"{tmp_path}/t", place) == flat[place]
     token_store.write_tokens(empty, path, f"{tmp_path}/e")
     assert token_store.read_tokens(spark, f"{tmp_path}/e").count() == 0
 
@@ -459,6 +476,38 @@ def test_quality_of_documents(spark):
     assert a[0] != a[1] and b[0] != b[1]
 
 
+def test_long_texts_are_taken_in_stretches(monkeypatch):
+    """Contexts and means of texts cut in stretches are those of whole texts, and a text of tens of megabytes takes little memory."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "x1y22", "###", "\u3000", "g\x1fh", "naïve"]) for _ in range(n)) for n in (0, 1, 2, 3, 500, 40, 0, 900)] + ["", "  ", "oneword" * 50]
+    index, vectors = quality._index_vectors(), np.random.default_rng(1).standard_normal((quality.WORDS, 5)).astype(np.float32)
+
+    def sums(most):
+        monkeypatch.setattr(quality, "_slices", lambda t, size=most, cut=slices: cut(t, size))
+        total = np.zeros((quality.WORDS, quality.WIDTH + 1), np.int64)
+        for ids, near, fresh in quality._contexts(texts, index):
+            np.add.at(total[:, : quality.WIDTH], ids, near)
+            np.add.at(total[:, quality.WIDTH], ids[fresh], 1)
+        return total, quality._pool(texts, vectors)
+
+    slices = quality._slices
+    whole = sums(1 << 30)
+    for most in (1, 7, 60, 1000):
+        total, pooled = sums(most)
+        assert (total == whole[0]).all() and np.allclose(pooled, whole[1], atol=1e-6)
+    monkeypatch.setattr(quality, "_slices", slices)
+    long = "some words of a very long text, again and again " * 600_000  # 29 MB
+    tracemalloc.start()
+    quality._pool([long], vectors)
+    for _ in quality._contexts([long], index):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((6000, 4))
