@@ -363,12 +363,12 @@ def build_bundles(recordings: DataFrame, markers: DataFrame, segments: DataFrame
     )
     mono = "struct<energyDeltaDb:double,samplePeakDbfs:double,negativeCorrelationPercent:double,riskRegions:array<struct<startSeconds:double,endSeconds:double>>>"
     measures = F.struct(*_part(out, MEASURES, "double"), as_is("mono", mono).alias("monoCompatibility"), *_part(out, COUNTS, "long", zero), F.slice(F.coalesce("channels_", F.array()), 1, F.greatest(F.lit(0), c("channels", "int"))).alias("channels"))
-    provenance = F.struct(*[F.coalesce(F.col(f"provenance.{n}").cast("string") if n in (out.schema["provenance"].dataType.names if "provenance" in out.columns else ()) else F.lit(None), none).alias(n) for n in PROVENANCE])
+    told = out.schema["provenance"].dataType.names if "provenance" in out.columns else ()
+    provenance = F.struct(*[F.coalesce(F.col(f"provenance.{n}").cast("string") if n in told else F.lit(None).cast("string"), none).alias(n) for n in PROVENANCE])
     status = {"loudness": F.coalesce(c("loudness_status"), F.lit("unverified")), "true-peak": F.coalesce(c("peak_status"), F.lit("unverified")), "markers": F.lit("requires-human-review")}
     evidence_ = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("classification"), F.lit(m).alias("methodId"), status[i].alias("status")) for i, k, m in EVIDENCE])
     temporal = F.when(F.col("profile") == "temporal-diagnostic", F.coalesce("segments_", F.array()))
-    nothing = "struct<" + ",".join(f"{n}:string" for n in ("sourceFileName", "identity", "location", "notes", "creator")) + ">"
-    metadata = as_is("metadata", "string") if "metadata" in out.columns else F.struct(*[F.lit(None).cast("string").alias(n.split(":")[0]) for n in nothing[7:-1].split(",")])
+    metadata = F.col("metadata") if "metadata" in out.columns else F.struct(*[F.lit(None).cast("string").alias(n) for n in ("sourceFileName", *METADATA)])
     analysis = F.struct(
         F.col("stage").alias("signalStage"), region.alias("region"), format_.alias("format"), metadata.alias("metadata"), measures.alias("measurements"), F.coalesce("markers_", F.array()).alias("markers"), as_is("editorial", "string").alias("editorialContext"),
         as_is("cues_", _CUES).alias("editorialCueSheet"), temporal.alias("temporalDiagnostic"), provenance.alias("provenance"), evidence_.alias("evidence"),
