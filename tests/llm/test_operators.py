@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import brute
-from tonearchive.llm import dac, embedding, licenses, mixing, mpeg, packing, quality, secret_scan, simhash, substring, token_store
+from tonearchive.llm import dac, embedding, licenses, mixing, mpeg, packing, quality, queries, secret_scan, simhash, substring, token_store
 from tonearchive.llm.tokens import Encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size string, packed binary, row int"
@@ -164,6 +164,19 @@ def test_licenses(docs, empty):
     assert licenses.find_licenses(empty).count() == 0
 
 
+def test_licenses_query_takes_the_contract_s_phrases(spark, tmp_path):
+    """The base phrase is "under the mit license", from its first word on; without its first word it is one of the scan's own notices."""
+    rows = [(1, "Released UNDER the\x00MIT-License."), (2, "The MIT License, then: under the MIT license under the mit license"), (3, "sunder the mit license"), (4, "under\u2028the mit license"), (5, "CC BY-NC 4.0; Apache License, Version 2.0"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in queries.op2_licenses(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: (5, 1, 1, 1, "mit", "mit"), 2: (12, 2, 4, 8, "mit", "mit"), 3: (4, 0, None, None, "", "mit"), 4: (3, 0, None, None, "", ""),
+        5: (10, 2, 0, 5, "apache-2,cc-by-nc", "apache-2,cc-by-nc"), 6: (0, 0, None, None, "", ""),
+    }
+    base = {"under the mit license": "mit"}
+    assert licenses.scan("under the mit license", base)["score"] == licenses.scan("the mit license")["score"] == 0.8  # one piece of evidence
+
+
 def test_expressions():
     assert licenses.parse("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
     assert licenses.evaluate(licenses.parse("GPL-2.0 or MIT")) and not licenses.evaluate(licenses.parse("(GPL-2.0 or MIT) and GPL-3.0"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .common import documents, map_batches
 
-#: Phrases of the base scan, as words, with their labels (fixed values).
+#: Phrases of the base scan where none are given, as words, with their labels (fixed values).
 BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Further notice phrases of this scan, with their labels (fixed values).
 NOTICES = {
@@ -169,27 +170,23 @@ def names(postfix: list[str]) -> set[str]:
     return stack[0]
 
 
-_automaton = _tags = None
+@functools.lru_cache(maxsize=4)
+def _built(base: tuple[tuple[str, str], ...]):
+    """Automata of the phrases (words of a text stand between single blanks, read as Latin-1; so do the phrases) and of the tag as it is written."""
+    import ahocorasick
 
+    phrases = ahocorasick.Automaton()
+    for phrase, label in {**NOTICES, **BASE, **dict(base), TAG: ""}.items():
+        phrases.add_word(f" {phrase} ", (phrase, label))
+    phrases.make_automaton()
+    tags = ahocorasick.Automaton()
+    tags.add_word(TAG_TEXT, TAG_TEXT)
+    tags.make_automaton()
+    return phrases, tags
 
-def _built():
-    """Automata of the phrases (words of a text stand between single blanks, read as Latin-1; so do the phrases) and of the tag as it is written."""
-    global _automaton, _tags
-    if _automaton is None:
-        import ahocorasick
-
-        _automaton = ahocorasick.Automaton()
-        for phrase, label in {**NOTICES, **BASE, TAG: ""}.items():
-            _automaton.add_word(f" {phrase} ", (phrase, label))
-        _automaton.make_automaton()
-        _tags = ahocorasick.Automaton()
-        _tags.add_word(TAG_TEXT, TAG_TEXT)
-        _tags.make_automaton()
-    return _automaton, _tags
-
-
-def scan(text: str) -> dict:
-    phrases, tags = _built()
+
+def scan(text: str, base_phrases: dict[str, str] = BASE) -> dict:
+    phrases, tags = _built(tuple(base_phrases.items()))
     words = text.encode().translate(_WORDS).split()
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
     base_at, base, found, tagged = [], set(), set(), False
@@ -197,11 +194,11 @@ def scan(text: str) -> dict:
     for end, (phrase, label) in phrases.iter(joined):
         if phrase == TAG:
             tagged = True
-        elif phrase in BASE:
+        elif phrase in base_phrases:
             blanks, counted = blanks + joined.count(" ", counted, end), end
             base_at.append(blanks - phrase.count(" ") - 1)
             base.add(label)
-        else:
+        elif end != counted:  # else the end of the base phrase just met (the longest comes first)
             found.add(label)
     expressions, usable = [], []
     if tagged:
@@ -224,16 +221,18 @@ _RESULT = pa.schema(
 )
 
 
-def find_licenses(docs: DataFrame) -> DataFrame:
+def find_licenses(docs: DataFrame, base: dict[str, str] = BASE) -> DataFrame:
     """One row per document: counts and places of base phrases, labels, score, tag expressions (postfix) and whether all can be met by open licences.
 
     The score is 1 less the product of what each kind of evidence leaves open: 0.2 for base
     phrases, 0.3 for other notices or names, 0.05 for a parsed tag. Null and empty texts have
     no words, empty labels and score 0. Repeated rows stay; an empty table gives none.
+    ``base`` gives the base phrases, as lower-cased words with single blanks, and their labels;
+    phrases of ``BASE`` that are not among them count as other notices.
     """
 
     def run(rows: dict) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pylist([{"doc_id": d} | scan(t) for d, t in zip(rows["doc_id"], rows["text"], strict=True)], _RESULT)
+        yield pa.RecordBatch.from_pylist([{"doc_id": d} | scan(t, base) for d, t in zip(rows["doc_id"], rows["text"], strict=True)], _RESULT)
 
     kind = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, open boolean"
     return map_batches(documents(docs), run, kind)
