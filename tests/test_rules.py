@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,16 @@ def test_audit_chain_of_many_entries(spark):
     bad = some.withColumns({"action": F.when(n == 2, "open").otherwise(F.col("action")), "previousDigest": F.when(n == 3, "x").otherwise(F.col("previousDigest")), "after": F.when(n == 4, F.lit(None)).otherwise(F.col("after"))}).where("sequence <> 6")
     got = {r.sequence: r.errors for r in documents.validate_audit(bad).collect()}
     assert got == {1: [], 2: ["action", "digest"], 3: ["link", "digest"], 4: ["digest"], 5: [], 7: ["sequence", "link"], 8: ["sequence"]}
+
+
+def test_a_bundle_of_many_segments_is_validated_in_one_reading(spark):
+    # every segment is held against the first one: the list must not be read again for each
+    from tonearchive.plans.rule_queries import _BUNDLE, _segment
+
+    series = json.dumps([_segment(5 * k, 20) for k in range(documents.MOST_SEGMENTS)])
+    text = _BUNDLE.replace('"temporalDiagnostic": null', f'"temporalDiagnostic": {series}').replace('"minimal"', '"temporal-diagnostic"').replace('"durationSeconds": 10.0', '"durationSeconds": 3600.0')
+    given = rows(spark, "n int, json string", *[(n, text) for n in range(160)])
+    documents.validate_bundles(given.limit(1), digest=False).collect()
+    began = time.monotonic()
+    assert [r.errors for r in documents.validate_bundles(given, digest=False).collect()] == [[]] * 160
+    assert time.monotonic() - began < 25

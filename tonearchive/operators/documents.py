@@ -18,17 +18,30 @@ from ..functions.audio import all_that_hold, finite
 
 
 def _number_text(x: Column) -> Column:
-    """A double as JSON writes it: whole numbers without a point, the fewest digits, exponents beyond 1e-6 and 1e17."""
+    """A double as JSON writes it: whole numbers without a point, the fewest digits, exponents beyond 1e-6 and 1e17.
+
+    From 1e-3 to 1e7 that is how Spark writes it, but for the point of whole numbers; decimals and patterns are left to the others.
+    """
+    size = F.abs(x)
+    usual = F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
     digits = F.when(F.abs(x) < 1, x.cast("decimal(38,30)").cast("string")).otherwise(x.cast("decimal(38,18)").cast("string"))
     plain = F.regexp_replace(F.regexp_replace(digits, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
     power = F.regexp_replace(F.regexp_replace(x.cast("string"), "(\\.0)?E(-?)", "e$2"), "e([0-9])", "e+$1")
-    return F.when(x == 0, "0").when((F.abs(x) >= 1e-6) & (F.abs(x) < 1e17), plain).otherwise(power)
+    return F.when(x == 0, "0").when((size >= 1e-3) & (size < 1e7), usual).when((size >= 1e-6) & (size < 1e17), plain).otherwise(power)
+
+
+#: A text that JSON writes as it is: ASCII without control characters, quotes and backslashes.
+_PLAIN_TEXT = r"^[ !#-\[\]-~]*\z"
 
 
-def _json_text(x: Column, kind: DataType) -> Column:
+def _json_text(x: Column, kind: DataType, ready: dict[str, Column] | None = None, path: str = "") -> Column:
+    """``ready``: texts of fields by path that are written already."""
+    ready = ready or {}
+    if path in ready:
+        return ready[path]
     if isinstance(kind, StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
-        parts = [F.concat(F.lit(f'"{f.name}":'), _json_text(x[f.name], f.dataType)) for f in fields]
+        parts = [F.concat(F.lit(f'"{f.name}":'), _json_text(x[f.name], f.dataType, ready, f"{path}.{f.name}")) for f in fields]
         text = F.when(x.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
     elif isinstance(kind, ArrayType):
         text = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: _json_text(e, kind.elementType)), ","), F.lit("]"))
@@ -36,7 +49,7 @@ def _json_text(x: Column, kind: DataType) -> Column:
         text = _number_text(x.cast("double"))
     elif isinstance(kind, StringType):
         quoted = F.to_json(F.array(x))
-        text = F.substring(quoted, 2, F.length(quoted) - 2)
+        text = F.when(x.rlike(_PLAIN_TEXT), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.substring(quoted, 2, F.length(quoted) - 2))
     else:
         text = x.cast("string")
     return F.coalesce(text, F.lit("null"))
@@ -292,6 +305,15 @@ def _part(rows: DataFrame, fields: dict[str, str], kind: str, default: Column |
     return out
 
 
+def _listed(rows: DataFrame, order: str, item: list[Column], name: str) -> DataFrame:
+    """One list a recording of the items in order, and its canonical JSON, whose items are written once, as they are gathered."""
+    rows = rows.select("recording", F.col(order).alias("order"), F.struct(*item).alias("item"))
+    listed = F.array_sort(F.collect_list(F.struct("order", "item", canonical_json(rows, "item").alias("text"))))
+    lists = rows.groupBy("recording").agg(listed.alias("listed"))
+    text = F.concat(F.lit("["), F.array_join(F.col("listed.text"), ","), F.lit("]"))
+    return lists.select("recording", F.col("listed.item").alias(f"{name}_"), text.alias(f"{name}_json_"))
+
+
 def _channel_rows(channels: DataFrame) -> DataFrame:
     """One list a recording of its channels' figures (recording, channel from 0, and ``CHANNEL_MEASURES`` and counts as far as they are there)."""
     zero = F.lit(0).cast("long")
@@ -307,8 +329,7 @@ def _marker_rows(markers: DataFrame) -> DataFrame:
         c("id").alias("id"), c("kind").alias("type"), c("class").alias("classification"), c("severity").alias("severity"), c("start_s", "double").alias("startSeconds"), c("end_s", "double").alias("endSeconds"), c("channel", "long").alias("channel"), summary.alias("summary"),
         F.lit(METHOD).alias("methodId"), F.substring(F.coalesce(c("review"), F.lit("unreviewed")), 1, 80).alias("reviewStatus"), c("precision_s", "double").alias("timePrecisionSeconds"),
     ]
-    listed = F.array_sort(F.collect_list(F.struct(F.col("nth"), F.struct(*fields).alias("marker"))))
-    return markers.where(F.col("nth") <= MOST_MARKERS).groupBy("recording").agg(F.transform(listed, lambda x: x["marker"]).alias("markers_"))
+    return _listed(markers.where(F.col("nth") <= MOST_MARKERS), "nth", fields, "markers")
 
 
 def _segment_rows(segments: DataFrame) -> DataFrame:
@@ -319,8 +340,7 @@ def _segment_rows(segments: DataFrame) -> DataFrame:
         c("start_s").alias("startSeconds"), c("end_s").alias("endSeconds"), F.struct(c("m_p10").alias("p10"), c("m_median").alias("median"), c("m_max").alias("max")).alias("momentaryLufs"), F.struct(c("s_median").alias("median"), c("s_max").alias("max")).alias("shortTermLufs"),
         c("peak_db").alias("programSamplePeakDbfs"), F.lit(None).cast("double").alias("programTruePeakDbtp"), c("silence_pct").alias("silencePercent"), r.alias("stereoCorrelation"),
     ]
-    listed = F.array_sort(F.collect_list(F.struct("segment", F.struct(*fields).alias("row"))))
-    return segments.where(F.col("segment") < MOST_SEGMENTS).groupBy("recording").agg(F.transform(listed, lambda x: x["row"]).alias("segments_"))
+    return _listed(segments.where(F.col("segment") < MOST_SEGMENTS), "segment", fields, "segments")
 
 
 _CUES = "array<struct<id:string,type:string,startSeconds:double,endSeconds:double,text:string,reviewStatus:string,classification:string>>"
@@ -329,11 +349,10 @@ _CUES = "array<struct<id:string,type:string,startSeconds:double,endSeconds:doubl
 def _cue_rows(cues: DataFrame) -> DataFrame:
     """The cue sheet of ``markers.cue_sheet`` of each recording in one list, ``MOST_CUES`` at most."""
     fields = [
-        F.concat(F.lit("cue-"), F.col("nth").cast("string")).alias("id"), F.col("type").alias("type"), F.greatest(F.lit(0.0), "cue_start").alias("startSeconds"), F.col("cue_end").alias("endSeconds"), F.substring(F.coalesce("text", F.lit("")), 1, 500).alias("text"),
+        F.concat(F.lit("cue-"), F.col("nth").cast("string")).alias("id"), F.col("type").cast("string").alias("type"), F.greatest(F.lit(0.0), F.col("cue_start").cast("double")).alias("startSeconds"), F.col("cue_end").cast("double").alias("endSeconds"), F.substring(F.coalesce("text", F.lit("")), 1, 500).alias("text"),
         F.substring(F.coalesce("review", F.lit("unreviewed")), 1, 80).alias("reviewStatus"), F.lit("editorial").alias("classification"),
     ]
-    listed = F.array_sort(F.collect_list(F.struct("nth", F.struct(*fields).alias("cue"))))
-    return cues.where(F.col("nth") <= MOST_CUES).groupBy("recording").agg(F.transform(listed, lambda x: x["cue"]).cast(_CUES).alias("cues_"))
+    return _listed(cues.where(F.col("nth") <= MOST_CUES), "nth", fields, "cues").withColumn("cues_", F.col("cues_").cast(_CUES))
 
 
 def build_bundles(recordings: DataFrame, markers: DataFrame, segments: DataFrame, channels: DataFrame, cues: DataFrame | None = None) -> DataFrame:
@@ -374,10 +393,20 @@ def build_bundles(recordings: DataFrame, markers: DataFrame, segments: DataFrame
         as_is("cues_", _CUES).alias("editorialCueSheet"), temporal.alias("temporalDiagnostic"), provenance.alias("provenance"), evidence_.alias("evidence"),
     )
     outer = [F.lit(SCHEMA).alias("schema"), F.col("bundle_id").alias("bundleId"), F.col("profile"), F.col("privacy"), F.col("created_at").alias("createdAt"), analysis.alias("analysis")]
-    out = out.select("recording", F.struct(*outer).alias("bundle"))
-    out = out.withColumn("digest", canonical_digest(out, "bundle"))
-    out = out.withColumn("bundle", F.struct(*[F.col("bundle")[n].alias(n) for n in ("schema", "bundleId")], F.col("digest").alias("analysisDigest"), *[F.col("bundle")[n].alias(n) for n in ("profile", "privacy", "createdAt", "analysis")]))
-    return out.withColumn("json", canonical_json(out, "bundle"))
+    ready = {".analysis.markers": F.coalesce("markers_json_", F.lit("[]")), ".analysis.temporalDiagnostic": F.when(F.col("profile") == "temporal-diagnostic", F.coalesce("segments_json_", F.lit("[]"))).otherwise("null")}
+    if cues is not None:
+        ready[".analysis.editorialCueSheet"] = F.coalesce("cues_json_", F.lit("null"))
+    out = out.select("recording", F.struct(*outer).alias("bundle"), *[text.alias(path) for path, text in ready.items()])
+    ready = {path: F.col(f"`{path}`") for path in ready}
+    # the text is written once: the digest's key follows that of the analysis, which is the first
+    fields = sorted(out.schema["bundle"].dataType.fields, key=lambda f: f.name)
+    written = [F.concat(F.lit(f'"{f.name}":'), _json_text(F.col("bundle")[f.name], f.dataType, ready, f".{f.name}")) for f in fields]
+    head, tail = (F.concat_ws(",", *part) for part in (written[:1], written[1:]))
+    out = out.select("recording", "bundle", F.concat(F.lit("{"), head, F.lit(",")).alias("head_"), F.concat(tail, F.lit("}")).alias("tail_"))
+    out = out.withColumn("digest", F.sha2(F.concat("head_", "tail_"), 256))
+    out = out.withColumn("json", F.concat("head_", F.lit('"analysisDigest":"'), "digest", F.lit('",'), "tail_"))
+    bundle = F.struct(*[F.col("bundle")[n].alias(n) for n in ("schema", "bundleId")], F.col("digest").alias("analysisDigest"), *[F.col("bundle")[n].alias(n) for n in ("profile", "privacy", "createdAt", "analysis")])
+    return out.withColumn("bundle", bundle).select("recording", "bundle", "digest", "json")
 
 
 def receipts(bundles: DataFrame, files: DataFrame) -> DataFrame:
@@ -427,20 +456,28 @@ _MARKERS = "array<struct<id:string,type:string,classification:string,severity:st
 _SEGMENTS = "array<struct<startSeconds:double,endSeconds:double,silencePercent:double,stereoCorrelation:struct<median:double,min:double>>>"
 _EVIDENCE = "array<struct<id:string,classification:string,methodId:string,status:string>>"
 _SPANS = "array<struct<startSeconds:double,endSeconds:double>>"
+_COUNTED = "array<struct<channel:double,clippedSamples:double,overrangeSamples:double,nonFiniteSamples:double>>"
 _TEXT, _NUMBER, _NULL = "^STRING$", "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "^VOID$"
 
 
 class _Document:
-    """A JSON text parsed once (column ``_parsed``): its parts by path as text, number or list, and the type that JSON gives a part."""
+    """A JSON text parsed once (column ``_parsed``): its parts by path as text, number or list, and the type that JSON gives a part.
+
+    ``kept``: parts by path and kind that rules read more than once or for each item of a list; each is taken out once a text.
+    """
 
-    def __init__(self, json: str):
+    def __init__(self, json: str, *kept: tuple[str, str]):
         self.json, self.whole = F.col(json), F.col("_parsed")
+        self.kept = {part: f"_part_{k}" for k, part in enumerate(kept)}
+
+    def parsed(self, rows: DataFrame) -> DataFrame:
+        """The rows with the parsed text and the kept parts; a generator keeps Spark from parsing once per rule."""
+        parts = lambda v: [F.try_variant_get(v, path, kind).alias(name) for (path, kind), name in self.kept.items()]
+        return rows.select("*", F.inline(F.transform(F.array(F.try_parse_json(self.json)), lambda v: F.struct(v.alias("_parsed"), *parts(v)))))
 
-    @staticmethod
-    def parsed(rows: DataFrame, json: str) -> DataFrame:
-        """The rows with the parsed text and the text written out again from it; a generator keeps Spark from parsing once per rule."""
-        both = F.transform(F.array(F.try_parse_json(json)), lambda v: F.struct(v.alias("_parsed"), F.to_json(v).alias("_written")))
-        return rows.select("*", F.inline(both))
+    def written(self) -> Column:
+        """The text written out again from the parse."""
+        return F.to_json(self.whole)
 
     def part(self, path: str) -> Column:
         return F.try_variant_get(self.whole, path, "variant")
@@ -449,12 +486,15 @@ class _Document:
         return F.try_variant_get(self.whole, path, "string")
 
     def number(self, path: str) -> Column:
-        return F.try_variant_get(self.whole, path, "double")
+        return self.rows(path, "double")
 
     def is_(self, pattern: str, path: str) -> Column:
         """Whether the part's type matches: VOID for null, STRING, OBJECT<..>, ARRAY<..>, or a number's; no type where there is no such part."""
         return F.coalesce(F.schema_of_variant(self.part(path)).rlike(pattern), F.lit(False))
 
+    def is_object(self, path: str) -> Column:
+        return self.rows(path, _OBJECT).isNotNull()
+
     def is_text(self, path: str) -> Column:
         return self.is_(_TEXT, path)
 
@@ -462,48 +502,58 @@ class _Document:
         return self.is_(_NUMBER, path)
 
     def is_void(self, path: str) -> Column:
-        return self.is_(_NULL, path)
+        return F.coalesce(F.is_variant_null(self.part(path)), F.lit(False))
 
     def whole_number(self, path: str, least: int = 0) -> Column:
         return self.is_number(path) & (F.floor(self.number(path)) == self.number(path)) & (self.number(path) >= least) & (self.number(path) < 2**53)
 
     def rows(self, path: str, kind: str) -> Column:
-        return F.try_variant_get(self.whole, path, kind)
+        return F.col(self.kept[path, kind]) if (path, kind) in self.kept else F.try_variant_get(self.whole, path, kind)
 
     def items(self, path: str) -> Column:
         return self.rows(path, "array<variant>")
 
     def unknown(self, path: str, allowed: str) -> Column:
         """Whether the part is no object, or has keys that are not allowed."""
-        return _strange(self.part(path), allowed)
+        return _strange(self.rows(path, _OBJECT), allowed)
 
     def unknown_items(self, path: str, allowed: str) -> Column:
         """Whether an item of the list is no object, or has keys that are not allowed."""
-        return F.coalesce(F.exists(self.items(path), lambda v: _strange(v, allowed)), F.lit(False))
+        return F.coalesce(F.exists(self.rows(path, f"array<{_OBJECT}>"), lambda v: _strange(v, allowed)), F.lit(False))
 
     def odd_item(self, path: str, fields: str, pattern: str) -> Column:
         """Whether an item of the list has one of the fields not of the type."""
-        return F.coalesce(F.exists(self.items(path), lambda v: reduce(or_, [~_typed(v, f"$.{n}", pattern) for n in fields.split()])), F.lit(False))
+        kind = ",".join(f"{n}:variant" for n in fields.split())
+        return F.coalesce(F.exists(self.rows(path, f"array<struct<{kind}>>"), lambda v: reduce(or_, [~_typed(v[n], "$", pattern) for n in fields.split()])), F.lit(False))
 
     def forbidden(self) -> Column:
-        """Whether a key at any depth is one of ``FORBIDDEN``, in any case. The text written from the parse has keys without escapes, and quotes within texts escaped, so only a key matches."""
-        return F.lower("_written").rlike(rf'"({FORBIDDEN.replace(" ", "|")})":')
+        """Whether a key at any depth is one of ``FORBIDDEN``, in any case. The text written from the parse has keys without escapes, and quotes within texts escaped, so only a key matches.
+
+        A text without backslashes in which none of them stands as a key is not written for it.
+        """
+        names = f"(?=[{''.join(sorted({n[0] for n in FORBIDDEN.split()}))}])({FORBIDDEN.replace(' ', '|')})"  # the first letter tells most keys apart
+        none = ~F.contains(self.json, F.lit("\\")) & ~F.lower(self.json).rlike(rf'"{names}"\s*:')
+        return F.when(none, False).otherwise(F.lower(self.written()).rlike(rf'"{names}":'))
+
+
+#: An object by its keys alone: values of a kind that none has, so that they are null and not read.
+_OBJECT = "map<string,array<array<boolean>>>"
 
 
 def _strange(v: Column, allowed: str) -> Column:
-    keys = F.json_object_keys(F.to_json(v))
-    return F.coalesce(~F.schema_of_variant(v).startswith("OBJECT"), F.lit(True)) | keys.isNull() | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed.split()]))) > 0)
+    """Whether a part read as ``_OBJECT`` is none, or has keys that are not allowed."""
+    return v.isNull() | (F.size(F.array_except(F.map_keys(v), F.array(*[F.lit(k) for k in allowed.split()]))) > 0)
 
 
 def _typed(v: Column, path: str, pattern: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike(pattern), F.lit(False))
 
 
-def _errors(rows: DataFrame, json: str, document: _Document, rules: list[tuple[Column, str]]) -> DataFrame:
+def _errors(rows: DataFrame, document: _Document, rules: list[tuple[Column, str]]) -> DataFrame:
     """``errors``: the rules that hold, in order; a text that is no JSON object has ``json`` alone."""
-    sound = document.is_("^OBJECT", "$")
+    sound = document.is_object("$")
     found = F.when(~sound, F.array(F.lit("json"))).otherwise(all_that_hold(*[(F.coalesce(rule, F.lit(True)), name) for rule, name in rules]))
-    return _Document.parsed(rows, json).withColumn("errors", found).drop("_parsed", "_written")
+    return document.parsed(rows).withColumn("errors", found).select(*rows.columns, "errors")
 
 
 def _shape(document: _Document, schema: str) -> list[tuple[Column, str]]:
@@ -520,9 +570,9 @@ def _keys_and_types(d: _Document) -> list[tuple[Column, str]]:
     rules = [(d.unknown(p, keys), f"keys:{p}") for p, keys in BUNDLE_KEYS.items()]
     rules += [(~d.is_void(p) & d.unknown(p, keys), f"keys:{p}") for p, keys in NULLABLE_KEYS.items()]
     rules += [(d.unknown_items(p, keys), f"keys:{p}[]") for p, keys in LIST_KEYS.items()]
-    inner = lambda v, n: F.try_variant_get(v, f"$.{n}", "variant")
-    segment = lambda v: any_of([(_strange(inner(v, n), keys) & (F.lit(n != "stereoCorrelation") | ~_typed(v, f"$.{n}", _NULL))) for n, keys in SEGMENT_KEYS.items()])
-    rules.append((F.coalesce(F.exists(d.items(f"{a}.temporalDiagnostic"), segment), F.lit(False)), f"keys:{a}.temporalDiagnostic[][]"))
+    segment = lambda v: any_of([(_strange(F.try_variant_get(v[n], "$", _OBJECT), keys) & (F.lit(n != "stereoCorrelation") | ~_typed(v[n], "$", _NULL))) for n, keys in SEGMENT_KEYS.items()])
+    inner = d.rows(f"{a}.temporalDiagnostic", f"array<struct<{','.join(f'{n}:variant' for n in SEGMENT_KEYS)}>>")
+    rules.append((F.coalesce(F.exists(inner, segment), F.lit(False)), f"keys:{a}.temporalDiagnostic[][]"))
     groups = [f"{a}.metadata.{g}.{n}" for g, fields in METADATA.items() for n in fields]
     missing = lambda p: d.part(p).isNull() | d.is_(_OR_NULL(_TEXT), p)
     point, where = f"{a}.metadata.location.coordinates", d.number
@@ -549,7 +599,7 @@ def _written_digest(document: _Document) -> Column:
     """Whether the digest is that of the document's canonical JSON without the digest itself, as the text is or as it is written out again."""
     own = document.text("$.analysisDigest")
     without = lambda text: F.sha2(F.replace(text, F.concat(F.lit('"analysisDigest":"'), own, F.lit('",')), F.lit("")), 256)
-    return F.coalesce((without(document.json) == own) | (without(F.col("_written")) == own), F.lit(False))
+    return F.coalesce((without(document.json) == own) | (without(document.written()) == own), F.lit(False))
 
 
 def validate_bundles(bundles: DataFrame, json: str = "json", digest: bool = True) -> DataFrame:
@@ -557,8 +607,9 @@ def validate_bundles(bundles: DataFrame, json: str = "json", digest: bool = True
 
     The text is parsed once to a variant, and rules read its parts. Numbers with exponents count for the digest only as ``canonical_json`` writes them.
     """
-    d = _Document(json)
     a = "$.analysis"
+    lists = {f"{a}.markers": _MARKERS, f"{a}.temporalDiagnostic": _SEGMENTS, f"{a}.evidence": _EVIDENCE, f"{a}.editorialCueSheet": _CUES, f"{a}.measurements.monoCompatibility.riskRegions": _SPANS, f"{a}.measurements.channels": _COUNTED}
+    d = _Document(json, *lists.items(), (f"{a}.format.durationSeconds", "double"), (f"{a}.format.channels", "double"))
     n = d.number
     markers, segments, evidence_ = d.rows(f"{a}.markers", _MARKERS), d.rows(f"{a}.temporalDiagnostic", _SEGMENTS), d.rows(f"{a}.evidence", _EVIDENCE)
     end = n(f"{a}.format.durationSeconds")
@@ -577,7 +628,7 @@ def validate_bundles(bundles: DataFrame, json: str = "json", digest: bool = True
     fades_bad = ~(d.whole_number(r + "fadeInFrames") & d.whole_number(r + "fadeOutFrames")) | (F.greatest(n(r + "fadeInFrames"), n(r + "fadeOutFrames")) > n(r + "selectedFrames"))
     f = f"{a}.format."
     minimal, temporal = (F.coalesce(d.text("$.profile") == p, F.lit(False)) for p in ("minimal", "temporal-diagnostic"))
-    channels = d.rows(f"{a}.measurements.channels", "array<struct<channel:double,clippedSamples:double,overrangeSamples:double,nonFiniteSamples:double>>")
+    channels = d.rows(f"{a}.measurements.channels", _COUNTED)
     counted = lambda v: F.coalesce((v >= 0) & (v == F.floor(v)) & (v < 2**53), F.lit(False))
     channel_bad = lambda x, i: F.coalesce(x["channel"] != i + 1, F.lit(True)) | ~(counted(x["clippedSamples"]) & counted(x["overrangeSamples"]) & counted(x["nonFiniteSamples"]))
     cues, risks = d.rows(f"{a}.editorialCueSheet", _CUES), d.rows(f"{a}.measurements.monoCompatibility.riskRegions", _SPANS)
@@ -596,7 +647,7 @@ def validate_bundles(bundles: DataFrame, json: str = "json", digest: bool = True
     ]
     if digest:
         rules.append((~_written_digest(d), "digest-differs"))
-    return _errors(bundles, json, d, rules)
+    return _errors(bundles, d, rules)
 
 
 GUIDANCE_SCHEMA = "tonearchive.guidance/1"
@@ -620,7 +671,7 @@ def validate_guidance(guidance: DataFrame, json: str = "json", allowed: str | No
         (items.isNull() | (F.size(items) > 100), "suggestion-list"), (some(lambda s: ~s["classification"].isin("objective", "heuristic", "artistic")), "classification"), (some(lambda s: ~s["kind"].isin("review", "global-gain", "question", "note")), "kind"), (some(lambda s: s["id"].isNull() | s["summary"].isNull() | s["rationale"].isNull()), "suggestion-text"),
         (some(lambda s: F.size(F.array_except(s["evidenceRefs"], known)) > 0), "evidence"), (some(gain), "gain"), (some(lambda s: F.coalesce(~s["confidence"].between(0, 1), F.lit(False))), "confidence"), (reduce(or_, [x.isNull() | (F.size(x) > 100) for x in lists]), "text-lists"), (F.octet_length(json) > GUIDANCE_BYTES, "bytes"), (d.forbidden(), "forbidden"),
     ]
-    return _errors(guidance, json, d, rules)
+    return _errors(guidance, d, rules)
 
 
 def validate_receipts(rows: DataFrame) -> DataFrame:
